@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grafonda.llm import language, packing, secrets
+from grafonda.llm import decontamination, jaccard, language, packing, secrets
 from grafonda.llm.storage import work_table
 
 #: (name, function of (spark, docs, sf_dir)): all but the last return the columns of documents.
 STAGES = [
     ("language_id", language.stage_language),
+    ("ngram_jaccard_join", jaccard.stage_near_duplicates),
+    ("benchmark_decontamination", decontamination.stage_decontamination),
     ("secret_scans", secrets.stage_secrets),
     ("best_fit_packing", packing.stage_packing),
 ]
