@@ -42,7 +42,7 @@ def _word_grams(raw: np.ndarray, at: np.ndarray):
     inside[where[:-1]] = inside[where[1:] - 1] = False
     covered = np.repeat(starts - where[:-1] - 1, size) + np.arange(where[-1])
     flat[inside] = low[covered[inside]]
-    owner = np.repeat(np.arange(len(starts)), size)
+    owner = np.repeat(np.arange(len(starts), dtype=np.int32), size)
     buckets, words = [], []
     for n in GRAMS:
         m = len(flat) - n + 1
@@ -55,7 +55,7 @@ def _word_grams(raw: np.ndarray, at: np.ndarray):
             mixed ^= mixed >> np.uint32(13)
         buckets.append(mixed[fits] & np.uint32(BUCKETS - 1))
         words.append(owner[:m][fits])
-    return (np.concatenate(buckets) if buckets else np.zeros(0, np.uint32)), (np.concatenate(words) if words else np.zeros(0, np.int64)), len(starts), first
+    return (np.concatenate(buckets) if buckets else np.zeros(0, np.uint32)), (np.concatenate(words) if words else np.zeros(0, np.int32)), len(starts), first
 
 
 def _windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,13 +105,14 @@ def fit(texts: pa.Array, toxic: np.ndarray, dim: int = 8, rounds: int = 90, rate
     bucket, word, n, _ = _word_grams(*tokens.bytes_of(spelled))
     # non-ASCII or digits never split a word here: each spelled word is one word again
     order = np.argsort(word, kind="stable")
-    bucket, word = bucket[order], word[order]
-    used, bucket = np.unique(bucket, return_inverse=True)
+    bucket, word = bucket[order].astype(np.int32), word[order]
+    del order, raw, spelled
     grams = np.bincount(word, minlength=n).astype(np.float32)
     many = grams.astype(np.int64)
     edges = np.concatenate(([0], np.cumsum(many)))
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.02, (len(used), dim)).astype(np.float32)
+    table = rng.normal(0, 0.02, (BUCKETS, dim)).astype(np.float32)
+    table[np.bincount(bucket, minlength=BUCKETS) == 0] = 0  # n-grams that are never seen weigh nothing
     soft = rng.normal(0, 1, dim).astype(np.float32)
     bias = np.zeros(1, np.float32)
     (a, b), row = _windows(first)
@@ -132,18 +133,16 @@ def fit(texts: pa.Array, toxic: np.ndarray, dim: int = 8, rounds: int = 90, rate
         size = (b - a)[lead]
         spread = np.repeat(a[lead] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
         by_word = np.bincount(ids[spread], weights=np.repeat(g[held] / size / LEADING, size), minlength=n).astype(np.float32)
-        by_gram = np.bincount(bucket, weights=np.repeat(by_word / grams, many), minlength=len(used)).astype(np.float32)
+        by_gram = np.bincount(bucket, weights=np.repeat(by_word / grams, many), minlength=BUCKETS).astype(np.float32)
         down = (by_gram[:, None] * soft[None, :] + decay * table, by_gram @ table + decay * soft, np.array([g.sum()], np.float32))
         for x, d, v in zip((table, soft, bias), down, speed, strict=True):
             v *= 0.8
             v -= d / (np.abs(d).max() + 1e-9)  # one scale for a whole layer: rare n-grams move little
             x += (rate if x is table else 0.02) * v
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = table @ soft
-    return ToxicityModel(weights, float(bias[0]))
+    return ToxicityModel(table @ soft, float(bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2600) -> ToxicityModel:
     """Fits on about max_docs labelled rows, chosen by a hash of doc_id; these go to the driver."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"), 4, 2))
