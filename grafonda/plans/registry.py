@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "events_by_type"
+from . import graph_queries, telemetry_queries, text_queries
 
+FLAGSHIP = "graph_node_filter"
+_ALL = (graph_queries, telemetry_queries, text_queries)
 
-def queries():
-    from pyspark.sql import functions as F
 
-    return {FLAGSHIP: lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))}
+def queries():
+    return {name: run for m in _ALL for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {FLAGSHIP: "SELECT event_type, count(*) AS n FROM events GROUP BY 1"}
+    return {name: sql for m in _ALL for name, (_, sql) in m.QUERIES.items() if sql}
