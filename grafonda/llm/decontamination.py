@@ -30,8 +30,8 @@ BLOCK_WORDS = 1 << 21
 class Items:
     """A block of the benchmark, made to be broadcast."""
 
-    def __init__(self, ids: list, texts: list[str], n: int = N):
-        raw, at = tokens.bytes_of(pa.array(texts, pa.string()))
+    def __init__(self, ids: pa.Array, texts: pa.Array, n: int = N):
+        raw, at = tokens.bytes_of(texts)
         hashes, self.first = tokens.words(raw, at)
         self.ids = ids
         self.vocabulary, self.words = np.unique(hashes, return_inverse=True)
@@ -152,9 +152,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
     out = None
     for k in range(blocks):
-        rows = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").toArrow().to_pylist()
-        rows.sort(key=lambda r: (str(r["item_id"]), r["text"]))
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], n)
+        rows = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").select("item_id", "text").toArrow().combine_chunks()
+        items = Items(*(tokens.strings(rows.column(c)) if c == "text" else pa.concat_arrays(rows.column(c).chunks or [pa.array([], rows.schema.field(c).type)]) for c in ("item_id", "text")), n)
         found = _match(texts, items, schema, threshold)
         out = found if out is None else out.unionByName(found)
     return out
@@ -192,7 +191,7 @@ def _match(texts: DataFrame, items: Items, schema: str, threshold: float) -> Dat
                 if got:
                     row, item, *rest = zip(*got, strict=True)
                     ids = batch.column(0).take(pa.array([i + r for r in row]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([own.ids[x] for x in item]), *map(pa.array, rest)], ["doc_id", "item_id", "score", "doc_start", "doc_end", "n_seeds"])
+                    yield pa.RecordBatch.from_arrays([ids, own.ids.take(pa.array(item)), *map(pa.array, rest)], ["doc_id", "item_id", "score", "doc_start", "doc_end", "n_seeds"])
 
     return texts.mapInArrow(search, schema)
 

@@ -144,8 +144,10 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int =
     classes = work_table(signed.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("filled").alias("filled")), "classes")
     posted = classes.where("filled").select(F.col("class").alias("node"), F.explode("bands").alias("band"))
     shared = posted.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
-    stars = posted.join(shared, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    groups = components(stars)
+    # a class's star centres, at most one a band: the class is tied to the least of them, and that one to the others
+    centres = posted.join(shared, "band").groupBy("node").agg(F.collect_set("low").alias("lows")).withColumn("least", F.array_min("lows"))
+    ties = centres.select(F.col("least").alias("a"), F.explode("lows").alias("b")).where("a <> b").distinct()
+    groups = components(centres.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(ties))
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
     blocks = F.when(F.col("m") <= GROUP, 1).otherwise(F.greatest(F.least(F.ceil(F.col("m") / GROUP), F.lit(BLOCKS)), F.ceil(F.col("m") / MOST)))
     grouped = groups.join(sizes.select("root", blocks.cast("int").alias("blocks")), "root")

@@ -46,6 +46,11 @@ def _features(points: np.ndarray, order: int) -> np.ndarray:
     return (mixed & np.uint32(BUCKETS - 1)) + np.uint32(ORDERS.index(order) * BUCKETS)
 
 
+def _crossing(at: np.ndarray, order: int) -> np.ndarray:
+    """Where the n-grams begin that reach from a text into the next: they count for none."""
+    return np.concatenate([at[1:-1] - k for k in range(1, order)]) if order > 1 else at[:0]
+
+
 def _groups(column) -> list[tuple[int, list[str]]]:
     """Runs of rows of about RUN characters."""
     texts, out, i, size = strings(column).to_pylist(), [], 0, 0
@@ -74,7 +79,8 @@ class LanguageModel:
             edges = np.clip(at - a, 0, step)
             for order in ORDERS:
                 rows = self.weights[_features(run, order)[: min(step, max(len(run) - order + 1, 0))]]
-                # an n-gram that begins in a text and ends in the next one's blank counts for the text it begins in
+                over = _crossing(at, order) - a
+                rows[over[(over >= 0) & (over < len(rows))]] = 0
                 begin = np.minimum(edges[:-1], len(rows))
                 full = np.flatnonzero(begin < np.minimum(edges[1:], len(rows)))
                 if len(full):
@@ -96,10 +102,10 @@ def train(docs: DataFrame, max_docs: int = 6000, smoothing: float = 0.5) -> Lang
             for i, texts in _groups(batch.column("text")):
                 for lang in sorted(set(langs[i : i + len(texts)])):
                     own = [t for t, x in zip(texts, langs[i : i + len(texts)], strict=True) if x == lang]
-                    points, _ = _code_points(own)
+                    points, at = _code_points(own)
                     got = total.setdefault(lang, np.zeros(len(ORDERS) * BUCKETS, np.int64))
                     for order in ORDERS:
-                        got += np.bincount(_features(points, order), minlength=len(got))
+                        got += np.bincount(np.delete(_features(points, order), _crossing(at, order)), minlength=len(got))
                     docs_of[lang] = docs_of.get(lang, 0) + len(own)
         for lang, got in total.items():
             used = np.flatnonzero(got)

@@ -45,7 +45,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
 def strings(column) -> pa.Array:
     """One contiguous string array; nulls become empty strings."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
     if column.null_count or pa.types.is_null(column.type):
         column = pc.fill_null(column.cast(pa.string()) if pa.types.is_null(column.type) else column, "")
     return column

@@ -76,11 +76,17 @@ def _leading(mean: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return top, owner[top]
 
 
+def _odds(share: float) -> float:
+    return float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+
+
 @dataclass
 class ToxicityModel:
     #: The collapsed weight of each n-gram bucket, and the softmax's bias.
     weights: np.ndarray
     bias: float
+    #: The share of toxic documents: the score of texts without words.
+    prior: float = 0.0
 
     def logits(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         bucket, word, n, first = _word_grams(raw, at)
@@ -89,14 +95,15 @@ class ToxicityModel:
         (a, b), row = _windows(first)
         mean = (total[b] - total[a]) / np.maximum(b - a, 1)
         lead, held = _leading(mean, row)
-        return np.bincount(held, weights=mean[lead], minlength=len(at) - 1) / LEADING + self.bias
+        found = np.bincount(held, weights=mean[lead], minlength=len(at) - 1) / LEADING + self.bias
+        return np.where(np.diff(row) > 0, found, _odds(self.prior))
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, dim: int = 8, rounds: int = 90, rate: float = 0.3, decay: float = 1e-7, seed: int = 5) -> ToxicityModel:
     """Full-batch gradient descent with momentum on embeddings and softmax together, over the n-grams of distinct words."""
     if not len(toxic) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(toxic) else 0.0
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), _odds(share), share)
     raw, at = tokens.bytes_of(texts)
     hashes, first = tokens.words(raw, at)
     kinds, sample, ids = np.unique(hashes, return_index=True, return_inverse=True)
@@ -152,11 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2600) -> ToxicityM
     rows = docs.select("doc_id", "text").join(F.broadcast(toxic.unionByName(clean)), "doc_id").select("doc_id", "text", "toxic").toArrow()
     rows = rows.take(pa.array(np.lexsort((np.array([t or "" for t in rows.column("text").to_pylist()]), rows.column("doc_id").to_numpy())))) if len(rows) else rows
     if not len(rows):
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(1e-9)))
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), _odds(0.0))
     share = n.get(1, 0) / max(sum(n.values()), 1)
     model = fit(tokens.strings(rows.column("text")), rows.column("toxic").to_numpy())
     if model.weights.any():
-        model.bias += float(np.log(share / (1 - share)) / 2)  # the sample is balanced; half way back to the true odds
+        model.prior = share
+        model.bias += _odds(share) / 2  # the sample is balanced; half way back to the true odds
     return model
 
 
