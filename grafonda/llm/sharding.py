@@ -46,7 +46,8 @@ def external_shuffle(df: DataFrame, shards: int, seed: int = 17, bucket_bytes: i
     offsets = sizes.withColumn(offset, F.coalesce(F.sum(offset).over(before), F.lit(0)))
     if buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
-    joined = dealt.join(offsets, bucket)
+    # a task for each bucket, however many there are
+    joined = dealt.repartition(max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), bucket).join(offsets, bucket)
     kept = [f.name for f in df.schema.fields]
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 

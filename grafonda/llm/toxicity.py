@@ -150,20 +150,28 @@ def fit(texts: pa.Array, toxic: np.ndarray, dim: int = 8, rounds: int = 90, rate
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2600) -> ToxicityModel:
-    """Fits on about max_docs labelled rows, chosen by a hash of doc_id; these go to the driver."""
+    """Fits on about max_docs labelled rows, chosen by a hash of doc_id; these go to one task."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"), 4, 2))
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     toxic = sampled(known.where("toxic = 1"), "doc_id", max_docs // 2, n.get(1, 0))
     clean = sampled(known.where("toxic = 0"), "doc_id", max_docs // 2, n.get(0, 0))
-    rows = docs.select("doc_id", "text").join(F.broadcast(toxic.unionByName(clean)), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    rows = rows.take(pa.array(np.lexsort((np.array([t or "" for t in rows.column("text").to_pylist()]), rows.column("doc_id").to_numpy())))) if len(rows) else rows
-    if not len(rows):
+    rows = docs.select("doc_id", "text").join(F.broadcast(toxic.unionByName(clean)), "doc_id").select("doc_id", "text", "toxic")
+
+    def fitted(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            sample = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            model = fit(tokens.strings(sample.column("text")), sample.column("toxic").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+
+    # one executor fits on the bounded sample, so the driver holds the collapsed weights only
+    found = rows.repartition(1).mapInArrow(fitted, "weights binary, bias double").first()
+    if found is None:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), _odds(0.0))
     share = n.get(1, 0) / max(sum(n.values()), 1)
-    model = fit(tokens.strings(rows.column("text")), rows.column("toxic").to_numpy())
+    model = ToxicityModel(np.frombuffer(found["weights"], np.float32), found["bias"], share)
     if model.weights.any():
-        model.prior = share
         model.bias += _odds(share) / 2  # the sample is balanced; half way back to the true odds
     return model
 
