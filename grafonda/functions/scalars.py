@@ -147,7 +147,7 @@ def html_text(html: Column) -> Column:
     s = F.regexp_replace(s, r"(?s)<[^>]*>", "")
     for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(code), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
 # Phrases that try to steer a reader of the text.

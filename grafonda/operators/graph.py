@@ -1,7 +1,8 @@
 """Traversals and scores over nodes(id, type, ...) and edges(from_id, to_id, type), as frontier joins.
 
-A frontier is joined to the edge table level by level and new nodes are told from visited ones by anti joins; only counts
-reach the driver. Depths are small by contract, so plans are unrolled without actions; `rounds` bounds the iterative scores.
+A frontier is joined to the edge table level by level and new nodes are told from visited ones by anti joins. From the second
+level on a frontier is written to the shared checkpoint folder, so plans stay small and a lost executor costs one level;
+nothing but "is it empty" reaches the driver. `rounds` bounds the iterative scores.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     seen = frontier
     for hop in range(1, depth + 1):
         frontier = frontier.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = _cut(frontier) if hop > 1 and hop < depth else frontier
         seen = seen.unionByName(frontier)
     return seen
 
@@ -64,7 +66,9 @@ def call_chain(edges: DataFrame, source: str, target: str, depth: int = 8) -> Da
     seen = frontier
     for hop in range(1, depth + 1):
         grown = frontier.join(steps, "id").select(F.col("next").alias("id"), F.concat_ws(" > ", "path", "next").alias("path"))
-        frontier = grown.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
+        frontier = _cut(grown.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
+        if frontier.isEmpty() or not frontier.where(F.col("id") == target).isEmpty():
+            return seen.unionByName(frontier).where(F.col("id") == target).select("hops", "path")
         seen = seen.unionByName(frontier)
     return seen.where(F.col("id") == target).select("hops", "path")
 
@@ -145,6 +149,7 @@ def data_flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, hops: int
     seen = frontier
     for hop in range(1, hops + 1):
         frontier = frontier.join(steps, "id").select("source", F.col("next").alias("id")).distinct().join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = _cut(frontier) if hop > 1 and hop < hops else frontier
         seen = seen.unionByName(frontier)
     return seen.where("hop > 0").join(sinks.select("id"), "id", "left_semi").select("source", F.col("id").alias("sink"), "hop")
 
@@ -223,6 +228,8 @@ def longest_chain(edges: DataFrame, rounds: int = 12) -> DataFrame:
     steps = edges.where("type = 'CALLS' and from_id <> to_id").select(F.col("from_id").alias("id"), "to_id").distinct().cache()
     best = level = steps.select("id").distinct().withColumn("length", F.lit(0))
     for k in range(1, rounds + 1):
-        level = level.select("id").join(steps, "id").select(F.col("to_id").alias("id")).distinct().withColumn("length", F.lit(k))
+        level = _cut(level.select("id").join(steps, "id").select(F.col("to_id").alias("id")).distinct().withColumn("length", F.lit(k)))
+        if level.isEmpty():
+            break
         best = best.unionByName(level)
     return best.groupBy("id").agg(F.max("length").alias("length"))
