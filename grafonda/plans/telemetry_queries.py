@@ -41,7 +41,11 @@ def _facts(names):
     return wrap
 
 
-_LAST = F.lit("2024-01-30").cast("date")
+def _last():
+    """The day that counts as today; a Column needs a session, so it is made when a query runs."""
+    return F.lit("2024-01-30").cast("date")
+
+
 _SUM = "count(*) AS deliveries, sum(response_tokens)::BIGINT AS delivered, sum(baseline_tokens)::BIGINT AS baseline, sum(duration_ms)::BIGINT AS latency_ms, sum(cache_hit)::BIGINT AS cache_hits, sum(brain_enriched)::BIGINT AS enriched"
 _SAVED = "greatest(0, baseline - delivered) AS saved, round(coalesce(baseline::DOUBLE / nullif(delivered, 0), 1.0), 6) AS compression, round(coalesce(100.0 * greatest(0, baseline - delivered)::DOUBLE / nullif(baseline, 0), 0), 6) AS savings_pct"
 for _name, _by in {"summary_project": "project_id", "summary_agent": "agent_id", "summary_day": "created_date", "savings_by_intent": "intent", "summary_tool": "tool_name"}.items():
@@ -52,8 +56,8 @@ for _name, _by in {"tool_stats": "tool_name", "tool_timeline": "tool_name, creat
     _add(_name, _facts("tc")(lambda tc, by=_by: T.tool_stats(tc, by.split(", "))), f"SELECT {_by}, count(*) AS calls, round(avg(duration_ms), 6) AS avg_ms, round(1 - avg(success), 6) AS error_rate FROM tc GROUP BY ALL")
 _add("agent_stats", _facts("s cd")(T.agent_stats), "SELECT a.*, coalesce(entities, 0) AS entities, coalesce(tools, 0) AS tools FROM (SELECT agent_id, count(*) AS sessions, sum(tool_calls)::BIGINT AS calls, sum(tokens_saved)::BIGINT AS saved, sum(tasks_completed)::BIGINT AS tasks FROM s GROUP BY 1) a LEFT JOIN (SELECT agent_id, count(DISTINCT entity) AS entities, count(DISTINCT tool_name) AS tools FROM cd GROUP BY 1) b USING (agent_id)")
 _AGE = "date_diff('day', created_date, DATE '2024-01-30')"
-_add("week_over_week", _facts("tc")(lambda tc: T.week_over_week(tc, _LAST)), f"SELECT *, current - prior AS delta, round(coalesce(100.0 * (current - prior)::DOUBLE / nullif(prior, 0), 0), 6) AS pct FROM (SELECT tool_name, count(*) FILTER ({_AGE} BETWEEN 0 AND 6) AS current, count(*) FILTER ({_AGE} BETWEEN 7 AND 13) AS prior FROM tc GROUP BY 1)")
-_add("declining_tools", _facts("tc")(lambda tc: T.declining(tc, _LAST)), f"SELECT *, round((prior - recent)::DOUBLE / prior, 6) AS decline FROM (SELECT tool_name, project_id, count(*) FILTER ({_AGE} BETWEEN 0 AND 6) AS recent, count(*) FILTER ({_AGE} BETWEEN 7 AND 13) AS prior FROM tc GROUP BY ALL) WHERE prior >= 3 AND recent < prior")
+_add("week_over_week", _facts("tc")(lambda tc: T.week_over_week(tc, _last())), f"SELECT *, current - prior AS delta, round(coalesce(100.0 * (current - prior)::DOUBLE / nullif(prior, 0), 0), 6) AS pct FROM (SELECT tool_name, count(*) FILTER ({_AGE} BETWEEN 0 AND 6) AS current, count(*) FILTER ({_AGE} BETWEEN 7 AND 13) AS prior FROM tc GROUP BY 1)")
+_add("declining_tools", _facts("tc")(lambda tc: T.declining(tc, _last())), f"SELECT *, round((prior - recent)::DOUBLE / prior, 6) AS decline FROM (SELECT tool_name, project_id, count(*) FILTER ({_AGE} BETWEEN 0 AND 6) AS recent, count(*) FILTER ({_AGE} BETWEEN 7 AND 13) AS prior FROM tc GROUP BY ALL) WHERE prior >= 3 AND recent < prior")
 _add("latency_percentiles", _facts("tc")(lambda tc: T.nearest_rank(tc, "duration_ms", ["tool_name"])), "SELECT tool_name, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.99) AS p99 FROM tc GROUP BY 1")
 _add("calls_per_session", _facts("s")(lambda s: T.offset_percentile(s, "tool_calls")), "SELECT (SELECT tool_calls FROM s ORDER BY 1 LIMIT 1 OFFSET (SELECT count(*) * 50 // 100 FROM s)) AS p50, (SELECT tool_calls FROM s ORDER BY 1 LIMIT 1 OFFSET (SELECT count(*) * 90 // 100 FROM s)) AS p90")
 _PAIR = "(SELECT tool_name AS first, lead(tool_name) OVER (PARTITION BY session_id ORDER BY created_at, id) AS second FROM tc)"
@@ -66,7 +70,7 @@ _add("workflow_adherence", _facts("tc")(T.workflow_adherence), "SELECT count(*)
 _add("resumed_sessions", _facts("s")(T.resumed_sessions), "SELECT agent_id, count(*) AS resumed FROM s WHERE EXISTS (SELECT 1 FROM s o WHERE o.agent_id = s.agent_id AND o.session_id <> s.session_id AND o.ended_at <= s.started_at AND o.ended_at >= s.started_at - INTERVAL 24 HOUR) GROUP BY 1")
 _add("workflow_violations", _facts("tc")(T.violations_without_view), "SELECT violations, sessions, round(violations::DOUBLE / sessions, 6) AS rate FROM (SELECT count(*) AS violations FROM (SELECT session_id, min(created_at) FILTER (tool_name = 'purchase') AS b, min(created_at) FILTER (tool_name = 'view') AS v FROM tc GROUP BY 1) WHERE b IS NOT NULL AND (v IS NULL OR v >= b)), (SELECT count(DISTINCT session_id) AS sessions FROM tc)")
 _add("discovery", _facts("tc")(T.discovery_effectiveness), "SELECT count(*) AS clicks, sum(b)::BIGINT AS followed, round(avg(b), 6) AS rate FROM (SELECT tool_name, coalesce(max((tool_name = 'purchase')::INT) OVER (PARTITION BY session_id ORDER BY created_at, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS b FROM tc) WHERE tool_name = 'click'")
-_add("entity_quality", _facts("os")(lambda os: T.entity_quality(os, _LAST)), f"SELECT entity, count(*) AS signals, round(sum(signal_weight * exp(-{_AGE} / 30.0)), 6) AS quality, count(*) FILTER (signal_weight > 0) AS positive, count(*) FILTER (signal_weight < 0) AS negative FROM os GROUP BY 1")
+_add("entity_quality", _facts("os")(lambda os: T.entity_quality(os, _last())), f"SELECT entity, count(*) AS signals, round(sum(signal_weight * exp(-{_AGE} / 30.0)), 6) AS quality, count(*) FILTER (signal_weight > 0) AS positive, count(*) FILTER (signal_weight < 0) AS negative FROM os GROUP BY 1")
 _add("first_context_right", _facts("cd os")(T.first_context_right), "SELECT count(*) AS pairs, count(o.entity) AS corrected, round(1 - coalesce(count(o.entity)::DOUBLE / nullif(count(*), 0), 0), 6) AS rate FROM (SELECT DISTINCT entity, session_id FROM cd) c LEFT JOIN (SELECT DISTINCT entity, session_id FROM os WHERE signal_type = 'correction') o USING (entity, session_id)")
 _add("context_precision", _facts("cd os")(T.context_precision), "SELECT hits, delivered, done, round(hits::DOUBLE / delivered, 6) AS precision, round(hits::DOUBLE / done, 6) AS recall, round(2.0 * hits / (delivered + done), 6) AS f1 FROM (SELECT (SELECT count(*) FROM (SELECT agent_id, entity FROM cd INTERSECT SELECT agent_id, entity FROM os WHERE signal_type = 'task_done')) AS hits, (SELECT count(*) FROM (SELECT DISTINCT agent_id, entity FROM cd)) AS delivered, (SELECT count(*) FROM (SELECT DISTINCT agent_id, entity FROM os WHERE signal_type = 'task_done')) AS done)")
 _add("agent_overlap", _facts("tc")(T.agent_overlap), "SELECT a.entity, count(*) AS pairs, count(DISTINCT a.agent_id) AS agents FROM (SELECT entity, agent_id, min(created_at) f, max(created_at) l FROM tc GROUP BY ALL) a JOIN (SELECT entity, agent_id, min(created_at) f, max(created_at) l FROM tc GROUP BY ALL) b ON a.entity = b.entity AND a.agent_id < b.agent_id AND a.f <= b.l + INTERVAL 60 MINUTE AND b.f <= a.l + INTERVAL 60 MINUTE GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")

@@ -58,7 +58,11 @@ _add("token_estimate", "documents", lambda d: d.groupBy("lang").agg(F.sum(S.toke
 _add("html_text", "pages", lambda p: p.select("page_id", S.html_text(F.col("html")).alias("text")), None)
 _add("injections", "conversations", lambda c: c.select("conv_id", "turn", F.array_join(S.injections(F.col("text")), ",").alias("found")).where("found <> ''"), None)
 _add("identifiers", "pages", lambda p: p.select("page_id", F.explode(S.identifiers(F.col("html"))).alias("name")).groupBy("name").agg(F.countDistinct("page_id").alias("pages")), None)
-_NOW = F.lit("2024-02-01").cast("timestamp")
+
+
+def _now():
+    return F.lit("2024-02-01").cast("timestamp")
+
 
 
 def _memories(e):
@@ -67,8 +71,8 @@ def _memories(e):
 
 
 _MEM = "m AS (SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'session_log' WHEN 'view' THEN 'project' WHEN 'signup' THEN 'pinned' ELSE 'entity' END AS tier, event_type = 'purchase' AS manual, ts AS created_at, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 10 DAY END AS expires_at, (event_id % 10) / 10.0::DOUBLE AS importance, event_id % 7 AS access_count, event_type || ' ' || props AS content, json_extract_string(props, '$.k') AS entity_id FROM events)"
-_add("memory_decay", "events", lambda e: memory.decayed(_memories(e), _NOW).select("id", F.round("strength", 6).alias("strength")), f"WITH {_MEM} SELECT id, round(CASE WHEN tier = 'pinned' THEN 1.0 ELSE importance / (1 + greatest((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created_at)) / 3.6e9, 0) / (CASE tier WHEN 'session_log' THEN 72.0 WHEN 'project' THEN 336.0 ELSE CASE WHEN manual THEN 504.0 ELSE 168.0 END END * log2(greatest(access_count, 1) + 1))) END, 6)::DOUBLE AS strength FROM m")
-_add("memory_live", "events", lambda e: memory.live(_memories(e), _NOW).groupBy("tier").agg(F.count("*").alias("n")), f"WITH {_MEM} SELECT tier, count(*) AS n FROM m WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-01' GROUP BY 1")
+_add("memory_decay", "events", lambda e: memory.decayed(_memories(e), _now()).select("id", F.round("strength", 6).alias("strength")), f"WITH {_MEM} SELECT id, round(CASE WHEN tier = 'pinned' THEN 1.0 ELSE importance / (1 + greatest((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created_at)) / 3.6e9, 0) / (CASE tier WHEN 'session_log' THEN 72.0 WHEN 'project' THEN 336.0 ELSE CASE WHEN manual THEN 504.0 ELSE 168.0 END END * log2(greatest(access_count, 1) + 1))) END, 6)::DOUBLE AS strength FROM m")
+_add("memory_live", "events", lambda e: memory.live(_memories(e), _now()).groupBy("tier").agg(F.count("*").alias("n")), f"WITH {_MEM} SELECT tier, count(*) AS n FROM m WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-01' GROUP BY 1")
 
 
 def _versions(e):
