@@ -211,3 +211,14 @@ def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays (one row, if rows repeat it); texts without words all stay but copies."""
     kept = join(docs).where("doc_id <=> class_id").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+#: op8's rows by an exact join on shared n-grams.
+ORACLE_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+c AS MATERIALIZED (SELECT s, min(doc_id) AS copy_class, count(*) AS n_copies FROM g GROUP BY s),
+u AS MATERIALIZED (SELECT copy_class AS k, len(s) AS n, unnest(s) AS x FROM c),
+p AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.x = b.x AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+r(k, root) AS (SELECT copy_class, copy_class FROM c UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.k),
+m AS (SELECT k, min(root) AS class_id FROM r GROUP BY 1), l AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+SELECT doc_id, class_id, copy_class, n_copies, coalesce(l.n, 0) AS n_links FROM g JOIN c USING (s) JOIN m ON m.k = copy_class LEFT JOIN l ON l.a = copy_class"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.ORACLE_SQL}
