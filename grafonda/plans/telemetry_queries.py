@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -110,3 +111,16 @@ _simple("monthly_roi", "cd", lambda cd: cd.groupBy(F.date_format("created_at", "
 _simple("hourly_activity", "tc", lambda tc: tc.groupBy(F.window("created_at", "1 hour").start.alias("hour")).agg(F.count("*").alias("calls"), F.countDistinct("agent_id").alias("agents")), "SELECT date_trunc('hour', created_at) AS hour, count(*) AS calls, count(DISTINCT agent_id) AS agents FROM tc GROUP BY 1")
 _simple("peak_minute", "tc", lambda tc: tc.groupBy("created_date", F.date_trunc("minute", "created_at").alias("m")).agg(F.count("*").alias("n")).groupBy("created_date").agg(F.max("n").alias("peak")), "SELECT created_date, max(n) AS peak FROM (SELECT created_date, date_trunc('minute', created_at) m, count(*) n FROM tc GROUP BY ALL) GROUP BY 1")
 _add("hypothetical_cost", lambda spark, d: T.hypothetical_cost(model.deliveries(spark, d), spark.createDataFrame([("small", 0.5), ("large", 15.0)], "model string, per_million double")), "SELECT intent, model, round(sum(response_tokens) / 1e6 * per_million, 6) AS actual, round(sum(baseline_tokens) / 1e6 * per_million, 6) AS hypothetical FROM cd, (VALUES ('small', 0.5::DOUBLE), ('large', 15.0::DOUBLE)) p(model, per_million) GROUP BY intent, model, per_million")
+_simple("event_counts", "tc", lambda tc: tc.agg(*[T.count_if(F.col("tool_name") == t).alias(t) for t in ("view", "click", "purchase", "signup", "error")]), "SELECT " + ", ".join(f"count(*) FILTER (tool_name = '{t}') AS {t}" for t in ("view", "click", "purchase", "signup", "error")) + " FROM tc")
+_simple("signal_distribution", "os", lambda os: os.groupBy("project_id", "signal_type").agg(F.count("*").alias("n"), F.sum("signal_weight").alias("weight")), "SELECT project_id, signal_type, count(*) AS n, sum(signal_weight) AS weight FROM os GROUP BY ALL")
+_simple("decay_effectiveness", "cd", lambda cd: cd.withColumn("age", F.datediff(_last(), "created_date")).groupBy(F.when(F.col("age") < 7, "fresh").when(F.col("age") <= 30, "month").otherwise("old").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("cache_hit"), 6).alias("hit_rate")), f"SELECT CASE WHEN {_AGE} < 7 THEN 'fresh' WHEN {_AGE} <= 30 THEN 'month' ELSE 'old' END AS bucket, count(*) AS n, round(avg(cache_hit), 6) AS hit_rate FROM cd GROUP BY 1")
+_simple("session_detail", "tc", lambda tc: tc.groupBy("session_id").agg(F.count("*").alias("calls"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "tool_name"))), lambda x: x["tool_name"]), ">").alias("sequence")), "SELECT session_id, count(*) AS calls, string_agg(tool_name, '>' ORDER BY created_at, id) AS sequence FROM tc GROUP BY 1")
+_simple("tools_per_session", "tc", lambda tc: T.offset_percentile(tc.groupBy("session_id").agg(F.countDistinct("tool_name").alias("n")), "n"), "SELECT (SELECT n FROM t ORDER BY 1 LIMIT 1 OFFSET (SELECT count(*) * 50 // 100 FROM t)) AS p50, (SELECT n FROM t ORDER BY 1 LIMIT 1 OFFSET (SELECT count(*) * 90 // 100 FROM t)) AS p90 FROM (SELECT 1) one, (SELECT 1) two".replace("FROM t ", "FROM (SELECT count(DISTINCT tool_name) AS n FROM tc GROUP BY session_id) t ").replace("FROM t)", "FROM (SELECT count(DISTINCT tool_name) AS n FROM tc GROUP BY session_id) t)"))
+_simple("task_completion", "os", lambda os: os.where("signal_type = 'task_done'").groupBy("session_id").agg(F.count("*").alias("n")).agg(F.round(F.avg("n"), 6).alias("avg_done"), F.max("n").alias("most")), "SELECT round(avg(n), 6) AS avg_done, max(n) AS most FROM (SELECT count(*) AS n FROM os WHERE signal_type = 'task_done' GROUP BY session_id)")
+_simple("latest_delivery", "cd", lambda cd: cd.groupBy("entity").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.max("created_at").alias("at")), "SELECT entity, arg_max(id, (epoch_us(created_at), id)) AS id, max(created_at) AS at FROM cd GROUP BY 1")
+_simple("calls_after_delivery", "cd tc", lambda cd, tc: cd.groupBy("agent_id").agg(F.min("created_at").alias("first")).join(tc.select("agent_id", "created_at"), "agent_id").where("created_at > first").groupBy("agent_id").agg(F.count("*").alias("later")), "SELECT agent_id, count(*) AS later FROM tc JOIN (SELECT agent_id, min(created_at) AS first FROM cd GROUP BY 1) USING (agent_id) WHERE created_at > first GROUP BY 1")
+_simple("open_sessions", "s", lambda s: s.where("ended_at is null").groupBy("agent_id").agg(F.count("*").alias("open"), F.sum("tool_calls").alias("calls")), "SELECT agent_id, count(*) AS open, sum(tool_calls)::BIGINT AS calls FROM s WHERE ended_at IS NULL GROUP BY 1")
+_simple("validate_verify_funnel", "tc", lambda tc: tc.groupBy("session_id").agg(F.max((F.col("tool_name") == "click").cast("int")).alias("a"), F.max((F.col("tool_name") == "purchase").cast("int")).alias("b")).agg(F.sum("a").alias("clicked"), F.sum(F.col("a") * F.col("b")).alias("bought")).withColumn("rate", T.ratio(F.col("bought"), F.col("clicked"))), "SELECT clicked, bought, round(bought::DOUBLE / clicked, 6) AS rate FROM (SELECT sum(a)::BIGINT AS clicked, sum(a * b)::BIGINT AS bought FROM (SELECT max((tool_name = 'click')::INT) a, max((tool_name = 'purchase')::INT) b FROM tc GROUP BY session_id))")
+_simple("search_modes", "cd", lambda cd: cd.groupBy("intent", "tool_name").agg(F.count("*").alias("n"), F.round(F.avg("cache_hit"), 6).alias("cache_rate")).orderBy(F.desc("n"), "intent", "tool_name").limit(5), "SELECT intent, tool_name, count(*) AS n, round(avg(cache_hit), 6) AS cache_rate FROM cd GROUP BY ALL ORDER BY n DESC, intent, tool_name LIMIT 5")
+_simple("memory_coverage", "cd os", lambda cd, os: cd.select("entity").distinct().join(os.select("entity").distinct().withColumn("hit", F.lit(1)), "entity", "left").agg(F.count("*").alias("entities"), F.count("hit").alias("covered")), "SELECT count(*) AS entities, count(o.entity) AS covered FROM (SELECT DISTINCT entity FROM cd) c LEFT JOIN (SELECT DISTINCT entity FROM os) o USING (entity)")
+_simple("session_gap", "s", lambda s: s.withColumn("before", F.lag("ended_at").over(Window.partitionBy("agent_id").orderBy("started_at", "session_id"))).where("before is not null").agg(F.count("*").alias("gaps"), F.round(F.avg((micros("started_at") - micros("before")) / 3.6e9), 6).alias("avg_hours")), "SELECT count(*) AS gaps, round(avg((epoch_us(started_at) - epoch_us(b)) / 3.6e9), 6) AS avg_hours FROM (SELECT started_at, lag(ended_at) OVER (PARTITION BY agent_id ORDER BY started_at, session_id) AS b FROM s) WHERE b IS NOT NULL")
