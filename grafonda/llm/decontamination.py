@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-A benchmark item's seeds are the rarer half of its n-grams by their count over all documents (at least LEAST of them, so
-an item that leaks into many documents keeps its seeds). Documents are joined to items by seeds where they lie: the
-benchmark's word ids and seeds are broadcast in blocks of at most BLOCK_WORDS words, one pass over the documents a block,
-so the benchmark may be of any size. Around the seeds of an item, the document's words are aligned to the item's; the score
-is the best local alignment over the item's length, so edited and paraphrased copies count and shared phrases do not.
-
-Words are runs of ASCII letters, digits, "_" and non-ASCII characters; ASCII capitals are lowered. Items shorter than an
-n-gram use all their words as their only seed. Nulls: a null text, item or id gives no pair. Repeated rows: each document row
-gives its own pair; items that repeat an item_id are items of their own. Empty tables: an empty result.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
+
+The score is the best local alignment over the item's length, so edited and paraphrased copies count and shared phrases do not.
+No pair at the threshold is missed: such an alignment matches at least `need` words of the item (threshold times its length)
+within `span` words of the document, as each match adds 1 and each other word of it takes 1/2. So of any length - need + least
+of the item's words it matches `least` or more; those that are rarest over all documents are the item's seeds, and where `least`
+of them lie within a span, the words around are aligned to the item's. The counts make this fast and do not change the result.
+Documents are joined to items where they lie: the benchmark's word ids and seeds are broadcast in blocks of at most BLOCK_WORDS
+words, one pass over the documents a block, so the benchmark may be of any size.
+
+Words are runs of ASCII letters, digits, "_" and non-ASCII characters; ASCII capitals are lowered. Items shorter than N words
+must occur whole. Nulls: a null text, item or id gives no pair. Repeated rows: each document row gives its own pair; items that
+repeat an item_id are items of their own. Empty tables: an empty result.
 """
 
 from __future__ import annotations
@@ -21,35 +23,38 @@ from pyspark.sql import functions as F
 from . import tokens
 
 N = 3
-LEAST = 8
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 BLOCK_WORDS = 1 << 21
+#: Pairs of a word and an item that holds it, looked at in one go.
+ENTRIES = 1 << 21
 
 
 class Items:
     """A block of the benchmark, made to be broadcast."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, n: int = N):
-        raw, at = tokens.bytes_of(texts)
-        hashes, self.first = tokens.words(raw, at)
-        self.ids = ids
+    def __init__(self, ids: pa.Array, texts: pa.Array, n: int = N, threshold: float = THRESHOLD):
+        hashes, self.first = tokens.words(*tokens.bytes_of(texts))
+        self.ids, self.n = ids, n
         self.vocabulary, self.words = np.unique(hashes, return_inverse=True)
         grams, first = tokens.grams(hashes, self.first, n, short=True)
-        self.gram, self.item = grams, tokens.rows_of(first)
-        self.place = np.arange(len(grams)) - first[:-1][self.item] if len(grams) else np.zeros(0, np.int64)
-        self.short = np.diff(self.first) < n
-        self.keys = np.unique(grams)
-        self.n = n
+        self.grams = np.split(grams, first[1:-1])
+        self.size = np.diff(self.first)
+        self.short = self.size < n
+        self.need = np.ceil(threshold * self.size - 1e-9).astype(np.int64)
+        self.span = self.size + np.floor((self.size - threshold * self.size) / -GAP + 1e-9).astype(np.int64)
+        self.least = np.clip(-(-self.size // 6), 1, np.maximum(self.need, 1))
+        only = np.flatnonzero(self.short & (self.size > 0))
+        self.whole, self.whole_item = grams[first[only]], only
 
     def seed(self, counts: np.ndarray) -> None:
-        """Keeps the rarer half of each item's n-grams; counts: of keys, over all documents."""
-        order = np.lexsort((self.gram, counts[np.searchsorted(self.keys, self.gram)], self.item))
-        size = np.bincount(self.item, minlength=len(self.ids))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        keep = np.sort(order[rank < np.maximum(size - size // 2, LEAST)[self.item[order]]])
-        keep = keep[np.argsort(self.gram[keep], kind="stable")]
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
+        """Keeps each item's rarest words, as many as prove that no alignment is missed; counts: of the vocabulary, over all documents."""
+        item = tokens.rows_of(self.first)
+        order = np.lexsort((self.words, counts[self.words], item))
+        rank = np.arange(len(order)) - self.first[item]
+        keep = order[(rank < np.minimum(self.size, self.size - self.need + self.least)[item]) & ~self.short[item]]
+        pairs = np.unique(np.stack((self.words[keep], item[keep])), axis=1)
+        self.item, self.edges = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.vocabulary) + 1))
 
 
 def _known(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -76,118 +81,148 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _filter(keys: np.ndarray, bits: int = 20) -> np.ndarray:
-    """Which hashes may be keys, by their top bits: spares most of the searches."""
-    seen = np.zeros(1 << bits, dtype=bool)
-    seen[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return seen
-
-
-def _hits(hashes: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in hashes, places in keys) of those that are keys."""
-    may = np.flatnonzero(seen[(hashes >> np.uint64(44)).astype(np.int64)])
-    at = _known(hashes[may], keys)
-    return may[at >= 0], at[at >= 0]
-
-
-def _grams_and_short(hashes: np.ndarray, first: np.ndarray, items: Items):
-    """n-grams of documents with the word they begin at; and, for items shorter than n words, runs of their lengths."""
-    grams, rows = tokens.grams(hashes, first, items.n)
-    begin = np.arange(len(grams)) - np.repeat(rows[:-1] - first[:-1], np.diff(rows))
-    out = [(grams, begin)]
-    for k in sorted(set(np.diff(items.first)[items.short].tolist()) - {0}):
-        # a short item's only gram is padded as tokens.grams pads it
+def _whole(hashes: np.ndarray, first: np.ndarray, items: Items):
+    """(row, item, low, high) of each place where an item shorter than n words occurs whole."""
+    for k in np.unique(items.size[items.whole_item]).tolist():
+        own = np.flatnonzero(items.size[items.whole_item] == k)
+        own = own[np.argsort(items.whole[own], kind="stable")]
         part, rows = tokens.grams(hashes, first, k)
         begin = np.arange(len(part)) - np.repeat(rows[:-1] - first[:-1], np.diff(rows))
         padded = np.zeros(len(part), dtype=np.uint64)
-        for x in range(items.n):
+        for x in range(items.n):  # a short item's only gram is padded as tokens.grams pads it
             padded = tokens.mix(padded * np.uint64(0xD6E8FEB86659FD93) + (hashes[begin + x] if x < k else np.uint64(x + 1)))
-        out.append((padded, begin))
-    return np.concatenate([g for g, _ in out]), np.concatenate([b for _, b in out])
+        low, high = (np.searchsorted(items.whole[own], padded, side) for side in ("left", "right"))
+        at, entry = _spread(low, high)
+        yield np.searchsorted(first, begin[at], "right") - 1, items.whole_item[own[entry]], begin[at], begin[at] + k
 
 
-def _pairs(items: Items, hashes: np.ndarray, first: np.ndarray, seen: np.ndarray, threshold: float):
-    """(row, item, score, start, end, seeds) for each row and item at the threshold or above; start and end in words of the row."""
-    grams, begin = _grams_and_short(hashes, first, items)
-    where, key = _hits(grams, items.seeds, seen)
-    if not len(where):
-        return
-    low, high = items.seed_edges[key], items.seed_edges[key + 1]
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, x) for each k and each x from low[k] to high[k] - 1."""
     many = high - low
-    entry = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-    word = np.repeat(begin[where], many)
-    row = np.searchsorted(first, word, "right") - 1
-    item = items.item[entry]
-    order = np.lexsort((word, item, row))
-    row, item, word, place = row[order], item[order], word[order], items.place[entry][order]
-    size = np.diff(items.first)
-    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-    for own in np.split(np.arange(len(row)), cut):
-        r, i = row[own[0]], item[own[0]]
-        target = items.words[items.first[i] : items.first[i + 1]]
-        reach = size[i] + size[i] // 2 + 2
-        begins = word[own] - place[own]
-        best = (0.0, 0, 0)
-        for run in np.split(begins, np.flatnonzero(np.diff(begins) > reach) + 1) if len(begins) > 1 else [begins]:
-            a, b = max(first[r], int(run.min()) - size[i] // 2 - 2), min(first[r + 1], int(run.max()) + reach)
-            text = _known(hashes[a:b], items.vocabulary)
-            if np.isin(target, text).sum() * MATCH < threshold * size[i]:
-                continue
-            score, end = align(target, text)
-            if score > best[0]:
-                back = align(target[::-1], text[:end][::-1])[1] if score >= threshold * size[i] else 0
-                best = (score, a + end - back - int(first[r]), a + end - int(first[r]))
-        if best[0] >= threshold * size[i]:
-            yield int(r), int(i), best[0] / size[i], best[1], best[2], len(own)
+    at = np.repeat(np.arange(len(many)), many)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + low[at]
+
+
+def _windows(known: np.ndarray, first: np.ndarray, items: Items):
+    """(row, item, low, high) of runs of words that may hold an alignment at the threshold; high is exclusive."""
+    word = np.flatnonzero(known >= 0)
+    word = word[items.edges[known[word] + 1] > items.edges[known[word]]]
+    many = items.edges[known[word] + 1] - items.edges[known[word]]
+    row, total = np.searchsorted(first, word, "right") - 1, np.cumsum(many)
+    i = 0
+    while i < len(word):  # whole rows
+        j = max(int(np.searchsorted(total, (total[i - 1] if i else 0) + ENTRIES, "right")), i + 1)
+        j = int(np.searchsorted(row, row[j], "left")) if j < len(word) else j
+        j = j if j > i else int(np.searchsorted(row, row[i], "right"))
+        at, entry = _spread(items.edges[known[word[i:j]]], items.edges[known[word[i:j]] + 1])
+        item, at = items.item[entry], at + i
+        key = (row[at] - row[i]) * len(items.ids) + item
+        order = np.argsort(key, kind="stable")  # words ascend within a row and item
+        key, item, place = key[order], item[order], word[at[order]]
+        last = np.arange(len(order)) + items.least[item] - 1
+        fits = np.flatnonzero(last < len(order))
+        fits = fits[(key[last[fits]] == key[fits]) & (place[last[fits]] - place[fits] < items.span[item[fits]])]
+        r, own = row[at[order[fits]]], item[fits]
+        yield r, own, np.maximum(first[r], place[last[fits]] - items.span[own] + 1), np.minimum(first[r + 1], place[fits] + items.span[own])
+        i = j
+
+
+def _may(item: np.ndarray, text: np.ndarray, seen: np.ndarray, least: float) -> bool:
+    """Whether an alignment may score least: bounds by the item's words that text has, and by text's words that the item has. seen: all
+    False, by word id."""
+    seen[text] = True
+    common = seen[item].sum() * MATCH
+    seen[text] = False
+    if common < least:
+        return False
+    seen[item] = True
+    total = np.concatenate(([0.0], np.cumsum(np.where(seen[text], MATCH, GAP))))
+    seen[item] = False
+    return (total - np.minimum.accumulate(total)).max() >= least
+
+
+def _pairs(items: Items, hashes: np.ndarray, first: np.ndarray, threshold: float):
+    """(row, item, score, start, end, shared n-grams) for each row and item at the threshold or above; start and end in words of the row."""
+    known, seen = _known(hashes, items.vocabulary), np.zeros(len(items.vocabulary) + 1, dtype=bool)  # the last one is for -1
+    for row, item, low, high in (*_windows(known, first, items), *_whole(hashes, first, items)):
+        order = np.lexsort((low, item, row))
+        row, item, low, high = row[order], item[order], low[order], high[order]
+        other = (np.diff(row) != 0) | (np.diff(item) != 0)
+        for own in np.split(np.arange(len(row)), np.flatnonzero(other) + 1) if len(row) else []:
+            r, i = int(row[own[0]]), int(item[own[0]])
+            target = items.words[items.first[i] : items.first[i + 1]]
+            best = (0.0, 0, 0)
+            for run in np.split(own, np.flatnonzero(low[own][1:] > high[own][:-1]) + 1):
+                a, b = int(low[run[0]]), int(high[run[-1]])
+                text = known[a:b]
+                if not _may(target, text, seen, threshold * items.size[i]):
+                    continue
+                score, end = align(target, text)
+                if score > best[0]:
+                    back = align(target[::-1], text[:end][::-1])[1] if score >= threshold * items.size[i] else 0
+                    best = (score, a + end - back - int(first[r]), a + end - int(first[r]))
+            if best[0] >= threshold * items.size[i]:
+                words = hashes[first[r] : first[r + 1]]
+                if items.short[i]:
+                    shared = len(own)
+                else:
+                    shared = int(np.isin(tokens.grams(words, np.array([0, len(words)]), items.n)[0], items.grams[i]).sum())
+                yield r, i, best[0] / items.size[i], best[1], best[2], shared
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """doc_id, item_id, score (0 to 1), doc_start, doc_end (words, end exclusive), n_seeds: a row for each document row and item
-    whose best alignment reaches threshold."""
-    spark = docs.sparkSession
+    """doc_id, item_id, score (0 to 1), doc_start, doc_end (words, end exclusive), n_seeds (the document's n-grams that are the
+    item's): a row for each document row and item whose best alignment reaches threshold."""
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, score double, doc_start long, doc_end long, n_seeds long"
-    kept = benchmark.where("text is not null and item_id is not null").select("item_id", "text", F.ceil(F.octet_length("text") / 2).alias("most"))
-    blocks = max(1, -(-(kept.agg(F.sum("most")).first()[0] or 0) // BLOCK_WORDS))
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
     out = None
-    for k in range(blocks):
-        rows = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").select("item_id", "text").toArrow().combine_chunks()
-        items = Items(*(tokens.strings(rows.column(c)) if c == "text" else pa.concat_arrays(rows.column(c).chunks or [pa.array([], rows.schema.field(c).type)]) for c in ("item_id", "text")), n)
+    for items in _blocks(texts, benchmark, threshold, n):
         found = _match(texts, items, schema, threshold)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _match(texts: DataFrame, items: Items, schema: str, threshold: float) -> DataFrame:
-    spark = texts.sparkSession
-    first_pass = spark.sparkContext.broadcast(items)
+def _blocks(texts: DataFrame, benchmark: DataFrame, threshold: float, n: int):
+    """Items of each block of the benchmark, seeded by the words of texts."""
+    kept = benchmark.where("text is not null and item_id is not null").select("item_id", "text", F.ceil(F.octet_length("text") / 2).alias("most"))
+    blocks = max(1, -(-(kept.agg(F.sum("most")).first()[0] or 0) // BLOCK_WORDS))
+    for k in range(blocks):
+        rows = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").select("item_id", "text").toArrow().combine_chunks()
+        items = Items(*(tokens.strings(rows.column(c)) if c == "text" else pa.concat_arrays(rows.column(c).chunks or [pa.array([], rows.schema.field(c).type)]) for c in ("item_id", "text")), n, threshold)
+        items.seed(_counts(texts, items.vocabulary))
+        yield items
+
+
+def _counts(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each word of the vocabulary occurs in all texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        own = first_pass.value
-        seen, total = _filter(own.keys), np.zeros(len(own.keys), np.int64)
+        own = shared.value
+        total = np.zeros(len(own), np.int64)
         for batch in batches:
             for _, _, raw, at in tokens.chunks(batch.column(0), 1 << 20):
-                _, key = _hits(_grams_and_short(*tokens.words(raw, at), own)[0], own.keys, seen)
-                total += np.bincount(key, minlength=len(total))
+                known = _known(tokens.words(raw, at)[0], own)
+                total += np.bincount(known[known >= 0], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["key", "n"])
 
-    # at most a row for each n-gram of the block
+    # at most a row for each word of the block
     found = texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(items.keys), np.int64)
+    counts = np.zeros(len(vocabulary), np.int64)
     counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    items.seed(counts)
-    items.seeds, edges = np.unique(items.gram, return_index=True)
-    items.seed_edges = np.append(edges, len(items.gram))
-    shared = spark.sparkContext.broadcast(items)
+    return counts
+
+
+def _match(texts: DataFrame, items: Items, schema: str, threshold: float) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(items)
 
     def search(batches):
         own = shared.value
-        seen = _filter(own.seeds)
         for batch in batches:
             for i, _, raw, at in tokens.chunks(batch.column(1), 1 << 20):
-                got = list(_pairs(own, *tokens.words(raw, at), seen, threshold))
+                got = list(_pairs(own, *tokens.words(raw, at), threshold))
                 if got:
                     row, item, *rest = zip(*got, strict=True)
                     ids = batch.column(0).take(pa.array([i + r for r in row]))

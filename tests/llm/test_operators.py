@@ -241,6 +241,33 @@ def test_decontamination(odd, empty, docs, spark, sf_dir):
     assert decontamination.contaminated(empty, items).count() == 0 and decontamination.contaminated(texts, items.limit(0)).count() == 0
 
 
+def heavy_edits(words, rng):
+    """The words with every k-th one replaced, dropped or followed by a new one."""
+    for k in (2, 3, 4, 5, 6):
+        yield [w if (x + 1) % k else f"new{rng.integers(1 << 20)}" for x, w in enumerate(words)]
+        yield [w for x, w in enumerate(words) if (x + 1) % k]
+        yield [y for x, w in enumerate(words) for y in ([w, f"new{rng.integers(1 << 20)}"] if (x + 1) % k == 0 else [w])]
+    yield [y for w in words for y in (w, f"new{rng.integers(1 << 20)}")]
+
+
+def test_decontamination_of_heavy_edits(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    common = [f"c{k}" for k in range(40)]
+    items = [rng.choice(common + [f"r{x}k{k}" for k in range(60)], rng.integers(3, 50)).tolist() for x in range(12)]
+    pad = lambda: rng.choice(common, rng.integers(0, 60)).tolist()
+    texts = [pad() + edited + pad() for words in items for edited in heavy_edits(words, rng)] + [pad() for _ in range(20)]
+    ids = {w: k for k, w in enumerate({w for t in (*texts, *items) for w in t})}
+    coded = [[np.array([ids[w] for w in t]) for t in many] for many in (texts, items)]
+    scores = {(i, k): decontamination.align(y, x)[0] / len(y) for i, x in enumerate(coded[0]) for k, y in enumerate(coded[1])}
+    want = {pair: s for pair, s in scores.items() if s >= 0.5}
+    docs = make(spark, [(i, " ".join(t), None) for i, t in enumerate(texts)])
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id int, text string")
+    for entries in (decontamination.ENTRIES, 5):
+        monkeypatch.setattr(decontamination, "ENTRIES", entries)
+        got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, benchmark).collect()}
+        assert got == want and len(want) > 100
+
+
 def test_alignment_against_the_full_table():
     rng = np.random.default_rng(4)
     for _ in range(40):
