@@ -236,6 +236,23 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item, edited or not, go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a copy of a benchmark item, edited or not, go. Rows are judged where they lie, whatever their doc_id."""
+    out = docs
+    for items in _blocks(docs.where("text is not null"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), THRESHOLD, N):
+        out = _without(out, items, THRESHOLD)
+    return out
+
+
+def _without(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    """The rows of docs with no alignment to an item at the threshold or above."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def clean(batches):
+        own = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for i, _, raw, at in tokens.chunks(batch.column("text"), 1 << 20):
+                keep[[i + r for r, *_ in _pairs(own, *tokens.words(raw, at), threshold)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -268,6 +268,20 @@ def test_decontamination_of_heavy_edits(spark, monkeypatch):
         assert got == want and len(want) > 100
 
 
+def test_stage_decontamination_without_ids(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    items = [[f"i{k}w{x}" for x in range(30)] for k in range(6)]
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # each item's only copy is heavily edited; with null ids, verbatim; one id for a copy and a clean text
+    leaks = [(k, list(heavy_edits(t, rng))[9]) for k, t in enumerate(items)] + [(None, ["see"] + items[0]), (None, items[1]), (50, items[2])]
+    clean = [(None, "no copy of anything here"), (None, None), (50, "clean with the id of a copy"), (60, ""), (60, "")]
+    docs = make(spark, [(i, " ".join(t), "en") for i, t in leaks] + [(i, t, None) for i, t in clean])
+    for most in (decontamination.BLOCK_WORDS, 200):  # several blocks give the same
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", most)
+        out = decontamination.stage_decontamination(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter(clean)
+
+
 def test_alignment_against_the_full_table():
     rng = np.random.default_rng(4)
     for _ in range(40):
