@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens
 from .components import components
-from .storage import work_table
+from .storage import fresh, work_table
 
 N = 5
 THRESHOLD = 0.8
@@ -129,6 +130,15 @@ def _block_links(key: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], lef
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """A row for each row of docs: doc_id, copy_class (smallest doc_id with an equal set), class_id (smallest doc_id that links lead
     to), n_copies (rows of its copy class), n_links (other copy classes at the threshold or above)."""
+    signed, named, linked = _groups(docs, n, threshold, rows, recall)
+    counts = linked.groupBy("a").agg(F.sum("n").alias("n_links")).where("n_links > 0").withColumnRenamed("a", "class")
+    names = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    info = named.join(names, "root").join(counts, "class", "left").select("class", F.col("first_id").alias("copy_class"), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed.select("doc_id", "class").join(info, "class").drop("class")
+
+
+def _groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of docs (doc_id, class), copy classes (class, first_id, n_copies, root: the same for all that links lead to) and links (a, b, n)."""
     bands = band_count(threshold, rows, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -195,12 +205,9 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int =
         return pa.table({"a": join_(out_a), "b": join_(out_b), "n": join_(out_n)})
 
     linked = work_table(paired.groupBy("cut", "task", "low", "high").applyInArrow(verify, "a long, b long, n long"), "linked")
-    counts = linked.groupBy("a").agg(F.sum("n").alias("n_links")).where("n_links > 0").withColumnRenamed("a", "class")
     roots = components(linked.select("a", "b")).withColumnRenamed("node", "class")
     named = classes.select("class", "first_id", "n_copies").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    names = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    info = named.join(names, "root").join(counts, "class", "left").select("class", F.col("first_id").alias("copy_class"), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "class").join(info, "class").drop("class")
+    return signed, named, linked
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -208,9 +215,23 @@ def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays (one row, if rows repeat it); texts without words all stay but copies."""
-    kept = join(docs).where("doc_id <=> class_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest doc_id of each group stays (one row, if rows repeat it; nulls come last, and of different texts
+    with that id the one with the least class key); texts without words all stay but copies."""
+    named = _groups(docs)[1]
+    own = F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "class")).alias("own")
+    key, first_id, row = fresh(docs, "class", "first_id", "row")
+    kept = named.groupBy("root").agg(own).select(F.col("own.class").alias(key), F.col("own.first_id").alias(first_id))
+    names = [*docs.columns, key]
+
+    def sign(batches):
+        for batch in batches:
+            for i, j, raw, at in tokens.chunks(batch.column("text"), 1 << 20):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, tokens.as_signed(class_keys(*shingle_sets(raw, at)))], names)
+
+    rows = docs.mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
+    rows = rows.join(kept, (rows[key] == kept[key]) & rows["doc_id"].eqNullSafe(kept[first_id]), "left_semi")
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row)
+    return rows.groupBy(key).agg(one).select(f"{row}.*")
 
 
 #: op8's rows by an exact join on shared n-grams.

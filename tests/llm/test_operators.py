@@ -331,6 +331,15 @@ def test_jaccard(odd, empty, docs, spark, monkeypatch):
     assert kept == [(False, 0), (False, 3), (False, 4), (False, 6), (False, 7), (True, None)]
 
 
+def test_stage_near_duplicates_without_ids(spark):
+    base = [f"w{k}" for k in range(90)]
+    near = lambda k: " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])
+    rows = [(None, "first text without an id", "en"), (None, "second text without an id", None), (None, "second text without an id", None), (1, "one id", "fr"), (1, "for two texts", None), (1, "for two texts", None)]
+    rows += [(None, near(0), "de"), (2, near(50), "es"), (7, near(80), "en"), (7, "not near the others", "en"), (3, "an exact copy", None), (4, "an exact copy", "en"), (4, "only its id is shared", "fr")]
+    out = jaccard.stage_near_duplicates(spark, make(spark, rows), "")
+    assert out.columns == SCHEMA.replace(",", "").split()[::2] and Counter((r.doc_id, r.text, r.lang) for r in out.collect()) == Counter(set(rows) - {rows[6], rows[8], rows[11]})
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
