@@ -3,12 +3,15 @@
 The log-probability matrix (buckets x languages per n-gram order, a few MB for tens of languages) is broadcast; workers
 score batches in numpy by gathering the rows of the n-grams that occur and summing them per document.
 
-Nulls and texts without a letter: language `und`, score 0. Empty training set: every text is `und`. Texts of any length
-are read whole, in runs of bounded size. Ties: the language that sorts first. Repeated rows are scored alike.
+Nulls and texts without a letter: language `und`, score 0. A null doc_id is kept, and learnt from like any other. Empty training
+set: every text is `und`. Empty tables: an empty result. Texts of any length are read whole, in runs of bounded size, and go to
+the workers once. Ties: the language that sorts first. Repeated rows are scored alike. Columns named lang_pred or score stay; the
+new ones then get other names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import fresh, held_out, sampled
-from .tokens import strings
+from .storage import fresh, held_out, sampled, small_batches
+from .tokens import chunks, strings
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -111,7 +115,7 @@ def train(docs: DataFrame, max_docs: int = 6000, smoothing: float = 0.5) -> Lang
             used = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1)), pa.array([-1, *used], pa.int32()), pa.array([docs_of[lang], *got[used]], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = small_batches(rows.select("lang", "text")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(counts.column("lang").to_pylist(), dtype=object)
     languages = sorted(set(names))
     bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
@@ -126,32 +130,49 @@ def train(docs: DataFrame, max_docs: int = 6000, smoothing: float = 0.5) -> Lang
     return LanguageModel(languages, blocks.reshape(weights.shape).astype(np.float32), np.log(prior / prior.sum()).astype(np.float32) if languages else prior)
 
 
+def _slices(batch: pa.RecordBatch, text: int, model: LanguageModel) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, language by place or -1 for none, posterior) of runs of rows of about RUN bytes of text; a longer row stands alone."""
+    whole = strings(batch.column(text))
+    for i, j, _, _ in chunks(whole, RUN):
+        own = whole.slice(i, j - i)
+        lettered = pc.match_substring_regex(own, r"\p{L}").to_numpy(zero_copy_only=False)
+        best, sure = np.full(j - i, -1), np.zeros(j - i)
+        if model.languages and lettered.any():
+            logs = model.score(own.to_pylist()).astype(np.float64) / len(ORDERS)
+            logs -= logs.max(axis=1, keepdims=True)
+            best, sure = np.where(lettered, logs.argmax(axis=1), -1), np.where(lettered, 1 / np.exp(logs).sum(axis=1), 0.0)
+        yield batch.slice(i, j - i), best, sure
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """Columns keep of docs, with lang_pred and score: the winner's posterior, at the likelihood of one n-gram order."""
-    keep = keep if keep is not None else [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """Columns keep of docs (or all), and two more: lang_pred and score, the winner's posterior at the likelihood of one n-gram order.
+    Where keep has these names already, the new ones are spelled as storage.fresh spells them."""
+    keep = keep if keep is not None else docs.columns
+    asked = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    text, names = asked.columns.index("text"), [*keep, *fresh(docs.select(*keep), "lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = [docs.schema[c] for c in keep]
-    (whole_text,) = fresh(docs, "whole_text")
-    asked = docs.select(*keep, F.col("text").alias(whole_text))
 
     def predict(batches):
-        known = shared.value
+        spelled = np.array([*shared.value.languages, "und"], dtype=object)
         for batch in batches:
-            whole = strings(batch.column(batch.num_columns - 1))
-            lettered = pc.match_substring_regex(whole, r"\p{L}").to_numpy(zero_copy_only=False)
-            best, sure = np.zeros(len(whole), np.int64), np.zeros(len(whole))
-            for i, texts in _groups(whole) if known.languages else []:
-                logs = known.score(texts).astype(np.float64) / len(ORDERS)
-                logs -= logs.max(axis=1, keepdims=True)
-                best[i : i + len(texts)] = logs.argmax(axis=1)
-                sure[i : i + len(texts)] = 1 / np.exp(logs).sum(axis=1)
-            named = lettered & bool(known.languages)
-            langs = np.array([*known.languages, "und"], dtype=object)[np.where(named, best, -1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.where(named, sure, 0.0))], [*keep, "lang_pred", "score"])
+            for rows, best, sure in _slices(batch, text, shared.value):
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(spelled[best], pa.string()), pa.array(sure)], names)
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[-2], T.StringType()), T.StructField(names[-1], T.DoubleType())])
+    return small_batches(asked).mapInArrow(predict, schema)
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    return asked.mapInArrow(predict, StructType([*schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+def known_only(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs in a learned language with a posterior of least or more; all rows if the model knows no language. The texts
+    pass through the workers once, and no column is added or renamed."""
+    text, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        for batch in batches:
+            for rows, best, sure in _slices(batch, text, shared.value):
+                yield rows.filter(pa.array((best >= 0) & (sure >= least)))
+
+    return small_batches(docs).mapInArrow(kept, docs.schema) if model.languages else docs
 
 
 def train_on_labelled(docs: DataFrame) -> LanguageModel:
@@ -165,6 +186,7 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no learned language (und, or a posterior under one half) go."""
-    found = identify(docs, train_on_labelled(docs))
-    return found.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    """Documents in no learned language (und, or a posterior under one half) go, so null, empty and blank texts do; every other row
+    stays as it is, repeated rows and rows without an id too. Where docs has no labelled row there is no language to hold on to, and
+    all rows stay. Ties go to the language that sorts first. An empty table gives an empty one. Any other columns pass through."""
+    return known_only(docs, train_on_labelled(docs))

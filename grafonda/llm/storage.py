@@ -1,4 +1,8 @@
-"""Work tables in the folder that all machines share, and small helpers for plans."""
+"""Work tables in the folder that all machines share, and small helpers for plans.
+
+Nulls: any column may be null; a null doc_id is never held out and its rows share one place in a sample. Empty tables give
+empty work tables. Names that clash: see fresh.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +12,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN = "file:///tmp/checkpoints"
+#: Bytes of an Arrow batch on its way to a Python worker, so that a worker's memory does not follow the length of the texts.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir of the session; only where it is unset, and in local mode (tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", _OWN)
         found = _OWN
     return found.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands Arrow batches of at most BATCH_BYTES (or one row) to Python workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name).removesuffix("b")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, a lost executor costs no recomputation.
 
-    The folder goes when the session's JVM ends.
+    The folder goes with forget(), or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a work table that nothing reads any more."""
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table._work_path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
