@@ -7,74 +7,118 @@ still has room. A plan is a list of (lengths in a bin, number of such bins). Pie
 their rank among pieces of equal length, and ranks come from counts per (length, salt), so a length that a third of all
 pieces share is ranked in many tasks.
 
-Nulls: a null text is an empty one, of one token (the end). Ties and repeated rows: any order among equal lengths; every
-row gets its own place. Empty table: an empty result. Texts of any length are tokenised whole, a run of bytes at a time.
+Nulls: a null text is an empty one, of one token (the end); a null doc_id is a row like any other. Ties and repeated rows: any
+order among equal lengths; every row gets its own place. Empty table: an empty result. Texts of any length are tokenised whole, a
+run of bytes at a time. Of the input only doc_id and text are read, so other columns never clash; place() replaces columns named
+sequence_id and offset.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .storage import fresh, work_table
+from .storage import fresh, sampled, small_batches, work_table
 
 CAPACITY = 2048
 SALTS = 64
-#: Distinct pre-tokens whose ids a worker remembers.
-REMEMBER = 600_000
-#: Texts with these go through the library whole: anything but ASCII without control characters and apostrophes, or Latin-1 letters.
-_PLAIN = re.compile(rb"(?:[\t\n\r\x20-\x26\x28-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+#: Distinct pre-tokens that a worker knows at a time, until its partition ends.
+REMEMBER = 1 << 20
+#: Plain texts are ASCII without control characters and apostrophes, and Latin-1 letters: bytes that stand alone, and those after 0xC3.
+_ONE, _TWO = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_ONE[32:127] = _ONE[[9, 10, 13]] = True
+_ONE[39] = False
+_TWO[0x80:0xC0] = True
+_TWO[[0x97, 0xB7]] = False
 _KIND = np.full(256, 3, dtype=np.uint8)  # 0 letter, 1 number, 2 white space, 3 other
 _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 0
 _KIND[48:58] = 1
 _KIND[[32, 9, 10, 13]] = 2
 
 
+def _letters() -> dict[int, str]:
+    """How a byte-level vocabulary spells each byte: printable Latin-1 as itself, the others in turn from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [x for x in range(256) if x not in printable]
+    return {x: chr(x if x in printable else 0x100 + others.index(x)) for x in range(256)}
+
+
 class ByteBpe:
-    """Ids of the library's tokenizer for byte_bpe_50k.json. Plain texts are cut into pre-tokens in numpy and each distinct
-    one is encoded once by the same vocabulary's rank tables; all other texts go to the library as they are."""
+    """Ids of the library's tokenizer for byte_bpe_50k.json. Plain texts are cut into pre-tokens in numpy, of which the library's model
+    encodes each distinct one once; all other texts go to the library whole. At most REMEMBER pre-tokens are known at a time, by
+    their bytes."""
 
-    def __init__(self, path: str, ranks_path: str):
-        import base64
+    def __init__(self, path: str):
+        import os
 
-        import public_tokenizers
-        import tiktoken
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker is one of many
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.words = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.model, self.letters = self.library.model, _letters()
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self):
-        self.place: dict[int, int] = {}
-        self.ids, self.start, self.used = np.zeros(1 << 16, np.uint32), [0], 0
-
-    def _entry(self, h: int, word: bytes) -> int:
-        got = self.words.encode_ordinary(word.decode())
-        while self.used + len(got) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + len(got)] = got
-        self.used += len(got)
-        self.start.append(self.used)
-        self.place[h] = len(self.start) - 2
-        return len(self.start) - 2
-
-    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, each row's first)."""
-        data = raw.tobytes()
-        plain = np.array([_PLAIN.fullmatch(data, a, b) is not None and not any(data.find(s, a, b) >= 0 for s in self.special) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=bool)
-        kind, n = _KIND[raw], len(raw)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Appends pre-tokens that are not known yet."""
+        ids, ends, base = [], [], len(self.ids)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        for word in words:
+            ids += [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
+            ends.append(len(ids))
+        self.ids = np.concatenate((self.ids, np.array(ids, np.uint32)))
+        self.start = np.concatenate((self.start, base + np.array(ends, np.int64)))
+
+    def known(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        return list(self.place), self.ids, self.start
+
+    def recall(self, known: tuple[list[bytes], np.ndarray, np.ndarray]) -> None:
+        """Starts from what another one knows."""
+        self.place, self.ids, self.start = {w: k for k, w in enumerate(known[0])}, known[1], known[2]
+
+    def _entries(self, words: list[bytes]) -> np.ndarray:
+        """The place of each distinct pre-token."""
+        if len(self.place) + len(words) > REMEMBER:
+            self.forget()
+        get = self.place.get
+        entry = [get(w, -1) for w in words]
+        new = [w for w, e in zip(words, entry, strict=True) if e < 0]
+        if new:
+            self.learn(new)
+            get = self.place.__getitem__
+            entry = [e if e >= 0 else get(w) for w, e in zip(words, entry, strict=True)]
+        return np.array(entry, dtype=np.int64)
+
+    def _plain(self, raw: np.ndarray, at: np.ndarray, data: bytes) -> np.ndarray:
+        """Which rows are plain."""
+        after = _TWO[raw]
+        after[1:] &= raw[:-1] == 0xC3
+        after[0] = False
+        lead = raw == 0xC3
+        lead[:-1] &= after[1:]
+        lead[-1] = False
+        out = tokens.segment_sums(~(_ONE[raw] | after | lead), at) == 0
+        if any(x in data for x in self.special):
+            out &= np.array([not any(data.find(x, a, b) >= 0 for x in self.special) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], dtype=bool)
+        return out
+
+    def cut(self, raw: np.ndarray, at: np.ndarray, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pre-tokens of all plain rows, each row's first, which rows are plain)."""
+        n = len(raw)
+        plain = self._plain(raw, at, data)
+        kind = _KIND[raw]
         edge = np.zeros(n + 1, dtype=bool)
         edge[at] = True
         # a run of one kind is a pre-token; of white space before other things its last character stands apart, and joins what follows if it is a blank
@@ -84,61 +128,89 @@ class ByteBpe:
         last = np.zeros(n, dtype=bool)
         last[:-1] = space[:-1] & ~space[1:] & ~edge[1:n]
         begin[:n] |= last
-        joined = np.zeros(n + 1, dtype=bool)
-        joined[1:n] = last[:-1] & (raw[:-1] == 32)
-        begin &= ~joined | edge
-        begin[:n] &= np.repeat(plain, np.diff(at))
-        starts = np.flatnonzero(begin[:n])
-        stop = begin | edge
-        stops = np.flatnonzero(stop)
-        ends = stops[np.searchsorted(stops, starts, "right")]
-        h, where, inverse = np.unique(tokens.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) > REMEMBER:
-            self._forget()
-        get = self.place.get
-        entry = np.array([e if (e := get(x)) is not None else self._entry(x, data[a:b]) for x, a, b in zip(h.tolist(), starts[where].tolist(), ends[where].tolist(), strict=True)], dtype=np.int64)
-        bounds = np.array(self.start, dtype=np.int64)
-        entry = entry[inverse]
-        size = bounds[entry + 1] - bounds[entry]
-        first = np.searchsorted(starts, at)
+        last[:-1] &= raw[:-1] == 32
+        begin[1:n] &= ~last[:-1] | edge[1:n]
+        if not plain.all():  # a text that is not plain is one stretch, which is left out below
+            begin[:n] &= np.repeat(plain, np.diff(at)) | edge[:n]
+        begin[n] = True
+        cuts = np.flatnonzero(begin)
+        words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        first = np.searchsorted(cuts[:-1], at)
+        if not plain.all():
+            mine = np.repeat(plain, np.diff(first))
+            words, cuts = words.filter(pa.array(mine)), cuts[:-1][mine]
+            first = np.searchsorted(cuts, at)
+        return words.dictionary_encode(), first, plain
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, each row's first)."""
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        data = raw.tobytes()
+        words, first, plain = self.cut(raw, at, data)
+        known, bounds = self._entries(words.dictionary.to_pylist()), self.start
+        size = (bounds[known + 1] - bounds[known])[kinds := words.indices.to_numpy()]
+        begun = bounds[known][kinds]
         count = tokens.segment_sums(size, first)
+        ahead = np.cumsum(size)
+        flat = self.ids[np.repeat(begun - (ahead - size), size) + np.arange(ahead[-1] if len(ahead) else 0)]
         other = {int(i): np.array(self.library.encode(data[at[i] : at[i + 1]].decode(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(~plain)}
         for i, ids in other.items():
             count[i] = len(ids)
         row = np.zeros(len(at), np.int64)
         np.cumsum(count, out=row[1:])
+        if not other:
+            return flat, row
         out = np.empty(row[-1], np.uint32)
-        flat = self.ids[np.repeat(bounds[entry] - np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size, size) + np.arange(size.sum())]
-        if other:
-            mine = np.repeat(plain, count)
-            out[mine] = flat
-            for i, ids in other.items():
-                out[row[i] : row[i + 1]] = ids
-        else:
-            out = flat
+        out[np.repeat(plain, count)] = flat
+        for i, ids in other.items():
+            out[row[i] : row[i + 1]] = ids
         return out, row
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str, ranks_path: str) -> ByteBpe:
-    return ByteBpe(path, ranks_path)
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> ByteBpe:
+    return ByteBpe(path)
 
 
-def tokenizer_paths() -> tuple[str, str]:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
+
+
+def common_words(docs: DataFrame, path: str, rows: int = 4000, most: int = 1 << 17, longest: int = 32) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The `most` commonest pre-tokens (of at most `longest` bytes, so they have a proven size) of about `rows` rows, with their ids. They
+    spare tasks work and change no result."""
+
+    def count(batches):
+        bpe = _tokenizer(path)
+        for batch in batches:
+            for _, _, raw, at in tokens.chunks(batch.column(0), 1 << 21):
+                if len(raw):
+                    words, _, _ = bpe.cut(raw, at, raw.tobytes())
+                    n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                    short = pc.less_equal(pc.binary_length(words.dictionary), longest)
+                    yield pa.RecordBatch.from_arrays([words.dictionary.filter(short).cast(pa.binary()), pa.array(n).filter(short)], ["word", "n"])
+
+    some = sampled(docs.where("text is not null").select("doc_id", "text"), "doc_id", rows, docs.count()).select("text")
+    found = small_batches(some).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).toArrow()
+    bpe = ByteBpe(path)
+    bpe.learn(found.column("word").to_pylist())
+    return bpe.known()
 
 
-def pieces(docs: DataFrame, paths: tuple[str, str], capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (4 bytes each, little-endian) of every document's pieces.
     A document longer than capacity is cut from its end, so only its first piece may be shorter."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(common_words(docs, path))
 
     def cut(batches):
-        bpe = _tokenizer(*paths)
+        bpe = _tokenizer(path)
+        bpe.recall(shared.value)
         for batch in batches:
-            for i, j, raw, at in tokens.chunks(batch.column(1), 1 << 20):
+            for i, j, raw, at in tokens.chunks(batch.column(1), 1 << 21):
                 ids, row = bpe.encode(raw, at)
                 flat = np.insert(ids, row[1:], end).astype("<u4")
                 row = row + np.arange(len(row))
@@ -157,8 +229,9 @@ def pieces(docs: DataFrame, paths: tuple[str, str], capacity: int = CAPACITY, en
                 if with_ids:
                     columns, names = [*columns, pa.array([bytes(p) for p in parts], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -275,14 +348,15 @@ def place(rows: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     return ranked.mapInArrow(look_up, schema)
 
 
-def pack(docs: DataFrame, paths: tuple[str, str], capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    return place(work_table(pieces(docs, paths, capacity, with_ids=with_ids), "pieces"), capacity)
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    return place(work_table(pieces(docs, path, capacity, with_ids=with_ids), "pieces"), capacity)
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_paths())
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
 
 
 def stage_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: pieces with their ids and places."""
-    return pack(docs, tokenizer_paths(), with_ids=True)
+    """The last stage: pieces with their ids and places, of every row of docs: null and empty texts are pieces of the end alone, rows
+    that repeat or have no id are packed each. An empty table gives an empty result. Other columns of docs are not looked at."""
+    return pack(docs, tokenizer_path(), with_ids=True)
