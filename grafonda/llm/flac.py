@@ -6,8 +6,9 @@ header's CRC-8, each frame's CRC-16 and the MD5 of all samples, and raises Value
 The encoder writes a seek table with a point per frame; frames of streams without one are found by their headers' CRC-8 and
 frames' CRC-16. Frames are handled in groups of GROUP, so memory does not grow with a stream beyond its own bytes.
 
-Nulls: a null text is an empty one (64 zero bytes). Empty streams decode to no blocks. Texts of any length are stored whole.
-Equal inputs give equal streams.
+Nulls: a null text is an empty one (64 zero bytes); a null doc_id is kept. Empty streams decode to no blocks, an empty table to an
+empty result. Texts of any length are stored whole. Repeated rows are stored each, and equal texts give equal streams. Of the input
+only the key and the text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
+from .storage import small_batches, work_table
 
 BLOCK = 4096
 RATE = 8000
 GROUP = 512
 #: Frames that are decoded together.
 READ = 3072
-#: Fixed predictors that the encoder tries: orders 0 to TRIED - 1.
-TRIED = 3
+#: Fixed predictors that the encoder tries: orders 0 to TRIED - 1; and a linear one of two coefficients, of so many bits and such a shift.
+TRIED, PRECISION, SHIFT = 3, 12, 10
+#: A frame that would keep this share of its bytes or more is stored verbatim: it is read faster, and the table's own compression does the rest.
+WORTH = 0.9
 
 
 def _crc_table(poly: int, bits: int, steps: int) -> np.ndarray:
@@ -127,6 +131,16 @@ def lpc_residuals(x: np.ndarray, coefficients: list[int], shift: int) -> np.ndar
     return x[k:] - (windows @ np.array(coefficients) >> shift)
 
 
+def _predictors(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each frame the two coefficients, in units of 2**-SHIFT, of the linear predictor that leaves the least squares."""
+    y = x.astype(np.float32)
+    r0, r1, r2 = ((y[:, k:] * y[:, : y.shape[1] - k]).sum(axis=1, dtype=np.float64) for k in range(3))
+    low = np.maximum(r0 * r0 - r1 * r1, 1e-9)
+    a, b = (r1 * (r0 - r2)) / low, (r0 * r2 - r1 * r1) / low
+    most = (1 << PRECISION - 1) - 1
+    return np.where((size > 2 * TRIED)[:, None], np.clip(np.rint(np.stack([a, b], axis=1) * (1 << SHIFT)), -most, most), 0).astype(np.int32)
+
+
 def _frames(blocks: list[np.ndarray], numbers: list[int], lpc: tuple[list[int], int] | None) -> list[bytes]:
     """One FLAC frame for each block of samples (int16)."""
     size = np.array([len(b) for b in blocks])
@@ -135,11 +149,21 @@ def _frames(blocks: list[np.ndarray], numbers: list[int], lpc: tuple[list[int],
         x[i, : len(b)] = b
     if lpc:
         order = np.where(size > len(lpc[0]), len(lpc[0]), 0)
+        linear, shift, coefficients = order > 0, lpc[1], np.tile(np.array(lpc[0], np.int32), (len(blocks), 1))
         left = x.astype(np.int32)
         for i in np.flatnonzero(order):
             left[i, order[i] : size[i]] = lpc_residuals(x[i, : size[i]], *lpc)
     else:
         order, left = _residuals(x, size)
+        shift, coefficients = SHIFT, _predictors(x, size)
+        guess = left if x.shape[1] < 3 else x.copy()
+        if x.shape[1] > 2:
+            guess[:, 2:] -= (x[:, 1:-1] * coefficients[:, :1] + x[:, :-2] * coefficients[:, 1:] >> shift).astype(np.int16)
+            guess *= np.arange(x.shape[1]) < size[:, None]
+        linear = (np.abs(guess[:, TRIED:]).sum(axis=1, dtype=np.int64) < 0.97 * np.abs(left[:, TRIED:]).sum(axis=1, dtype=np.int64)) & (size > 2 * TRIED)
+        if linear.any():
+            left = np.where(linear[:, None], guess, left)
+            order = np.where(linear, 2, order)
     place = np.arange(x.shape[1])
     used = (place < size[:, None]) & (place >= order[:, None])
     zigzag = (left << 1) ^ (left >> 15 if left.dtype == np.int16 else left >> 31)
@@ -156,10 +180,10 @@ def _frames(blocks: list[np.ndarray], numbers: list[int], lpc: tuple[list[int],
             rice = np.where(need < bits, k, rice)
             bits = np.minimum(bits, need)
     # per frame: subframe byte, warm-up samples, [predictor], coding method, partition order, parameter
-    extra = 4 + 5 + 8 * len(lpc[0]) if lpc else 0
-    head_bits = 8 + 8 * order + np.where(order > 0, extra, 0) + 10
+    wide = PRECISION if not lpc else 8
+    head_bits = 8 + 8 * order + np.where(linear, 4 + 5 + wide * order, 0) + 10
     flat = ((x == x[:, :1]) | (place >= size[:, None])).all(axis=1)
-    verbatim = ~flat & (head_bits + bits >= 8 + 8 * size)
+    verbatim = ~flat & (head_bits + bits >= WORTH * 8 * size)
     body = np.where(flat, 16, np.where(verbatim, 8 + 8 * size, head_bits + bits))
     heads = []
     for number, length in zip(numbers, size.tolist(), strict=True):
@@ -194,10 +218,10 @@ def _frames(blocks: list[np.ndarray], numbers: list[int], lpc: tuple[list[int],
             packed[a + 1 : a + 1 + size[i]] = x[i, : size[i]].astype(np.int8).view(np.uint8)
         else:
             k = int(order[i])
-            packed[a] = (0x40 | (k - 1) << 1) if lpc and k else (0x10 | k << 1)
+            packed[a] = (0x40 | (k - 1) << 1) if linear[i] else (0x10 | k << 1)
             packed[a + 1 : a + 1 + k] = x[i, :k].astype(np.int8).view(np.uint8)
-            if lpc and k:
-                fields = f"{7:04b}{lpc[1]:05b}" + "".join(f"{c & 0xFF:08b}" for c in lpc[0]) + f"000000{int(rice[i]):04b}"
+            if linear[i]:
+                fields = f"{wide - 1:04b}{shift:05b}" + "".join(f"{c & (1 << wide) - 1:0{wide}b}" for c in coefficients[i, :k].tolist()) + f"000000{int(rice[i]):04b}"
             else:
                 fields = f"000000{int(rice[i]):04b}"
             at = a + 1 + k
@@ -211,7 +235,8 @@ def _frames(blocks: list[np.ndarray], numbers: list[int], lpc: tuple[list[int],
 
 
 def encode(payloads: list[bytes], lpc: tuple[list[int], int] | None = None) -> list[bytes]:
-    """A FLAC stream for each payload. lpc: (8-bit coefficients, shift) of a linear predictor for all frames; else fixed ones are chosen."""
+    """A FLAC stream for each payload. lpc: (8-bit coefficients, shift) of a linear predictor for all frames; else each frame gets
+    the fixed or the fitted linear predictor that leaves least."""
     work = [(d, number, np.frombuffer(p, np.uint8, min(BLOCK, len(p) - a), a).astype(np.int16) - 128) for d, p in enumerate(payloads) for number, a in enumerate(range(0, len(p), BLOCK))]
     work.sort(key=lambda w: len(w[2]))
     frames: list[list] = [[None] * -(-len(p) // BLOCK) for p in payloads]
@@ -400,24 +425,33 @@ def _decode_rice(raw: np.ndarray, rice: list, out: list) -> None:
         left[t, own] = value
         bit[own] = b + used
     signed = (left >> 1) ^ -(left & 1)
+    linear: dict[int, list[int]] = {}
     for f, (n, i, o, warm, predictor, _, _) in enumerate(rice):
+        if predictor is not None:
+            linear.setdefault(o, []).append(f)
+            continue
         x = signed[:n, f].astype(np.int64)
-        if predictor is None:
-            # undo the differences one order at a time: each needs its own first value
-            firsts = [warm]
-            for _ in range(o):
-                firsts.append(np.diff(firsts[-1]))
-            body = x[o:]
-            for j in range(o - 1, -1, -1):
-                body = np.cumsum(body) + firsts[j][-1]
-            x[:o], x[o:] = warm, body
-        else:
-            coefficients, shift = predictor
-            done = warm.tolist()
-            for r in x[o:].tolist():
-                done.append(r + (sum(c * s for c, s in zip(coefficients, reversed(done[-o:]), strict=True)) >> shift))
-            x = np.array(done)
+        # undo the differences one order at a time: each needs its own first value
+        firsts = [warm]
+        for _ in range(o):
+            firsts.append(np.diff(firsts[-1]))
+        body = x[o:]
+        for j in range(o - 1, -1, -1):
+            body = np.cumsum(body) + firsts[j][-1]
+        x[:o], x[o:] = warm, body
         out[i] = x.astype(np.int32)
+    for o, own in linear.items():
+        x = signed[:, own].astype(np.int32 if o <= 2 else np.int64)
+        x[:o] = np.array([rice[f][3] for f in own]).T
+        c = np.array([rice[f][4][0] for f in own], x.dtype).T
+        shift = np.array([rice[f][4][1] for f in own], x.dtype)
+        for t in range(o, len(x)):
+            guess = c[0] * x[t - 1]
+            for k in range(1, o):
+                guess += c[k] * x[t - 1 - k]
+            x[t] += guess >> shift
+        for f, column in zip(own, x.T, strict=True):
+            out[rice[f][1]] = column[: rice[f][0]].astype(np.int32)
 
 
 def decode(medias: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
@@ -456,7 +490,7 @@ def encode_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             for i, j, texts in _runs(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode([padded(t) for t in texts]), pa.binary())], [key, "n_bytes", "media"])
 
-    return docs.select(key, text).mapInArrow(stored, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return small_batches(docs.select(key, text)).mapInArrow(stored, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def _media(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -478,7 +512,7 @@ def decode_blocks(media: DataFrame, key: str = "doc_id", column: str = "media")
                 rows = [(i + d, k, at, x) for d, (m, b) in enumerate(zip(own, decode([o for o in own if o]) if all(own) else [decode([o])[0] if o else [] for o in own], strict=True)) for k, (at, x) in enumerate(b)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([r[3].tobytes() for r in rows], pa.binary())], [key, "block", "sample_offset", "n_samples", "pcm"])
 
-    return media.select(key, column).mapInArrow(blocks, f"`{key}` {media.schema[key].dataType.simpleString()}, block int, sample_offset long, n_samples long, pcm binary")
+    return small_batches(media.select(key, column)).mapInArrow(blocks, f"`{key}` {media.schema[key].dataType.simpleString()}, block int, sample_offset long, n_samples long, pcm binary")
 
 
 def feature(blocks: list[tuple[int, np.ndarray]]) -> str:
@@ -502,8 +536,13 @@ def digest(media: DataFrame) -> DataFrame:
                 parts = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *parts], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(figures, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return small_batches(media).mapInArrow(figures, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def store(docs: DataFrame, name: str = "media") -> DataFrame:
+    """encode_text's rows, written to the shared folder as a table of media and read from there: a reader gets the stored bytes."""
+    return work_table(encode_text(docs), name)
 
 
 def op2_flac_media(spark, sf_dir: str) -> DataFrame:
-    return digest(encode_text(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return digest(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
