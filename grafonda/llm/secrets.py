@@ -5,13 +5,15 @@ base64, base32-like and hexadecimal spelling) and ordinary identifiers (words of
 capitalised, in capitals and joined as identifiers are). A token outside the base spans is a secret if its
 log-likelihood ratio beats the odds of a million to one. The model is a table of 66 x 66 whole hundredths of a nat.
 
-Nulls: a null text is an empty one, without spans. Texts of any length are scanned whole. Overlaps: matches of a kind
-never overlap; Markov spans never overlap base spans. Repeated rows are scanned alike. Empty table: an empty result, and
-a model of random strings against nothing.
+Nulls: a null text is an empty one, without spans; a null doc_id is a row like any other. Texts of any length are scanned whole.
+Overlaps: matches of a kind never overlap; Markov spans never overlap base spans; of spans with one start the kind listed first comes
+first. Repeated rows are scanned alike. Empty table: an empty result, and a model of random strings against nothing. Columns of the
+input stay; new ones get other names where they would clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SIZE = len(ALPHABET)
+#: Matches that are handled together where there are many in a text.
+BLOCK = 256
 #: Hundredths of a nat: the natural logarithm of a million to one.
 LEAST_RATIO = round(100 * log(1e6))
 
@@ -46,7 +50,8 @@ def labelled_samples(docs: DataFrame, max_docs: int = 400, random_strings: int =
         F.explode(F.array(F.regexp_replace(F.base64(digest), "=", ""), F.translate(F.upper(F.hex(digest)), "0189", "XYZW"), F.upper(F.regexp_replace(F.base64(digest), "[=+/]", "")), F.lower(F.hex(digest)))).alias("word"), F.lit("random").alias("label")
     )
     some = sampled(docs.where("text is not null"), "doc_id", max_docs, docs.count())
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9]{2,}"), F.lit(0))
+    plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, "\n"), f"{ACCESS}|{HEX}", "\n")  # what the base finds is not ordinary
+    words = F.regexp_extract_all(plain, F.lit("[A-Za-z][A-Za-z0-9]{2,}"), F.lit(0))
     pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))  # a word and the next
     follows = some.select(words.alias("w")).select(F.inline(pairs.cast("array<struct<a:string,b:string>>")))
     split = follows.groupBy("a").agg(F.max(F.coalesce("b", "a")).alias("b"), (F.xxhash64("a") % 100).alias("i"))  # each word once
@@ -71,32 +76,64 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
     return [round(100 * (x - y)) for x, y in zip(logs["random"], logs["ordinary"], strict=True)]
 
 
+def _cut(values: Column) -> Column:
+    """An array as an array of blocks."""
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array().cast("array<array<int>>"))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of whole numbers, op over those before it, from 0 on. It works in blocks, so that what is copied
+    grows as the power 1.5 of the length, not as its square."""
+    zero, grow = F.array(F.lit(0)), lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x))
+    blocks = _cut(values)
+    tops = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), op))
+    inside = lambda b, c: F.slice(F.aggregate(b, F.array(c), grow), F.lit(1), F.size(b))
+    return F.flatten(F.zip_with(blocks, F.slice(F.aggregate(tops, zero, grow), F.lit(1), F.size(blocks)), inside))
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """All matches as structs (start, kind, end), in code points."""
+    """All matches as structs (start, kind, end, word), in code points; word is the whole match."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(F.transform(between, F.length), F.transform(found, F.length), lambda a, b: F.struct(a.alias("before"), F.coalesce(b, F.lit(0)).alias("size")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    begun = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    step = lambda acc, x: F.struct((acc["at"] + x["before"] + x["size"]).alias("at"), F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["before"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["before"] + x["size"]).alias("end")))).alias("spans"))
-    every = F.aggregate(sizes, begun, step, lambda acc: F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1))
-    return F.when(F.rlike(text, F.lit(pattern)), every).otherwise(none)
+    gaps = F.transform(F.slice(between, F.lit(1), F.size(found)), F.length)
+    steps = F.zip_with(gaps, found, lambda gap, word: gap + F.length(word))
+    starts = F.zip_with(running(steps, lambda a, b: a + b), gaps, lambda a, b: a + b)
+    every = F.zip_with(starts, found, lambda at, word: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(word)).alias("end"), word.alias("word")))
+    return F.when(F.rlike(text, F.lit(pattern)), every).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,word:string>>"))
+
+
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+
+def _outside(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span. Where there are many of both, tokens are held only against the spans of their own block."""
+    apart = lambda spans: lambda x: ~F.exists(spans, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / BLOCK).cast("int")), lambda k: F.slice(tokens, k * BLOCK + 1, F.lit(BLOCK)))
+    near = lambda b: F.filter(base, lambda y: (y["start"] < F.element_at(b, -1)["end"]) & (F.element_at(b, 1)["start"] < y["end"]))
+    kept = F.transform(F.transform(blocks, lambda b: F.struct(b.alias("own"), near(b).alias("near"))), lambda z: F.filter(z["own"], apart(z["near"])))
+    return F.when(F.size(base) == 0, tokens).when(F.size(tokens) <= BLOCK, F.filter(tokens, apart(base))).otherwise(F.flatten(kept))
 
 
 def scan(docs: DataFrame, model: list[int]) -> DataFrame:
-    """docs with base and spans: arrays of (start, kind, end) by start, then kind (a place in KINDS)."""
-    docs = docs.drop("base", "spans")
-    body, assign, access, hexes, tokens = fresh(docs, "body", "assign", "access", "hexes", "tokens")
+    """docs with two more columns, base and spans (see names): arrays of (start, kind, end) by start, then kind (a place in KINDS)."""
+    base, spans = names(docs)
+    body, assign, access, hexes, tokens = fresh(docs.withColumns({base: F.lit(0), spans: F.lit(0)}), "body", "assign", "access", "hexes", "tokens")
     held = docs.withColumn(body, F.coalesce(F.col("text"), F.lit("")))
     values = F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2))
     found = held.withColumns({assign: _spans(F.col(body), ASSIGN, 0), access: _spans(F.col(body), ACCESS, 1), hexes: _spans(F.col(body), HEX, 2), tokens: _spans(F.col(body), CANDIDATE, 3)})
     long_enough = F.when(F.size(assign) > 0, F.filter(assign, lambda x, i: F.length(F.get(values, i)) >= ASSIGN_LEAST)).otherwise(F.col(assign))
-    based = found.withColumn("base", F.array_sort(F.concat(long_enough, access, hexes)))
+    based = found.withColumn(base, F.array_sort(F.concat(_bare(long_enough), _bare(F.col(access)), _bare(F.col(hexes)))))
     table = F.split(F.lit(" ".join(map(str, model))), " ").cast("array<int>")  # folded to a constant
     ratio = lambda word: F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0), lambda acc, i: acc + F.get(table, _code(word, i) * SIZE + _code(word, i + 1)))
-    outside = F.filter(tokens, lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    beyond = F.filter(outside, lambda x: ratio(F.substring(F.col(body), x["start"] + 1, x["end"] - x["start"])) >= LEAST_RATIO)
-    every = F.when(F.size(tokens) > 0, F.array_sort(F.concat(F.col("base"), beyond))).otherwise(F.col("base"))
-    return based.withColumn("spans", every).drop(body, assign, access, hexes, tokens)
+    beyond = _bare(F.filter(_outside(F.col(tokens), F.col(base)), lambda x: ratio(x["word"]) >= LEAST_RATIO))
+    every = F.when(F.size(tokens) > 0, F.array_sort(F.concat(F.col(base), beyond))).otherwise(F.col(base))
+    return based.withColumn(spans, every).drop(body, assign, access, hexes, tokens)
+
+
+def names(docs: DataFrame) -> tuple[str, str]:
+    """What scan calls its columns: base and spans, or as storage.fresh spells them where docs has such columns."""
+    base, spans = fresh(docs, "base", "spans")
+    return base, spans
 
 
 def spelled(spans: Column) -> Column:
@@ -105,13 +142,19 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """found (see scan) with each run of overlapping spans in text replaced by mark; base and spans go."""
+def redact(docs: DataFrame, model: list[int], mark: str = "[SECRET]") -> DataFrame:
+    """docs with each run of overlapping spans in text replaced by mark."""
+    found, spans = scan(docs, model), F.col(names(docs)[1])
     text = F.col("text")
-    begun = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out"), x["end"].alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at")))
-    clean = F.aggregate("spans", begun, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)).drop("base", "spans")
+    behind = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))  # the end of all before
+    gaps = F.filter(F.zip_with(spans, behind, lambda x, a: F.struct(a.alias("a"), x["start"].alias("b"))), lambda g: g["a"] <= g["b"])
+    # pieces are cut from stretches of BLOCK gaps, so that long texts are not walked through once a gap
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / BLOCK).cast("int")), lambda k: F.slice(gaps, k * BLOCK + 1, F.lit(BLOCK)))
+    stretch = lambda b: F.struct(b.alias("own"), F.substring(text, F.element_at(b, 1)["a"] + 1, F.element_at(b, -1)["b"] - F.element_at(b, 1)["a"]).alias("t"))
+    piece = lambda z: F.transform(z["own"], lambda g: F.concat(F.substring(z["t"], g["a"] - F.element_at(z["own"], 1)["a"] + 1, g["b"] - g["a"]), F.lit(mark)))
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    clean = F.concat(F.array_join(F.flatten(F.transform(F.transform(blocks, stretch), piece)), ""), F.substring(text, last + 1, F.length(text)))
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +165,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay. n_chars follows the text."""
-    out = redact(scan(docs, train(labelled_samples(docs))))
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
+    """Secrets are replaced by a mark; all documents stay, null and empty texts and repeated rows as they are, with all their columns.
+    n_chars, if there is one, follows the text. An empty table gives an empty one."""
+    out = redact(docs, train(labelled_samples(docs)))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
