@@ -9,8 +9,10 @@ Documents are joined to items where they lie: the benchmark's word ids and seeds
 words, one pass over the documents a block, so the benchmark may be of any size.
 
 Words are runs of ASCII letters, digits, "_" and non-ASCII characters; ASCII capitals are lowered. Items shorter than N words
-must occur whole. Nulls: a null text, item or id gives no pair. Repeated rows: each document row gives its own pair; items that
-repeat an item_id are items of their own. Empty tables: an empty result.
+must occur whole. Nulls: a null text gives no pair, nor does an item without text or item_id; a document without a doc_id is searched
+like any other, and its pairs have a null doc_id. Repeated rows: each document row gives its own pair; items that repeat an item_id are
+items of their own. Ties: of equally good alignments the first in the text. Very long texts are searched whole, and aligned only around
+seeds. Empty tables: an empty result. Only doc_id, item_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .storage import small_batches
 
 N = 3
 THRESHOLD = 0.5
@@ -175,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     item's): a row for each document row and item whose best alignment reaches threshold."""
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, score double, doc_start long, doc_end long, n_seeds long"
-    texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    texts = docs.where("text is not null").select("doc_id", "text")
     out = None
     for items in _blocks(texts, benchmark, threshold, n):
         found = _match(texts, items, schema, threshold)
@@ -209,7 +212,7 @@ def _counts(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["key", "n"])
 
     # at most a row for each word of the block
-    found = texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = small_batches(texts.select("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(vocabulary), np.int64)
     counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
     return counts
@@ -228,7 +231,7 @@ def _match(texts: DataFrame, items: Items, schema: str, threshold: float) -> Dat
                     ids = batch.column(0).take(pa.array([i + r for r in row]))
                     yield pa.RecordBatch.from_arrays([ids, own.ids.take(pa.array(item)), *map(pa.array, rest)], ["doc_id", "item_id", "score", "doc_start", "doc_end", "n_seeds"])
 
-    return texts.mapInArrow(search, schema)
+    return small_batches(texts).mapInArrow(search, schema)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -236,7 +239,8 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item, edited or not, go. Rows are judged where they lie, whatever their doc_id."""
+    """Documents that hold a copy of a benchmark item, edited or not, go. Rows are judged where they lie, whatever their doc_id; null and
+    empty texts stay, as do repeated rows of clean texts, and all columns. An empty table, or an empty benchmark, changes nothing."""
     out = docs
     for items in _blocks(docs.where("text is not null"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), THRESHOLD, N):
         out = _without(out, items, THRESHOLD)
@@ -255,4 +259,4 @@ def _without(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 keep[[i + r for r, *_ in _pairs(own, *tokens.words(raw, at), threshold)]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return small_batches(docs).mapInArrow(clean, docs.schema)
