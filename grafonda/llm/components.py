@@ -11,19 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import work_table
+from .storage import forget, work_table
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root: the smallest node that it is linked to, for all nodes of edges. Loops (a = b) are allowed; nulls are left out."""
+    """node, root: the smallest node that it is linked to, for all nodes of edges. Loops (a = b) are allowed; nulls are left out;
+    repeated edges count once; no edges give an empty result; other columns of edges are not looked at."""
     pairs = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null")
     both = work_table(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    labels = work_table(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("root")), "labels")
+    held = work_table(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("root"), F.lit(0).cast("long").alias("old")), "labels")
     while True:
+        labels = held.select("node", "root")
         heard = both.join(labels.select(F.col("node").alias("src"), "root"), "src").groupBy("dst").agg(F.min("root").alias("heard"))
         hooked = labels.join(heard, labels["node"] == heard["dst"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("heard", "root")).alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = work_table(hooked.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root")), "labels")
-        labels = new.select("node", "root")
+        new = work_table(hooked.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old"), "labels")
+        forget(held)
+        held = new
         if not new.where("root <> old").limit(1).count():
-            return labels
+            forget(both)
+            return new.select("node", "root")
