@@ -4,13 +4,16 @@ Texts become sets of n-grams of n words (a shorter text is one n-gram of all its
 Words are runs of ASCII letters, digits, "_" and non-ASCII characters; ASCII capitals are lowered. Equal sets form a copy
 class, kept once from there on, so copies are never paired. Bands are chosen for a target recall at the threshold; band
 hashes are shuffled with partial minima, so a band that thousands share yields one star of links, not all pairs. Candidate
-groups are the stars' components; big ones are cut into blocks by a hash of the class, and each pair of blocks is one task
-group that verifies the pairs which share a band, on whole n-gram sets. It returns the links of each class and a spanning
-forest of them, never the pairs, so the result stays linear while no link between different texts is lost.
+groups are the stars' components, cut into blocks by a hash of the class; each pair of blocks is one task group that verifies the
+pairs which share a band, on whole n-gram sets. Components of more than MOST classes, which common phrases may link to any size, are
+dealt by band instead: a pair is verified in its first shared band, and a class goes to the bands it shares, however large the
+component is. Verification returns the links of each class and a spanning forest of them, never the pairs, so the result stays
+linear while no link between different texts is lost.
 
 Nulls: a null text is an empty one; texts without words are one copy class. A null doc_id is a row like any other; a
 class whose ids are all null has class_id null. Repeated rows: each gives a row. Ties: the smallest doc_id names a class.
-Empty table: an empty result. Class keys are 64-bit hashes of n-gram sets.
+Very long texts are shingled whole. Empty table: an empty result. Class keys are 64-bit hashes of n-gram sets. Only doc_id and text
+are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ from pyspark.sql import types as T
 
 from . import tokens
 from .components import components
-from .storage import fresh, work_table
+from .storage import fresh, small_batches, work_table
 
 N = 5
 THRESHOLD = 0.8
 ROWS = 6
 RECALL = 0.999
-#: Classes in a task group; larger candidate groups are cut into blocks, at most BLOCKS of them until a block has MOST classes.
-GROUP, BLOCKS, MOST = 160, 16, 4096
+#: Classes in a task group; larger components are cut into blocks, at most BLOCKS of them, and those of more than MOST classes are
+#: dealt by band. GRAMS: n-grams in a block, so that a task's memory follows no group's size.
+GROUP, BLOCKS, MOST, GRAMS = 160, 16, 4096, 1 << 21
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -78,8 +82,9 @@ def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int = ROW
     return out
 
 
-def _block_links(key: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], left: np.ndarray, within: bool, threshold: float):
-    """(links per class, forest as pairs of places) among classes: left ones with the others, or all with all if within."""
+def _block_links(key: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], left: np.ndarray, within: bool, threshold: float, at: int = -1):
+    """(links per class, forest as pairs of places) among classes that share a band: left ones with the others, or all with all if
+    within. at: only pairs whose first shared band is this one (-1: all)."""
     m = len(key)
     links, forest = np.zeros(m, np.int64), []
     if m < 2:
@@ -105,7 +110,8 @@ def _block_links(key: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], lef
 
     terms_of = [term_ids for term_ids in np.split(np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner, minlength=m))[:-1])]
     for i in rows:
-        shares = (bands[columns] == bands[i]).any(axis=1)
+        same = bands[columns] == bands[i]
+        shares = same.any(axis=1) if at < 0 else same[:, at] & ~same[:, :at].any(axis=1)
         near = size[columns] * threshold <= size[i]
         near &= size[i] * threshold <= size[columns]
         want = shares & near & (columns > i if within else True)
@@ -141,6 +147,7 @@ def _groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int
     """Rows of docs (doc_id, class), copy classes (class, first_id, n_copies, root: the same for all that links lead to) and links (a, b, n)."""
     bands = band_count(threshold, rows, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
 
     def sign(batches):
         for batch in batches:
@@ -148,45 +155,60 @@ def _groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int
                 hashes, first = shingle_sets(raw, at, n)
                 keys = pa.array(band_keys(hashes, first, bands, rows).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), keys)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), tokens.as_signed(class_keys(hashes, first)), pa.array(np.diff(first) > 0), lists], ["doc_id", "class", "filled", "bands"])
-
-    signed = work_table(docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, class long, filled boolean, bands array<long>"), "signed")
-    classes = work_table(signed.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("filled").alias("filled")), "classes")
-    posted = classes.where("filled").select(F.col("class").alias("node"), F.explode("bands").alias("band"))
-    shared = posted.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), tokens.as_signed(class_keys(hashes, first)), pa.array(np.diff(first)), lists], ["doc_id", "h", "class", "size", "bands"])
+
+    signed = work_table(small_batches(keyed).mapInArrow(sign, f"doc_id {kind}, h long, class long, size long, bands array<long>"), "signed")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("own")
+    classes = work_table(signed.groupBy("class").agg(F.min("doc_id").alias("first_id"), own, F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size")), "classes")
+    posted = classes.where("size > 0").select(F.col("class").alias("node"), F.posexplode("bands").alias("at", "band"))
+    shared = posted.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "low", "m")
     # a class's star centres, at most one a band: the class is tied to the least of them, and that one to the others
-    centres = posted.join(shared, "band").groupBy("node").agg(F.collect_set("low").alias("lows")).withColumn("least", F.array_min("lows"))
+    centres = posted.join(shared, "band").groupBy("node").agg(F.collect_set("low").alias("lows"), F.collect_list(F.struct(F.col("band").alias("task"), "at", "m")).alias("posts"))
+    centres = work_table(centres.withColumn("least", F.array_min("lows")), "centres")
     ties = centres.select(F.col("least").alias("a"), F.explode("lows").alias("b")).where("a <> b").distinct()
     groups = components(centres.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(ties))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
-    blocks = F.when(F.col("m") <= GROUP, 1).otherwise(F.greatest(F.least(F.ceil(F.col("m") / GROUP), F.lit(BLOCKS)), F.ceil(F.col("m") / MOST)))
-    grouped = groups.join(sizes.select("root", blocks.cast("int").alias("blocks")), "root")
-    grouped = work_table(grouped.join(classes.select(F.col("class").alias("node"), "first_id", "bands"), "node"), "grouped")
-    # the texts of one document for each candidate class
-    wanted = grouped.select(F.col("first_id").alias("doc_id"), F.col("node").alias("class"), "root", "blocks", "bands")
-    few = ceil(grouped.count() / GROUP) or 1
+    known = groups.join(classes.select(F.col("class").alias("node"), "own", "size", "bands"), "node")
+    weights = known.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("grams"))
+    heavy = F.ceil(F.col("grams") / GRAMS)
+    blocks = F.greatest(F.when(F.col("m") <= GROUP, 1).otherwise(F.least(F.ceil(F.col("m") / GROUP), F.lit(BLOCKS))), heavy).cast("int")
+    # a component of up to MOST classes is dealt whole, in blocks; of a larger one each shared band is a group of its own
+    weighed = weights.select("root", F.when((F.col("m") <= MOST) & (heavy <= BLOCKS), blocks).alias("blocks"), (F.col("grams") / F.col("m")).alias("mean"))
+    total = known.agg(F.count("*"), F.sum("size")).first()
+    few = max(1, ceil(total[0] / GROUP), ceil((total[1] or 0) / GRAMS))
+    whole = F.array(F.struct(F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(few))).otherwise(F.col("root")).alias("task"), F.lit(-1).alias("at"), "blocks"))
+    by_band = F.transform("posts", lambda x: F.struct(x["task"].alias("task"), x["at"].alias("at"), F.greatest(F.ceil(x["m"] / MOST), F.ceil(x["m"] * F.col("mean") / GRAMS)).cast("int").alias("blocks")))
+    dealt = known.join(weighed, "root").join(centres.select("node", "posts"), "node")
+    wanted = dealt.select(F.col("own.doc_id").alias("doc_id"), F.col("own.h").alias("h"), F.col("node").alias("class"), "root", "bands", F.when(F.col("blocks").isNotNull(), whole).otherwise(by_band).alias("deal"))
+    wanted = work_table(wanted, "wanted")
+    names = ["class", "root", "bands", "deal"]
 
     def resolve(batches):
+        seen: set[int] = set()  # rows that repeat a doc_id and a text count once
         for batch in batches:
             for i, j, raw, at in tokens.chunks(batch.column("text"), 1 << 20):
+                part = batch.slice(i, j - i).select(names)
+                keys = part.column("class").to_pylist()
+                new = [k not in seen and not seen.add(k) for k in keys]
                 hashes, first = shingle_sets(raw, at, n)
-                own = class_keys(hashes, first).view(np.int64) == batch.column("class").slice(i, j - i).to_numpy()  # doc_ids may be shared by different texts
-                part = batch.slice(i, j - i).select(["class", "root", "blocks", "bands"])
+                new = np.array(new, dtype=bool) & (class_keys(hashes, first).view(np.int64) == part.column("class").to_numpy())
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), tokens.as_signed(hashes))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["class", "root", "blocks", "bands", "grams"]).filter(pa.array(own))
-
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "class", "root", "blocks", "bands")
-    sets = texts.mapInArrow(resolve, "class long, root long, blocks int, bands array<long>, grams array<long>")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = sets.withColumn("block", block).withColumn("other", other).select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(few))).otherwise(F.col("root")).alias("task"), (F.col("blocks") > 1).alias("cut"),
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*names, "grams"]).filter(pa.array(new))
+
+    # the text of one document for each candidate class
+    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["doc_id"]) & (keyed["h"] == wanted["h"])).select("text", *names)
+    deal = "array<struct<task:bigint,at:int,blocks:int>>"
+    sets = small_batches(texts).mapInArrow(resolve, f"class long, root long, bands array<long>, deal {deal}, grams array<long>")
+    each = sets.select("class", "root", "bands", "grams", F.inline("deal")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = each.select(
+        F.when(F.col("at") >= 0, 2).when(F.col("blocks") > 1, 1).otherwise(0).alias("kind"), "task", "at",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "root", "class", "block", "bands", "grams",
     )
 
     def verify(table: pa.Table) -> pa.Table:
         roots, key, part = (table.column(c).to_numpy() for c in ("root", "class", "block"))
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        low, high, at = (table.column(c)[0].as_py() for c in ("low", "high", "at"))
         lists = table.column("grams").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -196,7 +218,7 @@ def _groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int
         order = order[np.append(True, (key[order][1:] != key[order][:-1]) | (roots[order][1:] != roots[order][:-1]))]  # repeated rows once
         out_a, out_b, out_n = [], [], []
         for own in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
-            links, forest = _block_links(key[own], keys[own], [values[offsets[k] : offsets[k + 1]] for k in own], part[own] == low, low == high, threshold)
+            links, forest = _block_links(key[own], keys[own], [values[offsets[k] : offsets[k + 1]] for k in own], part[own] == low, low == high, threshold, at)
             some = np.flatnonzero(links)
             out_a += [key[own][some], key[own][[x for x, _ in forest]]]
             out_b += [key[own][some], key[own][[y for _, y in forest]]]
@@ -204,7 +226,7 @@ def _groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int
         join_ = lambda xs: pa.array(np.concatenate(xs).astype(np.int64))
         return pa.table({"a": join_(out_a), "b": join_(out_b), "n": join_(out_n)})
 
-    linked = work_table(paired.groupBy("cut", "task", "low", "high").applyInArrow(verify, "a long, b long, n long"), "linked")
+    linked = work_table(paired.groupBy("kind", "task", "low", "high").applyInArrow(verify, "a long, b long, n long"), "linked")
     roots = components(linked.select("a", "b")).withColumnRenamed("node", "class")
     named = classes.select("class", "first_id", "n_copies").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     return signed, named, linked
@@ -228,7 +250,7 @@ def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             for i, j, raw, at in tokens.chunks(batch.column("text"), 1 << 20):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, tokens.as_signed(class_keys(*shingle_sets(raw, at)))], names)
 
-    rows = docs.mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
+    rows = small_batches(docs).mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
     rows = rows.join(kept, (rows[key] == kept[key]) & rows["doc_id"].eqNullSafe(kept[first_id]), "left_semi")
     one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row)
     return rows.groupBy(key).agg(one).select(f"{row}.*")
