@@ -10,8 +10,10 @@ A pre-token of the sentencepiece BPE model is a run of blanks with the word afte
 piece of the vocabulary crosses such a place (checked when the model is loaded; if a piece does, whole texts are the
 pre-tokens), so no merge does.
 
-Nulls: a null text has 0 bytes and 0 tokens. Empty table: an empty result. Pre-tokens of any length and texts of any
-length are handled whole. Repeated rows: each row, also one that repeats a doc_id, gets its own count.
+Nulls: a null text has 0 bytes and 0 tokens; a null doc_id is a row like any other. Empty table: an empty result. Pre-tokens of any
+length and texts of any length are handled whole. Repeated rows: each row, also one that repeats a doc_id, gets its own count. Ties:
+none can arise. Pre-tokens that share a hash are found out, and another seed is taken. Only key and text are read, so other columns
+never clash.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .storage import work_table
+from .storage import forget, small_batches, work_table
 
 HEAD_BITS = 21
+#: Seeds to try before giving up on hashes that no two pre-tokens share.
+SEEDS = 4
 #: Distinct pre-tokens that a task gathers before it passes them on.
 GATHER = 1 << 19
 
@@ -80,61 +84,70 @@ def pieces_of(texts: list[str], path: str) -> list[int]:
     return [len(x) if t[:1] == " " and len(t) > 1 else 1 if t == " " else len(x) - 1 if t[:1] == "\n" else len(x) - 2 for t, x in zip(texts, got, strict=True)]
 
 
-def _hashes(raw, starts, ends, first) -> np.ndarray:
+def _hashes(raw, starts, ends, first, seed: int) -> np.ndarray:
     """The first pre-token of a text without a leading blank gets one (the model's dummy prefix), so texts and words share it."""
-    h = tokens.span_hashes(raw, starts, ends)
+    h = tokens.span_hashes(raw, starts, ends, seed)
     lead = first[:-1][np.diff(first) > 0]
     h[lead] = tokens.mix(h[lead] ^ np.uint64(0x5851F42D4C957F2D))
     return h
 
 
-def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """hash, n (occurrences), pieces: one row per distinct pre-token of all texts, counted once."""
+def vocabulary(docs: DataFrame, path: str, text: str = "text", seed: int = 0) -> DataFrame:
+    """hash, n (occurrences), pieces: one row per distinct pre-token of all texts, counted once. Pre-tokens are told apart by their
+    bytes, so two rows may have a hash in common (see distinct_vocabulary)."""
 
     def distinct(batches):
         _, whole = _library(path)
-        seen: list[tuple] = []
+        seen: list[pa.Table] = []
 
         def out():
-            h = np.concatenate([x[0] for x in seen])
-            order, n = np.argsort(h, kind="stable"), np.concatenate([x[1] for x in seen])
-            new = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
-            terms = pa.concat_arrays([x[2] for x in seen]).take(pa.array(order[new]))
-            sums = np.add.reduceat(n[order], new)
+            merged = pa.concat_tables(seen).group_by(["hash", "term"]).aggregate([("n", "sum")]).select(["hash", "term", "n_sum"]).rename_columns(["hash", "term", "n"])
             seen.clear()
-            return pa.RecordBatch.from_arrays([tokens.as_signed(h[order[new]]), terms, pa.array(sums)], ["hash", "term", "n"])
+            return merged.combine_chunks().to_batches()
 
         held = 0
         for batch in batches:
             for i, j, raw, starts, ends, first in _pre_tokens(batch.column(0), whole):
                 if not len(starts):
                     continue
-                h, at, n = np.unique(_hashes(raw, starts, ends, first), return_index=True, return_counts=True)
-                lead = np.isin(at, first[:-1])
                 data = raw.tobytes()
+                code = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, ends[-1])), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy()
+                lead = np.zeros(len(starts), np.int64)
+                lead[first[:-1][np.diff(first) > 0]] = 1
+                _, at, n = np.unique(2 * code.astype(np.int64) + lead, return_index=True, return_counts=True)
                 # the prefix of a text's first pre-token is made explicit: " word" as in the middle of a text
-                terms = pa.array([(b" " if x and not whole else b"") + data[a:b] for a, b, x in zip(starts[at], ends[at], lead, strict=True)], pa.binary())
-                seen.append((h, n, terms))
-                held += len(h)
+                terms = pa.array([(b" " if x and not whole else b"") + data[a:b] for a, b, x in zip(starts[at].tolist(), ends[at].tolist(), lead[at].tolist(), strict=True)], pa.binary())
+                seen.append(pa.table({"hash": tokens.as_signed(_hashes(raw, starts, ends, first, seed)[at]), "term": terms, "n": pa.array(n)}))
+                held += len(at)
                 if held > GATHER:
-                    yield out()
+                    yield from out()
                     held = 0
         if seen:
-            yield out()
+            yield from out()
 
     def count(batches):
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in batch.column("term").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n"), pa.array(pieces_of(texts, path), pa.int32())], ["hash", "n", "pieces"])
 
-    found = docs.select(text).mapInArrow(distinct, "hash long, term binary, n long")
-    return found.groupBy("hash").agg(F.any_value("term").alias("term"), F.sum("n").alias("n")).mapInArrow(count, "hash long, n long, pieces int")
+    found = small_batches(docs.select(text)).mapInArrow(distinct, "hash long, term binary, n long")
+    return found.groupBy("hash", "term").agg(F.sum("n").alias("n")).mapInArrow(count, "hash long, n long, pieces int")
+
+
+def distinct_vocabulary(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, int]:
+    """vocabulary as a work table, and the hashes' seed: the first under which no two pre-tokens of these texts share a hash."""
+    for seed in range(SEEDS):
+        found = work_table(vocabulary(docs, path, text, seed), "pieces")
+        if found.groupBy("hash").count().where("count > 1").isEmpty():
+            return found, seed
+        forget(found)
+    raise ValueError("pre-tokens share hashes under every seed")
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens: a row for each row of docs."""
     spark = docs.sparkSession
-    terms = work_table(vocabulary(docs, path, text), "pieces")
+    terms, seed = distinct_vocabulary(docs, path, text)
     total = terms.agg(F.sum("n")).first()[0] or 0
     least = total / (1 << HEAD_BITS)
     head = terms.where(F.col("n") >= least).select("hash", "pieces").toArrow()
@@ -148,7 +161,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         base = 0
         for batch in batches:
             for i, j, raw, starts, ends, first in _pre_tokens(batch.column(1), whole):
-                h, inverse = np.unique(_hashes(raw, starts, ends, first), return_inverse=True)
+                h, inverse = np.unique(_hashes(raw, starts, ends, first, seed), return_inverse=True)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 hit = known[at] == h if len(known) else np.zeros(len(h), bool)
                 sums = tokens.segment_sums(np.where(hit, pieces[at] if len(known) else 0, 0)[inverse].astype(np.int64), first)
@@ -166,7 +179,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             base += batch.num_rows
 
     kind = docs.schema[key].dataType.simpleString()
-    parts = docs.select(key, text).mapInArrow(frequencies, f"k {kind}, line long, n_bytes long, hash long, n long").withColumn("line", F.struct(F.spark_partition_id().alias("p"), "line"))
+    parts = small_batches(docs.select(key, text)).mapInArrow(frequencies, f"k {kind}, line long, n_bytes long, hash long, n long").withColumn("line", F.struct(F.spark_partition_id().alias("p"), "line"))
     parts = work_table(parts, "frequencies")
     tail = parts.where("hash is not null").select("k", "line", "hash", "n").join(terms.where(F.col("n") < least).select("hash", "pieces"), "hash")
     every = parts.where("hash is null").select("k", "line", "n_bytes", "n").unionByName(tail.select("k", "line", F.lit(0).cast("long").alias("n_bytes"), (F.col("n") * F.col("pieces")).alias("n")))

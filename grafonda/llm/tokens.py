@@ -6,6 +6,7 @@ Two different words share a hash with a chance of about 2**-60; operators that n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,15 @@ import pyarrow.compute as pc
 BLOCK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
 
+
+@lru_cache(maxsize=8)
+def _letters(seed: int) -> np.ndarray:
+    return np.random.default_rng(20240229 + seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 #: Bytes of words of the shingle operators: ASCII letters, digits, "_" and every byte of a non-ASCII character.
@@ -90,9 +97,9 @@ def spans(raw: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarr
     return starts, ends, np.searchsorted(starts, at)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span. The spans are in order and do not overlap."""
-    out = np.empty(len(starts), dtype=np.uint64)
+    out, letters = np.empty(len(starts), dtype=np.uint64), _letters(seed)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
@@ -100,7 +107,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         power, inverse = _power_tables(max(BLOCK, b - a))
         total = np.empty(b - a + 1, dtype=np.uint64)
         total[0] = 0
-        np.cumsum(_LETTERS[raw[a:b]] * power[: b - a], out=total[1:])
+        np.cumsum(letters[raw[a:b]] * power[: b - a], out=total[1:])
         s = starts[i:j] - a
         out[i:j] = mix((total[ends[i:j] - a] - total[s]) * inverse[s] + (ends[i:j] - starts[i:j]).astype(np.uint64))
         i = j
