@@ -6,9 +6,11 @@ document is as toxic as its most toxic window, in training too (the gradient of
 so a few words in a long text are not averaged away. After training, embeddings and softmax collapse into one number per
 n-gram, which is broadcast (BUCKETS floats) and summed in numpy.
 
-Nulls: a null text is an empty one; texts without words get the model's score of nothing (its bias). Null labels and
-ids are not learnt from. No labelled rows, or one class only: the score is the share of toxic labels (0 without labels).
-Whole texts of any length are scored, in runs of bounded size. Several labels of one doc_id: the largest counts.
+Nulls: a null text is an empty one; texts without words get the share of toxic labels as their score. Null labels and ids are not
+learnt from. No labelled rows, or one class only: the score is the share of toxic labels (0 without labels). Whole texts of any
+length are scored, in runs of bounded size. Repeated rows are scored each, and alike. Several labels of one doc_id: the largest
+counts; several texts: the one that sorts first is learnt from. Ties between windows: the first. Empty tables: an empty result. A
+column named score stays; the new one then gets another name.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens
-from .storage import fresh, held_out, sampled
+from .storage import fresh, held_out, sampled, small_batches
 
 GRAMS = (3, 4, 5, 7)
 BUCKETS = 1 << 17
 WINDOW = 8
 LEADING = 3
+#: Scores from here on are flagged.
+FLAG = 0.3
 
 
 def _word_grams(raw: np.ndarray, at: np.ndarray):
@@ -149,52 +154,71 @@ def fit(texts: pa.Array, toxic: np.ndarray, dim: int = 8, rounds: int = 90, rate
     return ToxicityModel(table @ soft, float(bias[0]))
 
 
+def best_shift(logits: np.ndarray, toxic: np.ndarray, share: float) -> float:
+    """What to add to logits so that FLAG separates labels best: the middle of the thresholds with the highest F1, if a share of all
+    rows were toxic."""
+    order = np.argsort(logits)
+    x, y = logits[order], toxic[order]
+    weight = np.where(y > 0, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
+    above = lambda w: np.append(np.cumsum(w[::-1])[::-1], 0.0)  # noqa: E731  from each place on
+    hit, miss = above(weight * y), above(weight * (1 - y))
+    f1 = 2 * hit / np.maximum(hit + miss + share, 1e-12)
+    edges = np.concatenate(([x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]))
+    f1[1:-1][x[1:] == x[:-1]] = -1  # equal logits can't be parted
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    run = best[: int(np.argmax(np.append(np.diff(best) > 1, True))) + 1]  # the first run of equals
+    return _odds(FLAG) - float(edges[run].mean())
+
+
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2600) -> ToxicityModel:
-    """Fits on about max_docs labelled rows, chosen by a hash of doc_id; these go to one task."""
+    """Fits on about max_docs labelled rows, chosen by a hash of doc_id; these go to one task. A fit on three quarters of them sets the
+    bias by the last quarter, then all are fitted."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"), 4, 2))
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     toxic = sampled(known.where("toxic = 1"), "doc_id", max_docs // 2, n.get(1, 0))
     clean = sampled(known.where("toxic = 0"), "doc_id", max_docs // 2, n.get(0, 0))
-    rows = docs.select("doc_id", "text").join(F.broadcast(toxic.unionByName(clean)), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(toxic.unionByName(clean)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    share = n.get(1, 0) / max(sum(n.values()), 1)
 
     def fitted(batches):
         held = [b for b in batches if b.num_rows]
         if held:
-            sample = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-            model = fit(tokens.strings(sample.column("text")), sample.column("toxic").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+            sample = pa.Table.from_batches(held).sort_by("doc_id")
+            texts, label = tokens.strings(sample.column("text")), sample.column("toxic").to_numpy()
+            rank = np.where(label > 0, np.cumsum(label > 0), np.cumsum(label <= 0))  # every fourth of each label
+            tried, shift = rank % 4 == 0, 0.0
+            if len(np.unique(label[tried])) == len(np.unique(label[~tried])) == 2:
+                part = fit(texts.filter(pa.array(~tried)), label[~tried])
+                shift = best_shift(part.logits(*tokens.bytes_of(texts.filter(pa.array(tried)))), label[tried], share)
+            model = fit(texts, label)
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias + shift])], ["weights", "bias"])
 
     # one executor fits on the bounded sample, so the driver holds the collapsed weights only
     found = rows.repartition(1).mapInArrow(fitted, "weights binary, bias double").first()
     if found is None:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), _odds(0.0))
-    share = n.get(1, 0) / max(sum(n.values()), 1)
-    model = ToxicityModel(np.frombuffer(found["weights"], np.float32), found["bias"], share)
-    if model.weights.any():
-        model.bias += _odds(share) / 2  # the sample is balanced; half way back to the true odds
-    return model
+    return ToxicityModel(np.frombuffer(found["weights"], np.float32), found["bias"], share)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """Columns keep of docs with score (double, 0 to 1)."""
-    keep = keep if keep is not None else [c for c in docs.columns if c != "score"]
+    """Columns keep of docs (or all) with score (double, 0 to 1; spelled as storage.fresh does where keep has that name)."""
+    keep = keep if keep is not None else docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    (whole,) = fresh(docs, "whole_text")
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    asked = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    text, names = asked.columns.index("text"), [*keep, *fresh(docs.select(*keep), "score")]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[-1], T.DoubleType())])
 
     def batches_of(batches):
         for batch in batches:
-            column = tokens.strings(batch.column(batch.num_columns - 1))
-            out = np.zeros(len(column))
-            for i, j, raw, at in tokens.chunks(column, 1 << 19):
-                out[i:j] = 1 / (1 + np.exp(-np.clip(shared.value.logits(raw, at), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*keep, "score"])
+            for i, j, raw, at in tokens.chunks(batch.column(text), 1 << 19):
+                out = 1 / (1 + np.exp(-np.clip(shared.value.logits(raw, at), -500, 500)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[: len(keep)], pa.array(out)], names)
 
-    return docs.select(*keep, F.col("text").alias(whole)).mapInArrow(batches_of, schema)
+    return small_batches(asked).mapInArrow(batches_of, schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score(docs.select("doc_id", "text"), train(docs, labels), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= FLAG).cast("int").alias("predicted"))
