@@ -31,7 +31,7 @@ from .storage import fresh, sampled, small_batches, work_table
 CAPACITY = 2048
 SALTS = 64
 #: Distinct pre-tokens that a worker knows at a time, until its partition ends.
-REMEMBER = 1 << 20
+REMEMBER = 1 << 19
 #: Plain texts are ASCII without control characters and apostrophes, and Latin-1 letters: bytes that stand alone, and those after 0xC3.
 _ONE, _TWO = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _ONE[32:127] = _ONE[[9, 10, 13]] = True
