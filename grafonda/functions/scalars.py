@@ -114,7 +114,8 @@ def layer(path: Column) -> Column:
 
 
 def is_test_file(path: Column) -> Column:
-    return path.rlike(r"(_test\.go|\.test\.[jt]sx?|\.spec\.[jt]sx?|_test\.py|_spec\.rb|Test\.java)$|(^|/)test_[^/]*\.py$")
+    """Test files as traversals know them."""
+    return path.rlike(r"(_test\.go|_test\.ts|_test\.js|_spec\.ts|_spec\.js|_test\.py|\.test\.ts|\.test\.js|\.spec\.ts|\.spec\.js)$|(^|/)test_[^/]*\.py$")
 
 
 def provenance(path: Column, head: Column) -> Column:

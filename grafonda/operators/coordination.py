@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import micros
 
@@ -40,18 +42,35 @@ def orphaned_tasks(actions: DataFrame) -> DataFrame:
     return actions.withColumn("rank", last).where("rank = 1").join(finished, "task_id", "left_anti").select("task_id", "agent_id")
 
 
-def token_bucket(requests: DataFrame, by: str, at: Column, per_minute: int, burst: int) -> DataFrame:
-    """requests with allowed: a bucket of `burst` tokens that fills at per_minute; one ordered fold for each key and hour, where a bucket is full again."""
-    hour = F.date_trunc("hour", at)
-    rows = F.array_sort(F.collect_list(F.struct(micros(at).alias("t"), F.col("id"))))
-    start = F.struct(F.lit(float(burst)).alias("left"), F.lit(0).cast("long").alias("last"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out"))
-
-    def step(acc, r):
-        left = F.least(F.lit(float(burst)), acc["left"] + (r["t"] - F.when(acc["last"] == 0, r["t"]).otherwise(acc["last"])) / 6e7 * per_minute)
-        ok = left >= 1
-        return F.struct((left - F.when(ok, 1.0).otherwise(0.0)).alias("left"), r["t"].alias("last"), F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), ok.alias("allowed")))).alias("out"))
-
-    return requests.groupBy(by, hour.alias("hour")).agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("out")).select(by, F.inline("out"))
+def token_bucket(requests: DataFrame, by: str, at: str, per_minute: int, burst: int, order: str = "id") -> DataFrame:
+    """requests with allowed: each key has a bucket of `burst` tokens that fills all the time, at per_minute, and a request takes one if
+    there is one. A key's requests are folded in order, a batch at a time; where a key was silent for long enough to fill its bucket it
+    starts afresh, so its history is cut there and dealt over tasks."""
+    width = max(1, -(-60 * burst // per_minute))  # seconds to fill an empty bucket
+    chunk, island, t = "_chunk", "_island", "_t"
+    keyed = requests.withColumns({t: micros(at), chunk: F.floor(micros(at) / (width * 1_000_000))})
+    chunks = keyed.select(by, chunk).distinct()
+    before = F.lag(chunk).over(Window.partitionBy(by).orderBy(chunk))
+    fresh = chunks.withColumn("rest", (F.col(chunk) - before > 1).cast("int"))  # a whole chunk without a request
+    marked = fresh.withColumn(island, F.sum(F.coalesce("rest", F.lit(1))).over(Window.partitionBy(by).orderBy(chunk))).drop("rest")
+    dealt = keyed.join(marked, [by, chunk]).repartition(by, island).sortWithinPartitions(by, island, t, order)
+    names = [f.name for f in requests.schema.fields]
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())])
+
+    def fold(batches):
+        key, left, last = None, 0.0, 0
+        for batch in batches:
+            out = []
+            for k, i, now in zip(batch.column(by).to_pylist(), batch.column(island).to_pylist(), batch.column(t).to_pylist(), strict=True):
+                if (k, i) != key:
+                    key, left, last = (k, i), float(burst), now
+                left = min(float(burst), left + (now - last) / 6e7 * per_minute)
+                last = now
+                out.append(left >= 1)
+                left -= out[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.bool_())], [*names, "allowed"])
+
+    return dealt.select(*names, t, island).mapInArrow(fold, schema)
 
 
 def ledger(entries: DataFrame, since: Column, keep: int = 10, cap: int = 20) -> DataFrame:
@@ -68,3 +87,117 @@ def timeline(**sources: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# Windows of sessions in seconds: a client that comes back within the first goes on with its session; one that comes back
+# within the second wakes it up; others start anew.
+RECONNECT, HIBERNATE = 300, 86_400
+
+
+def session_chain(calls: DataFrame, by: list[str], at: str = "at", reconnect: int = RECONNECT, hibernate: int = HIBERNATE) -> DataFrame:
+    """A row for each session of calls: its key, number, start, end, calls, how it came about (new, resumed or superseded) and its parent.
+    Calls closer than `reconnect` belong to one session; a gap up to `hibernate` resumes the one before, a longer one supersedes it."""
+    w = Window.partitionBy(*by).orderBy(at)
+    gap = F.unix_timestamp(at) - F.unix_timestamp(F.lag(at).over(w))
+    marked = calls.withColumn("gap", gap).withColumn("number", F.sum(F.when(F.col("gap") > reconnect, 1).otherwise(0)).over(w))
+    each = marked.groupBy(*by, "number").agg(F.min(at).alias("started_at"), F.max(at).alias("ended_at"), F.count("*").alias("calls"), F.max_by("gap", F.struct(-F.unix_micros(at))).alias("gap"))
+    how = F.when(F.col("number") == 0, "new").when(F.col("gap") <= hibernate, "resumed").otherwise("superseded")
+    return each.select(*by, "number", "started_at", "ended_at", "calls", how.alias("state"), F.when(F.col("number") > 0, F.col("number") - 1).alias("parent"))
+
+
+def stale_sessions(sessions: DataFrame, now: Column, idle_minutes: int, keep: int = 5) -> DataFrame:
+    """Open sessions that have been idle for longer, the longest first."""
+    idle = ((micros(now) - micros("last_seen_at")) / 6e7).cast("long")
+    return sessions.where("ended_at is null").withColumn("idle_minutes", idle).where(F.col("idle_minutes") > idle_minutes).orderBy(F.desc("idle_minutes"), "session_id").limit(keep)
+
+
+def tasks_by_node(tasks: DataFrame, node: str) -> DataFrame:
+    """Tasks whose linked nodes hold node."""
+    return tasks.where(F.array_contains("linked_nodes", node))
+
+
+def latest_state(states: DataFrame, by: list[str], at: str = "at") -> DataFrame:
+    """The latest row for each key."""
+    rest = [c for c in states.columns if c not in by]
+    return states.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("s")).select(*by, "s.*")
+
+
+def events_since(events: DataFrame, seq: int, kinds: list[str] | None = None, agent: str | None = None, keep: int = 100) -> DataFrame:
+    """Events after a sequence number, in order, of some kinds or one agent."""
+    out = events.where(F.col("seq") > seq)
+    out = out.where(F.col("type").isin(*kinds)) if kinds else out
+    out = out.where(F.col("agent_id") == agent) if agent else out
+    return out.orderBy("seq").limit(keep)
+
+
+def overlaps(work: DataFrame, links: DataFrame | None = None, cap: int = 3) -> DataFrame:
+    """a, b, level, shared: pairs of sessions of work(session_id, files, entities) that touch one file, or else one entity, or else (with
+    links(entity, neighbour)) neighbours; up to cap of what they share. Pairs meet through what they share, not all with all."""
+    touched = work.select("session_id", F.explode(F.array_distinct("files")).alias("x"), F.lit(0).alias("level"))
+    touched = touched.unionByName(work.select("session_id", F.explode(F.array_distinct("entities")).alias("x"), F.lit(1).alias("level")))
+    pairs = _sharing(touched.select("session_id", "x", "level"), touched.select("session_id", "x", "level"))
+    if links is not None:
+        own = work.select("session_id", F.explode(F.array_distinct("entities")).alias("x"))
+        near = own.join(links.select(F.col("entity").alias("x"), "neighbour"), "x").select("session_id", F.col("neighbour").alias("x"), F.lit(2).alias("level")).distinct()
+        pairs = pairs.unionByName(_sharing(near, own.withColumn("level", F.lit(2))))
+    best = pairs.groupBy("a", "b", "level").agg(F.slice(F.array_sort(F.collect_set("x")), 1, cap).alias("shared"))
+    return best.groupBy("a", "b").agg(F.min_by(F.struct("level", "shared"), "level").alias("s")).select("a", "b", "s.level", F.array_join("s.shared", ",").alias("shared"))
+
+
+def _sharing(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = left.select(F.col("session_id").alias("a"), "x", "level"), right.select(F.col("session_id").alias("b"), "x", "level")
+    both = a.join(b, ["x", "level"]).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level", "x").distinct()
+
+
+def unseen_alerts(alerts: DataFrame, seen: DataFrame) -> DataFrame:
+    """alerts(a, b, level, shared) with a hash, without those whose hash was seen."""
+    keyed = alerts.withColumn("hash", F.sha1(F.concat_ws("|", "a", "b", "level", "shared")))
+    return keyed.join(seen.select("hash"), "hash", "left_anti")
+
+
+def with_outcomes(deliveries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """deliveries with the outcome of their session where they have none yet."""
+    last = outcomes.groupBy("session_id").agg(F.max("outcome").alias("found"))
+    return deliveries.join(last, "session_id", "left").withColumn("outcome", F.coalesce(F.nullif(F.col("outcome"), F.lit("")), "found")).drop("found")
+
+
+def new_annotations(existing: DataFrame, new: DataFrame, minutes: int) -> DataFrame:
+    """new(node_id, agent_id, note, at) without those whose same note by the same agent on the same node is at most so many minutes old, in
+    existing or earlier in new."""
+    key = ["node_id", "agent_id", "note"]
+    every = existing.select(*key, "at", F.lit(False).alias("new")).unionByName(new.select(*key, "at", F.lit(True).alias("new")))
+    gap = micros("at") - F.lag(micros("at")).over(Window.partitionBy(*key).orderBy("at", "new"))
+    return every.withColumn("gap", gap).where(F.col("new") & (F.col("gap").isNull() | (F.col("gap") > minutes * 60_000_000))).select(*key, "at")
+
+
+def agents_present(agents: DataFrame, now: Column) -> DataFrame:
+    """presence -> number of agents, by when they were last seen."""
+    from ..functions.scalars import presence
+
+    minutes = (micros(now) - micros("last_seen_at")) / 6e7
+    return agents.groupBy(presence(minutes).alias("presence")).agg(F.count("*").alias("agents"))
+
+
+def package_work(events: DataFrame, cap: int = 20) -> DataFrame:
+    """dir, files, entities: what a session touched by folder; at most cap folders, the busiest first."""
+    folder = F.when(F.contains("file", F.lit("/")), F.regexp_replace("file", "/[^/]*$", "")).otherwise(".")
+    return events.groupBy(folder.alias("dir")).agg(F.countDistinct("file").alias("files"), F.countDistinct("entity").alias("entities")).orderBy(F.desc("files"), F.desc("entities"), "dir").limit(cap)
+
+
+def session_trend(sessions: DataFrame) -> DataFrame:
+    """One row: first, second, trend: hit rates of the earlier and the later half of sessions (started_at, hits, total), each weighed by its
+    size; a change of over .05 is a trend."""
+    counted = sessions.select("started_at", "session_id", "hits", "total")
+    half = F.ntile(2).over(Window.orderBy("started_at", "session_id"))  # one agent's sessions
+    rate = lambda k: F.coalesce(F.sum(F.when(F.col("half") == k, F.col("hits"))) / F.nullif(F.sum(F.when(F.col("half") == k, F.col("total"))), F.lit(0)), F.lit(0.0))
+    out = counted.withColumn("half", half).agg(rate(1).alias("first"), rate(2).alias("second"))
+    return out.withColumn("trend", F.when(F.col("second") - F.col("first") > 0.05, "improving").when(F.col("first") - F.col("second") > 0.05, "declining").otherwise("stable"))
+
+
+def call_summary(calls: DataFrame, by: str, keep: int = 10) -> DataFrame:
+    """by, calls, error_rate, busy_ms, tools: with its most used tools as name:calls, joined by commas."""
+    tools = calls.groupBy(by, "tool_name").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "tool_name"))
+    named = tools.withColumn("rank", rank).where(F.col("rank") <= keep).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tool_name", "n"))), lambda x: F.concat_ws(":", x["tool_name"], x["n"].cast("string"))), ",").alias("tools"))
+    return calls.groupBy(by).agg(F.count("*").alias("calls"), F.round(1 - F.avg("success"), 6).alias("error_rate"), F.sum("duration_ms").alias("busy_ms")).join(named, by)

@@ -49,10 +49,8 @@ def parse(query: str) -> list[Condition]:
     keyword = lambda k, word: k < len(found) and found[k][0] == "word" and found[k][1].upper() == word
     if not keyword(0, "NODES"):
         raise ValueError("a query starts with NODES")
-    if len(found) == 1:
-        return []
     if not keyword(1, "WHERE"):
-        raise ValueError(f"WHERE is expected at {found[1][2]}")
+        raise ValueError(f"WHERE is expected at {found[1][2] if len(found) > 1 else len(query)}")
     out, k = [], 2
     while True:
         if len(found) < k + 3:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import micros
+from .work import cut
 
 
 def as_of(memories: DataFrame, versions: DataFrame, at: Column) -> DataFrame:
@@ -27,8 +28,8 @@ def live(memories: DataFrame, now: Column) -> DataFrame:
     return memories.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
-def expired_children(memories: DataFrame, child: DataFrame, now: Column) -> DataFrame:
-    """Rows of a child table (memory_id, ...) whose memory is live."""
+def live_children(memories: DataFrame, child: DataFrame, now: Column) -> DataFrame:
+    """Rows of a child table (memory_id, ...) that stay when expired memories go: those whose memory is live."""
     return child.join(live(memories, now).select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
 
 
@@ -39,13 +40,32 @@ def decayed(memories: DataFrame, now: Column) -> DataFrame:
     return memories.withColumn("strength", F.when(F.col("tier") == "pinned", 1.0).otherwise(F.col("importance") * scalars.recency_decay(age, F.col("access_count"), half)))
 
 
-def duplicates(memories: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """a, b, similarity of memories of one tier and entity with token sets this alike; each pair once, found by shared tokens."""
-    sets = memories.select("id", "tier", "entity_id", scalars.token_set(F.col("content")).alias("words"))
-    tokens = sets.select("id", "tier", "entity_id", F.size("words").alias("n"), F.explode("words").alias("w"))
-    b = tokens.select(F.col("id").alias("b"), "tier", "entity_id", F.col("n").alias("m"), "w")
-    shared = tokens.withColumnRenamed("id", "a").join(b, ["tier", "entity_id", "w"]).where("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
-    return shared.withColumn("similarity", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+def duplicates(memories: DataFrame, threshold: float = 0.85, vectors: DataFrame | None = None, loose: float = 0.5, alike: float = 0.9) -> DataFrame:
+    """a, b, similarity, n_a, n_b: pairs of token sets (within a tier and entity) that are alike by more than threshold, named by the least id
+    of each set; with vectors(id, vector) also those of `loose` or more whose vectors' cosine is over `alike`. Memories with one token set
+    are one class (n_a, n_b: how many) that stands for all pairs among them: a = b.
+
+    Two sets this alike share one of the rarest tokens of each (as many as a prefix filter needs), so only sets that share a rare token meet;
+    common tokens pair nothing."""
+    least = threshold if vectors is None else loose
+    sets = memories.select("id", "tier", "entity_id", F.array_sort(scalars.token_set(F.col("content"))).alias("words")).where(F.size("words") > 0)
+    classes = cut(sets.groupBy("tier", "entity_id", "words").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
+    rarity = classes.select("tier", "entity_id", F.explode("words").alias("w")).groupBy("tier", "entity_id", "w").agg(F.count("*").alias("df"))
+    ranked = classes.select("id", "tier", "entity_id", F.size("words").alias("size"), F.explode("words").alias("w")).join(rarity, ["tier", "entity_id", "w"])
+    first = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
+    seeds = ranked.withColumn("k", first).where(F.col("k") <= F.col("size") - F.ceil(least * F.col("size")) + 1).select("id", "tier", "entity_id", "w", "size")
+    b = seeds.select(F.col("id").alias("b"), "tier", "entity_id", "w", F.col("size").alias("m"))
+    near = seeds.withColumnRenamed("id", "a").join(b, ["tier", "entity_id", "w"]).where((F.col("a") < F.col("b")) & (F.col("m") >= least * F.col("size")) & (F.col("size") >= least * F.col("m"))).select("a", "b").distinct()
+    full = lambda x, n: classes.select(F.col("id").alias(x), F.col("words").alias(f"w_{x}"), F.col("n").alias(n))
+    both = near.join(full("a", "n_a"), "a").join(full("b", "n_b"), "b").withColumn("similarity", scalars.jaccard(F.col("w_a"), F.col("w_b")))
+    if vectors is None:
+        good = both.where(F.col("similarity") > threshold)
+    else:
+        v = lambda x: vectors.select(F.col("id").alias(x), F.col("vector").alias(f"v_{x}"))
+        both = both.join(v("a"), "a", "left").join(v("b"), "b", "left")
+        good = both.where((F.col("similarity") > threshold) | ((F.col("similarity") >= loose) & (scalars.cosine(F.col("v_a"), F.col("v_b")) > alike)))
+    own = classes.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    return good.select("a", "b", "similarity", "n_a", "n_b").unionByName(own)
 
 
 def stale_by_anchor(anchors: DataFrame, changed: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+from .work import shared_dir
+
 NODE_COLUMNS = ("id", "type", "name", "package", "file", "line", "exported", "domain")
 
 
@@ -62,6 +67,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_saved: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of sf_dir, saved once a session (see store.save_graph) and loaded from there by every query after the first."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _saved:
+        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        store.save_graph(nodes(spark, sf_dir), edges(spark, sf_dir), path)
+        _saved[key] = store.load_graph(spark, path)
+    return _saved[key]
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tool_calls: one row per event."""
     return table(spark, sf_dir, "events").selectExpr(

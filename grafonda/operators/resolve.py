@@ -23,11 +23,15 @@ def resolved_calls(sites: DataFrame, nodes: DataFrame, imports: DataFrame) -> Da
 
 
 def structural_implements(interface_methods: DataFrame, struct_methods: DataFrame) -> DataFrame:
-    """interface, struct: relational division of (owner, method): structs that have every method of an interface."""
-    need = interface_methods.distinct().groupBy("owner").agg(F.count("*").alias("need"))
-    pairs = interface_methods.distinct().select(F.col("owner").alias("interface"), "method").join(struct_methods.distinct().select(F.col("owner").alias("struct"), "method"), "method")
-    have = pairs.groupBy("interface", "struct").agg(F.count("*").alias("have"))
-    return have.join(need.withColumnRenamed("owner", "interface"), "interface").where("have = need").select("interface", "struct")
+    """interface, struct: relational division of (owner, method): structs that have every method of an interface. An interface meets only the
+    structs that have its rarest method, so methods that all have pair nothing."""
+    asked, held = interface_methods.distinct().withColumnRenamed("owner", "interface"), struct_methods.distinct().withColumnRenamed("owner", "struct")
+    common = held.groupBy("method").agg(F.count("*").alias("df"))
+    counted = asked.join(common, "method", "left")
+    rarest = counted.groupBy("interface").agg(F.count("*").alias("need"), F.count("df").alias("known"), F.min_by("method", F.struct("df", "method")).alias("method")).where("need = known")
+    pairs = rarest.join(held, "method").select("interface", "struct", "need")
+    have = pairs.join(asked, "interface").join(held, ["struct", "method"], "left_semi").groupBy("interface", "struct", "need").agg(F.count("*").alias("have"))
+    return have.where("have = need").select("interface", "struct")
 
 
 def heritage(nodes: DataFrame) -> DataFrame:

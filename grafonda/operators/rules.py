@@ -43,3 +43,48 @@ def merged_log(log: DataFrame, found: DataFrame, now: str) -> DataFrame:
 def suggestion(edge_type: Column) -> Column:
     """A line of advice for a violation of this type of edge."""
     return F.when(edge_type == "CALLS", "put an interface between caller and callee").when(edge_type == "IMPORTS", "move what both need to a package of its own").when(edge_type == "DEPENDS_ON", "turn the dependency around").otherwise("check the rule")
+
+
+def path_violations(nodes: DataFrame, edges: DataFrame, found: list[tuple[str, str, tuple[str, ...], Column, Column]]) -> DataFrame:
+    """rule_id, severity, start_id, end_id for rules (id, severity, edge types in order, condition of the start, of the end): each pair of ends
+    once, with ends deduplicated at every step."""
+    from .graph import path_pattern
+
+    out = None
+    for rule_id, severity, kinds, start, end in found:
+        own = path_pattern(nodes, edges, list(kinds), start, end).select(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), "start_id", "end_id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def upserted(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """rules with new ones, which replace those of their id."""
+    return rules.join(new.select("rule_id"), "rule_id", "left_anti").select(*rules.columns).unionByName(new.select(*rules.columns))
+
+
+def verification(changes: DataFrame, edges: DataFrame, many: int = 10) -> DataFrame:
+    """id, callers, high_fan_in of changes(id): what has to be looked at after signatures changed."""
+    callers = edges.where("type = 'CALLS'").join(changes.select(F.col("id").alias("to_id")), "to_id", "left_semi").groupBy(F.col("to_id").alias("id")).agg(F.countDistinct("from_id").alias("callers"))
+    return changes.select("id").join(callers, "id", "left").select("id", F.coalesce("callers", F.lit(0)).alias("callers"), (F.coalesce("callers", F.lit(0)) >= many).alias("high_fan_in"))
+
+
+def verified_claims(claims: DataFrame, nodes: DataFrame, edges: DataFrame, is_test: Column) -> DataFrame:
+    """id, claim, holds of claims(id, claim): what a text says of a node's callers, tests or callees, held against the graph; null where the
+    claim says nothing that the graph knows."""
+    calls = edges.where("type = 'CALLS'")
+    tests = nodes.where(is_test).select(F.col("id").alias("from_id"), F.lit(1).alias("test"))
+    into = calls.join(tests, "from_id", "left").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("fan_in"), F.count("test").alias("tests"))
+    out_of = calls.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("fan_out"))
+    both = claims.join(into, "id", "left").join(out_of, "id", "left").na.fill(0, ["fan_in", "tests", "fan_out"])
+    says = lambda *words: F.rlike(F.lower("claim"), F.lit("|".join(words)))
+    holds = (
+        F.when(says("widely used", "many callers", "hotspot"), F.col("fan_in") > 5).when(says("untested", "no tests"), F.col("tests") == 0).when(says("well tested", "is tested"), F.col("tests") > 0)
+        .when(says("unused", "dead code"), F.col("fan_in") == 0).when(says("leaf"), F.col("fan_out") == 0)
+    )
+    return both.select("id", "claim", holds.alias("holds"))
+
+
+def review_summary(affected: DataFrame, nodes: DataFrame, is_test: Column) -> DataFrame:
+    """One row: how many nodes are affected directly and further on, in how many files, and how many of them are tests."""
+    named = affected.join(nodes.select("id", "file"), "id")
+    return named.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"), F.countDistinct("file").alias("files"), F.count_if(is_test).alias("tests"))

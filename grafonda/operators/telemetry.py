@@ -63,7 +63,8 @@ def declining(tc: DataFrame, last_day: Column, days: int = 14, least: int = 3) -
 
 def nearest_rank(df: DataFrame, value: str, by: list[str], percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """pN: the smallest value that at least N per cent of rows do not exceed."""
-    return df.groupBy(*by).agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in percents])
+    kind = df.schema[value].dataType
+    return df.groupBy(*by).agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").cast(kind).alias(f"p{p}") for p in percents])
 
 
 def offset_percentile(df: DataFrame, value: str, percents: tuple[int, ...] = (50, 90)) -> DataFrame:
@@ -88,11 +89,14 @@ def error_recovery(tc: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("failures"), count_if(F.col("next") == 1).alias("recovered")).withColumn("rate", ratio(F.col("recovered"), F.col("failures")))
 
 
-def repeated_runs(tc: DataFrame) -> DataFrame:
-    """Runs of the same call by an agent (gaps and islands), with what a guard would do."""
+def repeated_runs(tc: DataFrame, pause: int = 60, window: int = 30) -> DataFrame:
+    """Runs of the same call (tool and main argument) by an agent, and what a guard would do. Another call, or a pause of over a minute, ends
+    a run; the guard looks back over `window` calls."""
     w = Window.partitionBy("agent_id").orderBy("created_at", "id")
-    new = (F.lag("tool_name").over(w).isNull() | (F.lag("tool_name").over(w) != F.col("tool_name"))).cast("int")
-    runs = tc.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("agent_id", "run", "tool_name").agg(F.count("*").alias("length"))
+    call = F.concat_ws(":", "tool_name", "entity")
+    keyed = tc.withColumn("call", call).withColumn("gap", F.unix_micros(F.col("created_at").cast("timestamp")) - F.lag(F.unix_micros(F.col("created_at").cast("timestamp"))).over(w))
+    new = (F.lag("call").over(w).isNull() | (F.lag("call").over(w) != F.col("call")) | (F.col("gap") > pause * 1_000_000)).cast("int")
+    runs = keyed.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("agent_id", "run").agg(F.least(F.count("*"), F.lit(window)).alias("length"))
     act = F.when(F.col("length") >= RUN_STOP, "stop").when(F.col("length") >= RUN_WARN, "warn").otherwise("pass")
     return runs.withColumn("action", act).groupBy("action").agg(F.count("*").alias("runs"), F.max("length").alias("longest"))
 
@@ -172,13 +176,17 @@ def context_precision(cd: DataFrame, os: DataFrame) -> DataFrame:
     return all_.select("hits", "delivered", "done", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")).alias("f1"))
 
 
-def agent_overlap(tc: DataFrame, minutes: int = 60, keep: int = 50) -> DataFrame:
-    """Pairs of agents whose work on an entity overlaps in time, give or take so many minutes: equal entity and a range."""
-    spans = tc.groupBy("entity", "agent_id").agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
-    slack = F.expr(f"interval {minutes} minutes")
-    a, b = spans.alias("a"), spans.alias("b")
-    near = (F.col("a.entity") == F.col("b.entity")) & (F.col("a.agent_id") < F.col("b.agent_id")) & (F.col("a.first") <= F.col("b.last") + slack) & (F.col("b.first") <= F.col("a.last") + slack)
-    return a.join(b, near).groupBy(F.col("a.entity").alias("entity")).agg(F.count("*").alias("pairs"), F.countDistinct("a.agent_id").alias("agents")).orderBy(F.desc("pairs"), "entity").limit(keep)
+def agent_overlap(tc: DataFrame, minutes: int = 60, keep: int = 50, named: int = 20) -> DataFrame:
+    """entity, pairs, agents, agent_ids (the first `named`): how many pairs of agents worked on an entity at overlapping times, give or take so
+    many minutes. A sweep over starts and ends counts them: a start overlaps all spans that are open; pairs are never listed."""
+    spans = tc.groupBy("entity", "agent_id").agg(F.unix_micros(F.min("created_at").cast("timestamp")).alias("first"), (F.unix_micros(F.max("created_at").cast("timestamp")) + minutes * 60_000_000).alias("last"))
+    marks = spans.select("entity", F.inline(F.array(F.struct(F.col("first").alias("t"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("last").alias("t"), F.lit(1).alias("kind"), F.lit(-1).alias("step")))))
+    open_ = F.sum("step").over(Window.partitionBy("entity").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    pairs = marks.withColumn("open", F.coalesce(open_, F.lit(0))).where("kind = 0").groupBy("entity").agg(F.sum("open").alias("pairs"))
+    top = pairs.where("pairs > 0").orderBy(F.desc("pairs"), "entity").limit(keep)
+    who = spans.join(F.broadcast(top.select("entity")), "entity", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy("agent_id")))
+    ids = who.groupBy("entity").agg(F.count("*").alias("agents"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= named, F.col("agent_id")))), lambda x: x.cast("string")), ",").alias("agent_ids"))
+    return top.join(ids, "entity")
 
 
 def stale_deliveries(cd: DataFrame, os: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import dsl, graph, model, resolve, rules
+from ..operators import carve, dsl, graph, model, resolve, rules
 from ..operators.model import GRAPH_SQL
 
 QUERIES: dict = {}
@@ -15,7 +15,7 @@ SUPPLIER = "tpch::supplier::1"
 
 def _add(name, run, sql):
     """run(nodes, edges) as a query of (spark, sf_dir)."""
-    QUERIES[f"graph_{name}"] = (lambda spark, d: run(model.nodes(spark, d), model.edges(spark, d)), f"WITH RECURSIVE {GRAPH_SQL} {sql}" if sql else None)
+    QUERIES[f"graph_{name}"] = (lambda spark, d: run(*model.graph(spark, d)), f"WITH RECURSIVE {GRAPH_SQL} {sql}" if sql else None)
 
 
 def _seed(df, *ids):
@@ -40,10 +40,25 @@ _add("edge_counts", lambda n, e: e.groupBy("type").agg(F.count("*").alias("n")),
 _add("node_counts", lambda n, e: n.groupBy("type", "domain").agg(F.count("*").alias("n"), F.sum(F.col("exported").cast("long")).alias("exported")), "SELECT type, domain, count(*) AS n, sum(exported::BIGINT)::BIGINT AS exported FROM nodes GROUP BY ALL")
 _add("degrees", dsl.degrees, f"SELECT * FROM {_DEG}")
 _add("connectivity", lambda n, e: e.where("type not in ('DEFINES', 'IMPORTS')").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("n")), "SELECT to_id AS id, count(*) AS n FROM edges WHERE type NOT IN ('DEFINES', 'IMPORTS') GROUP BY 1")
-_add("topology", graph.topology, "SELECT n AS nodes, e AS edges, c AS calls, o AS orphans, round(e / (n * (n - 1.0)), 9) AS density, round(100.0 * x / e, 6) AS cross_file_pct FROM (SELECT (SELECT count(*) FROM nodes) n, (SELECT count(*) FROM edges) e, (SELECT count(*) FROM edges WHERE type = 'CALLS') c, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT from_id FROM edges UNION SELECT to_id FROM edges)) o, (SELECT count(*) FROM edges JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.file <> b.file) x)")
+def _degree_sql(end, name):
+    d = f"(SELECT coalesce(c, 0) AS d FROM nodes LEFT JOIN (SELECT {end} AS id, count(*) c FROM edges GROUP BY 1) USING (id))"
+    at = lambda p: f"(SELECT d FROM (SELECT d, row_number() OVER (ORDER BY d) AS r, count(*) OVER () AS n FROM {d}) WHERE r = floor((n - 1) * {p} / 100) + 1)::BIGINT AS {name}_p{p}"
+    return f"(SELECT max(d) FROM {d})::BIGINT AS {name}_max, {at(50)}, {at(95)}"
+
+
+_add(
+    "topology", graph.topology,
+    "SELECT n AS nodes, e AS edges, c AS calls, o AS orphans, round(e / (n * (n - 1.0)), 9) AS density, round(100.0 * x / e, 6) AS cross_file_pct, " + _degree_sql("to_id", "fanin") + ", " + _degree_sql("from_id", "fanout")
+    + " FROM (SELECT (SELECT count(*) FROM nodes) n, (SELECT count(*) FROM edges) e, (SELECT count(*) FROM edges WHERE type = 'CALLS') c, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT from_id FROM edges UNION SELECT to_id FROM edges)) o, "
+    "(SELECT count(*) FROM edges JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.file <> b.file) x)",
+)
 _add("repo_map", lambda n, e: dsl.degrees(n, e).withColumn("dir", F.substring_index("file", "/", 1)).withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc(F.col("fanin") + F.col("fanout")), "id"))).where("rank <= 5").select("dir", "rank", "id", "fanin", "fanout"), f"SELECT * FROM (SELECT split_part(file, '/', 1) AS dir, row_number() OVER (PARTITION BY split_part(file, '/', 1) ORDER BY fanin + fanout DESC, id)::INT AS rank, id, fanin, fanout FROM {_DEG}) WHERE rank <= 5")
 _add("identity", lambda n, e: dsl.degrees(n, e).where("type not in ('file', 'package')").withColumn("degree", F.col("fanin") + F.col("fanout")).orderBy(F.desc("degree"), "id").limit(10).select("id", "type", "degree"), f"SELECT id, type, fanin + fanout AS degree FROM {_DEG} WHERE type NOT IN ('file', 'package') ORDER BY 3 DESC, 1 LIMIT 10")
-_add("dead_code", lambda n, e: dsl.degrees(n, e).where("fanin = 0 and not exported").select("id", "type"), f"SELECT id, type FROM {_DEG} WHERE fanin = 0 AND NOT exported")
+_USED = "type not in ('DEFINES', 'IMPORTS')"
+_add(
+    "dead_code", lambda n, e: dsl.degrees(n, e.where(_USED)).where("fanin = 0 and not exported").select("id", "type"),
+    "SELECT id, type FROM nodes WHERE NOT exported AND id NOT IN (SELECT to_id FROM edges WHERE type NOT IN ('DEFINES', 'IMPORTS'))",
+)
 _add("directory_coupling", graph.directory_coupling, "SELECT from_dir, to_dir, callers, leaving, round(callers::DOUBLE / leaving, 2) AS confidence FROM (SELECT a.d AS from_dir, b.d AS to_dir, count(DISTINCT from_id) AS callers FROM edges JOIN (SELECT id, split_part(file, '/', 1) d FROM nodes) a ON a.id = from_id JOIN (SELECT id, split_part(file, '/', 1) d FROM nodes) b ON b.id = to_id WHERE type = 'CALLS' AND a.d <> b.d GROUP BY ALL) JOIN (SELECT a.d AS from_dir, count(DISTINCT from_id) AS leaving FROM edges JOIN (SELECT id, split_part(file, '/', 1) d FROM nodes) a ON a.id = from_id JOIN (SELECT id, split_part(file, '/', 1) d FROM nodes) b ON b.id = to_id WHERE type = 'CALLS' AND a.d <> b.d GROUP BY ALL) USING (from_dir) WHERE callers::DOUBLE / leaving >= 0.85 AND callers >= 3 ORDER BY confidence DESC, callers DESC, from_dir, to_dir LIMIT 5")
 
 
@@ -63,58 +78,102 @@ _add("k_hop", lambda n, e: graph.reachable(e, _seed(e, ROOT), 2), _bfs(_ONE, "SE
 _add("undirected_k_hop", lambda n, e: graph.reachable(graph.undirected(e), _seed(e, SUPPLIER), 1), _bfs(f"SELECT '{SUPPLIER}' AS id", "SELECT DISTINCT from_id AS id, to_id AS nx FROM edges UNION SELECT to_id, from_id FROM edges", 1) + "SELECT * FROM b")
 _add("impact", lambda n, e: graph.impact(e, _seed(e, ROOT), 3), _bfs(_ONE, _BACK, 3) + f"SELECT id, hop AS depth, {_LABEL} AS label, CASE hop WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM b WHERE hop > 0")
 _add("changeset_impact", lambda n, e: graph.impact(e, n.where("file = 'part/Brand#11.tbl' and line < 10"), 2), _bfs("SELECT id FROM nodes WHERE file = 'part/Brand#11.tbl' AND line < 10", _BACK, 2) + f"SELECT id, hop AS depth, {_LABEL} AS label, CASE hop WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM b WHERE hop > 0")
-_add("impact_tiers", lambda n, e: graph.impact_tiers(graph.impact(e, _seed(e, ROOT), 3), n), _bfs(_ONE, _BACK, 3) + f"SELECT hop AS depth, {_LABEL} AS label, count(*) AS total, count(DISTINCT file) AS files, min(name) AS first_name, least(count(*), 50) AS listed FROM b JOIN nodes USING (id) WHERE hop > 0 GROUP BY ALL")
-_add("call_chain", lambda n, e: graph.call_chain(e, "tpch::customer::1", "tpch::part::15", 4), ", st AS MATERIALIZED (SELECT DISTINCT from_id AS id, to_id AS nx FROM edges WHERE type IN ('CALLS', 'IMPLEMENTS', 'HANDLES')), w(id, path, hops) AS (SELECT 'tpch::customer::1', 'tpch::customer::1', 0 UNION SELECT nx, path || ' > ' || nx, hops + 1 FROM w JOIN st USING (id) WHERE hops < 4) SELECT hops::INT AS hops, min(path) AS path FROM w WHERE id = 'tpch::part::15' AND hops = (SELECT min(hops) FROM w WHERE id = 'tpch::part::15') GROUP BY 1")
+_add(
+    "impact_tiers", lambda n, e: graph.impact_tiers(graph.impact(e, _seed(e, ROOT), 3), n),
+    _bfs(_ONE, _BACK, 3) + f", nm AS (SELECT hop, name, file, row_number() OVER (PARTITION BY hop ORDER BY name, id) AS r FROM b JOIN nodes USING (id) WHERE hop > 0) SELECT hop AS depth, {_LABEL} AS label, count(*) AS total, count(DISTINCT file) AS files, "
+    "string_agg(name, ',' ORDER BY name) FILTER (r <= 50) AS names, least(count(*), 50)::BIGINT AS listed FROM nm GROUP BY ALL",
+)
+_add(
+    "call_chain", lambda n, e: graph.call_chain(e, SUPPLIER, "tpch::part::36", 4),
+    ", st AS MATERIALIZED (SELECT DISTINCT from_id AS id, to_id AS nx FROM edges WHERE type IN ('CALLS', 'IMPLEMENTS', 'HANDLES') UNION SELECT to_id, from_id FROM edges WHERE type = 'IMPLEMENTS'), "
+    f"w(id, path, hops) AS (SELECT '{SUPPLIER}', '{SUPPLIER}', 0 UNION SELECT nx, min(path || ' > ' || nx), any_value(hops) + 1 FROM w JOIN st USING (id) WHERE hops < 4 GROUP BY nx) "
+    "SELECT hops::INT AS hops, min(path) AS path FROM w WHERE id = 'tpch::part::36' AND hops = (SELECT min(hops) FROM w WHERE id = 'tpch::part::36') GROUP BY 1",
+)
 _add("path_pattern", lambda n, e: graph.path_pattern(n, e, ["CALLS", "DEPENDS_ON"], F.col("type") == "method", F.col("package") == "ASIA"), "SELECT DISTINCT a.from_id AS start_id, b.to_id AS end_id FROM edges a JOIN edges b ON a.to_id = b.from_id AND a.type = 'CALLS' AND b.type = 'DEPENDS_ON' JOIN nodes x ON x.id = a.from_id AND x.type = 'method' JOIN nodes y ON y.id = b.to_id AND y.package = 'ASIA'")
-_add("data_flows", lambda n, e: graph.data_flows(e, n.where("type = 'struct' and exported and line < 20"), n.where("type = 'function' and line = 1"), 2), ", st AS MATERIALIZED (SELECT DISTINCT from_id AS id, to_id AS nx FROM edges WHERE type = 'CALLS'), f1 AS (SELECT DISTINCT n.id AS source, nx AS id FROM nodes n JOIN st USING (id) WHERE type = 'struct' AND exported AND line < 20 AND nx <> n.id), f2 AS (SELECT DISTINCT source, nx AS id FROM f1 JOIN st USING (id) WHERE nx <> source AND (source, nx) NOT IN (SELECT (source, id) FROM f1)) SELECT source, id AS sink, hop FROM (SELECT *, 1::INT AS hop FROM f1 UNION ALL SELECT *, 2 FROM f2) WHERE id IN (SELECT id FROM nodes WHERE type = 'function' AND line = 1)")
+_add(
+    "data_flows", lambda n, e: graph.data_flows(e, n.where("type = 'struct' and exported"), n.where("type = 'function' and line = 1"), 4),
+    ", st AS MATERIALIZED (SELECT DISTINCT from_id AS id, to_id AS nx FROM edges WHERE type = 'CALLS'), w(source, id, hop) AS (SELECT id, id, 0 FROM nodes WHERE type = 'struct' AND exported UNION SELECT source, nx, hop + 1 FROM w JOIN st USING (id) WHERE hop < 4) "
+    "SELECT source, id AS sink, min(hop)::INT AS hop FROM w WHERE hop > 0 AND id IN (SELECT id FROM nodes WHERE type = 'function' AND line = 1) GROUP BY 1, 2",
+)
 _add("invalidated", lambda n, e: graph.invalidated(n, e, "part/Brand#13.tbl"), _bfs("SELECT id FROM nodes WHERE file = 'part/Brand#13.tbl'", "SELECT DISTINCT to_id AS id, from_id AS nx FROM edges WHERE type = 'CALLS'", 2) + "SELECT file FROM b JOIN nodes USING (id) UNION SELECT file FROM nodes WHERE package IN (SELECT package FROM nodes WHERE file = 'part/Brand#13.tbl')")
-_add("spreading_activation", lambda n, e: graph.spreading_activation(e, _seed(e, SUPPLIER), 2).select("id", F.round("activation", 9).alias("activation")), f", w AS (SELECT from_id, to_id, type, CASE type WHEN 'CALLS' THEN 1.0 WHEN 'IMPLEMENTS' THEN 0.7 WHEN 'IMPORTS' THEN 0.5 ELSE 0.4 END::DOUBLE AS w FROM edges), f AS (SELECT from_id, count(*) c, count(*) FILTER (type = 'CALLS') k FROM edges GROUP BY 1), l1 AS (SELECT to_id AS id, max(w / c) AS a FROM w JOIN f USING (from_id) WHERE from_id = '{SUPPLIER}' GROUP BY 1), l2 AS (SELECT w.to_id AS id, max(a * w / k) AS a FROM l1 JOIN w ON w.from_id = l1.id AND type = 'CALLS' JOIN f ON f.from_id = l1.id GROUP BY 1) SELECT id, round(max(a), 9) AS activation FROM (SELECT '{SUPPLIER}' AS id, 1.0::DOUBLE AS a UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1 ORDER BY max(a) DESC, 1 LIMIT 500")
-_PPR = 8
+_W3 = "CASE type WHEN 'CALLS' THEN 1.0 WHEN 'IMPLEMENTS' THEN 0.7 ELSE 0.5 END::DOUBLE"
+_add(
+    "spreading_activation", lambda n, e: graph.spreading_activation(e, _seed(e, SUPPLIER)).select("id", F.round("activation", 9).alias("activation")),
+    f", u AS MATERIALIZED (SELECT from_id AS f, to_id AS t, type FROM edges UNION ALL SELECT to_id, from_id, type FROM edges), l1 AS (SELECT t AS id, max({_W3} / n) AS a FROM (SELECT *, count(*) OVER () AS n FROM u WHERE f = '{SUPPLIER}' AND type IN ('CALLS', 'IMPORTS', 'IMPLEMENTS')) GROUP BY 1), "
+    f"l2 AS (SELECT t AS id, max(a / n) AS a FROM (SELECT u.t, a, count(*) OVER (PARTITION BY u.f) AS n FROM u JOIN l1 ON l1.id = u.f WHERE type = 'CALLS' AND l1.id <> '{SUPPLIER}') GROUP BY 1) "
+    f"SELECT id, round(max(a), 9) AS activation FROM (SELECT '{SUPPLIER}' AS id, 1.0::DOUBLE AS a, 0 AS hop UNION ALL SELECT id, a, 1 FROM l1 UNION ALL SELECT id, a, 2 FROM l2) GROUP BY 1 ORDER BY min(hop), max(a) DESC, 1 LIMIT 500",
+)
+_WEIGHT = "CASE edges.type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in graph.EDGE_WEIGHTS.items()) + " ELSE 0.5 END::DOUBLE"
+_UNDIRECTED = "SELECT DISTINCT from_id AS id, to_id AS nx FROM edges UNION SELECT to_id, from_id FROM edges"
 
 
 def _ppr_sql(final):
-    w = "CASE type WHEN 'CALLS' THEN 1.0 WHEN 'IMPLEMENTS' THEN 0.9 WHEN 'DEPENDS_ON' THEN 0.8 WHEN 'IMPORTS' THEN 0.7 WHEN 'DEFINES' THEN 0.6 ELSE 0.5 END::DOUBLE"
-    parts = [
-        f"c AS MATERIALIZED (SELECT id, hop FROM b), pw AS MATERIALIZED (SELECT x AS f, y AS t, max(w) AS w FROM (SELECT from_id x, to_id y, {w} AS w FROM edges UNION ALL SELECT to_id, from_id, {w} FROM edges) WHERE x IN (SELECT id FROM c) AND y IN (SELECT id FROM c) GROUP BY 1, 2)",
-        "pp AS MATERIALIZED (SELECT f, t, w / sum(w) OVER (PARTITION BY f) AS p FROM pw)", f"r0 AS MATERIALIZED (SELECT id, (id = '{ROOT}')::INT::DOUBLE AS rank FROM c)",
-    ]
-    for k in range(_PPR):
-        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT c.id, 0.15 * (c.id = '{ROOT}')::INT + 0.85 * coalesce(g, 0) AS rank FROM c LEFT JOIN (SELECT t, sum(rank * p) AS g FROM r{k} JOIN pp ON f = id GROUP BY 1) ON t = c.id)")
-    return _bfs(_ONE, "SELECT DISTINCT from_id AS id, to_id AS nx FROM edges UNION SELECT to_id, from_id FROM edges", 1).rstrip() + ", " + ", ".join(parts) + final.format(last=f"r{_PPR}")
+    """The walk over the 10,000 nearest nodes within six steps, until no rank moves by a millionth."""
+    return _bfs(_ONE, _UNDIRECTED, graph.HORIZON).rstrip() + (
+        f", c AS MATERIALIZED (SELECT id, hop FROM (SELECT *, row_number() OVER (ORDER BY hop, id) AS r FROM b) WHERE r <= {graph.CANDIDATES}), "
+        f"ew AS (SELECT from_id AS f, to_id AS t, {_WEIGHT} * CASE WHEN x.domain <> y.domain THEN 0.5 ELSE 1.0 END AS w FROM edges JOIN c a ON a.id = from_id JOIN c b ON b.id = to_id LEFT JOIN nodes x ON x.id = from_id LEFT JOIN nodes y ON y.id = to_id), "
+        "pw AS (SELECT f, t, sum(w) AS w FROM (SELECT f, t, w FROM ew UNION ALL SELECT t, f, w FROM ew) GROUP BY 1, 2), pp AS MATERIALIZED (SELECT f, t, w / sum(w) OVER (PARTITION BY f) AS p FROM pw), "
+        f"it(k, id, rank, d) AS (SELECT 0, id, (id = '{ROOT}')::INT::DOUBLE, 1.0::DOUBLE FROM c UNION ALL SELECT k, id, rank, max(abs(rank - prev)) OVER () FROM (SELECT i.k + 1 AS k, i.id, 0.15 * (i.id = '{ROOT}')::INT + 0.85 * coalesce(g, 0) AS rank, i.rank AS prev "
+        "FROM it i LEFT JOIN (SELECT t, sum(rank * p) AS g FROM it JOIN pp ON f = id GROUP BY 1) s ON s.t = i.id WHERE i.k < 100 AND i.d >= 1e-6)), last AS MATERIALIZED (SELECT id, rank FROM it WHERE k = (SELECT max(k) FROM it)) "
+    ) + final
 
 
-def _ppr(n, e):
-    near = graph.reachable(graph.undirected(e), _seed(e, ROOT), 1)
-    return near, graph.personalized_pagerank(e, near.select("id"), ROOT, _PPR)
+def _ranks(n, e):
+    return graph.personalized_pagerank(n, e, ROOT).withColumn("rank", F.round("rank", 9))
 
 
-_add("ppr", lambda n, e: _ppr(n, e)[1].select("id", F.round("rank", 8).alias("rank")), _ppr_sql(" SELECT id, round(rank, 8) AS rank FROM {last}"))
+_add("ppr", lambda n, e: _ranks(n, e).select("id", "rank"), _ppr_sql("SELECT id, round(rank, 9) AS rank FROM last"))
 
 
 def _carve(n, e):
-    near, rank = _ppr(n, e)
-    return graph.carve(n, rank.select("id", F.round("rank", 8).alias("relevance")), near, 300, F.floor(F.octet_length("name") / 4) + 1).select("id", "relevance", "hop", "cost", "running")
-
-
-_add("carve", _carve, _ppr_sql(" SELECT * FROM (SELECT id, relevance, hop, cost, sum(cost) OVER (ORDER BY relevance DESC, id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT n.id, round(rank, 8) AS relevance, hop, strlen(name) // 4 + 1 AS cost FROM {last} r JOIN nodes n ON n.id = r.id JOIN c ON c.id = r.id)) WHERE running <= 300"))
-_EIG = 5
-
-
-def _eig_sql():
-    parts = ["st AS MATERIALIZED (SELECT from_id AS f, to_id AS t FROM edges UNION SELECT to_id, from_id FROM edges)", "x0 AS MATERIALIZED (SELECT DISTINCT f AS id, 1.0::DOUBLE AS x FROM st)"]
-    for k in range(_EIG):
-        parts.append(f"y{k} AS MATERIALIZED (SELECT x{k}.id, x + coalesce(g, 0) AS x FROM x{k} LEFT JOIN (SELECT t, sum(x) AS g FROM x{k} JOIN st ON f = id GROUP BY 1) ON t = x{k}.id), x{k + 1} AS MATERIALIZED (SELECT id, x / (SELECT max(x) FROM y{k}) AS x FROM y{k})")
-    return ", " + ", ".join(parts) + f" SELECT id, round(x, 7) AS centrality FROM x{_EIG}"
-
-
-_add("eigenvector", lambda n, e: graph.eigenvector_centrality(e, _EIG).select("id", F.round("centrality", 7).alias("centrality")), _eig_sql())
-_add("communities", lambda n, e: graph.label_propagation(e.where("type in ('DEFINES', 'IMPORTS')"), 3), None)
-_add("longest_chain", lambda n, e: graph.longest_chain(e.where("from_id like 'tpch::customer%' or from_id like 'tpch::orders%'"), 3), ", st AS (SELECT DISTINCT from_id f, to_id t FROM edges WHERE type = 'CALLS' AND from_id <> to_id AND (from_id LIKE 'tpch::customer%' OR from_id LIKE 'tpch::orders%')) SELECT id, max(length)::INT AS length FROM (SELECT f AS id, 0 AS length FROM st UNION ALL SELECT t, 1 FROM st UNION ALL SELECT b.t, 2 FROM st a JOIN st b ON a.t = b.f) GROUP BY 1")
+    quality = n.where("type = 'function'").select("id", (F.col("line") % 11 - 5).alias("quality"))
+    return carve.carve(n, e, ROOT, 4000, ranks=_ranks(n, e), quality=quality).select("id", F.round("relevance", 6).alias("relevance"), "hop", "pool", "cost", "running")
+
+
+_COST = "(strlen(id) + strlen(type) + strlen(name) + strlen(package) + strlen(file)) // 4 + 1"
+_CARVED = (
+    f", fl AS (SELECT id, bool_or(caller) AS caller, bool_or(callee) AS callee FROM (SELECT from_id AS id, type = 'CALLS' AS caller, false AS callee FROM edges WHERE to_id = '{ROOT}' AND from_id <> to_id UNION ALL SELECT to_id, false, type = 'CALLS' FROM edges WHERE from_id = '{ROOT}' AND from_id <> to_id) GROUP BY 1), "
+    f"sc AS (SELECT id, CASE WHEN id = '{ROOT}' THEN 1.0 ELSE greatest(coalesce(round(rank, 9), 0), CASE WHEN caller OR callee THEN 0.05 ELSE 0 END) END AS rel, coalesce(caller, false) AS caller, coalesce(callee, false) AS callee FROM last FULL JOIN fl USING (id)), "
+    "pr AS (SELECT id, caller, callee, caller AND row_number() OVER (PARTITION BY caller ORDER BY rel DESC, id) <= 10 AS kept, rel FROM sc WHERE rel > 0), "
+    f"fi AS (SELECT id, caller, callee, CASE WHEN kept THEN greatest(rel, 0.02) ELSE rel END AS rel FROM pr WHERE kept OR rel >= 0.01 OR id = '{ROOT}'), "
+    f"hp AS (SELECT n.*, caller, callee, rel, CASE WHEN id = '{ROOT}' THEN 0 ELSE round(abs(ln(rel) / ln(0.5))) END::INT AS hop FROM fi JOIN nodes n USING (id)), "
+    f"bo AS (SELECT id, hop, CASE WHEN id = '{ROOT}' THEN 'root' WHEN caller THEN 'caller' WHEN callee THEN 'callee' ELSE 'other' END AS pool, ({_COST})::BIGINT AS cost, CASE WHEN id = '{ROOT}' THEN 1.0 WHEN type = 'function' THEN rel * (1 + 0.2 * tanh((line % 11 - 5) / 5.0)) ELSE rel END AS relevance FROM hp), "
+    f"rs AS (SELECT *, sum(cost) OVER (PARTITION BY pool ORDER BY relevance DESC, hop, id ROWS UNBOUNDED PRECEDING)::BIGINT AS running, greatest(0, 4000 - (SELECT cost FROM bo WHERE id = '{ROOT}')) AS rest FROM bo) "
+    "SELECT id, round(relevance, 6) AS relevance, hop, pool, cost, running FROM rs WHERE running <= CASE pool WHEN 'root' THEN 4000 WHEN 'other' THEN rest * 30 // 100 ELSE rest * 35 // 100 END"
+)
+_add("carve", _carve, _ppr_sql(_CARVED))
+_add("carve_edges", lambda n, e: carve.induced(_carve(n, e), e), _ppr_sql(_CARVED.replace("SELECT id, round(relevance, 6) AS relevance, hop, pool, cost, running FROM rs", ", ke AS (SELECT id FROM rs") + ") SELECT from_id, to_id, type FROM edges WHERE from_id IN (SELECT id FROM ke) AND to_id IN (SELECT id FROM ke)"))
+_SECTION = "CASE WHEN to_id = '{0}' AND type = 'CALLS' THEN 'callers' WHEN from_id = '{0}' AND type = 'CALLS' THEN 'callees' ELSE 'related' END".format(ROOT)
+_add(
+    "carve_sections", lambda n, e: carve.directional(_carve(n, e), e, ROOT).groupBy("section").agg(F.count("*").alias("n")),
+    _ppr_sql(_CARVED.replace("SELECT id, round(relevance, 6) AS relevance, hop, pool, cost, running FROM rs", ", ke AS (SELECT id FROM rs")
+    + f"), se AS (SELECT CASE WHEN to_id = '{ROOT}' THEN from_id ELSE to_id END AS id, min({_SECTION}) AS section FROM edges WHERE from_id = '{ROOT}' OR to_id = '{ROOT}' GROUP BY 1) SELECT coalesce(section, 'related') AS section, count(*) AS n FROM ke LEFT JOIN se USING (id) WHERE id <> '{ROOT}' GROUP BY 1"),
+)
+_add(
+    "eigenvector", lambda n, e: graph.eigenvector_centrality(e).select("id", F.round("centrality", 6).alias("centrality")),
+    ", st AS MATERIALIZED (SELECT f, t, count(*) AS n FROM (SELECT from_id AS f, to_id AS t FROM edges UNION ALL SELECT to_id, from_id FROM edges) GROUP BY 1, 2), "
+    "it(k, id, x, d) AS (SELECT 0, id, 1.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT f AS id FROM st) UNION ALL SELECT k, id, x, max(abs(x - prev)) OVER () FROM (SELECT k, id, y / max(y) OVER () AS x, prev FROM (SELECT i.k + 1 AS k, i.id, i.x + coalesce(g, 0) AS y, i.x AS prev "
+    "FROM it i LEFT JOIN (SELECT t, sum(x * n) AS g FROM it JOIN st ON f = id GROUP BY 1) s ON s.t = i.id WHERE i.k < 50 AND i.d >= 1e-6))) SELECT id, round(x, 6) AS centrality FROM it WHERE k = (SELECT max(k) FROM it)",
+)
+_add("communities", lambda n, e: graph.label_propagation(e, 3), None)
+_add("ordered_communities", lambda n, e: graph.ordered_communities(e.where("type in ('DEFINES', 'IMPORTS')")), None)
+_add("longest_chain", lambda n, e: graph.longest_chain(e), None)
 _RULE = [("no_asia", "error", "struct", "method", "CALLS", "", "1-URGENT"), ("infra_calls", "warning", "interface", "function", "IMPLEMENTS", "asia", ""), ("empty", "error", "", "", "", "", "")]
 _add("edge_rules", lambda n, e: rules.violations(n, e, e.sparkSession.createDataFrame(_RULE, rules.SCHEMA)), "SELECT 'no_asia' AS rule_id, 'error' AS severity, from_id, to_id, e.type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'struct' AND b.type = 'method' AND e.type = 'CALLS' AND contains(lower(b.package), '1-urgent') UNION ALL SELECT 'infra_calls', 'warning', from_id, to_id, e.type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'interface' AND b.type = 'function' AND e.type = 'IMPLEMENTS' AND contains(lower(a.package), 'asia')")
 _add("what_if", lambda n, e: rules.what_if(n, e, _seed(e, "tpch::supplier::2"), _seed(e, "tpch::part::1", "tpch::part::2"), e.sparkSession.createDataFrame([("calls", "error", "interface", "function", "CALLS", "", "")], rules.SCHEMA)), "SELECT 'calls' AS rule_id, 'error' AS severity, 'tpch::supplier::2' AS from_id, id AS to_id, 'CALLS' AS type FROM nodes WHERE id IN ('tpch::part::1', 'tpch::part::2')")
 _add("violation_log", lambda n, e: rules.log_of(rules.violations(n, e, e.sparkSession.createDataFrame(_RULE, rules.SCHEMA))), "SELECT rule_id, count(*) AS found, count(DISTINCT from_id) AS sources FROM (SELECT 'no_asia' AS rule_id, from_id FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'struct' AND b.type = 'method' AND e.type = 'CALLS' AND contains(lower(b.package), '1-urgent') UNION ALL SELECT 'infra_calls', from_id FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'interface' AND b.type = 'function' AND e.type = 'IMPLEMENTS' AND contains(lower(a.package), 'asia')) GROUP BY 1")
-_add("structural_implements", lambda n, e: resolve.structural_implements(e.where("type = 'IMPLEMENTS' and to_id like 'tpch::part::1%'").select(F.col("from_id").alias("owner"), F.col("to_id").alias("method")), e.where("type = 'DEPENDS_ON' and from_id like 'tpch::part::1%'").select(F.col("to_id").alias("owner"), F.col("from_id").alias("method"))), ", i AS (SELECT from_id AS owner, to_id AS method FROM edges WHERE type = 'IMPLEMENTS' AND to_id LIKE 'tpch::part::1%'), k AS (SELECT to_id AS owner, from_id AS method FROM edges WHERE type = 'DEPENDS_ON' AND from_id LIKE 'tpch::part::1%') SELECT interface, struct FROM (SELECT i.owner AS interface, k.owner AS struct, count(*) AS have FROM i JOIN k USING (method) GROUP BY ALL) JOIN (SELECT owner AS interface, count(*) AS need FROM i GROUP BY 1) USING (interface) WHERE have = need")
-_add("orphans", lambda n, e: resolve.orphaned(e.select(F.col("from_id").alias("ref")), n).distinct(), "SELECT DISTINCT from_id AS ref FROM edges WHERE from_id NOT IN (SELECT id FROM nodes)")
+def _owned(e, kind, owner, method):
+    return e.where(F.col("type") == kind).select(F.col(owner).alias("owner"), F.col(method).alias("method"))
+
+
+_add(
+    "structural_implements", lambda n, e: resolve.structural_implements(_owned(e, "IMPLEMENTS", "from_id", "to_id"), _owned(e, "DEPENDS_ON", "to_id", "from_id")),
+    ", i AS (SELECT from_id AS owner, to_id AS method FROM edges WHERE type = 'IMPLEMENTS'), k AS (SELECT to_id AS owner, from_id AS method FROM edges WHERE type = 'DEPENDS_ON') "
+    "SELECT interface, struct FROM (SELECT i.owner AS interface, k.owner AS struct, count(*) AS have FROM i JOIN k USING (method) GROUP BY ALL) JOIN (SELECT owner AS interface, count(*) AS need FROM i GROUP BY 1) USING (interface) WHERE have = need",
+)
+_add(
+    "orphans", lambda n, e: resolve.orphaned(n.where("type = 'function'").select(F.concat(F.lit("tpch::part::"), (F.col("line") * 50).cast("string")).alias("ref")), n).distinct(),
+    "SELECT DISTINCT 'tpch::part::' || (line * 50) AS ref FROM nodes WHERE type = 'function' AND 'tpch::part::' || (line * 50) NOT IN (SELECT id FROM nodes)",
+)
 _add("cross_domain", lambda n, e: e.join(n.select(F.col("id").alias("from_id"), F.col("domain").alias("from_domain")), "from_id").join(n.select(F.col("id").alias("to_id"), F.col("domain").alias("to_domain")), "to_id").where("from_domain <> to_domain").groupBy("from_domain", "to_domain", "type").agg(F.count("*").alias("n")), "SELECT a.domain AS from_domain, b.domain AS to_domain, e.type, count(*) AS n FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.domain <> b.domain GROUP BY ALL")
 _add("best_node", lambda n, e: resolve.best_nodes(dsl.degrees(n, e).where("type in ('function', 'struct', 'interface')"), "package").select("package", "id", "tier"), f"SELECT package, id, tier FROM (SELECT package, id, t AS tier, row_number() OVER (PARTITION BY package ORDER BY t, fanin + fanout DESC, id) r FROM (SELECT *, CASE WHEN type IN ('struct', 'interface') THEN 1 WHEN type = 'function' AND exported THEN 2 WHEN type = 'function' THEN 3 ELSE 4 END::INT AS t FROM {_DEG} WHERE type IN ('function', 'struct', 'interface'))) WHERE r = 1")

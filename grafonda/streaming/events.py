@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import coordination
+
 LATE = "1 day"
 
 
@@ -57,7 +59,10 @@ def _small(df: DataFrame, most: int = 8 << 20) -> bool:
 
 
 def rate_limited(requests: DataFrame, key: str, at: str, per_minute: int, burst: int) -> DataFrame:
-    """requests with allowed: a token bucket per key that lives in the stream's state; it times out when it would be full."""
+    """requests with allowed: a token bucket per key. In a stream it lives in the state and times out when it would be full; a batch of a
+    key is judged in the order of time (a stream gives its batches in order). A table is folded by coordination.token_bucket."""
+    if not requests.isStreaming:
+        return coordination.token_bucket(requests, key, at, per_minute, burst, order=at)
     names = [f.name for f in requests.schema.fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields), "allowed boolean"])
 
@@ -66,17 +71,19 @@ def rate_limited(requests: DataFrame, key: str, at: str, per_minute: int, burst:
             state.remove()
             return
         left, last = state.get if state.exists else (float(burst), 0)
-        for rows in batches:
-            rows = rows.sort_values(at)
-            allowed = []
-            for t in rows[at].astype("int64") // 1000:
-                left = min(float(burst), left + (t - (last or t)) / 6e7 * per_minute) if t > (last or t) else left
-                last = max(last, t)
-                allowed.append(left >= 1)
-                left -= 1.0 if left >= 1 else 0.0
-            yield rows.assign(allowed=allowed)[[*names, "allowed"]]
+        every = list(batches)  # a micro-batch of one key: rows may be out of order over its chunks
+        rows = pd.concat(every).sort_values(at, kind="stable") if every else None
+        if rows is None:
+            return
+        allowed = []
+        for t in rows[at].astype("datetime64[us]").astype("int64"):
+            left = min(float(burst), left + (t - (last or t)) / 6e7 * per_minute) if t > (last or t) else left
+            last = max(last, t)
+            allowed.append(left >= 1)
+            left -= 1.0 if left >= 1 else 0.0
         state.update((left, int(last)))
         state.setTimeoutDuration(60_000 * max(1, -(-burst // per_minute)))
+        yield rows.assign(allowed=allowed)[[*names, "allowed"]]
 
     return requests.groupBy(key).applyInPandasWithState(step, schema, "left double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
@@ -87,5 +94,38 @@ def batches_to(stream: DataFrame, write: Callable[[DataFrame, int], None], check
 
 
 def rolled_up(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """A roll-up table (day, metric, value) merged with a batch of the same: late rows of any day add to it."""
-    return store.unionByName(batch).groupBy("day", "metric").agg(F.sum("value").alias("value"))
+    """A roll-up table (day, metric, value) with a batch of the same: the batch's value of a day and metric replaces the stored one, so a
+    batch that is replayed counts once."""
+    return store.join(batch.select("day", "metric"), ["day", "metric"], "left_anti").select("day", "metric", "value").unionByName(batch.select("day", "metric", "value"))
+
+
+def missing_days(batch: DataFrame, store: DataFrame) -> DataFrame:
+    """The rows of batch for days that the store has no row of: late events of a day that is rolled up change nothing."""
+    return batch.join(store.select("day").distinct(), "day", "left_anti")
+
+
+def heartbeats(events: DataFrame, at: str, late: str = LATE) -> DataFrame:
+    """hour, beats."""
+    return tumbling(events, at, [], "1 hour", late)
+
+
+def recent_changes(changes: DataFrame, at: str, file: str, now, minutes: int) -> DataFrame:
+    """file, changes, last: what changed in the last minutes."""
+    return changes.where(F.col(at) > now - F.expr(f"INTERVAL {minutes} MINUTES")).groupBy(file).agg(F.count("*").alias("changes"), F.max(at).alias("last"))
+
+
+def import_graph(imports: DataFrame, changed: DataFrame | None = None, new: DataFrame | None = None) -> DataFrame:
+    """package, file of imports(file, package); with changed(file) those files' rows are replaced by new's."""
+    held = imports.select("package", "file").distinct()
+    return held if changed is None else held.join(changed.select("file"), "file", "left_anti").select("package", "file").unionByName(new.select("package", "file").distinct())
+
+
+def new_violations(found: DataFrame, logged: DataFrame) -> DataFrame:
+    """Violations whose id is not logged yet."""
+    return found.join(logged.select("id"), "id", "left_anti")
+
+
+def reparsed(known: DataFrame, files: DataFrame) -> DataFrame:
+    """files(path, content) whose content hash differs from known(path, hash), with the hash: those to be parsed again."""
+    hashed = files.withColumn("hash", F.sha2(F.col("content"), 256))
+    return hashed.join(known.select("path", F.col("hash").alias("old")), "path", "left").where(F.col("old").isNull() | (F.col("old") != F.col("hash"))).drop("old")
