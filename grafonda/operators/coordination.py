@@ -98,9 +98,10 @@ def session_chain(calls: DataFrame, by: list[str], at: str = "at", reconnect: in
     """A row for each session of calls: its key, number, start, end, calls, how it came about (new, resumed or superseded) and its parent.
     Calls closer than `reconnect` belong to one session; a gap up to `hibernate` resumes the one before, a longer one supersedes it."""
     w = Window.partitionBy(*by).orderBy(at)
-    gap = F.unix_timestamp(at) - F.unix_timestamp(F.lag(at).over(w))
+    seconds = F.floor(micros(at) / 1_000_000)
+    gap = seconds - F.lag(seconds).over(w)
     marked = calls.withColumn("gap", gap).withColumn("number", F.sum(F.when(F.col("gap") > reconnect, 1).otherwise(0)).over(w))
-    each = marked.groupBy(*by, "number").agg(F.min(at).alias("started_at"), F.max(at).alias("ended_at"), F.count("*").alias("calls"), F.max_by("gap", F.struct(-F.unix_micros(at))).alias("gap"))
+    each = marked.groupBy(*by, "number").agg(F.min(at).alias("started_at"), F.max(at).alias("ended_at"), F.count("*").alias("calls"), F.max_by("gap", F.struct(-micros(at), F.coalesce("gap", F.lit(0)))).alias("gap"))
     how = F.when(F.col("number") == 0, "new").when(F.col("gap") <= hibernate, "resumed").otherwise("superseded")
     return each.select(*by, "number", "started_at", "ended_at", "calls", how.alias("state"), F.when(F.col("number") > 0, F.col("number") - 1).alias("parent"))
 

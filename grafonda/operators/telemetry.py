@@ -196,11 +196,11 @@ def stale_deliveries(cd: DataFrame, os: DataFrame) -> DataFrame:
     return cd.join(fix, near, "left_semi").groupBy("tool_name").agg(F.count("*").alias("stale"))
 
 
-def missing_days(tc: DataFrame) -> DataFrame:
-    """day: calendar days between the first and the last without a call by project."""
-    span = tc.groupBy("project_id").agg(F.min("created_date").alias("a"), F.max("created_date").alias("b"))
-    days = span.select("project_id", F.explode(F.sequence("a", "b")).alias("day"))
-    return days.join(tc.select("project_id", F.col("created_date").alias("day")).distinct(), ["project_id", "day"], "left_anti")
+def missing_days(tc: DataFrame, by: str = "project_id") -> DataFrame:
+    """day: calendar days between the first and the last without a call by project (or agent)."""
+    span = tc.groupBy(by).agg(F.min("created_date").alias("a"), F.max("created_date").alias("b"))
+    days = span.select(by, F.explode(F.sequence("a", "b")).alias("day"))
+    return days.join(tc.select(by, F.col("created_date").alias("day")).distinct(), [by, "day"], "left_anti")
 
 
 def hypothetical_cost(cd: DataFrame, prices: DataFrame) -> DataFrame:

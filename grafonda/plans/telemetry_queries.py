@@ -64,8 +64,12 @@ _add("calls_per_session", _facts("s")(lambda s: T.offset_percentile(s, "tool_cal
 _PAIR = "(SELECT tool_name AS first, lead(tool_name) OVER (PARTITION BY session_id ORDER BY created_at, id) AS second FROM tc)"
 _add("tool_pairs", _facts("tc")(T.adjacent_pairs), f"SELECT first, second, count(*) AS n FROM {_PAIR} WHERE second IS NOT NULL GROUP BY ALL ORDER BY n DESC, first, second LIMIT 20")
 _add("error_recovery", _facts("tc")(T.error_recovery), "SELECT count(*) AS failures, count(*) FILTER (nx = 1) AS recovered, round(coalesce(count(*) FILTER (nx = 1)::DOUBLE / nullif(count(*), 0), 0), 6) AS rate FROM (SELECT success, lead(success) OVER (PARTITION BY session_id ORDER BY created_at, id) AS nx FROM tc) WHERE success = 0 AND nx IS NOT NULL")
-_add("repeated_runs", _facts("tc")(T.repeated_runs), "SELECT CASE WHEN length >= 5 THEN 'stop' WHEN length >= 3 THEN 'warn' ELSE 'pass' END AS action, count(*) AS runs, max(length) AS longest FROM (SELECT agent_id, tool_name, run, count(*) AS length FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY created_at, id) - row_number() OVER (PARTITION BY agent_id, tool_name ORDER BY created_at, id) AS run FROM tc) GROUP BY ALL) GROUP BY 1")
-_add("refetches", _facts("cd")(T.refetches), "SELECT agent_id, count(*) AS n, round(sum(CASE WHEN gap < 300 THEN -0.5 ELSE -0.2 END), 6)::DOUBLE AS weight FROM (SELECT agent_id, (epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY agent_id, entity ORDER BY created_at, id))) / 1000000.0 AS gap FROM cd) WHERE gap < 1800 GROUP BY 1")
+_RUNS = (
+    "ca AS (SELECT agent_id, created_at, id, concat_ws(':', tool_name, entity) AS call, epoch_us(created_at) - epoch_us(lag(created_at) OVER w) AS gap, lag(concat_ws(':', tool_name, entity)) OVER w AS before FROM tc WINDOW w AS (PARTITION BY agent_id ORDER BY created_at, id)), "
+    "ru AS (SELECT agent_id, sum(CASE WHEN before IS NULL OR before <> call OR gap > 60000000 THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY created_at, id) AS run FROM ca)"
+)
+_add("repeated_runs", _facts("tc")(lambda tc: T.repeated_runs(tc.withColumns({"agent_id": F.col("project_id"), "entity": F.lit("x"), "created_at": F.date_trunc("hour", "created_at")}))), "SELECT CASE WHEN length >= 5 THEN 'stop' WHEN length >= 3 THEN 'warn' ELSE 'pass' END AS action, count(*) AS runs, max(length) AS longest FROM (WITH " + _RUNS.replace("SELECT agent_id, created_at, id, concat_ws(':', tool_name, entity) AS call", "SELECT agent_id, created_at, id, tool_name AS call").replace("lag(concat_ws(':', tool_name, entity)) OVER w", "lag(tool_name) OVER w").replace("FROM tc WINDOW", "FROM (SELECT project_id AS agent_id, date_trunc('hour', created_at) AS created_at, id, tool_name FROM tc) WINDOW") + " SELECT least(count(*), 30) AS length FROM ru GROUP BY agent_id, run) GROUP BY 1")
+_add("refetches", _facts("cd")(lambda cd: T.refetches(cd.withColumns({"agent_id": F.col("project_id"), "entity": F.col("tool_name")}))), "SELECT agent_id, count(*) AS n, round(sum(CASE WHEN gap < 300 THEN -0.5 ELSE -0.2 END), 6)::DOUBLE AS weight FROM (SELECT project_id AS agent_id, (epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY project_id, tool_name ORDER BY created_at, id))) / 1000000.0 AS gap FROM cd) WHERE gap < 1800 GROUP BY 1")
 _add("sessionized", _facts("tc")(T.sessionized), "SELECT agent_id, session::BIGINT AS session, min(created_at) AS start, max(created_at) AS \"end\", count(*) AS calls FROM (SELECT *, sum(CASE WHEN gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY agent_id ORDER BY created_at, id)) AS gap FROM tc)) GROUP BY ALL")
 _add("workflow_adherence", _facts("tc")(T.workflow_adherence), "SELECT count(*) AS sessions, sum(w)::BIGINT AS complete, round(avg(w), 6) AS adherence FROM (SELECT session_id, CASE WHEN count(DISTINCT tool_name) FILTER (tool_name IN ('signup', 'view', 'purchase')) = 3 THEN 1 ELSE 0 END AS w FROM tc GROUP BY 1)")
 _add("resumed_sessions", _facts("s")(T.resumed_sessions), "SELECT agent_id, count(*) AS resumed FROM s WHERE EXISTS (SELECT 1 FROM s o WHERE o.agent_id = s.agent_id AND o.session_id <> s.session_id AND o.ended_at <= s.started_at AND o.ended_at >= s.started_at - INTERVAL 24 HOUR) GROUP BY 1")
@@ -74,9 +78,9 @@ _add("discovery", _facts("tc")(T.discovery_effectiveness), "SELECT count(*) AS c
 _add("entity_quality", _facts("os")(lambda os: T.entity_quality(os, _last())), f"SELECT entity, count(*) AS signals, round(sum(signal_weight * exp(-{_AGE} / 30.0)), 6) AS quality, count(*) FILTER (signal_weight > 0) AS positive, count(*) FILTER (signal_weight < 0) AS negative FROM os GROUP BY 1")
 _add("first_context_right", _facts("cd os")(T.first_context_right), "SELECT count(*) AS pairs, count(o.entity) AS corrected, round(1 - coalesce(count(o.entity)::DOUBLE / nullif(count(*), 0), 0), 6) AS rate FROM (SELECT DISTINCT entity, session_id FROM cd) c LEFT JOIN (SELECT DISTINCT entity, session_id FROM os WHERE signal_type = 'correction') o USING (entity, session_id)")
 _add("context_precision", _facts("cd os")(T.context_precision), "SELECT hits, delivered, done, round(hits::DOUBLE / delivered, 6) AS precision, round(hits::DOUBLE / done, 6) AS recall, round(2.0 * hits / (delivered + done), 6) AS f1 FROM (SELECT (SELECT count(*) FROM (SELECT agent_id, entity FROM cd INTERSECT SELECT agent_id, entity FROM os WHERE signal_type = 'task_done')) AS hits, (SELECT count(*) FROM (SELECT DISTINCT agent_id, entity FROM cd)) AS delivered, (SELECT count(*) FROM (SELECT DISTINCT agent_id, entity FROM os WHERE signal_type = 'task_done')) AS done)")
-_add("agent_overlap", _facts("tc")(T.agent_overlap), "SELECT a.entity, count(*) AS pairs, count(DISTINCT a.agent_id) AS agents FROM (SELECT entity, agent_id, min(created_at) f, max(created_at) l FROM tc GROUP BY ALL) a JOIN (SELECT entity, agent_id, min(created_at) f, max(created_at) l FROM tc GROUP BY ALL) b ON a.entity = b.entity AND a.agent_id < b.agent_id AND a.f <= b.l + INTERVAL 60 MINUTE AND b.f <= a.l + INTERVAL 60 MINUTE GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+_add("agent_overlap", _facts("tc")(T.agent_overlap), "SELECT entity, pairs, agents, agent_ids FROM (SELECT a.entity, count(*) AS pairs FROM (SELECT entity, agent_id, min(created_at) f, max(created_at) l FROM tc GROUP BY ALL) a JOIN (SELECT entity, agent_id, min(created_at) f, max(created_at) l FROM tc GROUP BY ALL) b ON a.entity = b.entity AND a.agent_id < b.agent_id AND a.f <= b.l + INTERVAL 60 MINUTE AND b.f <= a.l + INTERVAL 60 MINUTE GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) JOIN (SELECT entity, count(*) AS agents, array_to_string(list_sort(list(agent_id))[1:20], ',') AS agent_ids FROM (SELECT DISTINCT entity, agent_id FROM tc) GROUP BY 1) USING (entity)")
 _add("stale_deliveries", _facts("cd os")(T.stale_deliveries), "SELECT tool_name, count(*) AS stale FROM cd WHERE EXISTS (SELECT 1 FROM os WHERE signal_type = 'correction' AND os.entity = cd.entity AND os.created_at <= cd.created_at AND os.created_at >= cd.created_at - INTERVAL 24 HOUR) GROUP BY 1")
-_add("missing_days", _facts("tc")(T.missing_days), "SELECT project_id, day FROM (SELECT project_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM (SELECT project_id, min(created_date) a, max(created_date) b FROM tc GROUP BY 1)) EXCEPT SELECT project_id, created_date FROM tc")
+_add("missing_days", _facts("tc")(lambda tc: T.missing_days(tc, "agent_id")), "SELECT agent_id, day FROM (SELECT agent_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM (SELECT agent_id, min(created_date) a, max(created_date) b FROM tc GROUP BY 1)) EXCEPT SELECT agent_id, created_date FROM tc")
 _add("learning_curve", _facts("s")(T.learning_curve), "SELECT date_trunc('week', started_at)::DATE AS week, count(*) AS sessions, round(sum(tasks_completed)::DOUBLE / count(*), 6) AS tasks_per_session, round(coalesce(sum(tool_calls)::DOUBLE / nullif(sum(tasks_completed), 0), 0), 6) AS calls_per_task FROM s GROUP BY 1")
 _add("first_sessions", _facts("s")(T.first_sessions), "SELECT agent_id, sum(tool_calls)::BIGINT AS calls, sum(tasks_completed)::BIGINT AS tasks, round(coalesce(sum(tool_calls)::DOUBLE / nullif(sum(tasks_completed), 0), 0), 6) AS calls_per_task FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY started_at, session_id) AS r FROM s) WHERE r <= 3 GROUP BY 1")
 _LONG = """SELECT day, scope, scope_id, metric, value FROM (
