@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import counter_queries, graph_queries, link_queries, telemetry_queries, text_queries
+from . import counter_queries, graph_queries, link_queries, recall_queries, telemetry_queries, text_queries
 
 FLAGSHIP = "graph_node_filter"
-_ALL = (graph_queries, link_queries, telemetry_queries, counter_queries, text_queries)
+_ALL = (graph_queries, link_queries, telemetry_queries, counter_queries, text_queries, recall_queries)
 
 
 def queries():
