@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .work import cut, delete, forget
+
 BUCKETS = 64
 EDGE_KEY = ["from_id", "to_id", "type"]
 
@@ -34,17 +36,20 @@ def save_delta(spark: SparkSession, path: str, file: str, nodes: DataFrame, edge
     of its old and new edges, are rewritten."""
     old_nodes, old_edges = load_graph(spark, path)
     own = old_nodes.where(F.col("file") == file).select("id")
-    kept = spark.read.parquet(f"{path}/nodes").where((F.col("bucket") == spark.range(1).select(_bucket_of(file)).first()[0]) & (F.col("file") != file))
+    bucket = spark.range(1).select(_bucket_of(file)).first()[0]
+    kept = spark.read.parquet(f"{path}/nodes").where((F.col("bucket") == bucket) & (F.col("file") != file))
     rest = old_edges.join(own.select(F.col("id").alias("from_id")), "from_id", "left_anti").select(*EDGE_KEY)
     kinds = [r[0] for r in old_edges.join(own.select(F.col("id").alias("from_id")), "from_id", "left_semi").select("type").unionByName(edges.select("type")).distinct().collect()]
     new_nodes = kept.unionByName(nodes.withColumn("bucket", _bucket()))
     new_edges = rest.where(F.col("type").isin(*kinds) if kinds else F.lit(False)).unionByName(edges.select(*EDGE_KEY)).distinct()
-    from .work import cut, forget
-
-    for df, name, by in ((new_nodes, "nodes", "bucket"), (new_edges, "edges", "type")):
-        held = cut(df, "delta")  # a folder can't be read and replaced in one go
-        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(by).parquet(f"{path}/{name}")
-        forget(held)
+    # a folder can't be read and replaced in one go: both tables are written aside first
+    held = [(cut(df, "delta"), name, by, touched) for df, name, by, touched in ((new_nodes, "nodes", "bucket", [bucket]), (new_edges, "edges", "type", kinds))]
+    for table, name, by, touched in held:
+        left = {r[0] for r in table.select(by).distinct().collect()}  # one bucket, or a few types
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(by).parquet(f"{path}/{name}")
+        for gone in set(touched) - left:
+            delete(spark, f"{path}/{name}/{by}={gone}")
+        forget(table)
 
 
 def _bucket_of(file: str) -> Column:

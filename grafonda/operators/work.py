@@ -45,6 +45,11 @@ def forget(table: DataFrame) -> None:
     files.delete(where, True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where, files = _path(spark, path)
+    files.delete(where, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where, files = _path(spark, path)
     return files.exists(where)

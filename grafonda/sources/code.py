@@ -5,61 +5,37 @@ Extraction reads each file's text once in mapInPandas; everything after that is
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import subprocess
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import languages
 
-# Folders that are never scanned, and languages by file extension.
+# Folders that are never scanned.
 SKIPPED = ("vendor", "node_modules", ".git", "dist", "build", "target", "__pycache__", ".venv")
-EXTENSIONS = {"go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "java": "java", "rs": "rust", "rb": "ruby", "sql": "sql", "proto": "proto", "tf": "terraform", "md": "markdown", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "kt": "kotlin", "swift": "swift", "php": "php", "sh": "shell", "scala": "scala"}
-
-#: (language, node type, pattern with the groups name and, if it has one, owner)
-PATTERNS = [
-    ("go", "method", r"(?m)^func \(\w+ \*?(?P<owner>\w+)(?:\[[^\]]*\])?\) (?P<name>\w+)\("),
-    ("go", "function", r"(?m)^func (?P<name>\w+)[\[(]"),
-    ("go", "struct", r"(?m)^type (?P<name>\w+)(?:\[[^\]]*\])? struct\b"),
-    ("go", "interface", r"(?m)^type (?P<name>\w+)(?:\[[^\]]*\])? interface\b"),
-    ("python", "struct", r"(?m)^[ \t]*class (?P<name>\w+)"),
-    ("python", "function", r"(?m)^(?:async )?def (?P<name>\w+)\("),
-    ("python", "method", r"(?m)^[ \t]+(?:async )?def (?P<name>\w+)\((?:self|cls)\b"),
-    ("typescript", "function", r"(?m)^(?:export )?(?:default )?(?:async )?function (?P<name>\w+)"),
-    ("typescript", "struct", r"(?m)^(?:export )?(?:abstract )?class (?P<name>\w+)"),
-    ("typescript", "interface", r"(?m)^(?:export )?interface (?P<name>\w+)"),
-    ("java", "struct", r"(?m)^\s*(?:public |final |abstract )*class (?P<name>\w+)"),
-    ("java", "interface", r"(?m)^\s*(?:public )?interface (?P<name>\w+)"),
-    ("rust", "function", r"(?m)^\s*(?:pub(?:\([^)]*\))? )?(?:async )?fn (?P<name>\w+)"),
-    ("rust", "struct", r"(?m)^\s*(?:pub )?(?:struct|enum) (?P<name>\w+)"),
-    ("rust", "interface", r"(?m)^\s*(?:pub )?trait (?P<name>\w+)"),
-    ("ruby", "struct", r"(?m)^\s*(?:class|module) (?P<name>[\w:]+)"),
-    ("ruby", "method", r"(?m)^\s*def (?:self\.)?(?P<name>\w+[?!]?)"),
-    ("sql", "struct", r"(?im)^\s*create (?:or replace )?(?:table|view)(?: if not exists)? (?P<name>[\w.\"]+)"),
-    ("proto", "struct", r"(?m)^\s*message (?P<name>\w+)"),
-    ("proto", "interface", r"(?m)^\s*service (?P<name>\w+)"),
-    ("terraform", "infra", r'(?m)^\s*resource "(?P<owner>[\w-]+)" "(?P<name>[\w-]+)"'),
-    ("markdown", "section", r"(?m)^#{1,6} (?P<name>.+?)\s*$"),
-    ("csharp", "struct", r"(?m)^\s*(?:public |internal |sealed |abstract |static )*(?:class|record|struct) (?P<name>\w+)"),
-    ("kotlin", "function", r"(?m)^\s*(?:\w+ )*fun (?P<name>\w+)"),
-    ("php", "function", r"(?m)^\s*(?:public |private |protected |static )*function (?P<name>\w+)"),
-    ("swift", "function", r"(?m)^\s*(?:public |private )?func (?P<name>\w+)"),
-    ("shell", "function", r"(?m)^(?:function )?(?P<name>\w+)\s*\(\)\s*\{"),
-    ("c", "function", r"(?m)^[A-Za-z_][\w\s*]*?\b(?P<name>\w+)\([^;{]*\)\s*\{"),
-]
-SAME_AS = {"javascript": "typescript", "cpp": "c", "scala": "java"}
-IMPORTS = {"go": r'(?m)^\s*(?:import )?(?:(?P<alias>\w+) )?"(?P<path>[\w./-]+)"\s*$', "python": r"(?m)^(?:from (?P<path>[\w.]+) import|import (?P<alias>[\w.]+))", "typescript": r"""(?m)from ['"](?P<path>[^'"]+)['"]""", "java": r"(?m)^import (?P<path>[\w.]+);", "rust": r"(?m)^use (?P<path>[\w:]+)"}
-_NODE = "id string, type string, name string, file string, line int, exported boolean, language string"
+_NODE = "id string, type string, name string, file string, line int, exported boolean, language string, signature string, doc string"
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path, modified, language, text of all source files below root but in skipped folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kept = files.where(~F.col("path").rlike("/(" + "|".join(map(re.escape, SKIPPED)) + ")/"))
-    kinds = F.create_map(*[x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.lit(v))])
-    return kept.select("path", F.col("modificationTime").alias("modified"), kinds[F.lower(F.substring_index("path", ".", -1))].alias("language"), F.decode("content", "UTF-8").alias("text")).where("language is not null")
+    text = kept.select("path", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = rows.assign(language=[languages.language_of(p, t or "") for p, t in zip(rows["path"], rows["text"], strict=True)])
+            yield rows[["path", "modified", "language", "text"]]
+
+    return text.mapInPandas(told, "path string, modified timestamp, language string, text string").where("language is not null")
 
 
 def listing_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -70,26 +46,73 @@ def listing_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Nodes of scanned files (path, language, text): a file node each, and entities by the patterns of its language."""
-    compiled = [(lang, kind, re.compile(p)) for lang, kind, p in PATTERNS]
+    """Nodes of scanned files (path, language, text): a file node each, and entities by the patterns of its language, with their signature
+    and the comment above them."""
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for path, language, text in rows[["path", "language", "text"]].itertuples(index=False):
-                out.append((f"repo::{path}::{path.rsplit('/', 1)[-1]}", "file", path.rsplit("/", 1)[-1], path, 1, True, language))
-                for lang, kind, pattern in compiled:
-                    if lang == SAME_AS.get(language, language):
-                        for m in pattern.finditer(text or ""):
-                            own = m.groupdict()
-                            name = f"{own['owner']}.{own['name']}" if own.get("owner") else own["name"]
-                            shown = own["name"][0].isupper() if language == "go" else not own["name"].startswith("_")
-                            out.append((f"repo::{path}::{name}", kind, name, path, text.count("\n", 0, m.start("name")) + 1, shown, language))
-            yield pd.DataFrame(out, columns=["id", "type", "name", "file", "line", "exported", "language"])
+                base = path.rsplit("/", 1)[-1]
+                out.append((f"repo::{path}::{base}", "file", base, path, 1, True, language, "", ""))
+                for kind, name, line, _, signature, doc in languages.entities(language, text or ""):
+                    last = name.rsplit(".", 1)[-1]
+                    shown = last[:1].isupper() if language == "go" else not last.startswith("_")
+                    out.append((f"repo::{path}::{name}", kind, name, path, line, shown, language, signature, doc))
+            yield pd.DataFrame(out, columns=["id", "type", "name", "file", "line", "exported", "language", "signature", "doc"])
 
     return files.select("path", "language", "text").mapInPandas(nodes, _NODE).dropDuplicates(["id", "type"])
 
 
+def _listed(files: DataFrame, found, schema: str) -> DataFrame:
+    """Rows of found(language, text) for each file, after its path."""
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame([(path, *x) for path, language, text in rows[["path", "language", "text"]].itertuples(index=False) for x in found(language, text or "")], columns=columns)
+
+    return files.select("path", "language", "text").mapInPandas(rows_of, schema)
+
+
+def call_sites(files: DataFrame) -> DataFrame:
+    """file, caller, alias, func, caller_id: calls in the bodies of functions."""
+    return _listed(files, languages.call_sites, "file string, caller string, alias string, func string").withColumn("caller_id", F.concat_ws("::", F.lit("repo"), "file", "caller"))
+
+
+def bases(files: DataFrame) -> DataFrame:
+    """file, type, base: inheritance by name."""
+    return _listed(files, languages.bases, "file string, type string, base string")
+
+
+def import_aliases(files: DataFrame) -> DataFrame:
+    """file, alias, path."""
+    return _listed(files, languages.imported, "file string, alias string, path string").distinct()
+
+
+def plugin_extract(files: DataFrame, command: list[str], allowed: dict[str, str], timeout: int = 30) -> DataFrame:
+    """file, kind (node or edge), json: what a program of our own choice says of each file: it gets {"path", "content"} as JSON and answers
+    {"nodes": [...], "edges": [...]}. It runs only if its SHA-256 is the one that allowed has for its path; a file that it fails on gives
+    nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        program = Path(command[0])
+        if program.is_symlink() or allowed.get(command[0]) != hashlib.sha256(program.read_bytes()).hexdigest():
+            raise PermissionError(f"{command[0]} is not allowed")
+        for rows in batches:
+            out = []
+            for path, text in rows[["path", "text"]].itertuples(index=False):
+                try:
+                    said = subprocess.run(command, input=json.dumps({"path": path, "content": text}), capture_output=True, text=True, timeout=timeout, check=True)
+                    answer = json.loads(said.stdout)
+                except (subprocess.SubprocessError, ValueError):
+                    continue
+                out += [(path, kind, json.dumps(x)) for kind in ("node", "edge") for x in answer.get(f"{kind}s", [])]
+            yield pd.DataFrame(out, columns=["file", "kind", "json"])
+
+    return files.select("path", "text").mapInPandas(run, "file string, kind string, json string")
+
+
 def defines(nodes: DataFrame) -> DataFrame:
     files = nodes.where("type = 'file'").select("file", F.col("id").alias("from_id"))
     return nodes.where("type <> 'file'").join(files, "file").select("from_id", F.col("id").alias("to_id"), F.lit("DEFINES").alias("type"))
@@ -97,13 +120,7 @@ def defines(nodes: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     """file, path: what files import, by language."""
-    found = None
-    for language, pattern in IMPORTS.items():
-        java = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-        group = 2 if language == "go" else 1
-        hits = files.where(F.col("language") == language).select(F.col("path").alias("file"), F.explode(F.regexp_extract_all("text", F.lit(java), F.lit(group))).alias("path")).where("path <> ''")
-        found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
+    return import_aliases(files).select("file", "path").distinct()
 
 
 def classified(files: DataFrame) -> DataFrame:
@@ -135,13 +152,14 @@ def coverage_blocks(lines: DataFrame) -> DataFrame:
 
 
 def manifest_dependencies(manifests: DataFrame, keep: int = 10) -> DataFrame:
-    """path, name of up to `keep` dependencies of each manifest (path, text): module files, package files, requirements and crates."""
+    """path, name of up to `keep` dependencies of each manifest (path, text): module files, package files, requirements, crates and Python projects."""
     name = F.substring_index("path", "/", -1)
     found = (
         F.when(name == "go.mod", F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:require )?([\w.-]+\.[\w.-]+/[\w./-]+) v"), F.lit(1)))
         .when(name == "package.json", F.map_keys(F.map_concat(F.coalesce(F.from_json("text", "dependencies map<string,string>")["dependencies"], F.create_map().cast("map<string,string>")))))
         .when(name == "requirements.txt", F.regexp_extract_all("text", F.lit(r"(?m)^([A-Za-z0-9][\w.-]*)"), F.lit(1)))
         .when(name == "Cargo.toml", F.regexp_extract_all(F.regexp_extract("text", r"(?s)\[dependencies\](.*?)(\n\[|$)", 1), F.lit(r"(?m)^([\w-]+)\s*="), F.lit(1)))
+        .when(name == "pyproject.toml", F.regexp_extract_all(F.regexp_extract("text", r"(?s)dependencies\s*=\s*\[(.*?)\]", 1), F.lit(r"""["']([A-Za-z0-9][\w.-]*)"""), F.lit(1)))
         .otherwise(F.array().cast("array<string>"))
     )
     return manifests.select("path", F.posexplode(F.slice(found, 1, keep)).alias("place", "name"))
@@ -149,3 +167,23 @@ def manifest_dependencies(manifests: DataFrame, keep: int = 10) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def profile_shares(lines: DataFrame) -> DataFrame:
+    """name, flat_pct of the lines of a profile's top table: flat flat% sum% cum cum% function."""
+    p = r"^\s*\S+\s+([\d.]+)%\s+[\d.]+%\s+\S+\s+[\d.]+%\s+(.+?)\s*$"
+    return lines.where(F.rlike("value", F.lit(p))).select(F.regexp_extract("value", p, 2).alias("name"), F.regexp_extract("value", p, 1).cast("double").alias("flat_pct"))
+
+
+def profiled(nodes: DataFrame, shares: DataFrame) -> DataFrame:
+    """id, flat_pct: a profile's shares on the functions and methods of their short name (package and pointer marks taken off)."""
+    short = F.regexp_replace(F.substring_index("name", "/", -1), r"^[^.]*\.|\(\*?|\)", "")
+    named = shares.select(F.lower(short).alias("key"), "flat_pct").groupBy("key").agg(F.sum("flat_pct").alias("flat_pct"))
+    return nodes.where("type in ('function', 'method')").select("id", F.lower("name").alias("key")).join(named, "key").select("id", "flat_pct")
+
+
+def workspaces(manifests: DataFrame) -> DataFrame:
+    """path, member: folders that a package file's workspaces or a module file's local replacements name."""
+    name = F.substring_index("path", "/", -1)
+    found = F.when(name == "package.json", F.from_json("text", "workspaces array<string>")["workspaces"]).when(name == "go.mod", F.regexp_extract_all("text", F.lit(r"=>\s+(\.{1,2}/\S+)"), F.lit(1)))
+    return manifests.select("path", F.explode(found).alias("member"))

@@ -58,9 +58,9 @@ def _small(df: DataFrame, most: int = 8 << 20) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= most
 
 
-def rate_limited(requests: DataFrame, key: str, at: str, per_minute: int, burst: int) -> DataFrame:
-    """requests with allowed: a token bucket per key. In a stream it lives in the state and times out when it would be full; a batch of a
-    key is judged in the order of time (a stream gives its batches in order). A table is folded by coordination.token_bucket."""
+def rate_limited(requests: DataFrame, key: str, at: str, per_minute: int, burst: int, late: str = "10 minutes") -> DataFrame:
+    """requests with allowed: a token bucket per key. In a stream it lives in the state until the watermark says that it would be full; a
+    batch of a key is judged in the order of time (a stream gives its batches in order). A table is folded by coordination.token_bucket."""
     if not requests.isStreaming:
         return coordination.token_bucket(requests, key, at, per_minute, burst, order=at)
     names = [f.name for f in requests.schema.fields]
@@ -82,10 +82,10 @@ def rate_limited(requests: DataFrame, key: str, at: str, per_minute: int, burst:
             allowed.append(left >= 1)
             left -= 1.0 if left >= 1 else 0.0
         state.update((left, int(last)))
-        state.setTimeoutDuration(60_000 * max(1, -(-burst // per_minute)))
+        state.setTimeoutTimestamp(max(int(last) // 1000 + 60_000 * max(1, -(-burst // per_minute)), state.getCurrentWatermarkMs() + 1))
         yield rows.assign(allowed=allowed)[[*names, "allowed"]]
 
-    return requests.groupBy(key).applyInPandasWithState(step, schema, "left double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, schema, "left double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def batches_to(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
