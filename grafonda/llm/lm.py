@@ -307,13 +307,14 @@ def levels_by_join(docs: DataFrame, segments: DataFrame, wide: int) -> DataFrame
                 keys = keys[level < 0]
                 segment = (keys >> np.uint64(32)).astype(np.int32)
                 cut = np.flatnonzero(np.append(True, np.diff(segment) != 0)) if len(keys) else np.zeros(0, np.int64)
-                parts = [keys[a:b].tobytes() for a, b in zip(cut, np.append(cut, len(keys))[1:], strict=True)]
+                parts = [keys[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, np.append(cut, len(keys))[1:], strict=True)]  # without the segment's number
                 yield pa.RecordBatch.from_arrays([pa.array(segment[cut]), pa.array(np.full(len(cut), batch.column("run")[k].as_py())), pa.array(parts, pa.binary())], ["segment", "run", "keys"])
 
     def tell(asked: pa.Table, held: pa.Table) -> pa.Table:
         number = asked.column("segment")[0].as_py() if asked.num_rows else 0
         known = Filter({number: held.column("bits")[0].as_py()} if held.num_rows else {}, wide)
-        found = [known.levels(np.frombuffer(x, np.uint64) << np.uint64(32 - wide)).tobytes() for x in asked.column("keys").to_pylist()]
+        whole = lambda x: (np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(number << 32)) << np.uint64(32 - wide)
+        found = [known.levels(whole(x)).tobytes() for x in asked.column("keys").to_pylist()]
         return pa.table({"run": asked.column("run"), "segment": asked.column("segment"), "told": pa.array(found, pa.binary())})
 
     told = small_batches(runs).mapInArrow(ask, "segment int, run long, keys binary").groupBy("segment").cogroup(segments.select("segment", "bits").groupBy("segment")).applyInArrow(tell, "run long, segment int, told binary")
@@ -345,7 +346,7 @@ def score(docs: DataFrame, training: DataFrame, mass: float = MASS, part_bytes:
         forget(segments)
         sums = scored_sums(docs, counts, total, kinds, mass, held)
     else:
-        sums = scored_sums(work_table(levels_by_join(docs, segments, wide), "levels"), counts, total, kinds, mass, None)
+        sums = scored_sums(levels_by_join(docs, segments, wide), counts, total, kinds, mass, None)
     least = F.log10(F.lit(float(total + kinds + 1)))
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * least).alias("base_score"), "score")
 
