@@ -57,7 +57,7 @@ def _prices(df):
 
 _PRICE = "us AS (SELECT session_id, model, response_tokens AS tokens FROM cd JOIN (SELECT session_id, model FROM s) USING (session_id)), pr AS (SELECT *, CASE WHEN model IN ('model-0', 'model-0-20240115') THEN 2.0 WHEN model = 'model-2-20240115' THEN 5.0 END AS per_million FROM us)"
 _add("priced_usage", "s cd", lambda s, cd: C.usage_by(C.priced(_usage(s, cd), _prices(s)), ["model"]), f"SELECT model, count(*) AS calls, sum(tokens)::BIGINT AS tokens, round(sum(tokens / 1e6 * coalesce(per_million, 0)), 6)::DOUBLE AS cost FROM (WITH {_PRICE} SELECT * FROM pr) GROUP BY 1")
-_add("price_history", "tc", lambda tc: C.price_history(tc.select(F.col("tool_name").alias("model"), (F.col("duration_ms") / 1500).cast("int").alias("per_million"), F.col("id").alias("at"))), "SELECT model, per_million, t AS since, lead(t) OVER (PARTITION BY model ORDER BY t) AS until FROM (SELECT *, lag(per_million) OVER (PARTITION BY model ORDER BY t) AS old FROM (SELECT tool_name AS model, (duration_ms // 1500)::INT AS per_million, id AS t FROM tc)) WHERE old IS NULL OR old <> per_million")
+_add("price_history", "tc", lambda tc: C.price_history(tc.select(F.col("tool_name").alias("model"), (F.col("duration_ms") / 1500).cast("int").alias("per_million"), F.col("id").alias("at"))).na.fill(-1, ["until"]), "SELECT model, per_million, t AS since, coalesce(lead(t) OVER (PARTITION BY model ORDER BY t), -1) AS until FROM (SELECT *, lag(per_million) OVER (PARTITION BY model ORDER BY t) AS old FROM (SELECT tool_name AS model, (duration_ms // 1500)::INT AS per_million, id AS t FROM tc)) WHERE old IS NULL OR old <> per_million")
 _EFF = "SELECT model, count(*) AS sessions, sum(tokens_saved * {0})::BIGINT AS saved, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM s LEFT JOIN (SELECT session_id, sum(response_tokens) AS tokens, count(*) AS n FROM cd GROUP BY 1) USING (session_id) GROUP BY 1"
 _add("model_efficiency", "s cd", lambda s, cd: C.model_efficiency(s, _usage(s, cd)), _EFF.format("greatest(coalesce(n, 1), 1)"))
 _add("model_efficiency_corrected", "s cd", lambda s, cd: C.model_efficiency(s, _usage(s, cd), True), _EFF.format("1"))
@@ -86,7 +86,7 @@ _add(
 _add("backfilled_days", "tc", lambda tc: C.backfilled(tc.select(F.col("created_date").alias("day")), tc.where("day(created_date) % 2 = 0").select(F.col("created_date").alias("day"))), "SELECT DISTINCT created_date AS day FROM tc WHERE day(created_date) % 2 <> 0", ("day",))
 _add("raw_export", "tc cd s os", lambda tc, cd, s, os: sinks.export_summary(sinks.json_rows(tool_calls=tc, context_deliveries=cd, sessions=s, outcome_signals=os)), "SELECT 'tool_calls' AS kind, count(*) AS n FROM tc UNION ALL SELECT 'context_deliveries', count(*) FROM cd UNION ALL SELECT 'sessions', count(*) FROM s UNION ALL SELECT 'outcome_signals', count(*) FROM os")
 _add("report", "tc", lambda tc: sinks.report_lines(tc.groupBy(F.col("tool_name").alias("name")).agg(F.count("*").cast("double").alias("value")), "Calls"), "SELECT place::INT AS place, line FROM (SELECT 0 AS place, '# Calls' AS line UNION ALL SELECT 1, '| metric | value |' UNION ALL SELECT 2, '|-|-|' UNION ALL SELECT row_number() OVER (ORDER BY tool_name) + 2, '| ' || tool_name || ' | ' || format('{:,.4f}', count(*)::DOUBLE) || ' |' FROM tc GROUP BY tool_name)")
-_add("session_chain", "tc", lambda tc: coordination.session_chain(tc, ["agent_id"], "created_at").select("agent_id", "number", "calls", "state", "parent"), "SELECT agent_id, number, count(*) AS calls, CASE WHEN number = 0 THEN 'new' WHEN arg_min(gap, (epoch_us(created_at), -coalesce(gap, 0))) <= 86400 THEN 'resumed' ELSE 'superseded' END AS state, CASE WHEN number > 0 THEN number - 1 END AS parent FROM (SELECT *, sum(CASE WHEN gap > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY created_at)::BIGINT AS number FROM (SELECT agent_id, created_at, floor(epoch_us(created_at) / 1000000)::BIGINT - floor(epoch_us(lag(created_at) OVER (PARTITION BY agent_id ORDER BY created_at)) / 1000000)::BIGINT AS gap FROM tc)) GROUP BY agent_id, number")
+_add("session_chain", "tc", lambda tc: coordination.session_chain(tc, ["agent_id"], "created_at").select("agent_id", "number", "calls", "state", F.coalesce("parent", F.lit(-1)).alias("parent")), "SELECT agent_id, number, count(*) AS calls, CASE WHEN number = 0 THEN 'new' WHEN arg_min(gap, (epoch_us(created_at), -coalesce(gap, 0))) <= 86400 THEN 'resumed' ELSE 'superseded' END AS state, number - 1 AS parent FROM (SELECT *, sum(CASE WHEN gap > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY created_at)::BIGINT AS number FROM (SELECT agent_id, created_at, floor(epoch_us(created_at) / 1000000)::BIGINT - floor(epoch_us(lag(created_at) OVER (PARTITION BY agent_id ORDER BY created_at)) / 1000000)::BIGINT AS gap FROM tc)) GROUP BY agent_id, number")
 _add("stale_sessions", "s", lambda s: coordination.stale_sessions(s.withColumn("last_seen_at", F.col("started_at")), F.lit("2024-02-01").cast("timestamp"), 60, 5).select("session_id", "idle_minutes"), "SELECT session_id, ((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(started_at)) // 60000000)::BIGINT AS idle_minutes FROM s WHERE ended_at IS NULL AND (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(started_at)) // 60000000 > 60 ORDER BY 2 DESC, 1 LIMIT 5")
 _add("call_summary", "tc", lambda tc: coordination.call_summary(tc, "agent_id", 3), "SELECT agent_id, any_value(calls) AS calls, any_value(er) AS error_rate, any_value(busy) AS busy_ms, string_agg(tool_name || ':' || n, ',' ORDER BY r) AS tools FROM (SELECT agent_id, tool_name, count(*) AS n, row_number() OVER (PARTITION BY agent_id ORDER BY count(*) DESC, tool_name) AS r FROM tc GROUP BY 1, 2) JOIN (SELECT agent_id, count(*) AS calls, round(1 - avg(success), 6) AS er, sum(duration_ms)::BIGINT AS busy FROM tc GROUP BY 1) USING (agent_id) WHERE r <= 3 GROUP BY 1")
 _add("session_trend", "s", lambda s: coordination.session_trend(s.where("agent_id = 1").select("session_id", "started_at", F.col("tasks_completed").alias("hits"), F.col("tool_calls").alias("total"))).select(F.round("first", 6).alias("first"), F.round("second", 6).alias("second"), "trend"), "SELECT round(a, 6) AS first, round(b, 6) AS second, CASE WHEN b - a > 0.05 THEN 'improving' WHEN a - b > 0.05 THEN 'declining' ELSE 'stable' END AS trend FROM (SELECT coalesce(sum(tasks_completed) FILTER (h = 1)::DOUBLE / sum(tool_calls) FILTER (h = 1), 0) AS a, coalesce(sum(tasks_completed) FILTER (h = 2)::DOUBLE / sum(tool_calls) FILTER (h = 2), 0) AS b FROM (SELECT *, ntile(2) OVER (ORDER BY started_at, session_id) AS h FROM s WHERE agent_id = 1))")

@@ -133,7 +133,7 @@ _add("injection_modes", "conversations", lambda c: c.select(F.expr(_STEER).alias
 _add("candidates", "part", lambda p: p.select("p_partkey", F.explode(words.candidates(F.concat(F.lit("we use `"), "p_name", F.lit("` with TokenBucket and \"rate limit\"\nThe Old Man near the Great Wall `"), "p_name", F.lit("`")))).alias("c")).select("p_partkey", "c.name", "c.confidence"), "SELECT p_partkey, unnest([p_name, 'TokenBucket', 'rate limit']) AS name, unnest([0.9, 0.75, 0.75])::DOUBLE AS confidence FROM part")
 _add("relation_signals", "part", lambda p: p.select("p_partkey", F.explode(words.relation_signals(F.when(F.col("p_size") % 2 == 0, "We see that TokenBucket depends on the RateCard, mostly\nand GraphStore uses it").otherwise("then RateCard is used by TokenBucket."))).alias("s")).select("p_partkey", "s.source", "s.signal", "s.target", words.relation_edge(F.col("s.signal")).alias("edge")), "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'tokenbucket' ELSE 'ratecard' END AS source, CASE WHEN p_size % 2 = 0 THEN 'depends on' ELSE 'used by' END AS signal, CASE WHEN p_size % 2 = 0 THEN 'ratecard' ELSE 'tokenbucket' END AS target, CASE WHEN p_size % 2 = 0 THEN 'CAUSED_BY' ELSE 'RELATES_TO' END AS edge FROM part")
 _add("relative_times", "events", lambda e: e.select("event_id", words.relative_time(F.col("ts").cast("timestamp"), F.lit("2024-01-31").cast("timestamp")).alias("age")), "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'min ago' ELSE (s // 3600) || 'h ago' END AS age FROM (SELECT event_id, floor(epoch_us(TIMESTAMP '2024-01-31') / 1e6)::BIGINT - floor(epoch_us(ts) / 1e6)::BIGINT AS s FROM events)")
-_add("flexible_times", "events", lambda e: e.select("event_id", F.unix_micros(words.flexible_time(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, F.floor(scalars.micros("ts") / 1_000_000).cast("string")).otherwise(F.lit("never")), True)).alias("t")), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch_us(date_trunc('day', ts)) + 86399999999 WHEN 1 THEN floor(epoch_us(ts) / 1e6)::BIGINT * 1000000 END AS t FROM events")
+_add("flexible_times", "events", lambda e: e.select("event_id", F.unix_micros(words.flexible_time(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, F.floor(scalars.micros("ts") / 1_000_000).cast("string")).otherwise(F.lit("never")), True)).alias("t")).na.fill(-1, ["t"]), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch_us(date_trunc('day', ts)) + 86399999999 WHEN 1 THEN floor(epoch_us(ts) / 1e6)::BIGINT * 1000000 ELSE -1 END AS t FROM events")
 _add("call_fingerprints", "events", lambda e: e.select("event_id", words.call_fingerprint(F.col("event_type"), F.concat(F.lit('{"file": "'), "event_type", F.lit('", "id": "7", "query": "'), F.when(F.col("event_id") % 2 == 0, F.lit("q")).otherwise(F.lit("")), F.lit('"}'))).alias("call")), "SELECT event_id, event_type || ':' || CASE WHEN event_id % 2 = 0 THEN 'q' ELSE event_type END AS call FROM events")
 _add("budget_multipliers", "supplier", lambda s: s.select("s_suppkey", words.budget_multiplier(F.col("s_name"), [("supplier#00000000", 2.0), ("supplier", 1.5)]).alias("factor")), "SELECT s_suppkey, CASE WHEN starts_with(lower(s_name), 'supplier#00000000') THEN 2.0 ELSE 1.5 END::DOUBLE AS factor FROM supplier")
 _add("path_kinds", "pages", lambda p: p.select("page_id", words.looks_like_file(F.col("url")).alias("file"), words.external_package(F.regexp_replace("url", "^https?://", "")).alias("external"), words.relative_path(F.regexp_replace("url", "^https?://", ""), "therwh.example.org").alias("rel"), words.top_package(F.regexp_replace("url", "^https?://", "")).alias("top")), "SELECT page_id, false AS file, contains(split_part(u, '/', 1), '.') AS external, CASE WHEN starts_with(u, 'therwh.example.org/') THEN substr(u, 20) ELSE u END AS rel, CASE WHEN contains(u, '/') THEN split_part(u, '/', 1) ELSE '.' END AS top FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages)")
@@ -159,7 +159,7 @@ def _file_context(spark, d):
 
 QUERIES["text_file_context"] = (_file_context, f"WITH {model.GRAPH_SQL.split('edges AS')[0].rstrip().rstrip(',')} SELECT file, string_agg(name, ',' ORDER BY line, name) AS entities FROM nodes WHERE file IN ('part/Brand#13.tbl', 'customer/NATION_1.tbl') GROUP BY 1")
 _add("edge_catalog", "region", lambda r: knowledge.edge_catalog(r.sparkSession, graph.EDGE_WEIGHTS, graph.CROSS_DOMAIN), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE, {str(k in graph.CROSS_DOMAIN).lower()})" for k, v in graph.EDGE_WEIGHTS.items()) + ") t(name, weight, cross_domain)")
-_add("tiered_sections", "region", lambda r: knowledge.tiered_sections(r.select(F.col("r_name").alias("name"), F.when(F.col("r_regionkey") < 2, "critical").when(F.col("r_regionkey") == 2, "relevant").otherwise("available").alias("tier"), F.col("r_regionkey").alias("place"), F.lit(40).alias("cost")), 130).select("name", "running"), "SELECT r_name AS name, (r_regionkey + 1) * 40 AS running FROM region WHERE r_regionkey < 3")
+_add("tiered_sections", "region", lambda r: knowledge.tiered_sections(r.select(F.col("r_name").alias("name"), F.when(F.col("r_regionkey") < 2, "critical").when(F.col("r_regionkey") == 2, "relevant").otherwise("available").alias("tier"), F.col("r_regionkey").alias("place"), F.lit(40).alias("cost")), 130).select("name", F.col("running").cast("long").alias("running")), "SELECT r_name AS name, ((r_regionkey + 1) * 40)::BIGINT AS running FROM region WHERE r_regionkey < 3")
 _add("trimmed_impact", "region", lambda r: knowledge.trimmed_impact(r.select((F.col("r_regionkey") + 1).alias("depth"), F.lit(100).alias("cost")), 250).select("depth"), "SELECT r_regionkey + 1 AS depth FROM region WHERE r_regionkey < 2")
 
 # --- rankers: each item of the benchmark ranks eight or twelve documents
