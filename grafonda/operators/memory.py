@@ -86,3 +86,10 @@ def learned_weights(delivered: DataFrame, outcomes: DataFrame) -> DataFrame:
     """from_id, to_id, weight: edges whose ends were delivered together in sessions that ended well or badly; within 0.3 and 2."""
     moves = delivered.join(outcomes, "session_id").withColumn("step", F.when(F.col("good"), 0.1).otherwise(-0.05))
     return moves.groupBy("from_id", "to_id").agg(F.greatest(F.lit(0.3), F.least(F.lit(2.0), 1 + F.sum("step"))).alias("weight"))
+
+
+def dormant(weights: DataFrame, now: Column, days: int = 30, factor: float = 0.7) -> DataFrame:
+    """weights(from_id, to_id, weight, last_used_at, marked) where those that were not used for so many days fade, once."""
+    old = (F.col("last_used_at") < now - F.expr(f"INTERVAL {days} DAY")) & ~F.col("marked")
+    faded = F.greatest(F.lit(0.3), F.col("weight") * factor)
+    return weights.withColumns({"weight": F.when(old, faded).otherwise(F.col("weight")), "marked": F.col("marked") | old})

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "rule_id string, severity string, from_type string, to_type string, edge_type string, from_package string, to_package string"
+#: Rules that are broadcast at most.
+MANY = 10_000
 _FIELDS = ("from_type", "to_type", "edge_type", "from_package", "to_package")
 
 
 def violations(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
     """rule_id, severity, from_id, to_id, type. An empty field of a rule allows anything; a rule of empty fields never fires.
 
-    Rules are configuration of a few rows: they are broadcast, and edges meet their ends' columns in two equi joins."""
+    Rules are configuration: up to MANY of them are broadcast, beyond that they are joined. Those that name an edge type meet edges of that
+    type only; edges meet their ends' columns in two equi joins."""
     live = rules.where(" or ".join(f"{c} <> ''" for c in _FIELDS))
     ends = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("type").alias(f"{side}_t"), F.lower("package").alias(f"{side}_p"))
     full = edges.join(ends("from"), "from_id").join(ends("to"), "to_id")
@@ -20,7 +23,9 @@ def violations(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFram
         F.expr("from_type = '' or from_type = from_t") & F.expr("to_type = '' or to_type = to_t") & F.expr("edge_type = '' or edge_type = type")
         & F.expr("from_package = '' or contains(from_p, lower(from_package))") & F.expr("to_package = '' or contains(to_p, lower(to_package))")
     )
-    return full.join(F.broadcast(live), fits).select("rule_id", "severity", "from_id", "to_id", "type")
+    few = F.broadcast if live.limit(MANY + 1).count() <= MANY else (lambda df: df)
+    typed = full.join(few(live.where("edge_type <> ''")), (F.col("type") == F.col("edge_type")) & fits)
+    return typed.unionByName(full.join(few(live.where("edge_type = ''")), fits)).select("rule_id", "severity", "from_id", "to_id", "type")
 
 
 def what_if(nodes: DataFrame, edges: DataFrame, callers: DataFrame, callees: DataFrame, rules: DataFrame) -> DataFrame:

@@ -66,9 +66,10 @@ def reciprocal_rank_fusion(lists: DataFrame, weights: dict[str, float] | None =
 
 def convex_fusion(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
     """id, score: min-max scaled scores (1 where a channel is constant), weighed and summed."""
-    w = Window.partitionBy("channel")
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    scaled = lists.withColumn("s", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
+    clean = lists.withColumn("score", F.when(F.isnan("score") | (F.abs("score") == float("inf")), 0.0).otherwise(F.col("score")))
+    ends = clean.groupBy("channel").agg(F.min("score").alias("low"), F.max("score").alias("high"))  # a row for each channel
+    share = (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))
+    scaled = clean.join(F.broadcast(ends), "channel").withColumn("s", F.when(F.col("high") == F.col("low"), 1.0).otherwise(share))
     weight = F.create_map(*[x for c, v in weights.items() for x in (F.lit(c), F.lit(float(v)))])[F.col("channel")]
     return scaled.groupBy("id").agg(F.sum(weight * F.col("s")).alias("score"))
 
