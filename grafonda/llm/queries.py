@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, flac, jaccard, language, lm, packing, secrets, sharding, token_counts, toxicity
+from . import decontamination, flac, jaccard, language, lm, names, packing, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_name_join": names.op11_name_join,
 }
 ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.ORACLE_SQL}
