@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, flac, jaccard, language, lm, names, packing, secrets, sharding, token_counts, toxicity
+from . import decontamination, flac, jaccard, language, lm, merkle, names, packing, secrets, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_name_join": names.op11_name_join,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
