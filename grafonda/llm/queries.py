@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, flac, jaccard, language, lm, merkle, names, packing, secrets, sharding, token_counts, toxicity
+from . import decontamination, flac, jaccard, language, lm, merkle, names, packing, secrets, sharding, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_name_join": names.op11_name_join,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_token_orc": token_files.op13_token_orc,
 }
 ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}

@@ -35,16 +35,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own, not made yet, in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, a lost executor costs no recomputation.
 
     The folder goes with forget(), or when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    discard_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
