@@ -60,10 +60,19 @@ def labelled_samples(docs: DataFrame, max_docs: int = 400, random_strings: int =
     return random.unionByName(split.select(F.explode(spelled).alias("word"), F.lit("ordinary").alias("label")))
 
 
+def _parts(word: Column, size: int) -> Column:
+    """Blocks of size + 1 characters that share one with the next, so that each pair of neighbours is in one block: a character is found from
+    its block's start, not from the word's."""
+    blocks = F.sequence(F.lit(0), F.floor((F.length(word) - 2) / size).cast("int"))
+    return F.transform(blocks, lambda k: F.substring(word, k * size + 1, F.lit(size + 1)))
+
+
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
     """Hundredths of a nat for each pair of characters: log P(random) - log P(ordinary) of the second after the first. The driver gets
     at most 2 * SIZE * SIZE counts."""
-    pairs = samples.where("length(word) > 1").select("label", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
+    parts = F.flatten(F.transform(_parts(F.col("word"), BLOCK * BLOCK), lambda part: _parts(part, BLOCK)))
+    pairs = samples.where("length(word) > 1").select("label", F.explode(parts).alias("word"))
+    pairs = pairs.select("label", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
     pairs = pairs.groupBy("label", F.expr("substring(word, i, 2)").alias("pair")).count()  # at most 2 * SIZE * SIZE rows: ASCII only
     counts = pairs.select("label", _code("pair", 1).alias("first"), _code("pair", 2).alias("second"), "count").where("first >= 0 and second >= 0").collect()
     logs = {}
@@ -124,7 +133,9 @@ def scan(docs: DataFrame, model: list[int]) -> DataFrame:
     long_enough = F.when(F.size(assign) > 0, F.filter(assign, lambda x, i: F.length(F.get(values, i)) >= ASSIGN_LEAST)).otherwise(F.col(assign))
     based = found.withColumn(base, F.array_sort(F.concat(_bare(long_enough), _bare(F.col(access)), _bare(F.col(hexes)))))
     table = F.split(F.lit(" ".join(map(str, model))), " ").cast("array<int>")  # folded to a constant
-    ratio = lambda word: F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0), lambda acc, i: acc + F.get(table, _code(word, i) * SIZE + _code(word, i + 1)))
+    near = lambda word: F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0), lambda acc, i: acc + F.get(table, _code(word, i) * SIZE + _code(word, i + 1)))
+    summed = lambda parts, value: F.aggregate(parts, F.lit(0), lambda acc, part: acc + value(part))
+    ratio = lambda word: summed(_parts(word, BLOCK * BLOCK), lambda part: summed(_parts(part, BLOCK), near))
     beyond = _bare(F.filter(_outside(F.col(tokens), F.col(base)), lambda x: ratio(x["word"]) >= LEAST_RATIO))
     every = F.when(F.size(tokens) > 0, F.array_sort(F.concat(F.col(base), beyond))).otherwise(F.col(base))
     return based.withColumn(spans, every).drop(body, assign, access, hexes, tokens)

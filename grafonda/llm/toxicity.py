@@ -102,7 +102,7 @@ class ToxicityModel:
         (a, b), row = _windows(first)
         mean = (total[b] - total[a]) / np.maximum(b - a, 1)
         lead, held = _leading(mean, row)
-        found = np.bincount(held, weights=mean[lead], minlength=len(at) - 1) / LEADING + self.bias
+        found = np.bincount(held, weights=mean[lead], minlength=len(at) - 1) / np.maximum(np.bincount(held, minlength=len(at) - 1), 1) + self.bias
         return np.where(np.diff(row) > 0, found, _odds(self.prior))
 
 
@@ -131,6 +131,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, dim: int = 8, rounds: int = 90, rate
     bias = np.zeros(1, np.float32)
     (a, b), row = _windows(first)
     docs = np.flatnonzero(np.diff(row))
+    windows = np.clip(np.diff(row), 1, LEADING)  # that a text's logit is the mean of
     label = toxic[docs].astype(np.float32)
     weight = np.where(label > 0, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1)).astype(np.float32)
     speed = [np.zeros_like(x) for x in (table, soft, bias)]
@@ -140,13 +141,13 @@ def fit(texts: pa.Array, toxic: np.ndarray, dim: int = 8, rounds: int = 90, rate
         total = np.concatenate(([0.0], np.cumsum(share[ids], dtype=np.float64)))
         mean = (total[b] - total[a]) / (b - a)
         lead, held = _leading(mean, row)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(held, weights=mean[lead], minlength=len(row) - 1)[docs] / LEADING + bias, -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip((np.bincount(held, weights=mean[lead], minlength=len(row) - 1) / windows)[docs] + bias, -60, 60)))
         g = np.zeros(len(row) - 1)
         g[docs] = (p - label) * weight
         # words of the leading windows get their share of the gradient
         size = (b - a)[lead]
         spread = np.repeat(a[lead] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        by_word = np.bincount(ids[spread], weights=np.repeat(g[held] / size / LEADING, size), minlength=n).astype(np.float32)
+        by_word = np.bincount(ids[spread], weights=np.repeat(g[held] / size / windows[held], size), minlength=n).astype(np.float32)
         by_gram = np.bincount(bucket, weights=np.repeat(by_word / grams, many), minlength=BUCKETS).astype(np.float32)
         down = (by_gram[:, None] * soft[None, :] + decay * table, by_gram @ table + decay * soft, np.array([g.sum()], np.float32))
         for x, d, v in zip((table, soft, bias), down, speed, strict=True):

@@ -68,8 +68,22 @@ def test_fitted_linear_predictors_are_used_and_read():
     t = np.arange(9000)
     wave = (128 + 90 * np.sin(t / 9)).astype(np.uint8).tobytes()
     (media,) = flac.encode([wave])
-    kinds = {media[o] >> 1 for o in [flac.Stream(media).frames[0][2] + 6]}
-    assert b"".join(x.tobytes() for _, x in flac.decode([media])[0]) == wave and len(media) < 0.6 * len(wave) and kinds
+    kinds = Counter(kind_of(media, a) for _, _, a, _ in flac.Stream(media).frames)
+    assert b"".join(x.tobytes() for _, x in flac.decode([media])[0]) == wave and len(media) < 0.6 * len(wave) and kinds["linear"]
+
+
+def kind_of(media, start):
+    """What the frame at this byte holds: its header is a sync code, two bytes, the coded number, perhaps a block size, and a CRC."""
+    number = next(k for k in range(8) if not media[start + 4] << k & 0x80) or 1
+    code = media[start + 4 + number + (2 if media[start + 2] >> 4 == 7 else 0) + 1] >> 1
+    return "constant" if code == 0 else "verbatim" if code == 1 else "fixed" if code < 32 else "linear"
+
+
+def test_texts_are_coded_not_stored(spark, sf_dir):
+    """Hardly a frame of documents is verbatim: only where coding is longer."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    found = Counter(kind_of(m, a) for m in flac.encode([flac.padded(t.encode()) for t in texts]) for _, _, a, _ in flac.Stream(m).frames)
+    assert found["verbatim"] < 0.05 * sum(found.values()) and found["linear"] > found["verbatim"]
 
 
 def test_language_counts_are_plain_counts(spark):
@@ -198,3 +212,17 @@ def test_packing_is_near_the_least_number_of_bins():
 
 def test_held_out_by_crc():
     assert binascii.crc32(b"7") % 4 in range(4)
+
+
+def test_one_token_of_a_million_characters(spark):
+    """Work grows with the token's length, and the blocks add up to the whole."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = "".join(np.random.default_rng(1).choice(list(letters), 1_000_000))
+    words = "correct" * 150_000
+    docs = spark.createDataFrame([(1, f"see {token} here"), (2, words), (3, token[:5000])], "doc_id long, text string")
+    model = secrets.train(secrets.labelled_samples(spark.createDataFrame([(1, "some ordinary words of a text")], docs.schema)))
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan(docs, model).collect()}
+    place = secrets.ALPHABET.index
+    ratio = lambda w: sum(model[place(a) * secrets.SIZE + place(b)] for a, b in zip(w, w[1:], strict=False))
+    for doc_id, word, start in ((1, token, 4), (2, words, 0), (3, token[:5000], 0)):
+        assert (got[doc_id] == [(start, 3, start + len(word))]) == (ratio(word) >= secrets.LEAST_RATIO)
