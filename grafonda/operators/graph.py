@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orders import levels
 from .work import cut, forget
 
 # How strongly each type of edge ties its ends; the same for spreading activation; and the tiers of impact.
@@ -351,99 +352,7 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return label
 
 
-def ordered_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, community (numbered from 0 by their least label): label propagation in the order of ids, each node seeing the labels that are
-    already new. That order is sequential, so the graph (of concepts, not of code) goes to one task."""
-
-    def settle(table: pa.Table) -> pa.Table:
-        links: dict[str, list[str]] = {}
-        for a, b in zip(table.column("from_id").to_pylist(), table.column("to_id").to_pylist(), strict=True):
-            links.setdefault(a, []).append(b)
-            links.setdefault(b, []).append(a)
-        label = {x: k for k, x in enumerate(sorted(links))}
-        for _ in range(rounds):
-            moved = False
-            for x in sorted(links):
-                votes: dict[int, int] = {}
-                for y in links[x]:
-                    votes[label[y]] = votes.get(label[y], 0) + 1
-                best = min(votes, key=lambda k: (-votes[k], k))
-                if best != label[x]:
-                    label[x], moved = best, True
-            if not moved:
-                break
-        number = {k: n for n, k in enumerate(sorted(set(label.values())))}
-        return pa.table({"id": pa.array(sorted(links), pa.string()), "community": pa.array([number[label[x]] for x in sorted(links)], pa.int64())})
-
-    return edges.select("from_id", "to_id").distinct().groupBy().applyInArrow(settle, "id string, community long")
-
-
-def acyclic(edges: DataFrame) -> DataFrame:
-    """The edges that remain when depth-first search (roots and neighbours in order) takes out those that close a cycle. For dependencies
-    between infrastructure nodes, a small graph that goes to one task."""
-
-    def kept(table: pa.Table) -> pa.Table:
-        out: dict[str, list[str]] = {}
-        for a, b in sorted(set(zip(table.column("from_id").to_pylist(), table.column("to_id").to_pylist(), strict=True))):
-            out.setdefault(a, []).append(b)
-        state: dict[str, int] = {}
-        good = []
-        for root in sorted(out):
-            stack = [] if root in state else [(root, iter(out[root]))]
-            if stack:
-                state[root] = 1
-            while stack:
-                a, rest = stack[-1]
-                b = next(rest, None)
-                if b is None:
-                    state[a] = 2
-                    stack.pop()
-                elif state.get(b) != 1:
-                    good.append((a, b))
-                    if b not in state:
-                        state[b] = 1
-                        stack.append((b, iter(out.get(b, ()))))
-        return pa.table({"from_id": pa.array([a for a, _ in good], pa.string()), "to_id": pa.array([b for _, b in good], pa.string())})
-
-    return edges.select("from_id", "to_id").groupBy().applyInArrow(kept, "from_id string, to_id string")
-
-
-#: Calls up to which the longest chains are found in one task.
-FEW_CALLS = 1 << 20
-
-
 def longest_chain(edges: DataFrame) -> DataFrame:
     """id, length: the longest call chain that ends in each node, in topological order: a node has a length once all its callers have one,
-    so nodes on and behind a cycle have none. Up to FEW_CALLS calls go to one task; beyond that each round is a join."""
-    steps = cut(edges.where("type = 'CALLS' and from_id <> to_id").select("from_id", "to_id").distinct(), "calls")
-    if steps.count() <= FEW_CALLS:
-        return steps.groupBy().applyInArrow(_chains, "id string, length int")
-    callers = cut(steps.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("need")), "callers")
-    frontier = cut(steps.select(F.col("from_id").alias("id")).distinct().join(callers, "id", "left_anti").withColumn("length", F.lit(0)), "chain")
-    done = frontier
-    while not frontier.isEmpty():
-        told = steps.join(frontier.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("got"), F.max("length").alias("length"))
-        both = cut(callers.join(told, "id").select("id", (F.col("need") - F.col("got")).alias("need"), (F.col("length") + 1).alias("length")), "told")
-        # the last callers to come are the longest: lengths rise by round
-        callers = cut(callers.join(both.select("id", F.col("need").alias("rest")), "id", "left").select("id", F.coalesce("rest", "need").alias("need")).where("need > 0"), "callers")
-        frontier = both.where("need = 0").select("id", "length")
-        done = done.unionByName(frontier)
-    return done
-
-
-def _chains(table: pa.Table) -> pa.Table:
-    ids, places = _numbered(table, "from_id", "to_id")
-    a, b = places[: table.num_rows], places[table.num_rows :]
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    edge = np.searchsorted(a, np.arange(len(ids) + 1))
-    need, length = np.bincount(b, minlength=len(ids)), np.full(len(ids), -1)
-    frontier, k = np.flatnonzero(need == 0), 0
-    while len(frontier):
-        length[frontier] = k
-        out = np.concatenate([b[edge[x] : edge[x + 1]] for x in frontier]) if len(frontier) < 64 else b[np.isin(a, frontier)]
-        reached, n = np.unique(out, return_counts=True)
-        need[reached] -= n
-        frontier, k = reached[need[reached] == 0], k + 1
-    known = np.flatnonzero(length >= 0)
-    return pa.table({"id": ids.take(pa.array(known)), "length": pa.array(length[known].astype(np.int32))})
+    so nodes on and behind a cycle have none."""
+    return levels(cut(edges.where("type = 'CALLS' and from_id <> to_id").select("from_id", "to_id").distinct(), "calls"))

@@ -131,38 +131,6 @@ def concepts(sections: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     return concept, new.select(F.col("section").alias("from_id"), F.concat(F.lit("concept::"), "name").alias("to_id")).distinct()
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, least: float, bands: int = 0) -> DataFrame:
-    """left_id, right_id, score: for each of left(id, vector) the k most similar of right(id, vector), unit vectors, at least `least`.
-    left is a stated set of queries: its blocks meet each row of right once, and only the k best of a task go on."""
-    queries = [(r["id"], list(r["vector"])) for r in left.select("id", "vector").toLocalIterator()]
-    import numpy as np
-    import pandas as pd
-
-    shared = left.sparkSession.sparkContext.broadcast(([q[0] for q in queries], np.array([q[1] for q in queries], dtype=np.float64).reshape(len(queries), -1)))
-    kind = left.schema["id"].dataType.simpleString()
-
-    def best(batches):
-        ids, table = shared.value
-        held = [np.zeros(0)] * len(ids)
-        names: list = [[] for _ in ids]
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            scores = np.stack(batch["vector"].to_numpy()).astype(np.float64) @ table.T
-            for q in range(len(ids)):
-                s = np.concatenate((held[q], scores[:, q]))
-                n = [*names[q], *batch["id"].tolist()]
-                order = sorted(np.flatnonzero(s >= least).tolist(), key=lambda x: (-s[x], n[x]))[:k]
-                held[q], names[q] = s[order], [n[x] for x in order]
-        for q, x in enumerate(ids):
-            if len(names[q]):
-                yield pd.DataFrame({"left_id": [x] * len(names[q]), "right_id": names[q], "score": held[q]})
-
-    found = right.select("id", "vector").mapInPandas(best, f"left_id {kind}, right_id {right.schema['id'].dataType.simpleString()}, score double")
-    rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-
-
 # How alike a section and a piece of code must be, by how coarse the piece is.
 LEVELS = {"entity": 0.60, "file": 0.55, "module": 0.50}
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import scans
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -52,15 +53,19 @@ def tfidf_cosine(corpus: DataFrame, key: str, text: str, queries: DataFrame, que
 
 def vector_search(vectors: DataFrame, key: str, column: str, query: list[float], keep: int = 10, least: float = 0.0) -> DataFrame:
     """Exact cosine top-k: per-task heaps, then one merge of k rows a task."""
-    scored = vectors.select(key, scalars.cosine(F.col(column), F.array(*map(F.lit, map(float, query)))).alias("score")).where(F.col("score") > least)
-    return scored.orderBy(F.desc("score"), key).limit(keep)
+    return scored(vectors, key, column, query, least).orderBy(F.desc("score"), key).limit(keep)
+
+
+def scored(vectors: DataFrame, key: str, column: str, query: list[float], least: float = 0.0) -> DataFrame:
+    """key, score: cosine with one stated vector, of all rows above least."""
+    return vectors.select(key, scalars.cosine(F.col(column), F.array(*map(F.lit, map(float, query)))).alias("score")).where(F.col("score") > least)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
-    """id, score, channels of (channel, id, score): weight / (k + rank) summed over channels."""
-    rank = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("score"), "id"))
+    """id, score, channels of (channel, id, score): weight / (k + rank) summed over channels. Channels may be of any length."""
     weight = F.coalesce(F.create_map(*[x for c, w in (weights or {}).items() for x in (F.lit(c), F.lit(float(w)))])[F.col("channel")], F.lit(1.0)) if weights else F.lit(1.0)
-    parts = lists.withColumn("part", weight / (k + rank))
+    ranked = scans.with_rank(lists.select("channel", "id", "score"), ["channel"], [F.desc("score"), "id"])
+    parts = ranked.withColumn("part", weight / (k + F.col("rank")))
     return parts.groupBy("id").agg(F.sum("part").alias("score"), F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("channels"))
 
 

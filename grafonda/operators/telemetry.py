@@ -1,7 +1,8 @@
 """Usage, quality and cost analytics over tool calls (tc), context deliveries (cd), sessions (s) and outcome signals (os).
 
 Each function takes facts and gives a small result; ratios over nothing take the stated default. Groups are aggregated
-partially before they are shuffled; sequence operators use one window per session.
+partially before they are shuffled; sequences within a session are windows (a session is a day of one agent), those of an agent or
+an entity, of any length, are segmented scans.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros
+from . import scans
 
 RUN_WARN, RUN_STOP = 3, 5
 
@@ -92,11 +94,11 @@ def error_recovery(tc: DataFrame) -> DataFrame:
 def repeated_runs(tc: DataFrame, pause: int = 60, window: int = 30) -> DataFrame:
     """Runs of the same call (tool and main argument) by an agent, and what a guard would do. Another call, or a pause of over a minute, ends
     a run; the guard looks back over `window` calls."""
-    w = Window.partitionBy("agent_id").orderBy("created_at", "id")
-    call = F.concat_ws(":", "tool_name", "entity")
-    keyed = tc.withColumn("call", call).withColumn("gap", F.unix_micros(F.col("created_at").cast("timestamp")) - F.lag(F.unix_micros(F.col("created_at").cast("timestamp"))).over(w))
-    new = (F.lag("call").over(w).isNull() | (F.lag("call").over(w) != F.col("call")) | (F.col("gap") > pause * 1_000_000)).cast("int")
-    runs = keyed.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("agent_id", "run").agg(F.least(F.count("*"), F.lit(window)).alias("length"))
+    calls = tc.select("agent_id", "created_at", "id", F.concat_ws(":", "tool_name", "entity").alias("call"))
+    placed = scans.with_previous(scans.chunks(calls, ["agent_id"], ["created_at", "id"], "calls"), ["agent_id"], {"call_before": "call", "before": "created_at"})
+    gap = micros("created_at") - micros("before")
+    new = F.col("call_before").isNull() | (F.col("call_before") != F.col("call")) | (gap > pause * 1_000_000)
+    runs = scans.with_sum(placed, ["agent_id"], new.cast("long"), "run").groupBy("agent_id", "run").agg(F.least(F.count("*"), F.lit(window)).alias("length"))
     act = F.when(F.col("length") >= RUN_STOP, "stop").when(F.col("length") >= RUN_WARN, "warn").otherwise("pass")
     return runs.withColumn("action", act).groupBy("action").agg(F.count("*").alias("runs"), F.max("length").alias("longest"))
 
@@ -113,9 +115,10 @@ def refetches(cd: DataFrame) -> DataFrame:
 
 def sessionized(tc: DataFrame, gap_minutes: int = 30) -> DataFrame:
     """agent_id, session, start, end, calls: an agent's calls cut where it rests."""
-    w = Window.partitionBy("agent_id").orderBy("created_at", "id")
-    rest = micros("created_at") - micros(F.lag("created_at").over(w)) > gap_minutes * 60_000_000
-    marked = tc.withColumn("session", F.sum(F.coalesce(rest, F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = scans.chunks(tc.select("agent_id", "created_at", "id"), ["agent_id"], ["created_at", "id"], "calls")
+    placed = scans.with_previous(placed, ["agent_id"], {"before": "created_at"})
+    rest = micros("created_at") - micros("before") > gap_minutes * 60_000_000
+    marked = scans.with_sum(placed, ["agent_id"], F.coalesce(rest, F.lit(False)).cast("long"), "session")
     return marked.groupBy("agent_id", "session").agg(F.min("created_at").alias("start"), F.max("created_at").alias("end"), F.count("*").alias("calls"))
 
 
@@ -181,8 +184,8 @@ def agent_overlap(tc: DataFrame, minutes: int = 60, keep: int = 50, named: int =
     many minutes. A sweep over starts and ends counts them: a start overlaps all spans that are open; pairs are never listed."""
     spans = tc.groupBy("entity", "agent_id").agg(F.unix_micros(F.min("created_at").cast("timestamp")).alias("first"), (F.unix_micros(F.max("created_at").cast("timestamp")) + minutes * 60_000_000).alias("last"))
     marks = spans.select("entity", F.inline(F.array(F.struct(F.col("first").alias("t"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("last").alias("t"), F.lit(1).alias("kind"), F.lit(-1).alias("step")))))
-    open_ = F.sum("step").over(Window.partitionBy("entity").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1))
-    pairs = marks.withColumn("open", F.coalesce(open_, F.lit(0))).where("kind = 0").groupBy("entity").agg(F.sum("open").alias("pairs"))
+    swept = scans.with_sum(scans.chunks(marks, ["entity"], ["t", "kind"], "marks"), ["entity"], F.col("step"), "open", inclusive=False)
+    pairs = swept.where("kind = 0").groupBy("entity").agg(F.sum("open").alias("pairs"))
     top = pairs.where("pairs > 0").orderBy(F.desc("pairs"), "entity").limit(keep)
     who = spans.join(F.broadcast(top.select("entity")), "entity", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy("agent_id")))
     ids = who.groupBy("entity").agg(F.count("*").alias("agents"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= named, F.col("agent_id")))), lambda x: x.cast("string")), ",").alias("agent_ids"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import carve, dsl, graph, model, resolve, rules
+from ..operators import carve, dsl, graph, model, orders, resolve, rules
 from ..operators.model import GRAPH_SQL
 
 QUERIES: dict = {}
@@ -156,8 +156,27 @@ _add(
     "FROM it i LEFT JOIN (SELECT t, sum(x * n) AS g FROM it JOIN st ON f = id GROUP BY 1) s ON s.t = i.id WHERE i.k < 50 AND i.d >= 1e-6))) SELECT id, round(x, 6) AS centrality FROM it WHERE k = (SELECT max(k) FROM it)",
 )
 _add("communities", lambda n, e: graph.label_propagation(e, 3), None)
-_add("ordered_communities", lambda n, e: graph.ordered_communities(e.where("type in ('DEFINES', 'IMPORTS')")), None)
-_add("longest_chain", lambda n, e: graph.longest_chain(e), None)
+
+
+def _settled(rounds):
+    """SQL of label propagation over nations, their customers, suppliers and regions, in the order of ids: a kind of node at a time, as none
+    has neighbours of its own kind."""
+    parts = ["ee AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM edges WHERE type IN ('DEFINES', 'IMPORTS'))", "lk AS MATERIALIZED (SELECT id, nb, count(*) AS n FROM (SELECT from_id AS id, to_id AS nb FROM ee UNION ALL SELECT to_id, from_id FROM ee) GROUP BY 1, 2)", "s0 AS MATERIALIZED (SELECT DISTINCT id, id AS label FROM lk)"]
+    k = 0
+    for _ in range(rounds):
+        for kind in ("customer", "nation", "region", "supplier"):
+            votes = f"SELECT lk.id, p.label, row_number() OVER (PARTITION BY lk.id ORDER BY sum(n) DESC, p.label) AS r FROM lk JOIN s{k} p ON p.id = nb WHERE lk.id LIKE 'tpch::{kind}::%' GROUP BY 1, 2"
+            parts.append(f"s{k + 1} AS MATERIALIZED (SELECT s.id, coalesce(v.label, s.label) AS label FROM s{k} s LEFT JOIN (SELECT * FROM ({votes}) WHERE r = 1) v USING (id))")
+            k += 1
+    return ", " + ", ".join(parts) + f" SELECT id, dense_rank() OVER (ORDER BY least) - 1 AS community FROM (SELECT id, min(id) OVER (PARTITION BY label) AS least FROM s{k})"
+
+
+_add("ordered_communities", lambda n, e: orders.ordered_communities(e.where("type in ('DEFINES', 'IMPORTS')")), _settled(10))
+_add(
+    "longest_chain", lambda n, e: graph.longest_chain(e),
+    ", st AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM edges WHERE type = 'CALLS' AND from_id <> to_id), w(id, k) AS (SELECT id, 0 FROM (SELECT from_id AS id FROM st UNION SELECT to_id FROM st) UNION SELECT to_id, k + 1 FROM w JOIN st ON from_id = id WHERE k < 40) "
+    "SELECT id, max(k)::INT AS length FROM w GROUP BY 1 HAVING max(k) < 40",  # what is behind a cycle has chains of any length
+)
 _RULE = [("no_asia", "error", "struct", "method", "CALLS", "", "1-URGENT"), ("infra_calls", "warning", "interface", "function", "IMPLEMENTS", "asia", ""), ("empty", "error", "", "", "", "", "")]
 _add("edge_rules", lambda n, e: rules.violations(n, e, e.sparkSession.createDataFrame(_RULE, rules.SCHEMA)), "SELECT 'no_asia' AS rule_id, 'error' AS severity, from_id, to_id, e.type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'struct' AND b.type = 'method' AND e.type = 'CALLS' AND contains(lower(b.package), '1-urgent') UNION ALL SELECT 'infra_calls', 'warning', from_id, to_id, e.type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'interface' AND b.type = 'function' AND e.type = 'IMPLEMENTS' AND contains(lower(a.package), 'asia')")
 _add("what_if", lambda n, e: rules.what_if(n, e, _seed(e, "tpch::supplier::2"), _seed(e, "tpch::part::1", "tpch::part::2"), e.sparkSession.createDataFrame([("calls", "error", "interface", "function", "CALLS", "", "")], rules.SCHEMA)), "SELECT 'calls' AS rule_id, 'error' AS severity, 'tpch::supplier::2' AS from_id, id AS to_id, 'CALLS' AS type FROM nodes WHERE id IN ('tpch::part::1', 'tpch::part::2')")

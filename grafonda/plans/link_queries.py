@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars, words
-from ..operators import federation, graph, links, model, rules, store
+from ..operators import federation, graph, links, model, nearest, orders, rules, store
 from ..operators.carve import data_role, spread_scores
 from ..operators.model import GRAPH_SQL
-from ..operators.work import shared_dir
+from ..operators.work import cut, shared_dir
 from .graph_queries import _BACK, _LABEL, _UNDIRECTED, ROOT, SUPPLIER, _bfs, _seed
 
 QUERIES: dict = {}
@@ -120,7 +120,17 @@ _add("file_links", lambda n, e: links.file_links(n.where("type = 'struct'").sele
 _add("block_links", lambda n, e: links.block_links(n.where("type = 'file'").select(F.col("id").alias("section"), F.concat(F.lit("text NOPE\n```go\nuse "), "name", F.lit(" and "), "package", F.lit("\n```\n")).alias("text")), n.where("type in ('file', 'package')")), "SELECT DISTINCT s.id AS section, t.id AS to_id FROM (SELECT id, unnest([name, package]) AS w FROM nodes WHERE type = 'file') s JOIN nodes t ON t.name = s.w AND t.type IN ('file', 'package') WHERE length(s.w) >= 4 AND s.w NOT LIKE '% %'")
 _add("name_matches", lambda n, e: links.cross_domain_mentions(n.select("id", F.concat(F.lit("Unit-"), (F.col("line") % 40).cast("string")).alias("name"), "type", "domain", "file").where("type in ('struct', 'interface')")), ", h AS (SELECT id, type, domain, regexp_replace(file, '/[^/]*$', '') AS dir, line % 40 AS k FROM nodes WHERE type IN ('struct', 'interface')) SELECT a.id AS from_id, b.id AS to_id, round(0.65 + 0.1 + CASE WHEN a.dir = b.dir THEN 0.1 ELSE 0 END, 2)::DOUBLE AS confidence FROM h a JOIN h b ON a.k = b.k AND a.domain = 'code' AND b.domain = 'infra' WHERE strlen('unit' || a.k) >= 4")
 _add("references", lambda n, e: links.reference_edges(n.where("type = 'interface'").select(F.col("id").alias("from_id"), F.concat(F.lit("Supplier#"), F.lpad((F.col("line") * 2).cast("string"), 9, "0")).alias("ref")), n), "SELECT DISTINCT a.id AS from_id, b.id AS to_id FROM nodes a JOIN nodes b ON b.name = 'Supplier#' || lpad((a.line * 2)::VARCHAR, 9, '0') WHERE a.type = 'interface' AND a.id <> b.id")
-_add("acyclic", lambda n, e: graph.acyclic(e.where("from_id like 'tpch::part%' and to_id like 'tpch::part%' and type = 'CALLS'")), None)
+_add("acyclic", lambda n, e: orders.acyclic(e.where("from_id like 'tpch::part%' and to_id like 'tpch::part%' and type = 'CALLS'")), None)
+
+
+def _order_of_rest(n, e):
+    """Nodes that have a place in the order of what is left of a graph full of cycles: all of them, if none is left."""
+    mutual = e.where("type in ('DEPENDS_ON', 'IMPLEMENTS')")
+    return orders.levels(cut(orders.acyclic(mutual), "acyclic")).select("id")
+
+
+_add("acyclic_order", _order_of_rest, "SELECT from_id AS id FROM edges WHERE type IN ('DEPENDS_ON', 'IMPLEMENTS') UNION SELECT to_id FROM edges WHERE type IN ('DEPENDS_ON', 'IMPLEMENTS')")
+_add("components", lambda n, e: orders.strong_components(e.where("type = 'CALLS' and from_id like 'tpch::part::%'")), ", st AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM edges WHERE type = 'CALLS' AND from_id LIKE 'tpch::part::%' AND from_id <> to_id), w(id, start) AS (SELECT from_id, from_id FROM st UNION SELECT to_id, start FROM w JOIN st ON from_id = id), m AS (SELECT a.start AS id, min(a.id) AS component FROM w a JOIN w b ON a.id = b.start AND b.id = a.start GROUP BY 1) SELECT id, component FROM m WHERE component IN (SELECT component FROM m GROUP BY 1 HAVING count(*) > 1)")
 _add("aliased_paths", lambda n, e: links.aliased_paths(n.select("file", F.col("file").alias("path")).distinct(), n.sparkSession.createDataFrame([("part/*", "src/*"), ("part/Brand#1*", "one/*"), ("orders/5-LOW.tbl", "low")], "pattern string, target string")), "SELECT DISTINCT file, file AS path, CASE WHEN file LIKE 'part/Brand#1%' THEN 'one/' || substr(file, 13) WHEN file LIKE 'part/%' THEN 'src/' || substr(file, 6) WHEN file = 'orders/5-LOW.tbl' THEN 'low' ELSE file END AS resolved FROM nodes")
 _add("type_references", lambda n, e: links.type_references(n.where("type = 'struct'").select(F.col("id").alias("from_id"), F.concat(F.lit("pkg."), "package").alias("type")), n.where("type = 'package'")), "SELECT a.id AS from_id, b.id AS to_id FROM nodes a JOIN nodes b ON b.type = 'package' AND b.name = a.package WHERE a.type = 'struct'")
 _table("task_links", "part region", lambda p, r: links.task_links(p.select(F.col("p_partkey").alias("task_id"), F.concat("p_name", F.lit(" for "), F.element_at(F.array(*map(F.lit, ("africa", "asia", "europe"))), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("text")), r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))), "SELECT p_partkey AS task_id, r_regionkey AS node_id, 1::INT AS rank FROM part JOIN region ON lower(r_name) = ['africa', 'asia', 'europe'][p_partkey % 3 + 1]")
@@ -134,8 +144,11 @@ def _vectors(v):
 
 _UNIT = "u AS MATERIALIZED (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS vector FROM embeddings)"
 _KNN = f"{_UNIT}, kn AS (SELECT * FROM (SELECT a.id AS left_id, b.id AS right_id, list_dot_product(a.vector, b.vector) AS score, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.vector, b.vector), 9) DESC, b.id) AS r FROM u a JOIN u b ON true WHERE a.id % 100 = 0 AND list_dot_product(a.vector, b.vector) >= 0.1) WHERE r <= 10)"
-_near = lambda v: links.nearest(_vectors(v).where("id % 100 = 0"), _vectors(v), 10, 0.1)
+_near = lambda v: nearest.exact(_vectors(v).where("id % 100 = 0"), _vectors(v), 10, 0.1)
 _table("nearest", "embeddings", lambda v: _near(v).select("left_id", "right_id", F.round("score", 6).alias("score")), f"WITH {_KNN} SELECT left_id, right_id, round(score, 6) AS score FROM kn")
+_indexed = lambda v, k: nearest.search(nearest.build(_vectors(v)), _vectors(v).where("id % 100 = 0"), k, 0.1)
+_table("indexed_nearest", "embeddings", lambda v: _indexed(v, 10).select("left_id", "right_id", F.round("score", 6).alias("score")), None)
+_table("indexed_first", "embeddings", lambda v: _indexed(v, 1).select("left_id", "right_id", F.round("score", 6).alias("score")), f"WITH {_KNN} SELECT left_id, right_id, round(score, 6) AS score FROM kn WHERE r = 1")
 _table("embedded_relations", "embeddings", lambda v: links.embedded_relations(_near(v), _near(v).where("right_id % 2 = 0").select(F.col("right_id").alias("from_id"), F.col("left_id").alias("to_id"))).select("a", "b", F.round("score", 6).alias("score")), f"WITH {_KNN}, p AS (SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, max(score) AS score, bool_or(right_id % 2 = 0) AS linked FROM kn WHERE left_id <> right_id GROUP BY 1, 2) SELECT a, b, round(score, 6) AS score FROM p WHERE NOT linked")
 _table(
     "embedded_doc_links", "embeddings", lambda v: links.embedded_doc_links(v.selectExpr("vec_id % 50 as section", "vec_id as to_id", "case vec_id % 3 when 0 then 'entity' when 1 then 'file' else 'module' end as level", "(vec_id * 37 % 100) / 100.0D as score")),

@@ -33,12 +33,13 @@ _add("vector_search", "embeddings", lambda d: _vector(d).select("vec_id", F.roun
 
 
 def _channels(d):
-    a = _vector(d, 30).select(F.lit("semantic").alias("channel"), F.col("vec_id").alias("id"), "score")
-    b = d.select(F.lit("label").alias("channel"), F.col("vec_id").alias("id"), (F.col("label") * 10 + F.col("vec_id") % 10).cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(30)
+    """All rows of two channels: likeness to a stated vector, and a score by label."""
+    a = search.scored(d, "vec_id", "embedding", list(d.where("vec_id = 0").first()["embedding"])).select(F.lit("semantic").alias("channel"), F.col("vec_id").alias("id"), "score")
+    b = d.select(F.lit("label").alias("channel"), F.col("vec_id").alias("id"), (F.col("label") * 10 + F.col("vec_id") % 10).cast("double").alias("score"))
     return a.unionByName(b)
 
 
-_CH = f"ch AS MATERIALIZED ((SELECT 'semantic' AS channel, vec_id AS id, score FROM {_COS} WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 30) UNION ALL (SELECT 'label', vec_id, (label * 10 + vec_id % 10)::DOUBLE AS sc FROM embeddings ORDER BY sc DESC, vec_id LIMIT 30))"
+_CH = f"ch AS MATERIALIZED ((SELECT 'semantic' AS channel, vec_id AS id, score FROM {_COS} WHERE score > 0) UNION ALL (SELECT 'label', vec_id, (label * 10 + vec_id % 10)::DOUBLE AS sc FROM embeddings))"
 _add("rrf", "embeddings", lambda d: search.reciprocal_rank_fusion(_channels(d)).withColumn("score", F.round("score", 9)), f"WITH {_CH} SELECT id, round(sum(1.0 / (60 + r)), 9)::DOUBLE AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, id) AS r FROM ch) GROUP BY 1")
 _add("convex", "embeddings", lambda d: search.convex_fusion(_channels(d), {"semantic": 0.7, "label": 0.3}).withColumn("score", F.round("score", 6)), f"WITH {_CH} SELECT id, round(sum((CASE channel WHEN 'semantic' THEN 0.7 ELSE 0.3 END)::DOUBLE * (score - lo) / (hi - lo)), 6) AS score FROM (SELECT *, min(score) OVER (PARTITION BY channel) lo, max(score) OVER (PARTITION BY channel) hi FROM ch) GROUP BY 1")
 _add("retrieval_quality", "documents benchmark", lambda d, b: _quality(d, b), _BM25 + ", f AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM sc) WHERE r <= 10), rel AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT item_id, coalesce(n, 0) n, coalesce(m, 0) m, coalesce(h, 0) h FROM (SELECT item_id, count(*) n FROM f GROUP BY 1) FULL JOIN (SELECT item_id, count(*) m FROM rel GROUP BY 1) USING (item_id) LEFT JOIN (SELECT item_id, count(*) h FROM f JOIN rel USING (item_id, doc_id) GROUP BY 1) USING (item_id)) SELECT item_id, round(CASE WHEN n = 0 THEN 0 ELSE h / n::DOUBLE END, 6)::DOUBLE AS precision, round(CASE WHEN m = 0 THEN 0 ELSE h / m::DOUBLE END, 6)::DOUBLE AS recall, round(CASE WHEN h = 0 THEN 0 ELSE 2.0 * h / (n + m) END, 6)::DOUBLE AS f1 FROM m")
