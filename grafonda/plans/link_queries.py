@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars, words
-from ..operators import federation, graph, links, model, nearest, orders, rules, store
+from ..operators import federation, graph, links, model, nearest, orders, paths, rules, store
 from ..operators.carve import data_role, spread_scores
 from ..operators.model import GRAPH_SQL
 from ..operators.work import cut, shared_dir
@@ -98,7 +98,35 @@ _add(
     f", ew AS (SELECT from_id AS f, to_id AS t, {_WEIGHT} * CASE WHEN x.domain <> y.domain THEN 0.5 ELSE 1.0 END AS w FROM edges LEFT JOIN nodes x ON x.id = from_id LEFT JOIN nodes y ON y.id = to_id), bo AS (SELECT f, t, w FROM ew UNION ALL SELECT t, f, w FROM ew), o AS (SELECT t, w, count(*) OVER () AS deg FROM bo WHERE f = '{ROOT}') "
     f"SELECT id, round(max(rank), 9) AS rank FROM (SELECT '{ROOT}' AS id, 1.0::DOUBLE AS rank UNION ALL SELECT t, w * 0.5 / (1 + log2(deg + 1)) FROM o) GROUP BY 1",
 )
-_add("traversal_paths", lambda n, e: graph.reachable(graph.undirected(e), _seed(e, ROOT), 2).groupBy("hop").agg(F.count("*").alias("n")), _bfs(f"SELECT '{ROOT}' AS id", _UNDIRECTED, 2) + "SELECT hop, count(*) AS n FROM b GROUP BY 1")
+_ARROW = "CASE WHEN {0}.inc THEN ' ←[' || {0}.type || ']- ' ELSE ' →[' || {0}.type || ']→ ' END"
+_add(
+    "traversal_paths", lambda n, e: paths.paths(paths.predecessors(e, _seed(e, ROOT)), n),
+    ", st AS MATERIALIZED (SELECT from_id AS a, to_id AS b, type, false AS inc FROM edges UNION ALL SELECT to_id, from_id, type, true FROM edges), "
+    f"p1 AS MATERIALIZED (SELECT * FROM (SELECT b AS id, a AS parent, inc, type, row_number() OVER (PARTITION BY b ORDER BY a, inc, type) AS r FROM st WHERE a = '{ROOT}' AND b <> a AND type IN ('CALLS', 'IMPORTS', 'IMPLEMENTS')) WHERE r = 1), "
+    f"p2 AS MATERIALIZED (SELECT * FROM (SELECT b AS id, a AS parent, st.inc, st.type, row_number() OVER (PARTITION BY b ORDER BY a, st.inc, st.type) AS r FROM st JOIN p1 ON a = p1.id WHERE st.type = 'CALLS' AND b <> '{ROOT}' AND b NOT IN (SELECT id FROM p1)) WHERE r = 1) "
+    f"SELECT p1.id, x.name || {_ARROW.format('p1')} || n.name AS path, 1::INT AS hops FROM p1 JOIN nodes x ON x.id = parent JOIN nodes n ON n.id = p1.id "
+    f"UNION ALL SELECT p2.id, x.name || {_ARROW.format('p1')} || m.name || {_ARROW.format('p2')} || n.name, 2 FROM p2 JOIN p1 ON p1.id = p2.parent JOIN nodes x ON x.id = p1.parent JOIN nodes m ON m.id = p1.id JOIN nodes n ON n.id = p2.id",
+)
+_UND = "un AS MATERIALIZED (SELECT DISTINCT from_id AS a, to_id AS b FROM edges WHERE from_id <> to_id UNION SELECT to_id, from_id FROM edges WHERE from_id <> to_id)"
+_add("common_neighbours", lambda n, e: paths.common_neighbours(e), f", {_UND} SELECT e.a, e.b, count(*) AS common FROM un e JOIN un x ON x.a = e.a JOIN un y ON y.a = e.b AND y.b = x.b WHERE e.a < e.b GROUP BY 1, 2")
+
+
+def _neighbour_overlaps(spark, d):
+    """Customers as sessions that work on what their orders hold; every hundredth is asked about."""
+    _, e = model.graph(spark, d)
+    calls = e.where("type = 'CALLS'")
+    work = calls.where("from_id like 'tpch::customer::%'").select(F.col("from_id").alias("session"), F.col("to_id").alias("order")).join(calls.select(F.col("from_id").alias("order"), F.col("to_id").alias("entity")), "order").select("session", "entity")
+    asked = work.select("session").where("cast(substring_index(session, '::', -1) as long) % 100 = 0")
+    return paths.neighbour_overlaps(work, asked, calls.where("from_id like 'tpch::part::%'"))
+
+
+QUERIES["graph_neighbour_overlaps"] = (
+    _neighbour_overlaps,
+    f"WITH RECURSIVE {GRAPH_SQL}, wk AS MATERIALIZED (SELECT DISTINCT a.from_id AS session, b.to_id AS entity FROM edges a JOIN edges b ON b.from_id = a.to_id AND b.type = 'CALLS' WHERE a.type = 'CALLS' AND a.from_id LIKE 'tpch::customer::%'), "
+    "me AS MATERIALIZED (SELECT * FROM wk WHERE split_part(session, '::', 3)::BIGINT % 100 = 0), un AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM edges WHERE type = 'CALLS' AND from_id LIKE 'tpch::part::%' AND from_id <> to_id UNION SELECT to_id, from_id FROM edges WHERE type = 'CALLS' AND from_id LIKE 'tpch::part::%' AND from_id <> to_id), "
+    "sh AS MATERIALIZED (SELECT DISTINCT me.session, wk.session AS other FROM me JOIN wk USING (entity)), pr AS (SELECT DISTINCT me.session, wk.session AS other, un.a, un.b FROM me JOIN un ON un.a = me.entity JOIN wk ON wk.entity = un.b WHERE me.session <> wk.session AND (me.session, wk.session) NOT IN (SELECT (session, other) FROM sh)) "
+    "SELECT session, other, string_agg(a || '→' || b, ', ' ORDER BY a, b) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY session, other ORDER BY a, b) AS r FROM pr) WHERE r <= 3 GROUP BY 1, 2",
+)
 _NAMES = "['parseRow', 'writeAll', 'query', 'getenvMap', 'runner', 'decodeAll'][p_partkey % 6 + 1]"
 _SIGNS = "['', '(w io.Writer)', '(r io.Reader)'][p_size % 3 + 1]"
 _table(
