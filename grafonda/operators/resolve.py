@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import scans
 
 
 def resolved_calls(sites: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
@@ -52,9 +55,22 @@ def mentions(texts: DataFrame, nodes: DataFrame, least: int = 4, most: int = 3)
 
 
 def coverage(blocks: DataFrame, entities: DataFrame) -> DataFrame:
-    """id, covered_pct: statements of coverage blocks (file, start, end, statements, count) that overlap an entity's lines (file, first, last)."""
-    near = entities.join(blocks, "file").where((F.col("end") >= F.col("first")) & (F.col("start") <= F.col("last")))
-    return near.groupBy("id").agg(F.round(100 * F.sum(F.when(F.col("count") > 0, F.col("statements")).otherwise(0)) / F.sum("statements"), 2).alias("covered_pct"))
+    """id, covered_pct: statements of coverage blocks (file, start, end, statements, count) that overlap an entity's lines (file, first, last).
+
+    The blocks that overlap are those that start by the entity's last line, less those that end before its first: two running sums over
+    the lines of a file, so that no pair of a block and an entity is made."""
+    counted = F.when(F.col("count") > 0, F.col("statements")).otherwise(0)
+    mark = lambda df, sign, line, order, *own: df.select("file", F.lit(sign).alias("sign"), F.col(line).alias("line"), F.lit(order).alias("order"), *own)
+    of_block = (F.lit(None).cast(entities.schema["id"].dataType).alias("id"), F.col("statements").cast("long").alias("statements"), counted.cast("long").alias("covered"))
+    of_entity = ("id", F.lit(0).cast("long").alias("statements"), F.lit(0).cast("long").alias("covered"))
+    # at one line: starts, then what asks, then ends
+    marks = [mark(blocks, 1, "start", 0, *of_block), mark(blocks, -1, "end", 2, *of_block), mark(entities, 1, "last", 1, *of_entity), mark(entities, -1, "first", 1, *of_entity)]
+    placed = scans.chunks(reduce(DataFrame.unionByName, marks), ["file", "sign"], ["line", "order"], "lines")
+    for name in ("statements", "covered"):
+        placed = scans.with_sum(placed, ["file", "sign"], F.col(name), f"all_{name}")
+    total = lambda name: F.sum(F.col("sign") * F.col(f"all_{name}"))
+    found = placed.where("order = 1").groupBy("id").agg(total("statements").alias("n"), total("covered").alias("k"))
+    return found.where("n > 0").select("id", F.round(100 * F.col("k") / F.col("n"), 2).alias("covered_pct"))
 
 
 def orphaned(references: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Architecture rules over edges: forbidden edges by the types and packages of both ends, what-if checks and a violation log."""
+"""Architecture rules over edges: forbidden edges by the types, packages and files of both ends and the target's name, what-if checks and a
+violation log."""
 
 from __future__ import annotations
 
@@ -9,6 +10,14 @@ SCHEMA = "rule_id string, severity string, from_type string, to_type string, edg
 #: Rules that are broadcast at most.
 MANY = 10_000
 _FIELDS = ("from_type", "to_type", "edge_type", "from_package", "to_package")
+#: Fields that a table of rules may have besides: globs of both files, and a part of the target's name.
+_MORE = ("from_file", "to_file", "to_name")
+
+
+def glob_pattern(glob: Column) -> Column:
+    """A glob (* and ? stop at "/", classes as in expressions), tried on every suffix of a path, as an expression for rlike."""
+    plain = F.regexp_replace(glob, r"([.+(){}|^$\\])", r"\\$1")
+    return F.concat(F.lit("(^|/)"), F.regexp_replace(F.regexp_replace(plain, r"\*+", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
 
 
 def violations(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
@@ -16,12 +25,14 @@ def violations(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFram
 
     Rules are configuration: up to MANY of them are broadcast, beyond that they are joined. Those that name an edge type meet edges of that
     type only; edges meet their ends' columns in two equi joins."""
-    live = rules.where(" or ".join(f"{c} <> ''" for c in _FIELDS))
-    ends = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("type").alias(f"{side}_t"), F.lower("package").alias(f"{side}_p"))
+    filled = rules.withColumns({c: F.coalesce(F.col(c), F.lit("")) if c in rules.columns else F.lit("") for c in (*_FIELDS, *_MORE)})
+    live = filled.where(" or ".join(f"{c} <> ''" for c in (*_FIELDS, *_MORE))).withColumns({f"{c}_glob": glob_pattern(F.col(c)) for c in ("from_file", "to_file")})
+    ends = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("type").alias(f"{side}_t"), F.lower("package").alias(f"{side}_p"), F.translate("file", "\\", "/").alias(f"{side}_f"), F.col("name").alias(f"{side}_n"))
     full = edges.join(ends("from"), "from_id").join(ends("to"), "to_id")
     fits = (
         F.expr("from_type = '' or from_type = from_t") & F.expr("to_type = '' or to_type = to_t") & F.expr("edge_type = '' or edge_type = type")
         & F.expr("from_package = '' or contains(from_p, lower(from_package))") & F.expr("to_package = '' or contains(to_p, lower(to_package))")
+        & F.expr("from_file = '' or rlike(from_f, from_file_glob)") & F.expr("to_file = '' or rlike(to_f, to_file_glob)") & F.expr("to_name = '' or contains(to_n, to_name)")
     )
     few = F.broadcast if live.limit(MANY + 1).count() <= MANY else (lambda df: df)
     typed = full.join(few(live.where("edge_type <> ''")), (F.col("type") == F.col("edge_type")) & fits)

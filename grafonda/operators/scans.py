@@ -52,6 +52,16 @@ def with_sum(placed: DataFrame, group: list[str], value: Column, name: str, incl
     return _carried(local, held, group, ["_base"]).withColumn(name, F.col("_base") + F.col(name)).drop("_base", "_value")
 
 
+def with_max(placed: DataFrame, group: list[str], value: Column, name: str) -> DataFrame:
+    """Rows of chunks() with the largest value of the group's rows up to this one."""
+    valued = placed.withColumn("_value", value)
+    held = valued.groupBy("chunk", *group).agg(F.max("_value").alias("_most"))
+    held = held.withColumn("_before", F.max("_most").over(Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
+    own = Window.partitionBy("chunk", *group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    local = valued.withColumn(name, F.max("_value").over(own))
+    return _carried(local, held, group, ["_before"]).withColumn(name, F.greatest("_before", name)).drop("_before", "_value")
+
+
 def with_previous(placed: DataFrame, group: list[str], columns: dict[str, str]) -> DataFrame:
     """Rows of chunks() with columns (new name: source) of the group's row before; null for its first."""
     own = Window.partitionBy("chunk", *group).orderBy("at")

@@ -179,6 +179,12 @@ _add(
 )
 _RULE = [("no_asia", "error", "struct", "method", "CALLS", "", "1-URGENT"), ("infra_calls", "warning", "interface", "function", "IMPLEMENTS", "asia", ""), ("empty", "error", "", "", "", "", "")]
 _add("edge_rules", lambda n, e: rules.violations(n, e, e.sparkSession.createDataFrame(_RULE, rules.SCHEMA)), "SELECT 'no_asia' AS rule_id, 'error' AS severity, from_id, to_id, e.type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'struct' AND b.type = 'method' AND e.type = 'CALLS' AND contains(lower(b.package), '1-urgent') UNION ALL SELECT 'infra_calls', 'warning', from_id, to_id, e.type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'interface' AND b.type = 'function' AND e.type = 'IMPLEMENTS' AND contains(lower(a.package), 'asia')")
+_GLOBS = [("urgent", "error", "", "", "CALLS", "", "", "orders/1-*.tbl", "part/Brand#1?.tbl", ""), ("name", "warning", "", "", "", "", "", "*.tbl", "", "Supplier#00000000"), ("none", "error", "", "", "", "", "", "1-*.tbl/x", "", "")]
+_add(
+    "rule_globs", lambda n, e: rules.violations(n, e, e.sparkSession.createDataFrame(_GLOBS, rules.SCHEMA + ", from_file string, to_file string, to_name string")),
+    "SELECT 'urgent' AS rule_id, 'error' AS severity, from_id, to_id, e.type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE e.type = 'CALLS' AND regexp_matches(a.file, '(^|/)orders/1-[^/]*\\.tbl$') AND regexp_matches(b.file, '(^|/)part/Brand#1[^/]\\.tbl$') "
+    "UNION ALL SELECT 'name', 'warning', from_id, to_id, e.type FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE contains(b.name, 'Supplier#00000000') AND suffix(a.file, '.tbl')",
+)
 _add("what_if", lambda n, e: rules.what_if(n, e, _seed(e, "tpch::supplier::2"), _seed(e, "tpch::part::1", "tpch::part::2"), e.sparkSession.createDataFrame([("calls", "error", "interface", "function", "CALLS", "", "")], rules.SCHEMA)), "SELECT 'calls' AS rule_id, 'error' AS severity, 'tpch::supplier::2' AS from_id, id AS to_id, 'CALLS' AS type FROM nodes WHERE id IN ('tpch::part::1', 'tpch::part::2')")
 _add("violation_log", lambda n, e: rules.log_of(rules.violations(n, e, e.sparkSession.createDataFrame(_RULE, rules.SCHEMA))), "SELECT rule_id, count(*) AS found, count(DISTINCT from_id) AS sources FROM (SELECT 'no_asia' AS rule_id, from_id FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'struct' AND b.type = 'method' AND e.type = 'CALLS' AND contains(lower(b.package), '1-urgent') UNION ALL SELECT 'infra_calls', from_id FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.type = 'interface' AND b.type = 'function' AND e.type = 'IMPLEMENTS' AND contains(lower(a.package), 'asia')) GROUP BY 1")
 def _owned(e, kind, owner, method):

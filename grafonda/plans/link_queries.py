@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars, words
-from ..operators import federation, graph, links, model, nearest, orders, paths, rules, store
+from ..operators import federation, graph, links, model, nearest, orders, paths, resolve, rules, store
 from ..operators.carve import data_role, spread_scores
 from ..operators.model import GRAPH_SQL
 from ..operators.work import cut, shared_dir
@@ -199,3 +199,11 @@ _add("path_rules", lambda n, e: rules.path_violations(n, e, [("far", "error", ("
 _add("verified_changes", lambda n, e: rules.verification(store.changed_signatures(_sign(n, 3), _sign(n, 4)), e, 12), ", ch AS (SELECT id FROM nodes WHERE type = 'function' AND (line % 3 = 0) <> (line % 4 = 0)), ca AS (SELECT to_id AS id, count(DISTINCT from_id) AS callers FROM edges WHERE type = 'CALLS' GROUP BY 1) SELECT id, coalesce(callers, 0) AS callers, coalesce(callers, 0) >= 12 AS high_fan_in FROM ch LEFT JOIN ca USING (id)")
 _add("claims", lambda n, e: rules.verified_claims(n.where("type = 'function'").select("id", F.element_at(F.array(*map(F.lit, ("widely used", "untested", "leaf function", "hello"))), F.col("line") % 4 + 1).alias("claim")), n, e, F.col("file").like("customer/%")), None)
 _add("review_summary", lambda n, e: rules.review_summary(graph.impact(e, _seed(e, ROOT), 3), n, F.col("file").like("customer/%")), _bfs(f"SELECT '{ROOT}' AS id", _BACK, 3) + "SELECT count(*) FILTER (hop = 1) AS direct, count(*) FILTER (hop > 1) AS transitive, count(DISTINCT file) AS files, count(*) FILTER (file LIKE 'customer/%') AS tests FROM b JOIN nodes USING (id) WHERE hop > 0")
+_table(
+    "line_coverage", "lineitem orders",
+    lambda li, o: resolve.coverage(
+        li.selectExpr("cast(l_suppkey % 10 as string) as file", "cast(l_partkey as int) as start", "cast(l_partkey + l_quantity as int) as end", "cast(l_linenumber as int) as statements", "cast(l_quantity % 3 as int) as count"),
+        o.selectExpr("o_orderkey as id", "cast(o_custkey % 11 as string) as file", "cast(o_orderkey % 3000 as int) as first", "cast(o_orderkey % 3000 + 20 as int) as last"),
+    ),
+    "SELECT o_orderkey AS id, round(100 * sum(CASE WHEN l_quantity::INT % 3 > 0 THEN l_linenumber ELSE 0 END)::DOUBLE / sum(l_linenumber), 2) AS covered_pct FROM orders JOIN lineitem ON l_suppkey % 10 = o_custkey % 11 AND (l_partkey + l_quantity)::INT >= o_orderkey % 3000 AND l_partkey <= o_orderkey % 3000 + 20 GROUP BY 1",
+)

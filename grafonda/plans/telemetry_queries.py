@@ -10,6 +10,7 @@ from ..functions.scalars import micros
 from ..operators import model
 from ..operators import telemetry as T
 from ..operators.model import EVENT_SQL
+from ..streaming import collector
 
 QUERIES: dict = {}
 
@@ -128,3 +129,18 @@ _simple("validate_verify_funnel", "tc", lambda tc: tc.groupBy("session_id").agg(
 _simple("search_modes", "cd", lambda cd: cd.groupBy("intent", "tool_name").agg(F.count("*").alias("n"), F.round(F.avg("cache_hit"), 6).alias("cache_rate")).orderBy(F.desc("n"), "intent", "tool_name").limit(5), "SELECT intent, tool_name, count(*) AS n, round(avg(cache_hit), 6) AS cache_rate FROM cd GROUP BY ALL ORDER BY n DESC, intent, tool_name LIMIT 5")
 _simple("memory_coverage", "cd os", lambda cd, os: cd.select("entity").distinct().join(os.select("entity").distinct().withColumn("hit", F.lit(1)), "entity", "left").agg(F.count("*").alias("entities"), F.count("hit").alias("covered")), "SELECT count(*) AS entities, count(o.entity) AS covered FROM (SELECT DISTINCT entity FROM cd) c LEFT JOIN (SELECT DISTINCT entity FROM os) o USING (entity)")
 _simple("session_gap", "s", lambda s: s.withColumn("before", F.lag("ended_at").over(Window.partitionBy("agent_id").orderBy("started_at", "session_id"))).where("before is not null").agg(F.count("*").alias("gaps"), F.round(F.avg((micros("started_at") - micros("before")) / 3.6e9), 6).alias("avg_hours")), "SELECT count(*) AS gaps, round(avg((epoch_us(started_at) - epoch_us(b)) / 3.6e9), 6) AS avg_hours FROM (SELECT started_at, lag(ended_at) OVER (PARTITION BY agent_id ORDER BY started_at, session_id) AS b FROM s) WHERE b IS NOT NULL")
+
+
+def _flushes(spark, d):
+    """Events as they pass a ring of 20 for each type, a day at a time."""
+    return collector.collected(model.table(spark, d, "events"), "event_type", "event_id", "ts", capacity=20, seconds=86400)
+
+
+_COUNTED = (
+    "ev AS (SELECT event_type AS source, event_id, epoch_ms(ts) AS ms, epoch_ms(ts) // 86400000 AS interval, row_number() OVER w AS r, count(*) OVER (PARTITION BY event_type, epoch_ms(ts) // 86400000) AS m FROM events WINDOW w AS (PARTITION BY event_type, epoch_ms(ts) // 86400000 ORDER BY epoch_ms(ts), event_id)), "
+    "fl AS (SELECT source, interval, kind, count(*)::INT AS n, string_agg(event_id, ',' ORDER BY ms, event_id) AS ids, any_value(m) AS m FROM (SELECT *, CASE WHEN m >= 16 AND r <= 16 THEN 'early' ELSE 'timer' END AS kind FROM ev WHERE m < 16 OR r <= 16 OR r > m - 20) GROUP BY 1, 2, 3), "
+    "co AS (SELECT *, sum(CASE WHEN kind = 'early' THEN 16 WHEN m >= 16 THEN m - 16 ELSE m END) OVER w::BIGINT AS enqueued, sum(CASE WHEN kind = 'timer' THEN greatest(0, m - 36) ELSE 0 END) OVER w::BIGINT AS dropped, "
+    "max(CASE WHEN kind = 'early' THEN 16 WHEN m < 16 THEN m ELSE greatest(16, least(m - 16, 20)) END) OVER w::BIGINT AS high_water FROM fl WINDOW w AS (PARTITION BY source ORDER BY interval, kind ROWS UNBOUNDED PRECEDING))"
+)
+QUERIES["tele_collected"] = (lambda spark, d: _flushes(spark, d).select("source", "interval", "kind", "n", F.array_join("ids", ",").alias("ids"), "enqueued", "dropped", "high_water"), f"WITH {_COUNTED} SELECT source, interval, kind, n, ids, enqueued, dropped, high_water FROM co")
+QUERIES["tele_drop_rates"] = (lambda spark, d: collector.drop_rates(_flushes(spark, d)).select("source", "enqueued", "dropped", "high_water", "drop_rate"), f"WITH {_COUNTED} SELECT source, max(enqueued) AS enqueued, max(dropped) AS dropped, max(high_water) AS high_water, round(max(dropped)::DOUBLE / max(enqueued), 6) AS drop_rate FROM co GROUP BY 1")
