@@ -87,20 +87,23 @@ def file_context(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return kept.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda x: x["name"]), ",").alias("entities"))
 
 
-def edge_catalog(spark, weights: dict[str, float], cross: tuple[str, ...]) -> DataFrame:
-    """name, weight, cross_domain: a row for each type of edge."""
-    return spark.createDataFrame([(k, v, k in cross) for k, v in sorted(weights.items())], "name string, weight double, cross_domain boolean")
+def edge_catalog(edges: DataFrame, weights: dict[str, float], cross: tuple[str, ...]) -> DataFrame:
+    """name, weight, cross_domain, n: a row for each type of edge, with the edges there are of it."""
+    known = edges.sparkSession.createDataFrame([(k, v, k in cross) for k, v in sorted(weights.items())], "name string, weight double, cross_domain boolean")
+    counts = edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"))
+    return known.join(counts, "name", "left").select("name", "weight", "cross_domain", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def tiered_sections(sections: DataFrame, budget: int) -> DataFrame:
-    """sections(name, tier, place, cost) that fit into a budget: critical ones all, then relevant, then available, by place, up to the first that
-    does not fit."""
+def tiered_sections(sections: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:
+    """sections(name, tier, place, cost) of each answer (columns by) that fit into its budget: critical ones all, then relevant, then available, by
+    place, up to the first that does not fit."""
     order = chosen(F.col("tier"), {"critical": 0, "relevant": 1, "available": 2}, 3)
-    running = F.sum("cost").over(Window.orderBy(order, "place").rowsBetween(Window.unboundedPreceding, 0))  # an answer's few sections
+    running = F.sum("cost").over(Window.partitionBy(*(by or [])).orderBy(order, "place").rowsBetween(Window.unboundedPreceding, 0))  # an answer's few sections
     return sections.withColumn("running", running).where((F.col("tier") == "critical") | (F.col("running") <= budget))
 
 
-def trimmed_impact(tiers: DataFrame, budget: int) -> DataFrame:
-    """tiers(depth, cost) that fit into a budget when the far ones go first: all up to the largest depth whose running cost fits; depth 1 stays."""
-    running = F.sum("cost").over(Window.orderBy("depth"))  # a row for each depth
+def trimmed_impact(tiers: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:
+    """tiers(depth, cost) of each answer (columns by) that fit into its budget when the far ones go first: all up to the largest depth whose
+    running cost fits; depth 1 stays."""
+    running = F.sum("cost").over(Window.partitionBy(*(by or [])).orderBy("depth"))  # a row for each depth
     return tiers.withColumn("running", running).where((F.col("depth") == 1) | (F.col("running") <= budget))

@@ -94,7 +94,14 @@ _add("package_work", "tc", lambda tc: coordination.package_work(tc.select(F.conc
 _add("events_since", "tc", lambda tc: coordination.events_since(tc.select(F.col("id").alias("seq"), F.col("tool_name").alias("type"), F.col("agent_id").cast("string").alias("agent_id")), 100, ["click", "view"], "3"), "SELECT id AS seq, tool_name AS type, agent_id::VARCHAR AS agent_id FROM tc WHERE id > 100 AND tool_name IN ('click', 'view') AND agent_id = 3 ORDER BY 1 LIMIT 100")
 _add("latest_state", "tc", lambda tc: coordination.latest_state(tc.select("agent_id", F.col("id").alias("at"), "tool_name"), ["agent_id"]), "SELECT agent_id, max(id) AS at, arg_max(tool_name, id) AS tool_name FROM tc GROUP BY 1")
 _add("work_overlaps", "tc", lambda tc: coordination.overlaps(tc.where("tool_name = 'signup'").groupBy("session_id").agg(F.collect_set(F.concat(F.lit("f"), (F.col("id") % 40).cast("string"))).alias("files"), F.collect_set("entity").alias("entities"))), "SELECT a, b, min(level)::INT AS level, arg_min(sh, level) AS shared FROM (SELECT a, b, level, array_to_string(list_sort(list(x))[1:3], ',') AS sh FROM (SELECT DISTINCT p.session_id AS a, q.session_id AS b, p.level, p.x FROM (SELECT session_id, 0 AS level, 'f' || (id % 40) AS x FROM tc WHERE tool_name = 'signup' UNION SELECT session_id, 1, entity FROM tc WHERE tool_name = 'signup') p JOIN (SELECT session_id, 0 AS level, 'f' || (id % 40) AS x FROM tc WHERE tool_name = 'signup' UNION SELECT session_id, 1, entity FROM tc WHERE tool_name = 'signup') q ON p.level = q.level AND p.x = q.x AND p.session_id < q.session_id) GROUP BY 1, 2, 3) GROUP BY 1, 2")
-_add("annotations_kept", "tc", lambda tc: coordination.new_annotations(tc.limit(0).select(F.col("project_id").alias("node_id"), F.col("tool_name").alias("agent_id"), F.lit("n").alias("note"), F.col("created_at").alias("at")), tc.select(F.col("project_id").alias("node_id"), F.col("tool_name").alias("agent_id"), F.lit("n").alias("note"), F.col("created_at").alias("at")), 600).groupBy("node_id", "agent_id").agg(F.count("*").alias("n")), "SELECT project_id AS node_id, tool_name AS agent_id, count(*) AS n FROM (SELECT project_id, tool_name, epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY project_id, tool_name ORDER BY created_at)) AS gap FROM tc) WHERE gap IS NULL OR gap > 36000000000 GROUP BY 1, 2")
+def _annotations(tc, rows):
+    return tc.where(rows).select(F.col("project_id").alias("node_id"), F.col("tool_name").alias("agent_id"), F.lit("n").alias("note"), F.col("created_at").alias("at"))
+
+
+_add(
+    "annotations_kept", "tc", lambda tc: coordination.new_annotations(_annotations(tc, "id % 3 = 0"), _annotations(tc, "id % 3 <> 0"), 600).groupBy("node_id", "agent_id").agg(F.count("*").alias("n")),
+    "SELECT project_id AS node_id, tool_name AS agent_id, count(*) AS n FROM (SELECT project_id, tool_name, id, epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY project_id, tool_name ORDER BY created_at, id % 3 <> 0)) AS gap FROM tc) WHERE id % 3 <> 0 AND (gap IS NULL OR gap > 36000000000) GROUP BY 1, 2",
+)
 _add("agents_present", "tc", lambda tc: coordination.agents_present(tc.groupBy("agent_id").agg(F.max("created_at").alias("last_seen_at")), F.lit("2024-01-30 23:00:00").cast("timestamp")), "SELECT CASE WHEN m <= 8 THEN 'active' WHEN m <= 15 THEN 'idle' ELSE 'inactive' END AS presence, count(*) AS agents FROM (SELECT (epoch_us(TIMESTAMP '2024-01-30 23:00:00') - epoch_us(max(created_at))) / 6e7 AS m FROM tc GROUP BY agent_id) GROUP BY 1")
 _add("outcomes_set", "cd os", lambda cd, os: coordination.with_outcomes(cd.withColumn("outcome", F.when(F.col("id") % 4 == 0, "known")), os.select("session_id", F.col("signal_type").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n")), "SELECT CASE WHEN id % 4 = 0 THEN 'known' ELSE found END AS outcome, count(*) AS n FROM cd LEFT JOIN (SELECT session_id, max(signal_type) AS found FROM os GROUP BY 1) USING (session_id) GROUP BY 1")
 _add(

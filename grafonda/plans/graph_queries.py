@@ -77,7 +77,7 @@ _LABEL = "CASE hop WHEN 1 THEN 'direct' WHEN 2 THEN 'indirect' ELSE 'peripheral'
 _add("k_hop", lambda n, e: graph.reachable(e, _seed(e, ROOT), 2), _bfs(_ONE, "SELECT DISTINCT from_id AS id, to_id AS nx FROM edges", 2) + "SELECT * FROM b")
 _add("undirected_k_hop", lambda n, e: graph.reachable(graph.undirected(e), _seed(e, SUPPLIER), 1), _bfs(f"SELECT '{SUPPLIER}' AS id", "SELECT DISTINCT from_id AS id, to_id AS nx FROM edges UNION SELECT to_id, from_id FROM edges", 1) + "SELECT * FROM b")
 _add("impact", lambda n, e: graph.impact(e, _seed(e, ROOT), 3), _bfs(_ONE, _BACK, 3) + f"SELECT id, hop AS depth, {_LABEL} AS label, CASE hop WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM b WHERE hop > 0")
-_add("changeset_impact", lambda n, e: graph.impact(e, n.where("file = 'part/Brand#11.tbl' and line < 10"), 2), _bfs("SELECT id FROM nodes WHERE file = 'part/Brand#11.tbl' AND line < 10", _BACK, 2) + f"SELECT id, hop AS depth, {_LABEL} AS label, CASE hop WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM b WHERE hop > 0")
+_add("changeset_impact", lambda n, e: graph.impact(e, n.where("file = 'part/Brand#11.tbl'"), 2), _bfs("SELECT id FROM nodes WHERE file = 'part/Brand#11.tbl'", _BACK, 2) + f"SELECT id, hop AS depth, {_LABEL} AS label, CASE hop WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM b WHERE hop > 0")
 _add(
     "impact_tiers", lambda n, e: graph.impact_tiers(graph.impact(e, _seed(e, ROOT), 3), n),
     _bfs(_ONE, _BACK, 3) + f", nm AS (SELECT hop, name, file, row_number() OVER (PARTITION BY hop ORDER BY name, id) AS r FROM b JOIN nodes USING (id) WHERE hop > 0) SELECT hop AS depth, {_LABEL} AS label, count(*) AS total, count(DISTINCT file) AS files, "

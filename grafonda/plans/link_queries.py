@@ -188,8 +188,8 @@ _add("cross_repo_calls", lambda n, e: federation.cross_repo_calls(e.select(F.con
 # federation: parts of two brands stand for the projects
 _part = lambda n, at: n.where("type = 'function'").where(F.col("line") % 2 == at).select("id", "name", F.concat(F.lit("f("), (F.col("line") % 7).cast("string"), F.lit(")")).alias("signature"))
 _add("federated_search", lambda n, e: federation.find_entities({"a": _part(n, 0), "b": _part(n, 1)}, "cold", 5), "SELECT project, id, name FROM (SELECT CASE line % 2 WHEN 0 THEN 'a' ELSE 'b' END AS project, id, name, row_number() OVER (PARTITION BY line % 2 ORDER BY name, id) AS r FROM nodes WHERE type = 'function' AND contains(lower(name), 'cold')) WHERE r <= 5")
-_deps = lambda n: n.where("type = 'function' and line < 20").select(F.lit("b").alias("project"), F.col("name").alias("entity"), F.col("file").alias("used_in"), F.when(F.col("line") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("f("), (F.col("line") % 5).cast("string"), F.lit(")"))).alias("verified_signature"))
-_DRIFT = "dp AS (SELECT name AS entity, file AS used_in, CASE WHEN line % 3 = 0 THEN '' ELSE 'f(' || (line % 5) || ')' END AS v FROM nodes WHERE type = 'function' AND line < 20), th AS (SELECT name AS entity, min('f(' || (line % 7) || ')') AS s FROM nodes WHERE type = 'function' AND line % 2 = 1 GROUP BY 1)"
+_deps = lambda n: n.where("type = 'function'").select(F.lit("b").alias("project"), F.col("name").alias("entity"), F.col("file").alias("used_in"), F.when(F.col("line") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("f("), (F.col("line") % 5).cast("string"), F.lit(")"))).alias("verified_signature"))
+_DRIFT = "dp AS (SELECT name AS entity, file AS used_in, CASE WHEN line % 3 = 0 THEN '' ELSE 'f(' || (line % 5) || ')' END AS v FROM nodes WHERE type = 'function'), th AS (SELECT name AS entity, min('f(' || (line % 7) || ')') AS s FROM nodes WHERE type = 'function' AND line % 2 = 1 GROUP BY 1)"
 _add("dependency_drift", lambda n, e: federation.drift(_deps(n), {"b": _part(n, 1)}).groupBy("change").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities")), f", {_DRIFT} SELECT CASE WHEN s IS NULL THEN 'removed' ELSE 'signature_changed' END AS change, count(*) AS n, count(DISTINCT entity) AS entities FROM dp LEFT JOIN th USING (entity) WHERE s IS NULL OR (v <> '' AND v <> s) GROUP BY 1")
 _add("detected_dependencies", lambda n, e: federation.detected(n.where("type = 'struct'").select("file", F.concat(F.lit("import { "), "name", F.lit(" } from '@proj/"), F.lower("package"), F.lit("'")).alias("text")), n.where("type = 'package'").select(F.lower("name").alias("module"), "id")), "SELECT DISTINCT a.file, b.id FROM nodes a JOIN nodes b ON b.type = 'package' AND lower(b.name) = lower(a.package) WHERE a.type = 'struct'")
 _add("merged_alerts", lambda n, e: federation.merged_alerts(n.where("type = 'struct'").select(F.col("package").alias("entity"), "file", F.concat(F.lit("c"), (F.col("line") % 3).cast("string")).alias("caller"))), "SELECT package AS entity, file, string_agg(DISTINCT 'c' || (line % 3), ',' ORDER BY 'c' || (line % 3)) AS callers FROM nodes WHERE type = 'struct' GROUP BY 1, 2")
