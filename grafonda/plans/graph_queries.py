@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import carve, dsl, graph, model, orders, resolve, rules
+from ..operators import carve, carves, dsl, graph, model, orders, resolve, rules
 from ..operators.model import GRAPH_SQL
+from ..operators.work import cut
 
 QUERIES: dict = {}
 ROOT = "tpch::part::5"
@@ -143,6 +144,53 @@ _CARVED = (
 )
 _add("carve", _carve, _ppr_sql(_CARVED))
 _add("carve_edges", lambda n, e: carve.induced(_carve(n, e), e), _ppr_sql(_CARVED.replace("SELECT id, round(relevance, 6) AS relevance, hop, pool, cost, running FROM rs", ", ke AS (SELECT id FROM rs") + ") SELECT from_id, to_id, type FROM edges WHERE from_id IN (SELECT id FROM ke) AND to_id IN (SELECT id FROM ke)"))
+
+
+def _projects(n, e):
+    return n.withColumn("project", F.lit("tpch")), e.withColumn("project", F.lit("tpch"))
+
+
+def _many(n, e):
+    """Every hundredth part as a root, one step around each."""
+    nodes, edges = _projects(n, e)
+    roots = n.where("type = 'function' and cast(substring_index(id, '::', -1) as long) % 100 = 0").select(F.lit("tpch").alias("project"), F.col("id").alias("root"))
+    kept = carves.carved(nodes, edges, roots, 1500, 1)
+    return cut(kept.withColumn("relevance", F.round("relevance", 6)), "many_carves"), nodes, edges
+
+
+def _contexts(n, e):
+    kept, nodes, edges = _many(n, e)
+    here = lambda df: df.withColumn("project", F.lit("tpch"))
+    notes = here(n.where("type = 'interface' and exported").select(F.col("id").alias("node_id"), (F.col("line") % 2 == 0).alias("stale")))
+    memories = here(n.where("type = 'method'").select(F.col("id").alias("node_id"), (F.col("line") % 40).alias("memory_id")))
+    broken = here(e.where("type = 'IMPLEMENTS'").select("from_id", "to_id"))
+    quality = here(n.where("type = 'function' and line > 10").select(F.col("id").alias("root"), (F.col("line") - 30).cast("double").alias("quality"), F.lit(1).alias("signals")))
+    return carves.contexts(kept, edges, broken, notes, memories, quality).drop("project")
+
+
+_MANY = (
+    f", ew AS MATERIALIZED (SELECT from_id AS f, to_id AS t, {_WEIGHT} * CASE WHEN x.domain <> y.domain THEN 0.5 ELSE 1.0 END AS w FROM edges LEFT JOIN nodes x ON x.id = from_id LEFT JOIN nodes y ON y.id = to_id), bo AS MATERIALIZED (SELECT f, t, w FROM ew UNION ALL SELECT t, f, w FROM ew), "
+    "ro AS MATERIALIZED (SELECT id AS root FROM nodes WHERE type = 'function' AND split_part(id, '::', 3)::BIGINT % 100 = 0), dg AS MATERIALIZED (SELECT f, count(*) AS deg FROM bo GROUP BY 1), "
+    "sp AS (SELECT root, id, max(rank) AS rank FROM (SELECT root, root AS id, 1.0::DOUBLE AS rank FROM ro UNION ALL SELECT root, t, w * 0.5 / (1 + log2(deg + 1)) FROM ro JOIN bo ON bo.f = root JOIN dg ON dg.f = root) GROUP BY 1, 2), "
+    "fl AS (SELECT root, id, bool_or(caller) AS caller, bool_or(callee) AS callee FROM (SELECT to_id AS root, from_id AS id, type = 'CALLS' AS caller, false AS callee FROM edges WHERE to_id IN (SELECT root FROM ro) AND from_id <> to_id UNION ALL SELECT from_id, to_id, false, type = 'CALLS' FROM edges WHERE from_id IN (SELECT root FROM ro) AND from_id <> to_id) GROUP BY 1, 2), "
+    "sc AS (SELECT root, id, CASE WHEN id = root THEN 1.0 ELSE greatest(coalesce(rank, 0), CASE WHEN caller OR callee THEN 0.05 ELSE 0 END) END AS rel, coalesce(caller, false) AS caller, coalesce(callee, false) AS callee FROM sp FULL JOIN fl USING (root, id)), "
+    "pr AS (SELECT *, caller AND row_number() OVER (PARTITION BY root, caller ORDER BY rel DESC, id) <= 10 AS kept FROM sc WHERE rel > 0), "
+    "fi AS (SELECT root, id, caller, callee, CASE WHEN kept THEN greatest(rel, 0.02) ELSE rel END AS rel FROM pr WHERE kept OR rel >= 0.01 OR id = root), "
+    "hp AS (SELECT n.*, root, caller, callee, rel, CASE WHEN n.id = root THEN 0 ELSE round(abs(ln(rel) / ln(0.5))) END::INT AS hop FROM fi JOIN nodes n USING (id)), "
+    f"po AS (SELECT root, id, hop, rel, CASE WHEN id = root THEN 'root' WHEN caller THEN 'caller' WHEN callee THEN 'callee' ELSE 'other' END AS pool, ({_COST})::BIGINT AS cost FROM hp), "
+    "rs AS (SELECT *, sum(cost) OVER (PARTITION BY root, pool ORDER BY rel DESC, hop, id ROWS UNBOUNDED PRECEDING)::BIGINT AS running, greatest(0, 1500 - max(CASE WHEN id = root THEN cost END) OVER (PARTITION BY root)) AS rest FROM po), "
+    "ke AS MATERIALIZED (SELECT root, id, round(rel, 6) AS relevance, hop, pool, cost, running FROM rs WHERE running <= CASE pool WHEN 'root' THEN 1500 WHEN 'other' THEN rest * 30 // 100 ELSE rest * 35 // 100 END) "
+)
+_HASHED = "ha AS (SELECT root, left(sha256(string_agg(part, '' ORDER BY part)), 12) AS hash FROM (SELECT root, id AS part FROM ke UNION ALL SELECT a.root, from_id || '>' || to_id || ':' || type FROM edges JOIN ke a ON a.id = from_id JOIN ke b ON b.id = to_id AND a.root = b.root) GROUP BY 1)"
+_add("many_carves", lambda n, e: _many(n, e)[0].drop("project"), _MANY + "SELECT * FROM ke")
+_add(
+    "contexts", _contexts,
+    _MANY + ", " + _HASHED + ", nt AS (SELECT root, count(*) AS notes, bool_or(line % 2 = 0) AS stale FROM ke JOIN nodes n USING (id) WHERE n.type = 'interface' AND n.exported GROUP BY 1), me AS (SELECT root, count(DISTINCT line % 40) AS memories FROM ke JOIN nodes n USING (id) WHERE n.type = 'method' GROUP BY 1), "
+    "br AS (SELECT root, count(*) AS broken FROM (SELECT from_id AS root FROM edges WHERE type = 'IMPLEMENTS' UNION ALL SELECT to_id FROM edges WHERE type = 'IMPLEMENTS' AND from_id <> to_id) GROUP BY 1), "
+    "pe AS (SELECT root, count(*) AS nodes, count(*) FILTER (pool = 'caller') AS callers, count(*) FILTER (pool = 'callee') AS callees, sum(cost)::BIGINT AS tokens FROM ke GROUP BY 1) "
+    "SELECT pe.*, coalesce(notes, 0) AS notes, coalesce(memories, 0) AS memories, coalesce(broken, 0) AS broken_rules, hash, round(CASE WHEN q.line > 10 THEN 0.15 + 0.8 / (1 + exp(-(q.line - 30) / 2.0)) ELSE 0.75 END - CASE WHEN coalesce(stale, false) THEN 0.05 ELSE 0 END, 2) AS confidence "
+    "FROM pe JOIN nodes q ON q.id = root LEFT JOIN nt USING (root) LEFT JOIN me USING (root) LEFT JOIN br USING (root) LEFT JOIN ha USING (root)",
+)
 _SECTION = "CASE WHEN to_id = '{0}' AND type = 'CALLS' THEN 'callers' WHEN from_id = '{0}' AND type = 'CALLS' THEN 'callees' ELSE 'related' END".format(ROOT)
 _add(
     "carve_sections", lambda n, e: carve.directional(_carve(n, e), e, ROOT).groupBy("section").agg(F.count("*").alias("n")),

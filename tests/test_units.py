@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from grafonda.functions import scalars as S
 from grafonda.functions import words
-from grafonda.operators import carve, coordination, dsl, graph, memory, orders, resolve, rules, search, store
+from grafonda.operators import carve, carves, coordination, dsl, graph, memory, orders, resolve, rules, search, store
 from grafonda.sources import code, languages, sinks
 from grafonda.streaming import events as stream
 
@@ -321,3 +321,21 @@ def test_streams(spark, tmp_path):
     seen = []
     stream.batches_to(read(), lambda df, k: seen.append(df.count()), str(tmp_path / "batches")).awaitTermination(60)
     assert sum(seen) == 9
+
+
+def test_carves_of_many_roots_equal_single_ones(spark):
+    pairs = [("R", "A"), ("B", "R"), ("A", "C"), ("B", "D"), ("D", "E"), ("X", "Y")]
+    nodes, edges = graph_of(spark, pairs)
+    both = lambda df: df.withColumn("project", F.lit("a")).unionByName(df.withColumn("project", F.lit("b")))
+    roots = spark.createDataFrame([("a", "R"), ("b", "R"), ("b", "D"), ("b", "nowhere")], "project string, root string")
+    got = carves.carved(both(nodes), both(edges), roots, 400, 2).collect()
+    assert {(r.project, r.root) for r in got} == {("a", "R"), ("b", "R"), ("b", "D")}
+    for root in ("R", "D"):
+        single = carve.carve(nodes, edges, root, 400, ranks=carve.spread_scores(nodes, edges, root, 2))
+        want = {r.id: (round(r.relevance, 9), r.hop, r.pool, r.cost, r.running) for r in single.collect()}
+        assert {r.id: (round(r.relevance, 9), r.hop, r.pool, r.cost, r.running) for r in got if (r.project, r.root) == ("b", root)} == want
+    kept = spark.createDataFrame(got)
+    counted = {(r.project, r.root, r.section): r.n for r in carves.sections(kept, both(edges)).collect()}
+    assert counted["a", "R", "callers"] == counted["a", "R", "callees"] == 1
+    marks = {(r.project, r.root): r.hash for r in carves.fingerprints(kept, both(edges)).collect()}
+    assert marks["a", "R"] == marks["b", "R"] != marks["b", "D"] and len(marks["a", "R"]) == 12
