@@ -12,7 +12,7 @@ pre-tokens), so no merge does.
 
 Nulls: a null text has 0 bytes and 0 tokens; a null doc_id is a row like any other. Empty table: an empty result. Pre-tokens of any
 length and texts of any length are handled whole. Repeated rows: each row, also one that repeats a doc_id, gets its own count. Ties:
-none can arise. Pre-tokens that share a hash are found out, and another seed is taken. Only key and text are read, so other columns
+none can arise. Pre-tokens that share a hash are found out and joined by their bytes instead. Only key and text are read, so other columns
 never clash.
 """
 
@@ -30,8 +30,8 @@ from . import tokens
 from .storage import forget, small_batches, work_table
 
 HEAD_BITS = 21
-#: Seeds to try before giving up on hashes that no two pre-tokens share.
-SEEDS = 4
+#: Shared hashes that go to the workers at most (8 bytes each); were there more, all rare pre-tokens would be joined by their bytes.
+SHARED = 1 << 16
 #: Distinct pre-tokens that a task gathers before it passes them on.
 GATHER = 1 << 19
 
@@ -84,17 +84,17 @@ def pieces_of(texts: list[str], path: str) -> list[int]:
     return [len(x) if t[:1] == " " and len(t) > 1 else 1 if t == " " else len(x) - 1 if t[:1] == "\n" else len(x) - 2 for t, x in zip(texts, got, strict=True)]
 
 
-def _hashes(raw, starts, ends, first, seed: int) -> np.ndarray:
+def _hashes(raw, starts, ends, first) -> np.ndarray:
     """The first pre-token of a text without a leading blank gets one (the model's dummy prefix), so texts and words share it."""
-    h = tokens.span_hashes(raw, starts, ends, seed)
+    h = tokens.span_hashes(raw, starts, ends)
     lead = first[:-1][np.diff(first) > 0]
     h[lead] = tokens.mix(h[lead] ^ np.uint64(0x5851F42D4C957F2D))
     return h
 
 
-def vocabulary(docs: DataFrame, path: str, text: str = "text", seed: int = 0) -> DataFrame:
-    """hash, n (occurrences), pieces: one row per distinct pre-token of all texts, counted once. Pre-tokens are told apart by their
-    bytes, so two rows may have a hash in common (see distinct_vocabulary)."""
+def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """hash, term, n (occurrences), pieces: one row per distinct pre-token of all texts, counted once. Pre-tokens are told apart by their
+    bytes, so two rows may have a hash in common."""
 
     def distinct(batches):
         _, whole = _library(path)
@@ -117,7 +117,7 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text", seed: int = 0) ->
                 _, at, n = np.unique(2 * code.astype(np.int64) + lead, return_index=True, return_counts=True)
                 # the prefix of a text's first pre-token is made explicit: " word" as in the middle of a text
                 terms = pa.array([(b" " if x and not whole else b"") + data[a:b] for a, b, x in zip(starts[at].tolist(), ends[at].tolist(), lead[at].tolist(), strict=True)], pa.binary())
-                seen.append(pa.table({"hash": tokens.as_signed(_hashes(raw, starts, ends, first, seed)[at]), "term": terms, "n": pa.array(n)}))
+                seen.append(pa.table({"hash": tokens.as_signed(_hashes(raw, starts, ends, first)[at]), "term": terms, "n": pa.array(n)}))
                 held += len(at)
                 if held > GATHER:
                     yield from out()
@@ -128,32 +128,32 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text", seed: int = 0) ->
     def count(batches):
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in batch.column("term").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n"), pa.array(pieces_of(texts, path), pa.int32())], ["hash", "n", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("term"), batch.column("n"), pa.array(pieces_of(texts, path), pa.int32())], ["hash", "term", "n", "pieces"])
 
     found = small_batches(docs.select(text)).mapInArrow(distinct, "hash long, term binary, n long")
-    return found.groupBy("hash", "term").agg(F.sum("n").alias("n")).mapInArrow(count, "hash long, n long, pieces int")
-
-
-def distinct_vocabulary(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, int]:
-    """vocabulary as a work table, and the hashes' seed: the first under which no two pre-tokens of these texts share a hash."""
-    for seed in range(SEEDS):
-        found = work_table(vocabulary(docs, path, text, seed), "pieces")
-        if found.groupBy("hash").count().where("count > 1").isEmpty():
-            return found, seed
-        forget(found)
-    raise ValueError("pre-tokens share hashes under every seed")
+    return found.groupBy("hash", "term").agg(F.sum("n").alias("n")).mapInArrow(count, "hash long, term binary, n long, pieces int")
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens: a row for each row of docs."""
     spark = docs.sparkSession
-    terms, seed = distinct_vocabulary(docs, path, text)
+    every = vocabulary(docs, path, text)
+    terms = work_table(every.drop("term"), "pieces")
     total = terms.agg(F.sum("n")).first()[0] or 0
     least = total / (1 << HEAD_BITS)
-    head = terms.where(F.col("n") >= least).select("hash", "pieces").toArrow()
+    twice = work_table(terms.groupBy("hash").count().where("count > 1").select("hash"), "shared_hashes")
+    clashes = twice.limit(SHARED + 1).toArrow().column("hash").to_numpy()
+    by_bytes = len(clashes) > SHARED  # all rare pre-tokens, then
+    told = spark.sparkContext.broadcast(np.sort(clashes[:SHARED]))
+    marked = terms.join(twice.withColumn("twice", F.lit(True)), "hash", "left")
+    head = marked.where((F.col("n") >= least) & F.col("twice").isNull()).select("hash", "pieces").toArrow()
     order = np.argsort(keys := head.column("hash").to_numpy().view(np.uint64))
     shared = spark.sparkContext.broadcast((keys[order], head.column("pieces").to_numpy()[order]))
 
+    def rows_of(ids, base, row, hashes, words, n):
+        columns = [ids.take(pa.array(row)), pa.array(base + row), pa.array(np.zeros(len(row), np.int64)), tokens.as_signed(hashes), words, pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, ["k", "line", "n_bytes", "hash", "term", "n"])
+
     def frequencies(batches):
         """Rows of a document: one with its head sum (term null), and one per tail pre-token with its frequency."""
         _, whole = _library(path)
@@ -161,7 +161,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         base = 0
         for batch in batches:
             for i, j, raw, starts, ends, first in _pre_tokens(batch.column(1), whole):
-                h, inverse = np.unique(_hashes(raw, starts, ends, first, seed), return_inverse=True)
+                h, inverse = np.unique(_hashes(raw, starts, ends, first), return_inverse=True)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 hit = known[at] == h if len(known) else np.zeros(len(h), bool)
                 sums = tokens.segment_sums(np.where(hit, pieces[at] if len(known) else 0, 0)[inverse].astype(np.int64), first)
@@ -169,19 +169,30 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 ids = batch.column(0).slice(i, j - i)
                 lines = pa.array(np.arange(base + i, base + j))
                 nothing = pa.nulls(j - i, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, lines, pa.array(sizes), nothing, pa.array(sums)], ["k", "line", "n_bytes", "hash", "n"])
+                yield pa.RecordBatch.from_arrays([ids, lines, pa.array(sizes), nothing, pa.nulls(j - i, pa.binary()), pa.array(sums)], ["k", "line", "n_bytes", "hash", "term", "n"])
                 rare = np.flatnonzero(~hit[inverse])
                 if len(rare):
                     pair = tokens.rows_of(first)[rare] * len(h) + inverse[rare]
-                    pair, tf = np.unique(pair, return_counts=True)
-                    row = pair // len(h)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(base + i + row), pa.array(np.zeros(len(row), np.int64)), tokens.as_signed(h[pair % len(h)]), pa.array(tf)], ["k", "line", "n_bytes", "hash", "n"])
+                    clash = by_bytes | np.isin(h.view(np.int64), told.value)
+                    plain, tf = np.unique(pair[~clash[inverse[rare]]], return_counts=True)
+                    yield rows_of(ids, base + i, plain // len(h), h[plain % len(h)], pa.nulls(len(plain), pa.binary()), tf)
+                    if (own := rare[clash[inverse[rare]]]).size:  # each occurrence by its bytes, as vocabulary() spells them
+                        lead = np.zeros(len(starts), bool)
+                        lead[first[:-1][np.diff(first) > 0]] = True
+                        data = raw.tobytes()
+                        words = [(b" " if lead[x] and not whole else b"") + data[starts[x] : ends[x]] for x in own.tolist()]
+                        yield rows_of(ids, base + i, tokens.rows_of(first)[own], h[inverse[own]], pa.array(words, pa.binary()), np.ones(len(own), np.int64))
             base += batch.num_rows
 
     kind = docs.schema[key].dataType.simpleString()
-    parts = small_batches(docs.select(key, text)).mapInArrow(frequencies, f"k {kind}, line long, n_bytes long, hash long, n long").withColumn("line", F.struct(F.spark_partition_id().alias("p"), "line"))
+    parts = small_batches(docs.select(key, text)).mapInArrow(frequencies, f"k {kind}, line long, n_bytes long, hash long, term binary, n long").withColumn("line", F.struct(F.spark_partition_id().alias("p"), "line"))
     parts = work_table(parts, "frequencies")
-    tail = parts.where("hash is not null").select("k", "line", "hash", "n").join(terms.where(F.col("n") < least).select("hash", "pieces"), "hash")
+    rare = parts.where("hash is not null")
+    plain = marked.where(F.col("twice").isNull() & (F.col("n") < least))
+    tail = rare.where("term is null").select("k", "line", "n", "hash").join(plain.select("hash", "pieces"), "hash")
+    if len(clashes):  # hardly ever: the bytes are gathered once more, of these alone
+        spelled = work_table(every if by_bytes else every.join(F.broadcast(twice), "hash", "left_semi"), "spelled")
+        tail = tail.unionByName(rare.where("term is not null").select("k", "line", "n", "hash", "term").join(spelled.select("hash", "term", "pieces"), ["hash", "term"]).drop("term"))
     every = parts.where("hash is null").select("k", "line", "n_bytes", "n").unionByName(tail.select("k", "line", F.lit(0).cast("long").alias("n_bytes"), (F.col("n") * F.col("pieces")).alias("n")))
     return every.groupBy("line").agg(F.any_value("k").alias(key), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("line")
 

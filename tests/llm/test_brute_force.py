@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from grafonda.llm import decontamination, flac, language, packing, secrets, sharding, toxicity
+from grafonda.llm import decontamination, flac, language, packing, secrets, sharding, token_counts, toxicity
 
 from .test_operators import make
 
@@ -226,3 +226,17 @@ def test_one_token_of_a_million_characters(spark):
     ratio = lambda w: sum(model[place(a) * secrets.SIZE + place(b)] for a, b in zip(w, w[1:], strict=False))
     for doc_id, word, start in ((1, token, 4), (2, words, 0), (3, token[:5000], 0)):
         assert (got[doc_id] == [(start, 3, start + len(word))]) == (ratio(word) >= secrets.LEAST_RATIO)
+
+
+@pytest.mark.parametrize("most", [1 << 16, 3])
+def test_pre_tokens_that_share_a_hash(spark, sf_dir, monkeypatch, most):
+    """Hashes of four bits: nearly all are shared, and the counts are the library's; also where there are too many of them to be sent."""
+    path = token_counts.model_path()
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40").collect()] + [(1000, None), (1001, ""), (1002, "  a\nb a")]
+    want = Counter((k, len((t or "").encode()), len(token_counts._library(path)[0].encode(t or ""))) for k, t in rows)
+    plain = token_counts._hashes
+    monkeypatch.setattr(token_counts, "_hashes", lambda *a: plain(*a) & np.uint64(15))
+    monkeypatch.setattr(token_counts, "SHARED", most)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 8 < token_counts.vocabulary(docs, path).select("hash").distinct().count() <= 16
+    assert Counter(map(tuple, token_counts.count_tokens(docs, path).collect())) == want
