@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars, words
-from ..operators import federation, graph, links, model, nearest, orders, paths, resolve, rules, store
+from ..operators import federation, graph, handlers, links, model, nearest, orders, paths, resolve, rules, store
 from ..operators.carve import data_role, spread_scores
 from ..operators.model import GRAPH_SQL
 from ..operators.work import cut, shared_dir
@@ -207,3 +207,26 @@ _table(
     ),
     "SELECT o_orderkey AS id, round(100 * sum(CASE WHEN l_quantity::INT % 3 > 0 THEN l_linenumber ELSE 0 END)::DOUBLE / sum(l_linenumber), 2) AS covered_pct FROM orders JOIN lineitem ON l_suppkey % 10 = o_custkey % 11 AND (l_partkey + l_quantity)::INT >= o_orderkey % 3000 AND l_partkey <= o_orderkey % 3000 + 20 GROUP BY 1",
 )
+_add(
+    "explained", lambda n, e: handlers.explained(n, e, scalars.is_test_file(F.col("file"))),
+    ", rf AS MATERIALIZED (SELECT n.*, r.v FROM nodes n JOIN (SELECT to_id, count(*) AS v FROM edges WHERE type NOT IN ('DEFINES', 'IMPORTS') GROUP BY 1) r ON r.to_id = n.id) "
+    "SELECT 'scale' AS section, 1::INT AS place, 'files' AS name, count(*) AS value FROM nodes WHERE type = 'file' UNION ALL SELECT 'scale', 2, 'functions', count(*) FROM nodes WHERE type IN ('function', 'method') UNION ALL SELECT 'scale', 3, 'structs', count(*) FROM nodes WHERE type = 'struct' UNION ALL SELECT 'scale', 4, 'edges', count(*) FROM edges "
+    "UNION ALL SELECT 'types', r::INT, name, v FROM (SELECT name, v, row_number() OVER (ORDER BY v DESC, id) AS r FROM rf WHERE type IN ('struct', 'interface')) WHERE r <= 10 "
+    "UNION ALL SELECT 'packages', r::INT, package, v FROM (SELECT package, sum(v)::BIGINT AS v, row_number() OVER (ORDER BY sum(v) DESC, package) AS r FROM rf GROUP BY 1) WHERE r <= 12",
+)
+
+
+def _working_state(spark, d):
+    """Orders as changes of their customers' files, in the last days of the table."""
+    n, e = model.graph(spark, d)
+    customers = n.where("type = 'struct'").select("id", "file")
+    changed = model.table(spark, d, "orders").select(F.concat(F.lit("tpch::customer::"), F.col("o_custkey").cast("string")).alias("id"), F.col("o_orderdate").cast("timestamp").alias("at")).join(customers, "id").select("file", "at")
+    return handlers.working_state(changed, n, e.withColumn("type", F.when(F.col("type") == "DEFINES", "CALLS").otherwise(F.col("type"))).unionByName(e.where("type = 'CALLS' and from_id like 'tpch::customer::%'").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "type")), F.lit("1998-08-01").cast("timestamp"), 60 * 24 * 20).withColumn("last", F.col("last").cast("string"))
+
+
+QUERIES["graph_working_state"] = (
+    _working_state,
+    f"WITH {GRAPH_SQL}, ch AS (SELECT file, o_orderdate::TIMESTAMP AS t FROM orders JOIN nodes ON id = 'tpch::customer::' || o_custkey), re AS MATERIALIZED (SELECT file, count(*) AS changed, max(t) AS last FROM ch WHERE t > TIMESTAMP '1998-07-12' AND t <= TIMESTAMP '1998-08-01' GROUP BY 1), "
+    "la AS MATERIALIZED (SELECT file FROM re ORDER BY last DESC, file LIMIT 5), ca AS (SELECT to_id AS id FROM edges WHERE type IN ('CALLS', 'DEFINES') UNION ALL SELECT from_id FROM edges WHERE type = 'CALLS' AND from_id LIKE 'tpch::customer::%'), "
+    "en AS (SELECT n.id, n.file, count(*) AS callers FROM ca JOIN nodes n USING (id) WHERE n.file IN (SELECT file FROM la) GROUP BY 1, 2 HAVING count(*) > 3) SELECT file, changed, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, id, coalesce(callers, 0) AS callers FROM re LEFT JOIN en USING (file)",
+)

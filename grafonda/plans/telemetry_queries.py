@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import micros
-from ..operators import model
+from ..operators import handlers, model
 from ..operators import telemetry as T
 from ..operators.model import EVENT_SQL
 from ..streaming import collector
@@ -144,3 +144,34 @@ _COUNTED = (
 )
 QUERIES["tele_collected"] = (lambda spark, d: _flushes(spark, d).select("source", "interval", "kind", "n", F.array_join("ids", ",").alias("ids"), "enqueued", "dropped", "high_water"), f"WITH {_COUNTED} SELECT source, interval, kind, n, ids, enqueued, dropped, high_water FROM co")
 QUERIES["tele_drop_rates"] = (lambda spark, d: collector.drop_rates(_flushes(spark, d)).select("source", "enqueued", "dropped", "high_water", "drop_rate"), f"WITH {_COUNTED} SELECT source, max(enqueued) AS enqueued, max(dropped) AS dropped, max(high_water) AS high_water, round(max(dropped)::DOUBLE / max(enqueued), 6) AS drop_rate FROM co GROUP BY 1")
+
+
+# --- what a session's tools answer
+def _session_start(tc, s, os):
+    messages = tc.where("tool_name in ('signup', 'view')").selectExpr("if(tool_name = 'signup', null, agent_id) as to_agent", "if(id % 2 = 0, created_at, null) as read_at")
+    tasks = os.selectExpr("agent_id", "if(signal_type = 'task_done', 'done', 'pending') as status")
+    return handlers.session_start(tc, s, tasks, messages, os.where("signal_type = 'correction'"), F.lit("2024-01-20").cast("timestamp"), 240)
+
+
+_add(
+    "session_start", _facts("tc s os")(_session_start),
+    "SELECT agent_id, coalesce(p, 0) AS pending_tasks, coalesce(u, 0) + (SELECT count(*) FROM tc WHERE tool_name = 'signup' AND id % 2 <> 0) AS unread, r AS session_resumed, (SELECT count(DISTINCT agent_id) FROM s WHERE ended_at IS NULL AND started_at <= TIMESTAMP '2024-01-20') - coalesce(b, 0) AS other_agents, f AS last_failure "
+    "FROM (SELECT DISTINCT agent_id FROM tc) LEFT JOIN (SELECT agent_id, count(*) AS p FROM os WHERE signal_type <> 'task_done' GROUP BY 1) USING (agent_id) LEFT JOIN (SELECT agent_id, count(*) AS u FROM tc WHERE tool_name = 'view' AND id % 2 <> 0 GROUP BY 1) USING (agent_id) "
+    "LEFT JOIN (SELECT agent_id, arg_max(session_id, started_at) AS r FROM s WHERE ended_at IS NULL AND started_at <= TIMESTAMP '2024-01-20' AND started_at > TIMESTAMP '2024-01-10' GROUP BY 1) USING (agent_id) LEFT JOIN (SELECT DISTINCT agent_id, 1 AS b FROM s WHERE ended_at IS NULL AND started_at <= TIMESTAMP '2024-01-20') USING (agent_id) "
+    "LEFT JOIN (SELECT agent_id, max_by(entity, (created_at, entity)) AS f FROM os WHERE signal_type = 'correction' AND created_at <= TIMESTAMP '2024-01-20' GROUP BY 1) USING (agent_id)",
+)
+_add(
+    "my_analytics", _facts("tc cd s os")(lambda tc, cd, s, os: handlers.my_analytics(tc, cd, s, os, _last())),
+    "SELECT agent_id, tool_calls, coalesce(d, 0) AS deliveries, coalesce(v, 0)::BIGINT AS tokens_saved, coalesce(n, 0) AS sessions, coalesce(k, 0)::BIGINT AS tasks_completed, round(coalesce(h::DOUBLE / nullif(d, 0), 0), 6) AS cache_hit_rate, avg_latency_ms, round(coalesce(100.0 * v / nullif(bt, 0), 0), 6)::DOUBLE AS savings_pct, weakest "
+    "FROM (SELECT agent_id, count(*) AS tool_calls, round(avg(duration_ms), 4) AS avg_latency_ms FROM tc WHERE created_date > DATE '2024-01-23' AND created_date <= DATE '2024-01-30' GROUP BY 1) "
+    "LEFT JOIN (SELECT agent_id, count(*) AS d, sum(baseline_tokens) AS bt, greatest(0, sum(baseline_tokens) - sum(response_tokens)) AS v, sum(cache_hit) AS h FROM cd WHERE created_date > DATE '2024-01-23' AND created_date <= DATE '2024-01-30' GROUP BY 1) USING (agent_id) "
+    "LEFT JOIN (SELECT agent_id, count(*) AS n, sum(tasks_completed) AS k FROM s WHERE started_at::DATE > DATE '2024-01-23' AND started_at::DATE <= DATE '2024-01-30' GROUP BY 1) USING (agent_id) "
+    "LEFT JOIN (SELECT agent_id, arg_min(entity, (-n, entity)) AS weakest FROM (SELECT agent_id, entity, count(*) AS n FROM os WHERE signal_type = 'correction' AND created_date > DATE '2024-01-23' AND created_date <= DATE '2024-01-30' GROUP BY 1, 2) GROUP BY 1) USING (agent_id)",
+)
+_add(
+    "session_end", _facts("tc s os")(handlers.session_end),
+    "SELECT session_id, minutes, calls, failed, tools, coalesce(entities, '') AS entities, coalesce(done, 0) AS tasks_done, coalesce(bad, 0) AS corrections, next_step FROM (SELECT session_id, round((epoch_us(ended_at) - epoch_us(started_at)) / 60000000, 4) AS minutes FROM s WHERE ended_at IS NOT NULL) "
+    "JOIN (SELECT session_id, count(*) AS calls, count(*) FILTER (success = 0) AS failed, string_agg(DISTINCT tool_name, ',' ORDER BY tool_name) AS tools FROM tc GROUP BY 1) USING (session_id) "
+    "LEFT JOIN (SELECT session_id, string_agg(entity, ',' ORDER BY r) AS entities FROM (SELECT session_id, entity, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, entity) AS r FROM tc WHERE entity IS NOT NULL GROUP BY 1, 2) WHERE r <= 5 GROUP BY 1) USING (session_id) "
+    "LEFT JOIN (SELECT session_id, count(*) FILTER (signal_type = 'task_done') AS done, count(*) FILTER (signal_type = 'correction') AS bad, CASE WHEN arg_max(signal_type, (created_at, id)) = 'correction' THEN arg_max(entity, (created_at, id)) END AS next_step FROM os GROUP BY 1) USING (session_id)",
+)
