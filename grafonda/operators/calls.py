@@ -21,7 +21,11 @@ from .work import cut
 
 # What stands for the caller's own class, and names that say too little to be looked for in other packages.
 SELF, SUPER = ("self", "this"), "super"
-TOO_COMMON = ("write", "read", "get", "set", "close", "open", "run", "start", "stop", "init", "new", "add", "remove", "update", "delete")
+TOO_COMMON = (
+    "write", "read", "get", "set", "close", "open", "init", "run", "start", "stop", "send", "recv", "push", "pop", "add", "remove", "delete", "update", "create", "reset",
+    "clear", "flush", "load", "save", "parse", "render", "handle", "process", "execute", "call", "format", "validate", "copy", "clone", "merge", "split", "encode", "decode",
+    "dump", "append", "extend", "insert", "keys", "values", "items", "next", "iter", "len", "str", "repr", "hash", "eq",
+)
 
 
 def last_part(path: str | object):

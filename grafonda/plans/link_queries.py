@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars, words
-from ..operators import federation, graph, handlers, links, model, nearest, orders, paths, resolve, rules, store
+from ..operators import calls, federation, graph, handlers, links, model, nearest, orders, paths, resolve, rules, store
 from ..operators.carve import data_role, spread_scores
 from ..operators.model import GRAPH_SQL
 from ..operators.work import cut, shared_dir
@@ -230,3 +230,25 @@ QUERIES["graph_working_state"] = (
     "la AS MATERIALIZED (SELECT file FROM re ORDER BY last DESC, file LIMIT 5), ca AS (SELECT to_id AS id FROM edges WHERE type IN ('CALLS', 'DEFINES') UNION ALL SELECT from_id FROM edges WHERE type = 'CALLS' AND from_id LIKE 'tpch::customer::%'), "
     "en AS (SELECT n.id, n.file, count(*) AS callers FROM ca JOIN nodes n USING (id) WHERE n.file IN (SELECT file FROM la) GROUP BY 1, 2 HAVING count(*) > 3) SELECT file, changed, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, id, coalesce(callers, 0) AS callers FROM re LEFT JOIN en USING (file)",
 )
+
+
+def _call_stages(n, e):
+    """Customers as callers: of parts by name, in a brand that an alias names, their own or one that their file imports."""
+    callers = n.where("type = 'struct'")
+    names = n.where("type = 'function'").select(F.col("id").alias("part"), F.col("name").alias("func"))
+    sites = callers.withColumn("part", F.concat(F.lit("tpch::part::"), (F.col("line") % 200).cast("string"))).join(names, "part").selectExpr(
+        "id as site", "id as caller_id", "name as caller_name", "concat('Brand#', cast(11 + line % 5 as string)) as package", "file", "case line % 3 when 0 then 'br' when 2 then 'x' end as alias", "func",
+    )
+    files = callers.select("file").distinct()
+    imports = files.selectExpr("file", "inline(array(named_struct('alias', 'br', 'path', concat('lib/Brand#', cast(21 + length(file) % 5 as string))), named_struct('alias', 'other', 'path', concat('lib/Brand#', cast(31 + length(file) % 5 as string)))))")
+    nothing = files.limit(0)
+    return calls.resolved(sites, n, imports, nothing.selectExpr("file", "file as var", "file as type"), nothing.selectExpr("file as type", "file as parent")).select("site", "to_id", "stage")
+
+
+_add(
+    "call_stages", _call_stages,
+    ", si AS MATERIALIZED (SELECT a.id AS site, 'Brand#' || (11 + a.line % 5) AS package, 'Brand#' || (21 + length(a.file) % 5) AS b2, 'Brand#' || (31 + length(a.file) % 5) AS b3, a.line % 3 AS k, p.name AS func FROM nodes a JOIN nodes p ON p.id = 'tpch::part::' || (a.line % 200) WHERE a.type = 'struct'), "
+    "fn AS MATERIALIZED (SELECT package, name AS func, min(id) AS to_id FROM nodes WHERE type = 'function' GROUP BY 1, 2), "
+    "al AS (SELECT site, coalesce(CASE WHEN k = 0 THEN x2.to_id END, x1.to_id, x2.to_id, x3.to_id) AS to_id, CASE WHEN k = 0 AND x2.to_id IS NOT NULL THEN 2 WHEN x1.to_id IS NOT NULL THEN 4 ELSE 5 END::INT AS stage "
+    "FROM si LEFT JOIN fn x1 ON x1.package = si.package AND x1.func = si.func LEFT JOIN fn x2 ON x2.package = b2 AND x2.func = si.func LEFT JOIN fn x3 ON x3.package = b3 AND x3.func = si.func) SELECT * FROM al WHERE to_id IS NOT NULL",
+)
