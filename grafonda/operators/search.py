@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from . import scans
+from .work import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -98,3 +99,26 @@ def retrieval_quality(found: DataFrame, relevant: DataFrame, by: str, item: str)
     p = F.when((F.col("n") == 0) & (F.col("m") == 0), 1.0).when(F.col("n") == 0, 0.0).otherwise(F.col("hits") / F.col("n"))
     r = F.when((F.col("n") == 0) & (F.col("m") == 0), 1.0).when(F.col("m") == 0, 0.0).otherwise(F.col("hits") / F.col("m"))
     return all_.select(by, p.alias("precision"), r.alias("recall")).withColumn("f1", F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
+
+
+#: Passages without a whole word inside that are looked for in every text (by a broadcast, so their number is checked).
+FEW_PASSAGES = 1000
+
+
+def containing(corpus: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage: str) -> DataFrame:
+    """passage_key, key: the texts that contain a passage as it stands. A text that does has all words that lie whole inside the passage, so only
+    texts with the rarest of them are compared."""
+    found_words = lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    asked = passages.where(F.col(passage).isNotNull()).select(passage_key, F.col(passage).alias("_passage"))
+    inside = asked.select(passage_key, found_words(F.col("_passage")).alias("w")).where("size(w) > 2").select(passage_key, F.explode(F.array_distinct(F.slice("w", 2, F.size("w") - 2))).alias("word"))
+    held = corpus.select(key, F.explode(F.array_distinct(found_words(F.col(text)))).alias("word")).join(inside.select("word").distinct(), "word", "left_semi")
+    held = cut(held, "held_words")
+    rare = inside.join(held.groupBy("word").agg(F.count("*").alias("df")), "word", "left").groupBy(passage_key).agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    pairs = rare.join(held, "word").select(passage_key, key).join(corpus.select(key, F.col(text).alias("_text")), key).join(asked, passage_key)
+    out = pairs.where(F.contains("_text", F.col("_passage"))).select(passage_key, key)
+    wordless = cut(asked.join(rare.select(passage_key), passage_key, "left_anti"), "wordless")
+    n = wordless.count()
+    if n:
+        side = F.broadcast(wordless) if n <= FEW_PASSAGES else wordless
+        out = out.unionByName(corpus.select(key, F.col(text).alias("_text")).join(side, F.contains("_text", F.col("_passage"))).select(passage_key, key))
+    return out.distinct()

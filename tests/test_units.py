@@ -339,3 +339,10 @@ def test_carves_of_many_roots_equal_single_ones(spark):
     assert counted["a", "R", "callers"] == counted["a", "R", "callees"] == 1
     marks = {(r.project, r.root): r.hash for r in carves.fingerprints(kept, both(edges)).collect()}
     assert marks["a", "R"] == marks["b", "R"] != marks["b", "D"] and len(marks["a", "R"]) == 12
+
+
+def test_passages_in_texts(spark):
+    texts = [(1, "the quick brown fox jumps"), (2, "a quick brown fox"), (3, "xx yy"), (4, None), (5, "thequick brown foxy")]
+    asked = [("p", "quick brown fox"), ("q", "he quick brown f"), ("r", "xx yy"), ("s", " "), ("t", "nowhere in any text"), ("u", None)]
+    got = search.containing(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame(asked, "q string, p string"), "q", "p")
+    assert {tuple(r) for r in got.collect()} == {(q, i) for q, p in asked for i, t in texts if p is not None and t is not None and p in t}
