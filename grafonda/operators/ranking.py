@@ -111,6 +111,27 @@ def accuracy_at(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     return hit.agg(F.count("*").alias("queries"), F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias("accuracy"))
 
 
+def suite(expected: DataFrame, returned: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """scenario (null: all), queries, precision, recall, f1, passed: plain means over the queries (scenario, query_id) of the sets expected and
+    returned (scenario, query_id, id; a null id: nothing), against each scenario's threshold of mean f1, scenarios(scenario, threshold). Both
+    sets empty is 1, one of them 0. Scenarios without queries have 0; of all, passed says whether every one did."""
+    key = ["scenario", "query_id"]
+    sets = expected.select(*key, "id", F.lit(1).alias("e"), F.lit(0).alias("r")).unionByName(returned.select(*key, "id", F.lit(0).alias("e"), F.lit(1).alias("r")))
+    items = sets.groupBy(*key, "id").agg(F.max("e").alias("e"), F.max("r").alias("r"))
+    real = F.col("id").isNotNull().cast("int")
+    counts = items.groupBy(*key).agg(F.sum(F.col("e") * real).alias("n"), F.sum(F.col("r") * real).alias("m"), F.sum(F.col("e") * F.col("r") * real).alias("k"))
+    nothing = (F.col("n") == 0) & (F.col("m") == 0)
+    share = lambda a, b: F.when(nothing, 1.0).when((F.col("n") == 0) | (F.col("m") == 0), 0.0).otherwise(F.col(a) / F.col(b))
+    both = counts.select(*key, share("k", "m").alias("precision"), share("k", "n").alias("recall"))
+    each = both.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    means = [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in ("precision", "recall", "f1")]
+    asked = scenarios.join(each, "scenario", "left")
+    own = asked.groupBy("scenario").agg(F.count("query_id").alias("queries"), *means, F.any_value("threshold").alias("threshold"), F.coalesce(F.avg("f1"), F.lit(0.0)).alias("plain"))
+    own = own.withColumn("passed", F.col("plain") >= F.col("threshold"))
+    total = asked.agg(F.count("query_id").alias("queries"), *means).join(F.broadcast(own.agg(F.bool_and("passed").alias("passed"))))
+    return own.select("scenario", "queries", "precision", "recall", "f1", "passed").unionByName(total.select(F.lit(None).cast("string").alias("scenario"), "queries", "precision", "recall", "f1", "passed"))
+
+
 def fuzzy_names(a: Column, b: Column) -> Column:
     """Whether names match: equal, or one is the other's last part."""
     return (F.lower(a) == F.lower(b)) | F.endswith(F.lower(a), F.concat(F.lit("."), F.lower(b))) | F.endswith(F.lower(b), F.concat(F.lit("."), F.lower(a)))

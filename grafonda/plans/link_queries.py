@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars, words
-from ..operators import calls, federation, graph, handlers, links, model, nearest, orders, paths, resolve, rules, store
+from ..operators import calls, enrichment, federation, graph, handlers, links, model, nearest, orders, paths, ranking, resolve, rules, store
 from ..operators.carve import data_role, spread_scores
 from ..operators.model import GRAPH_SQL
 from ..operators.work import cut, shared_dir
@@ -152,9 +152,10 @@ _add("acyclic", lambda n, e: orders.acyclic(e.where("from_id like 'tpch::part%'
 
 
 def _order_of_rest(n, e):
-    """Nodes that have a place in the order of what is left of a graph full of cycles: all of them, if none is left."""
+    """Nodes that are on no cycle of what is left of a graph full of cycles: all of them, if none is left."""
     mutual = e.where("type in ('DEPENDS_ON', 'IMPLEMENTS')")
-    return orders.levels(cut(orders.acyclic(mutual), "acyclic")).select("id")
+    every = mutual.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    return every.join(orders.strong_components(cut(orders.acyclic(mutual), "acyclic")).select("id"), "id", "left_anti")
 
 
 _add("acyclic_order", _order_of_rest, "SELECT from_id AS id FROM edges WHERE type IN ('DEPENDS_ON', 'IMPLEMENTS') UNION SELECT to_id FROM edges WHERE type IN ('DEPENDS_ON', 'IMPLEMENTS')")
@@ -252,3 +253,46 @@ _add(
     "al AS (SELECT site, coalesce(CASE WHEN k = 0 THEN x2.to_id END, x1.to_id, x2.to_id, x3.to_id) AS to_id, CASE WHEN k = 0 AND x2.to_id IS NOT NULL THEN 2 WHEN x1.to_id IS NOT NULL THEN 4 ELSE 5 END::INT AS stage "
     "FROM si LEFT JOIN fn x1 ON x1.package = si.package AND x1.func = si.func LEFT JOIN fn x2 ON x2.package = b2 AND x2.func = si.func LEFT JOIN fn x3 ON x3.package = b3 AND x3.func = si.func) SELECT * FROM al WHERE to_id IS NOT NULL",
 )
+
+
+def _log(o):
+    """Orders as commits on the files of parts."""
+    return o.selectExpr("cast(o_orderkey as string) as hash", "o_orderpriority as author", "cast(o_orderdate as timestamp) as at", "o_orderstatus as subject", "concat('part/Brand#', cast(11 + o_custkey % 45 as string), '.tbl') as file")
+
+
+def _refreshed(spark, d):
+    """A first pass over half of the log's files, refreshed for the others."""
+    n, _ = model.graph(spark, d)
+    log, today = _log(model.table(spark, d, "orders")), F.lit("1998-08-01").cast("date")
+    odd = log.select("file").distinct().where("crc32(cast(file as binary)) % 2 = 1")
+    first = enrichment.enriched(n, log.join(odd, "file", "left_anti"), today)
+    return enrichment.refreshed(first, n, log, odd, today)
+
+
+QUERIES["graph_enriched"] = (
+    _refreshed,
+    f"WITH {GRAPH_SQL}, lg AS (SELECT o_orderkey::VARCHAR AS hash, o_orderpriority AS author, o_orderdate::DATE AS day, o_orderstatus AS subject, 'part/Brand#' || (11 + o_custkey % 45) || '.tbl' AS file FROM orders WHERE o_orderdate::DATE <= DATE '1998-08-01'), "
+    "la AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY day DESC, hash DESC) AS r, count(*) FILTER (day > DATE '1998-08-01' - 90) OVER (PARTITION BY file) AS churn FROM lg) "
+    "SELECT n.id, n.file, author AS blame_author, day::VARCHAR AS blame_date, hash AS blame_commit, subject AS blame_subject, churn, round((DATE '1998-08-01' - day) * ln(1 + churn), 1)::DOUBLE AS staleness FROM la JOIN nodes n USING (file) WHERE r = 1 AND n.type IN ('function', 'method')",
+)
+
+
+def _suite(spark, d):
+    """Do the parts of an order tell its suppliers? For each priority, against what the lines say."""
+    lines, parts = (model.table(spark, d, t) for t in ("lineitem", "orders"))
+    asked = lines.join(parts, lines.l_orderkey == parts.o_orderkey)
+    expected = asked.selectExpr("o_orderpriority as scenario", "o_orderkey as query_id", "l_suppkey as id")
+    returned = asked.selectExpr("o_orderpriority as scenario", "o_orderkey as query_id", "if(l_linenumber % 2 = 0, l_suppkey, l_partkey % 7) as id")
+    limits = parts.selectExpr("o_orderpriority as scenario").distinct().withColumn("threshold", F.when(F.col("scenario") == "1-URGENT", 0.99).otherwise(0.1)).unionByName(spark.createDataFrame([("none", 0.5)], "scenario string, threshold double"))
+    return ranking.suite(expected, returned, limits)
+
+
+QUERIES["graph_scenarios"] = (
+    _suite,
+    "WITH a AS (SELECT o_orderpriority AS scenario, o_orderkey AS query_id, l_suppkey AS e, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey ELSE l_partkey % 7 END AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
+    "k AS (SELECT scenario, query_id, count(*) AS k FROM (SELECT scenario, query_id, e AS id FROM a INTERSECT SELECT scenario, query_id, r FROM a) GROUP BY 1, 2), "
+    "q AS (SELECT scenario, query_id, coalesce(k, 0)::DOUBLE / count(DISTINCT r) AS p, coalesce(k, 0)::DOUBLE / count(DISTINCT e) AS rc FROM a LEFT JOIN k USING (scenario, query_id) GROUP BY scenario, query_id, k), "
+    "f AS (SELECT *, CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END AS f1 FROM q), s AS (SELECT scenario, count(*) AS queries, avg(p) AS p, avg(rc) AS rc, avg(f1) AS f1 FROM f GROUP BY 1 UNION ALL SELECT 'none', 0, 0, 0, 0) "
+    "SELECT scenario, queries, round(p, 6) AS precision, round(rc, 6) AS recall, round(f1, 6) AS f1, f1 >= CASE scenario WHEN '1-URGENT' THEN 0.99 WHEN 'none' THEN 0.5 ELSE 0.1 END AS passed FROM s "
+    "UNION ALL SELECT NULL, count(*), round(avg(p), 6), round(avg(rc), 6), round(avg(f1), 6), false FROM f",
+)
