@@ -118,7 +118,10 @@ def _embedding_text(spark, d):
 
 
 QUERIES["text_embedding_text"] = (_embedding_text, None)
-_add("suggested_tools", "region", lambda r: fts.suggested_tools(r.select(F.concat(F.lit("searching and tested "), F.lower("r_name")).alias("intent")), r.sparkSession.createDataFrame([("find", "search"), ("verify", "tests"), ("region", "asia")], "tool string, keyword string")), "SELECT 'searching and tested ' || lower(r_name) AS intent, unnest(['find', 'verify']) AS tool, 'stem' AS how FROM region UNION ALL SELECT 'searching and tested asia', 'region', 'exact'")
+_add(
+    "suggested_tools", "part", lambda p: fts.suggested_tools(p.select(F.concat(F.lit("searching and tested "), F.lower("p_name")).alias("intent")).distinct(), p.sparkSession.createDataFrame([("find", "search"), ("verify", "tests"), ("build", "widget")], "tool string, keyword string")),
+    "SELECT intent, unnest(['find', 'verify']) AS tool, 'stem' AS how FROM (SELECT DISTINCT 'searching and tested ' || lower(p_name) AS intent FROM part) UNION ALL SELECT DISTINCT 'searching and tested ' || lower(p_name), 'build', 'exact' FROM part WHERE regexp_matches(lower(p_name), '\\bwidget\\b')",
+)
 
 # --- text functions
 _add("name_words", "part", lambda p: p.select("p_partkey", F.array_join(words.name_words(F.concat(F.lit("Store.getHTTPUrl_"), F.translate("p_brand", "#", "X"))), " ").alias("words")), "SELECT p_partkey, 'store get http url brand x' || substr(p_brand, 7) AS words FROM part")
@@ -140,7 +143,7 @@ _add("flexible_times", "events", lambda e: e.select("event_id", F.unix_micros(wo
 _add("call_fingerprints", "events", lambda e: e.select("event_id", words.call_fingerprint(F.col("event_type"), F.concat(F.lit('{"file": "'), "event_type", F.lit('", "id": "7", "query": "'), F.when(F.col("event_id") % 2 == 0, F.lit("q")).otherwise(F.lit("")), F.lit('"}'))).alias("call")), "SELECT event_id, event_type || ':' || CASE WHEN event_id % 2 = 0 THEN 'q' ELSE event_type END AS call FROM events")
 _add("budget_multipliers", "supplier", lambda s: s.select("s_suppkey", words.budget_multiplier(F.col("s_name"), [("supplier#00000000", 2.0), ("supplier", 1.5)]).alias("factor")), "SELECT s_suppkey, CASE WHEN starts_with(lower(s_name), 'supplier#00000000') THEN 2.0 ELSE 1.5 END::DOUBLE AS factor FROM supplier")
 _add("path_kinds", "pages", lambda p: p.select("page_id", words.looks_like_file(F.col("url")).alias("file"), words.external_package(F.regexp_replace("url", "^https?://", "")).alias("external"), words.relative_path(F.regexp_replace("url", "^https?://", ""), "therwh.example.org").alias("rel"), words.top_package(F.regexp_replace("url", "^https?://", "")).alias("top")), "SELECT page_id, false AS file, contains(split_part(u, '/', 1), '.') AS external, CASE WHEN starts_with(u, 'therwh.example.org/') THEN substr(u, 20) ELSE u END AS rel, CASE WHEN contains(u, '/') THEN split_part(u, '/', 1) ELSE '.' END AS top FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages)")
-_add("stems", "benchmark", lambda b: b.sparkSession.createDataFrame([(w,) for w in "caresses ponies cats feed agreed plastered motoring sing hopping falling hoping happy relational conditional digitizer formalize electrical goodness revival adjustment adoption probate rate cease controll roll".split()], "word string").select("word", words.stemmed(F.col("word")).alias("stem")), "SELECT unnest(['caresses','ponies','cats','feed','agreed','plastered','motoring','sing','hopping','falling','hoping','happy','relational','conditional','digitizer','formalize','electrical','goodness','revival','adjustment','adoption','probate','rate','cease','controll','roll']) AS word, unnest(['caress','poni','cat','feed','agre','plaster','motor','sing','hop','fall','hope','happi','relat','condit','digit','formal','electr','good','reviv','adjust','adopt','probat','rate','ceas','control','roll']) AS stem")
+_add("stems", "documents", lambda d: d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("documents")).withColumn("stem", words.stemmed(F.col("word"))), None)
 
 # --- knowledge
 _add("co_occurrence", "orders", lambda o: knowledge.co_occurrence(o.select(F.col("o_orderkey").alias("id"), F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1), (F.col("o_custkey") % 3).cast("string")).alias("items")), 2), "WITH i AS (SELECT DISTINCT o_orderkey AS id, unnest([o_orderstatus, substr(o_orderpriority, 1, 1), (o_custkey % 3)::VARCHAR]) AS x FROM orders), t AS (SELECT x AS a, count(*) AS total FROM i GROUP BY 1) SELECT a, b, together, round(together::DOUBLE / total, 6) AS confidence FROM (SELECT p.x AS a, q.x AS b, count(*) AS together FROM i p JOIN i q ON p.id = q.id AND p.x <> q.x GROUP BY 1, 2) JOIN t USING (a) WHERE together >= 2")
