@@ -72,6 +72,18 @@ def test_strong_components(spark, seed, few):
     assert orders.strong_components(edges_of(spark, [])).count() == 0
 
 
+def test_long_rings_take_few_rounds(spark, monkeypatch):
+    """Rings of 300 nodes beyond what a task takes, with and without edges beside them: steps grow with the logarithm of a ring's length."""
+    ring = lambda name, n: [(f"{name}{k:03}", f"{name}{(k + 1) % n:03}") for k in range(n)]
+    pairs = ring("a", 300) + ring("b", 300) + [("b007", "c000"), ("b100", "b050"), ("c009", "d000")] + ring("c", 10) + [(f"d{k:03}", f"d{k + 1:03}") for k in range(300)]
+    steps = []
+    monkeypatch.setattr(orders, "cut", lambda df, *a, real=orders.cut, **k: steps.append(1) or real(df, *a, **k))
+    got = {r.id: r.component for r in orders.strong_components(edges_of(spark, pairs), 20).collect()}
+    assert got == {x: f"{x[0]}000" for x, _ in pairs if x[0] != "d"}
+    assert len(steps) < 200
+    assert {r.id: r.component for r in orders.weak_components(edges_of(spark, [("x", "y"), ("z", "y"), ("q", "r")])).collect()} == {"x": "x", "y": "x", "z": "x", "q": "q", "r": "q"}
+
+
 @pytest.mark.parametrize("seed,nodes,n,few", [(1, 30, 70, 1 << 20), (2, 9, 36, 8)])
 def test_cycles_are_broken_where_they_must_be(spark, seed, nodes, n, few):
     """No cycle is left, and each edge taken out would close one; also where components are searched by joins."""
