@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from grafonda.operators import coordination, links, paths, store
+from grafonda.operators import coordination, graph, links, paths, rules, store
 
 
 @contextlib.contextmanager
@@ -86,3 +86,25 @@ def test_a_large_file_is_saved_by_several_tasks(spark, tmp_path):
         store.save_graph(nodes, edges, f"file://{tmp_path}/g")
     assert len(list((tmp_path / "g" / "nodes").glob("bucket=*/*.parquet"))) > 2
     assert store.load_graph(spark, f"file://{tmp_path}/g")[0].select("id").distinct().count() == 40_000
+
+
+def test_pairs_of_a_path_are_made_for_its_ends_only(spark):
+    nodes = spark.createDataFrame([(f"s{k:02}", "s") for k in range(40)] + [("mid", "m")] + [(f"e{k:03}", "e" if k < 2 else "x") for k in range(300)], "id string, type string")
+    edges = spark.createDataFrame([(f"s{k:02}", "mid", "A") for k in range(40)] + [("mid", f"e{k:03}", "B") for k in range(300)], "from_id string, to_id string, type string")
+    rows, n = shuffled(spark, lambda: graph.path_pattern(nodes, edges, ["A", "B"], F.col("type") == "s", F.col("type") == "e"))
+    assert {tuple(r) for r in rows} == {(f"s{k:02}", f"e{j:03}") for k in range(40) for j in range(2)}
+    assert n < 2_000  # 12,000 pairs without the ends
+    assert {tuple(r) for r in graph.path_pattern(nodes, edges, [], F.col("type") == "s", F.col("id") == "s03").select("start_id", "end_id").collect()} == {("s03", "s03")}
+
+
+def test_edges_that_no_rule_fits_are_not_shuffled_twice(spark):
+    nodes = spark.createDataFrame([(f"a{k:03}", "f" if k < 5 else "g", "P", f"d/{k}.go", f"n{k}") for k in range(500)], "id string, type string, package string, file string, name string")
+    edges = spark.createDataFrame([(f"a{k:03}", f"a{(k * j) % 500:03}", "CALLS") for k in range(500) for j in range(20)], "from_id string, to_id string, type string")
+    found = spark.createDataFrame([("r", "error", "f", "g", "CALLS", "", ""), ("r", "error", "f", "", "", "", "p"), ("none", "error", "", "", "", "", ""), ("q", "error", "f", "", "OTHER", "", "")], rules.SCHEMA)
+    rows, n = shuffled(spark, lambda: rules.violations(nodes, edges, found))
+    want = [("r", f"a{k:03}", f"a{(k * j) % 500:03}") for k in range(5) for j in range(20) for m in range(2) if m or (k * j) % 500 >= 5]
+    assert sorted((r.rule_id, r.from_id, r.to_id) for r in rows) == sorted(want)
+    assert n < 15_000  # 10,000 edges once
+    many, rules.MANY = rules.MANY, 1
+    assert sorted((r.rule_id, r.from_id, r.to_id) for r in rules.violations(nodes, edges, found).collect()) == sorted(want)
+    rules.MANY = many
