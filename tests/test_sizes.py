@@ -108,3 +108,13 @@ def test_edges_that_no_rule_fits_are_not_shuffled_twice(spark):
     many, rules.MANY = rules.MANY, 1
     assert sorted((r.rule_id, r.from_id, r.to_id) for r in rules.violations(nodes, edges, found).collect()) == sorted(want)
     rules.MANY = many
+
+
+def test_many_nodes_that_fit_a_rule_are_not_broadcast(spark, monkeypatch):
+    nodes = spark.range(3000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit("f").alias("type"), F.lit("p").alias("package"), F.lit("x").alias("file"), F.lit("y").alias("name"))
+    edges = nodes.select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("CALLS").alias("type"))
+    found = spark.createDataFrame([("r", "error", "f", "f", "", "", "")], rules.SCHEMA)
+    monkeypatch.setattr(rules, "FEW_NODES", 100)
+    got = rules.violations(nodes, edges, found)
+    assert got.count() == 3000
+    assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
