@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from grafonda.operators import coordination, graph, links, paths, rules, store
+from grafonda.operators import alike, coordination, graph, links, memory, paths, rules, store
 
 
 @contextlib.contextmanager
@@ -118,3 +118,29 @@ def test_many_nodes_that_fit_a_rule_are_not_broadcast(spark, monkeypatch):
     got = rules.violations(nodes, edges, found)
     assert got.count() == 3000
     assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
+
+
+def test_alike_sets_of_common_words_meet_at_no_word(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    sets = {f"m{k:03}": set(rng.sample(words, rng.choice((1, 5, 40, 60, 90, 200)))) for k in range(300)}
+    for k in range(0, 300, 10):  # near ones, some of them about at the threshold
+        sets[f"n{k:03}"] = {w for w in sets[f"m{k:03}"] if rng.random() < 0.5 + k / 600} | {"x"}
+    sets["p"] = set(sets["m000"])
+    tier = {k: None if k == "m010" else "ab"[int(k[1:] or 0) % 20 == 3] for k in sets}
+    df = spark.createDataFrame([(k, tier[k], "e", " ".join(sorted(w))) for k, w in sets.items()], "id string, tier string, entity_id string, content string").repartition(4)
+    copies: dict = {}
+    for k in sorted(sets):
+        copies.setdefault((tier[k] or "", frozenset(sets[k])), []).append(k)
+    classes, n = {x[0]: w for (_, w), x in copies.items()}, {x[0]: len(x) for x in copies.values()}
+    likeness = {(a, b): len(classes[a] & classes[b]) / len(classes[a] | classes[b]) for a, b in combinations(sorted(classes), 2) if tier[a] is not None and tier[a] == tier[b]}
+    want = {(a, b, n[a], n[b]) for (a, b), x in likeness.items() if x > 0.5} | {(a, a, k, k) for a, k in n.items() if k > 1}
+    assert len(want) > 10
+    rows, moved = shuffled(spark, lambda: memory.duplicates(df, 0.5))
+    assert {(r.a, r.b, r.n_a, r.n_b) for r in rows} == want and len(rows) == len(want)
+    assert moved < 3_000
+    monkeypatch.setattr(alike, "TILE", 7)
+    grouped = df.where(F.col("id").isin(*classes)).select("id", "tier", "entity_id", F.split("content", " ").alias("words"))
+    for least in (0.3, 0.5, 0.9):
+        met = [(min(r), max(r)) for r in alike.candidates(grouped, ["tier", "entity_id"], "words", least, block=20).collect()]
+        assert len(met) == len(set(met)) < len(likeness) and {k for k, x in likeness.items() if x >= least} <= set(met)
