@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from grafonda.operators import alike, coordination, graph, links, memory, paths, rules, store
+from grafonda.operators import alike, coordination, graph, links, memory, paths, power, rules, store
 
 
 @contextlib.contextmanager
@@ -144,3 +144,15 @@ def test_alike_sets_of_common_words_meet_at_no_word(spark, monkeypatch):
     for least in (0.3, 0.5, 0.9):
         met = [(min(r), max(r)) for r in alike.candidates(grouped, ["tier", "entity_id"], "words", least, block=20).collect()]
         assert len(met) == len(set(met)) < len(likeness) and {k for k, x in likeness.items() if x >= least} <= set(met)
+
+
+def test_rounds_of_centrality_do_not_shuffle_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = {(f"n{rng.randint(0, 199)}", f"n{int(200 * rng.random() ** 2)}") for _ in range(2500)}
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in sorted(pairs)], "from_id string, to_id string, type string")
+    whole = {r.id: r.centrality for r in graph.eigenvector_centrality(edges, rounds=6, tolerance=0.0).collect()}
+    monkeypatch.setattr(power.iterate, "__defaults__", (700,))
+    _, few = shuffled(spark, lambda: graph.eigenvector_centrality(edges, rounds=2, tolerance=0.0, few=0))
+    rows, more = shuffled(spark, lambda: graph.eigenvector_centrality(edges, rounds=6, tolerance=0.0, few=0))
+    assert len(rows) == len(whole) and all(abs(whole[r.id] - r.centrality) < 1e-9 for r in rows)
+    assert more - few < 4 * 300  # messages between parts, not sums for each node
