@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from grafonda.operators import alike, coordination, graph, links, memory, paths, power, rules, store
+from grafonda.operators import alike, carves, coordination, graph, links, memory, paths, power, rules, store
 
 
 @contextlib.contextmanager
@@ -156,3 +156,23 @@ def test_rounds_of_centrality_do_not_shuffle_pairs(spark, monkeypatch):
     rows, more = shuffled(spark, lambda: graph.eigenvector_centrality(edges, rounds=6, tolerance=0.0, few=0))
     assert len(rows) == len(whole) and all(abs(whole[r.id] - r.centrality) < 1e-9 for r in rows)
     assert more - few < 4 * 300  # messages between parts, not sums for each node
+
+
+def test_flows_that_lead_to_no_sink_are_not_followed(spark):
+    pairs = [(f"s{k:02}", f"a{j:02}") for k in range(40) for j in range(40)] + [(f"a{j:02}", f"b{j % 20:02}") for j in range(40)] + [("b00", "sink"), ("sink", "b00"), ("s03", "sink"), ("s04", "b00"), ("b03", "c"), ("c", "far")]
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs] + [("s01", "b00", "OTHER")], "from_id string, to_id string, type string")
+    sources = spark.createDataFrame([(f"s{k:02}",) for k in range(40)], "id string")
+    sinks = spark.createDataFrame([("sink",), ("far",), ("gone",)], "id string")
+    step = {}
+    for a, b in pairs:
+        step.setdefault(a, set()).add(b)
+    want = set()
+    for k in range(40):
+        seen, front = {f"s{k:02}"}, {f"s{k:02}"}
+        for hop in range(1, 5):
+            front = {y for x in front for y in step.get(x, ())} - seen
+            seen |= front
+            want |= {(f"s{k:02}", x, hop) for x in front if x in ("sink", "far")}
+    rows, n = shuffled(spark, lambda: graph.data_flows(edges, sources, sinks, 4))
+    assert {tuple(r) for r in rows} == want and {h for *_, h in want} == {1, 2, 3, 4}
+    assert n < 17_000  # 20,832 while every pair went on
