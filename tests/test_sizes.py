@@ -176,3 +176,15 @@ def test_flows_that_lead_to_no_sink_are_not_followed(spark):
     rows, n = shuffled(spark, lambda: graph.data_flows(edges, sources, sinks, 4))
     assert {tuple(r) for r in rows} == want and {h for *_, h in want} == {1, 2, 3, 4}
     assert n < 17_000  # 20,832 while every pair went on
+
+
+def test_steps_far_from_all_roots_are_not_weighed(spark):
+    nodes = spark.createDataFrame([("p", f"n{k:04}", "function", f"n{k}", "", "f", "code" if k % 3 else "") for k in range(2000)], "project string, id string, type string, name string, package string, file string, domain string")
+    edges = spark.createDataFrame([("p", f"n{k:04}", f"n{(k + j) % 2000:04}", "CALLS") for k in range(2000) for j in (1, 2)], "project string, from_id string, to_id string, type string")
+    roots = spark.createDataFrame([("p", "n0000"), ("p", "n1000")], "project string, root string")
+    rows, n = shuffled(spark, lambda: carves.spread(nodes, edges, roots, 1))
+    assert {(r.root, r.id) for r in rows} == {(f"n{k:04}", f"n{(k + j) % 2000:04}") for k in (0, 1000) for j in (-2, -1, 0, 1, 2)}
+    _, whole = shuffled(spark, lambda: carves.walk_steps(nodes, edges))
+    assert n < whole * 0.75
+    near = carves.walk_steps(nodes, edges, of=roots.select("project", F.col("root").alias("id")))
+    assert {tuple(r) for r in near.collect()} == {tuple(r) for r in carves.walk_steps(nodes, edges).collect() if r.from_id in ("n0000", "n1000")}
