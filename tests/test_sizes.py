@@ -188,3 +188,18 @@ def test_steps_far_from_all_roots_are_not_weighed(spark):
     assert n < whole * 0.75
     near = carves.walk_steps(nodes, edges, of=roots.select("project", F.col("root").alias("id")))
     assert {tuple(r) for r in near.collect()} == {tuple(r) for r in carves.walk_steps(nodes, edges).collect() if r.from_id in ("n0000", "n1000")}
+
+
+def test_nodes_of_a_name_meet_in_blocks_of_two_domains(spark, monkeypatch):
+    domain = ("code", "infra", "docs", "other", "api")
+    nodes = spark.createDataFrame([(f"n{k:03}", "Pay-Bill" if k % 7 else "PayBill" if k % 2 else "Rare", "struct" if k % 3 else "table", domain[min(k % 9, 3)] if k % 9 < 8 else None, f"d{k % 2}/f.go") for k in range(300)], "id string, name string, type string, domain string, file string")
+    place = lambda r: links.DOMAIN_ORDER.get(r.domain, 9)
+    held = [r for r in nodes.collect() if place(r) < 9]
+    want = {(a.id, b.id) for a in held for b in held if a.name.replace("-", "").lower() == b.name.replace("-", "").lower() and place(a) < place(b)}
+    monkeypatch.setattr(links, "BLOCK", 10)
+    got = [(r.from_id, r.to_id) for r in links.cross_domain_mentions(nodes).collect()]
+    assert set(got) == want and len(got) == len(want) > 1000
+    plan = links.cross_domain_mentions(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_block" in plan and "b_place" in plan  # pairs of one domain are never made
+    assert links.cross_domain_mentions(nodes).rdd.getNumPartitions() > 20  # nor all of a name's pairs in one task
+    assert not links.cross_domain_mentions(nodes.limit(0)).count()
