@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from grafonda.operators import alike, carves, coordination, graph, links, memory, paths, power, rules, store
+from grafonda.operators import alike, carves, coordination, graph, links, memory, orders, paths, power, rules, store
 
 
 @contextlib.contextmanager
@@ -203,3 +203,14 @@ def test_nodes_of_a_name_meet_in_blocks_of_two_domains(spark, monkeypatch):
     assert "a_block" in plan and "b_place" in plan  # pairs of one domain are never made
     assert links.cross_domain_mentions(nodes).rdd.getNumPartitions() > 20  # nor all of a name's pairs in one task
     assert not links.cross_domain_mentions(nodes.limit(0)).count()
+
+
+def test_cycles_of_small_pieces_are_broken_without_joins(spark):
+    rng = random.Random(13)
+    pairs = sorted({(f"{p:02}n{rng.randint(0, 19):02}", f"{p:02}n{rng.randint(0, 19):02}") for p in range(30) for _ in range(45)})
+    edges = spark.createDataFrame(pairs, "from_id string, to_id string")
+    whole = {tuple(r) for r in orders.acyclic(edges).collect()}
+    rows, n = shuffled(spark, lambda: orders.acyclic(edges, few=200))
+    assert {tuple(r) for r in rows} == whole and len(rows) == len(whole) < len(pairs) - 100
+    assert not orders.strong_components(spark.createDataFrame(sorted(whole), "from_id string, to_id string")).count()
+    assert n < 26_000  # 32,113 while components were joined to edges
