@@ -214,3 +214,26 @@ def test_cycles_of_small_pieces_are_broken_without_joins(spark):
     assert {tuple(r) for r in rows} == whole and len(rows) == len(whole) < len(pairs) - 100
     assert not orders.strong_components(spark.createDataFrame(sorted(whole), "from_id string, to_id string")).count()
     assert n < 26_000  # 32,113 while components were joined to edges
+
+
+def test_rounds_of_labels_compare_numbers(spark):
+    rng = random.Random(17)
+    pairs = sorted({(f"é{rng.randint(0, 30)}", f"n{rng.randint(0, 60)}") for _ in range(200)} | {(f"n{k}", f"n{k * 7 % 61}") for k in range(61)})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs], "from_id string, to_id string, type string")
+    label = {x: x for x in near}
+    for _ in range(3):
+        votes = {x: [label[y] for y in near[x]] for x in near}
+        label = {x: min(v, key=lambda c: (-v.count(c), c)) for x, v in votes.items()}
+    got = graph.label_propagation(edges, 3)
+    assert {tuple(r) for r in got.collect()} == set(label.items()) and got.count() == len(label)
+    read = []
+    plain, graph.cut = graph.cut, lambda df, name: read.append((name, dict(df.dtypes))) or plain(df, name)
+    try:
+        graph.label_propagation(edges, 2)
+    finally:
+        graph.cut = plain
+    assert [t for name, t in read if name == "labels"] == [{"n": "bigint", "community": "bigint"}] * 2
