@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from grafonda.operators import alike, carves, coordination, graph, links, memory, orders, paths, power, rules, store
+from grafonda.operators import alike, carves, coordination, graph, links, memory, model, orders, paths, power, rules, store
 
 
 @contextlib.contextmanager
@@ -237,3 +237,48 @@ def test_rounds_of_labels_compare_numbers(spark):
     finally:
         graph.cut = plain
     assert [t for name, t in read if name == "labels"] == [{"n": "bigint", "community": "bigint"}] * 2
+
+
+def largest_task(spark, run):
+    """Bytes of memory that the largest task of run() used for sorts and hash tables."""
+    sc = spark.sparkContext
+    store_ = sc._jsc.sc().statusStore()
+
+    def stages():
+        each = store_.stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()).iterator()
+        return {s.stageId(): s.attemptId() for s in iter(lambda: each.next() if each.hasNext() else None, None)}
+
+    before = stages()
+    run()
+    tasks = [t.taskMetrics() for k, attempt in stages().items() if k not in before for t in iter_java(store_.taskList(k, attempt, 10_000))]
+    return max(m.get().peakExecutionMemory() for m in tasks if m.isDefined())
+
+
+def iter_java(found):
+    each = found.iterator()
+    while each.hasNext():
+        yield each.next()
+
+
+def test_a_save_sorts_nothing(spark, tmp_path):
+    edges = spark.range(200_000, numPartitions=2).selectExpr("concat('a', id) as from_id", "concat('b', id) as to_id", "concat('T', id % 3) as type")
+    nodes = spark.range(60_000).selectExpr("concat('a', id) as id", "concat('f', id % 200) as file")
+    path = str(tmp_path / "graph")
+    spark.conf.set(store._WRITERS, "5")
+    try:
+        assert largest_task(spark, lambda: store.save_graph(nodes, edges, path)) < 4 << 20  # 13 MB (12,582,880 bytes) while rows were sorted by type
+        assert spark.conf.get(store._WRITERS) == "5"
+    finally:
+        spark.conf.unset(store._WRITERS)
+    n, e = store.load_graph(spark, path)
+    assert e.select("from_id", "to_id", "type").exceptAll(edges).isEmpty() and e.count() == 200_000
+    assert n.select("id", "file").exceptAll(nodes).isEmpty() and n.count() == 60_000
+
+
+def test_edges_are_told_apart_in_tasks_of_a_size(spark):
+    line = spark.range(20_000).selectExpr("id % 5000 as a", "id % 7 as b", "id as c")
+    got = model._distinct(line, "a", "b", rows=1000)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1500 and sum(sizes) == line.select("a", "b").distinct().count()
+    assert not got.exceptAll(line.select("a", "b").distinct()).count()
+    assert model._distinct(line.limit(0), "a").count() == 0
