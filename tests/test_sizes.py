@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from grafonda.operators import alike, carves, coordination, graph, links, memory, model, orders, paths, power, rules, store
+from grafonda.operators import alike, carves, coordination, graph, knowledge, links, memory, model, orders, paths, power, rules, store
 
 
 @contextlib.contextmanager
@@ -282,3 +282,9 @@ def test_edges_are_told_apart_in_tasks_of_a_size(spark):
     assert len(sizes) == 20 and max(sizes) < 1500 and sum(sizes) == line.select("a", "b").distinct().count()
     assert not got.exceptAll(line.select("a", "b").distinct()).count()
     assert model._distinct(line.limit(0), "a").count() == 0
+
+def test_files_asked_about_meet_nodes_where_they_lie(spark):
+    nodes = spark.range(20_000).selectExpr("'x' as type", "concat('f', id % 200) as file", "cast(id as int) as line", "concat('n', id) as name")
+    rows, n = shuffled(spark, lambda: knowledge.file_context(nodes, spark.createDataFrame([("f7",), ("gone",)], "file string")))
+    assert [tuple(r) for r in rows] == [("f7", ",".join(f"n{k}" for k in range(7, 20_000, 200)))]
+    assert n < 100  # 20,000 while all nodes were shuffled
