@@ -6,7 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from grafonda.operators import alike, carves, coordination, graph, knowledge, links, memory, model, orders, paths, power, rules, store
+from grafonda.functions import words
+from grafonda.operators import alike, carves, coordination, graph, knowledge, links, memory, model, orders, paths, power, rules, store, work
 
 
 @contextlib.contextmanager
@@ -288,3 +289,13 @@ def test_files_asked_about_meet_nodes_where_they_lie(spark):
     rows, n = shuffled(spark, lambda: knowledge.file_context(nodes, spark.createDataFrame([("f7",), ("gone",)], "file string")))
     assert [tuple(r) for r in rows] == [("f7", ",".join(f"n{k}" for k in range(7, 20_000, 200)))]
     assert n < 100  # 20,000 while all nodes were shuffled
+
+
+def test_texts_are_searched_once_for_names_and_signals(spark):
+    text = "see `Big Cat`, \"the thing\"\nTokenBucket depends on RateCard, uses (GraphStore) and is used by tokenbucket.\nno signal here"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(words.relation_signals(F.col("text")).alias("s"))
+    got = [r.s and [tuple(x) for x in r.s] for r in df.collect()]
+    assert got[0] == [("tokenbucket", "depends on", "ratecard"), ("ratecard", "uses", "graphstore"), ("graphstore", "used by", "tokenbucket")] and not got[1] and not got[2]
+    assert str(df._jdf.queryExecution().analyzed()).count("regexp_extract_all") < 8  # more while each use of the names searched the text again
+    few = work.spread(spark.range(1000, numPartitions=1), 100)
+    assert [r["count"] for r in few.groupBy(F.spark_partition_id()).count().collect()] == [100] * 10
