@@ -299,3 +299,20 @@ def test_texts_are_searched_once_for_names_and_signals(spark):
     assert str(df._jdf.queryExecution().analyzed()).count("regexp_extract_all") < 8  # more while each use of the names searched the text again
     few = work.spread(spark.range(1000, numPartitions=1), 100)
     assert [r["count"] for r in few.groupBy(F.spark_partition_id()).count().collect()] == [100] * 10
+
+
+def test_a_delta_leaves_other_files_edges_where_they_are(spark, tmp_path):
+    nodes = spark.range(2000).selectExpr("concat('n', id) as id", "concat('f', id % 50) as file")
+    edges = spark.range(20_000).selectExpr("concat('n', id % 2000) as from_id", "concat('n', id * 7 % 1999) as to_id", "concat('T', id % 3) as type").distinct()
+    path = str(tmp_path / "graph")
+    store.save_graph(nodes, edges, path)
+    own = nodes.where("file = 'f7' and id <> 'n7'")
+    new = own.selectExpr("id as from_id", "'x' as to_id", "'T1' as type").unionByName(spark.createDataFrame([("n8", "y", "T0"), ("n8", "y", "T0"), (edges.where("from_id = 'n8'").first())], "from_id string, to_id string, type string"))
+    n, e = store.with_file(nodes, edges, "f7", own, new)
+    want = ({tuple(r) for r in n.select("id", "file").collect()}, {tuple(r) for r in e.collect()})
+    before = len(want[1])
+    _, moved = shuffled(spark, lambda: store.save_delta(spark, path, "f7", own, new) or spark.range(0))
+    got = store.load_graph(spark, path)
+    rows = [tuple(r) for r in got[1].select("from_id", "to_id", "type").collect()]
+    assert set(rows) == want[1] and len(rows) == before and {tuple(r) for r in got[0].select("id", "file").collect()} == want[0]
+    assert moved < 2000 < before
