@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from grafonda.functions import words
-from grafonda.operators import alike, carves, coordination, graph, knowledge, links, memory, model, orders, paths, power, rules, store, work
+from grafonda.operators import alike, carves, coordination, graph, knowledge, links, memory, model, orders, paths, power, rules, search, store, work
 
 
 @contextlib.contextmanager
@@ -316,3 +316,12 @@ def test_a_delta_leaves_other_files_edges_where_they_are(spark, tmp_path):
     rows = [tuple(r) for r in got[1].select("from_id", "to_id", "type").collect()]
     assert set(rows) == want[1] and len(rows) == before and {tuple(r) for r in got[0].select("id", "file").collect()} == want[0]
     assert moved < 2000 < before
+
+
+def test_texts_are_searched_for_words_once_for_all_weights(spark):
+    docs = spark.createDataFrame([(1, "red ring red"), (2, "blue ring"), (3, "blue bolt")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "red ring red")], "item_id int, words string")
+    got = search.tfidf_cosine(docs, "doc_id", "text", asked, "item_id", "words")
+    assert [(r.doc_id, round(r.score, 6)) for r in sorted(got.collect(), key=lambda r: r["rank"])][0] == (1, 1.0) and got.count() == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "words#" in plan and not [x for x in plan.splitlines() if "regexp_extract_all" in x and "text#" in x]
