@@ -45,6 +45,8 @@ HEAD_BITS = 21
 PART_BYTES = 96 << 20
 #: N-grams that a task gathers before it passes them on, and that a segment is meant to hold.
 GATHER, SEGMENT = 1 << 21, 1 << 20
+#: Bytes of the texts that ask a segment together, and such runs in a row group: a reader holds a whole row group of large rows at once.
+RUN_BYTES, RUNS_HELD = 4 << 20, 4
 END, START = np.uint64(0xE17A1465EB7C1C2B), np.uint64(0x2D358DCCAA6C78A5)
 _LEVELS = 80
 
@@ -280,12 +282,12 @@ def levels_by_join(docs: DataFrame, segments: DataFrame, wide: int) -> DataFrame
     def run_up(batches):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for i, j, _, _ in tokens.chunks(batch.column(1), 1 << 20):
+            for i, j, _, _ in tokens.chunks(batch.column(1), RUN_BYTES):
                 one = pa.array([0, j - i], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(one, batch.column(0).slice(i, j - i)), pa.ListArray.from_arrays(one, batch.column(1).slice(i, j - i))], ["run", "ids", "texts"])
                 number += 1
 
-    runs = work_table(small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(run_up, f"run long, ids array<{kind}>, texts array<string>"), "runs")
+    runs = work_table(small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(run_up, f"run long, ids array<{kind}>, texts array<string>"), "runs", RUNS_HELD)
     tops = segments.select("head", "levels").where("octet_length(head) > 0").toArrow()
     keys, level = (np.frombuffer(b"".join(tops.column(c).to_pylist()), t) for c, t in (("head", np.uint64), ("levels", np.int8)))
     order = np.argsort(keys)
@@ -314,7 +316,19 @@ def levels_by_join(docs: DataFrame, segments: DataFrame, wide: int) -> DataFrame
         number = asked.column("segment")[0].as_py() if asked.num_rows else 0
         known = Filter({number: held.column("bits")[0].as_py()} if held.num_rows else {}, wide)
         whole = lambda x: (np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(number << 32)) << np.uint64(32 - wide)
-        found = [known.levels(whole(x)).tobytes() for x in asked.column("keys").to_pylist()]
+        keys = asked.column("keys").to_pylist()
+        found: list[bytes] = []
+        a = 0
+        while a < len(keys):  # the keys of many runs at a time: a run has few in a segment
+            b, n = a, 0
+            while b < len(keys) and (b == a or n + len(keys[b]) <= 4 * SEGMENT):
+                n += len(keys[b])
+                b += 1
+            told, at = known.levels(whole(b"".join(keys[a:b]))).tobytes(), 0
+            for x in keys[a:b]:
+                found.append(told[at : at + len(x) // 4])
+                at += len(x) // 4
+            a = b
         return pa.table({"run": asked.column("run"), "segment": asked.column("segment"), "told": pa.array(found, pa.binary())})
 
     told = small_batches(runs).mapInArrow(ask, "segment int, run long, keys binary").groupBy("segment").cogroup(segments.select("segment", "bits").groupBy("segment")).applyInArrow(tell, "run long, segment int, told binary")

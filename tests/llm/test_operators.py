@@ -1,6 +1,7 @@
 """Small hand-made inputs: nulls, empty and long texts, ties, repeated rows, empty tables and extra columns; and brute force."""
 
 import binascii
+import glob
 import hashlib
 import math
 import re
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,3 +425,17 @@ def test_word_hashes_tell_words_apart():
     h, first = tokens.words(raw, at)
     assert len(set(h[: first[1]].tolist())) == len(words) and first.tolist() == [0, len(words), len(words), 2 * len(words)]
     assert (h[: first[1]] == h[first[2] :][::-1]).all()
+
+
+def test_large_rows_are_held_a_few_at_a_time(spark):
+    """A reader of nested rows holds a row group: runs of texts are megabytes each."""
+    docs = spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), 250_000).alias("text"))
+    segments, wide = lm.build_segments(docs, 24 * 250_001)
+    before = set(glob.glob("/tmp/checkpoints/runs-*"))
+    got = lm.levels_by_join(docs, storage.work_table(segments, "segments"), wide)
+    rows = got.select("doc_id", F.length("text").alias("n"), F.length("levels").alias("m")).collect()
+    assert sorted((r.doc_id, r.n, r.m) for r in rows) == [(k, 250_000 * (2 + len(str(k))), 2 * 250_001) for k in range(24)]
+    (path,) = set(glob.glob("/tmp/checkpoints/runs-*")) - before
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    assert sum(m.num_rows for m in groups) < 12  # several texts ask together
+    assert max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)) <= lm.RUNS_HELD
