@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from grafonda.operators import orders, scans
 
+from .test_sizes import shuffled
+
 
 def edges_of(spark, pairs):
     return spark.createDataFrame([(a, b, "CALLS") for a, b in pairs], "from_id string, to_id string, type string")
@@ -115,3 +117,18 @@ def test_scans_equal_windows(spark):
     assert sorted(r["rank"] for r in ranks.collect()) == list(range(1, 5001))
     assert scans.chunks(same, ["g"], ["t"]).groupBy("chunk").count().count() > 2
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_links_of_a_start_are_one_for_each_node(spark):
+    """Rounds of joins carry at most a link for each node that a task holds, not all links."""
+    rng = random.Random(11)
+    pairs = [(f"a{k}{rng.randint(0, 40):02}", f"b{k}{rng.randint(0, 40):02}") for k in range(5) for _ in range(2000)] + [("z", "z"), ("b000", "b100")]
+    links = edges_of(spark, pairs).repartition(3)
+    want: dict = {}
+    for x, near in reach(pairs + [(b, a) for a, b in pairs]).items():
+        want[x] = min(near)
+    want.pop("z")
+    for few in (50, orders.FEW_OF_COMPONENT):
+        assert {r.id: r.component for r in orders.weak_components(links, few).collect()} == want
+    rows, n = shuffled(spark, lambda: orders.weak_components(links))
+    assert len(rows) == len(want) and n < 14_000  # 10,000 links once
