@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from grafonda.functions import words
-from grafonda.operators import alike, carves, coordination, graph, knowledge, links, memory, model, orders, paths, power, rules, search, store, work
+from grafonda.operators import alike, carves, coordination, graph, knowledge, links, memory, model, orders, paths, power, rules, search, store, telemetry, work
 
 
 @contextlib.contextmanager
@@ -325,3 +325,22 @@ def test_texts_are_searched_for_words_once_for_all_weights(spark):
     assert [(r.doc_id, round(r.score, 6)) for r in sorted(got.collect(), key=lambda r: r["rank"])][0] == (1, 1.0) and got.count() == 2
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "words#" in plan and not [x for x in plan.splitlines() if "regexp_extract_all" in x and "text#" in x]
+
+
+def test_deliveries_meet_the_last_correction_only(spark):
+    """A scan in time: no delivery is held against all corrections of its entity."""
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(2), datetime(2024, 1, 1)
+    at = lambda: start + timedelta(hours=rng.randint(0, 400))
+    fixed = [(rng.choice(("a", "b", "c", None)), at(), rng.choice(("correction", "task_done"))) for _ in range(40)] + [("d", start, "correction"), ("e", None, "correction")]
+    given = [(rng.choice(("a", "b", "c", "x", None)), at(), rng.choice(("click", "view", None))) for _ in range(300)] + [("d", start + timedelta(hours=h), "edge") for h in (0, 24, 25)] + [("d", None, "edge"), ("d", start - timedelta(hours=1), "edge")]
+    want: dict = {}
+    for e, t, name in given:
+        if e and t and any(f == e and k == "correction" and u and u <= t <= u + timedelta(hours=24) for f, u, k in fixed):
+            want[name] = want.get(name, 0) + 1
+    cd, os = spark.createDataFrame(given, "entity string, created_at timestamp, tool_name string"), spark.createDataFrame(fixed, "entity string, created_at timestamp, signal_type string")
+    got = telemetry.stale_deliveries(cd, os)
+    assert {r.tool_name: r.stale for r in got.collect()} == want and want["edge"] == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
