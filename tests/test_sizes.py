@@ -344,3 +344,20 @@ def test_deliveries_meet_the_last_correction_only(spark):
     assert {r.tool_name: r.stale for r in got.collect()} == want and want["edge"] == 2
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan
+
+
+def test_sessions_that_hold_the_same_meet_as_one(spark, monkeypatch):
+    held_by = [(["f1"], ["e1"]), (["f1", "f2"], ["e2"]), (["f3"], ["e1", "e2"]), ([], [])]
+    work = {f"s{k:03}": held_by[k % 4] for k in range(300)}
+    df = spark.createDataFrame([(s, f, e) for s, (f, e) in work.items()], "session_id string, files array<string>, entities array<string>").repartition(4)
+    want = {}
+    for a, b in combinations(sorted(work), 2):
+        shared = [sorted(set(work[a][k]) & set(work[b][k])) for k in (0, 1)]
+        if any(shared):
+            want[a, b] = (int(not shared[0]), ",".join(shared[int(not shared[0])]))
+    rows, n = shuffled(spark, lambda: coordination.overlaps(df))
+    assert len(rows) == len(want) and {(r.a, r.b): (r.level, r.shared) for r in rows} == want
+    assert n < 2_000
+    monkeypatch.setattr(coordination, "NAMED", 10)
+    rows = coordination._meeting(df, "entities", 30).select("a", "b", "x").collect()
+    assert sorted(map(tuple, rows)) == sorted((a, b, x) for a, b in combinations(sorted(work), 2) for x in set(work[a][1]) & set(work[b][1]))
