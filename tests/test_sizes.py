@@ -361,3 +361,18 @@ def test_sessions_that_hold_the_same_meet_as_one(spark, monkeypatch):
     monkeypatch.setattr(coordination, "NAMED", 10)
     rows = coordination._meeting(df, "entities", 30).select("a", "b", "x").collect()
     assert sorted(map(tuple, rows)) == sorted((a, b, x) for a, b in combinations(sorted(work), 2) for x in set(work[a][1]) & set(work[b][1]))
+
+
+def test_ends_of_a_path_go_to_its_starts_as_lists(spark, monkeypatch):
+    rng = random.Random(4)
+    ahead = {f"m{k:02}": rng.sample(range(300), 100) for k in range(20)}
+    nodes = spark.createDataFrame([(f"s{k:02}", "s") for k in range(40)] + [(m, "m") for m in ahead] + [(f"e{k:03}", "e" if k % 3 else "x") for k in range(300)], "id string, type string")
+    edges = spark.createDataFrame([(f"s{k:02}", m, "A") for k in range(40) for m in ahead if k or m < "m05"] + [(m, f"e{k:03}", "B") for m, x in ahead.items() for k in x], "from_id string, to_id string, type string")
+    want = {(f"s{k:02}", f"e{e:03}") for k in range(40) for m, x in ahead.items() for e in x if e % 3 and (k or m < "m05")}
+    find = lambda: graph.path_pattern(nodes, edges, ["A", "B"], F.col("type") == "s", F.col("type") == "e")
+    rows, n = shuffled(spark, find)
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert n < 12_000  # over 50,000 pairs lead over the middle
+    monkeypatch.setattr(graph, "LISTED", 7)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 500)
+    assert sorted(map(tuple, find().collect())) == sorted(want)
