@@ -376,3 +376,21 @@ def test_ends_of_a_path_go_to_its_starts_as_lists(spark, monkeypatch):
     monkeypatch.setattr(graph, "LISTED", 7)
     monkeypatch.setattr(graph, "TASK_PAIRS", 500)
     assert sorted(map(tuple, find().collect())) == sorted(want)
+
+
+def test_rounds_of_labels_shuffle_what_is_heard_only(spark):
+    rng = random.Random(9)
+    pairs = {(f"n{rng.randint(0, 149):03}", f"n{rng.randint(0, 149):03}") for _ in range(1500)}
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    label = {x: x for x in near}
+    for _ in range(3):
+        votes = {x: [label[y] for y in ys] for x, ys in near.items()}
+        label = {x: min(set(v), key=lambda y: (-v.count(y), y)) for x, v in votes.items()}
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in sorted(pairs)], "from_id string, to_id string, type string")
+    rows, n = shuffled(spark, lambda: graph.label_propagation(edges, 3))
+    assert {r.id: r.community for r in rows} == label
+    links = sum(map(len, near.values()))
+    assert links > 2_500 and n < 18_000  # what is heard in two rounds; links themselves move once
