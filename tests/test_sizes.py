@@ -394,3 +394,15 @@ def test_rounds_of_labels_shuffle_what_is_heard_only(spark):
     assert {r.id: r.community for r in rows} == label
     links = sum(map(len, near.values()))
     assert links > 2_500 and n < 18_000  # what is heard in two rounds; links themselves move once
+
+
+def test_wedges_carry_numbers(spark, monkeypatch):
+    """Ids of any length move twice with their edges, not with every wedge."""
+    kinds = []
+    kept = paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df, *x: kinds.append({t for _, t in df.dtypes}) or kept(df, *x))
+    pairs = [("b", "a"), ("c", "b"), ("a", "c"), ("d", "a"), ("d", "c"), ("e", "e"), ("e", "d")]
+    rows = paths.common_neighbours(spark.createDataFrame([(a * 99, b * 99, "CALLS") for a, b in pairs], "from_id string, to_id string, type string"))
+    assert {(r.a[0], r.b[0], r.common) for r in rows.collect()} == {("a", "b", 1), ("b", "c", 1), ("a", "c", 2), ("a", "d", 1), ("c", "d", 1)}
+    assert {len(r.a) for r in rows.collect()} == {99}
+    assert kinds and all(k == {"bigint"} for k in kinds)
